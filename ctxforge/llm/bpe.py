@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxforge.llm.common import documents, small_batches
+from ctxforge.llm.merges import MergeTable
 
 #: Fragments whose ids a worker remembers before it starts anew.
 CACHE = 300_000
@@ -77,6 +78,7 @@ class FragmentCoder:
         self.library.no_truncation()
         self.library.no_padding()
         tokens = token_bytes(spec)
+        self.merges = MergeTable(spec["model"], byte_alphabet())
         self.cuts = usable_cuts(forced_pairs(tokens.values()))
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         size = max([*tokens, *self.special.values()]) + 1
@@ -90,28 +92,31 @@ class FragmentCoder:
         at = (np.flatnonzero(self.cuts[(b[:-1] << 8) | b[1:]]) + 1).tolist()
         return [data[x:y] for x, y in zip([0, *at], [*at, len(data)])]
 
-    def _segment(self, data: bytes) -> bytes:
-        if not data:
-            return b""
-        parts, cache = self.fragments(data), self.cache
-        found = list(map(cache.get, parts))
-        if None in found:
-            new = {p for p, f in zip(parts, found) if f is None}
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-                new = set(parts)
-            new = list(new)
-            for p, e in zip(new, self.library.encode_batch_fast([p.decode("utf-8") for p in new], add_special_tokens=False)):
-                cache[p] = np.array(e.ids, "<u4").tobytes()
-            found = list(map(cache.__getitem__, parts))
-        return b"".join(found)
-
-    def encode(self, data: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        for content, i in self.special.items():
+    def _learn(self, new: list[bytes]) -> None:
+        # A word with or without a space in front is one match of the pre-tokenizer.
+        plain = [p for p in new if p.removeprefix(b" ").decode("utf-8").isalpha()]
+        self.cache.update(zip(plain, self.merges.encode(plain)))
+        rest = [p for p in new if self.cache.get(p) is None]
+        for p, e in zip(rest, self.library.encode_batch_fast([p.decode("utf-8") for p in rest], add_special_tokens=False)):
+            self.cache[p] = np.array(e.ids, "<u4").tobytes()
+
+    def _parts(self, data: bytes) -> list[bytes]:
+        """Fragments of a text, with special tokens as parts of their own."""
+        for content in self.special:
             if content in data:
-                return np.array([i], "<u4").tobytes().join(self.encode(x) for x in data.split(content))
-        return self._segment(data)
+                first, *rest = data.split(content)
+                return self._parts(first) + [x for r in rest for x in (content, *self._parts(r))]
+        return self.fragments(data) if data else []
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        split, cache = [self._parts(t) for t in texts], self.cache
+        new = {p for parts in split for p in parts if p not in cache}
+        if len(cache) + len(new) > CACHE:
+            cache.clear()
+            new = {p for parts in split for p in parts}
+        self._learn(list(new))
+        return [b"".join(map(cache.__getitem__, parts)) for parts in split]
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, special tokens included."""
@@ -126,7 +131,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def scan(batches):
         coder = FragmentCoder(path)
         for batch in batches:
-            ids = [coder.encode(t or b"") for t in batch.column(1).to_pylist()]
+            ids = coder.encode_all([t or b"" for t in batch.column(1).to_pylist()])
             yield pa.record_batch({"doc_id": batch.column(0), "ids": pa.array(ids, pa.binary()), "decoded": pa.array([coder.decode(i) for i in ids], pa.string())})
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))

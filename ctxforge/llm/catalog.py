@@ -5,11 +5,12 @@ from __future__ import annotations
 from ctxforge.llm.bpe import op7_bpe_forced_boundaries
 from ctxforge.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from ctxforge.llm.line_dedup import OP4_SQL, op4_line_dedup
+from ctxforge.llm.packing import op9_best_fit_packing
 from ctxforge.llm.simhash import op3_simhash_near_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op4_line_dedup, op7_bpe_forced_boundaries, op10_exact_dedup)}
+    return {f.__name__: f for f in (op3_simhash_near_dedup, op4_line_dedup, op7_bpe_forced_boundaries, op9_best_fit_packing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

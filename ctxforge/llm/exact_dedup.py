@@ -35,18 +35,16 @@ class DigestIndex:
         self.path = path or fresh_path(spark, "digest-index")
         self.buckets = buckets or shuffle_partitions(spark)
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
-
     def append(self, groups: DataFrame) -> None:
         """Add (digest, keep_id, n) rows whose digests are new."""
         ordered = groups.select("digest", "keep_id", "n").repartition(self.buckets, "digest").sortWithinPartitions("digest")
         writer = ordered.write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest")
         writer.option("path", self.path).saveAsTable(self.name)
 
-    def plain(self) -> DataFrame:
-        """The index without its bucketing, for joins whose other side may have hot digests."""
-        return self.spark.read.schema("digest binary, keep_id long, n long").parquet(self.path)
+    def table(self) -> DataFrame:
+        if not self.spark.catalog.tableExists(self.name):
+            self.append(self.spark.createDataFrame([], "digest binary, keep_id long, n long"))
+        return self.spark.table(self.name)
 
     def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Deduplicate a batch and append it. One row per document:
@@ -59,19 +57,15 @@ class DigestIndex:
         own = own.select("digest", F.col("doc_id").cast("long").alias("doc_id"), "times")
         groups = own.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("times").alias("n"))
         groups = materialize(groups, "digest-groups")
-        known = self.exists()
-        if known:
-            seen = self.spark.table(self.name).select("digest")
-            self.append(groups.join(seen.hint("merge"), "digest", "left_anti"))
-        else:
-            self.append(groups)
-        found = own.join(groups.select("digest", F.col("n").alias("group_size"), F.col("keep_id").alias("first_id")), "digest")
-        if known:
-            found = found.join(self.plain().select("digest", "keep_id"), "digest")
-        else:
-            found = found.withColumn("keep_id", F.col("first_id"))
-        copies = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-        stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
+        # One row per digest on either side, and the index needs neither shuffle nor sort.
+        index = self.table().select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("known")).hint("merge")
+        found = materialize(groups.join(index, "digest", "left"), "digest-found")
+        self.append(groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti"))
+        keep = F.when(F.col("known"), F.col("known_id")).otherwise(F.col("keep_id"))
+        found = found.select("digest", keep.alias("keep_id"), F.col("n").alias("group_size"), F.coalesce("known", F.lit(False)).alias("known"))
+        both = own.join(found, "digest")
+        copies = both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+        stays = ~F.col("known") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
         return copies.select("doc_id", "keep_id", "group_size", stays.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
