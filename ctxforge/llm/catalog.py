@@ -3,14 +3,28 @@
 from __future__ import annotations
 
 from ctxforge.llm.bpe import op7_bpe_forced_boundaries
+from ctxforge.llm.chat_format import op6_chat_format
 from ctxforge.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from ctxforge.llm.language_id import op8_language_id
 from ctxforge.llm.line_dedup import OP4_SQL, op4_line_dedup
 from ctxforge.llm.packing import op9_best_fit_packing
+from ctxforge.llm.permutation_index import op1_permutation_index
 from ctxforge.llm.simhash import op3_simhash_near_dedup
 
+QUERIES = (
+    op1_permutation_index,
+    op3_simhash_near_dedup,
+    op4_line_dedup,
+    op6_chat_format,
+    op7_bpe_forced_boundaries,
+    op8_language_id,
+    op9_best_fit_packing,
+    op10_exact_dedup,
+)
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op4_line_dedup, op7_bpe_forced_boundaries, op9_best_fit_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
