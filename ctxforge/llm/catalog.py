@@ -9,10 +9,12 @@ from ctxforge.llm.language_id import op8_language_id
 from ctxforge.llm.line_dedup import OP4_SQL, op4_line_dedup
 from ctxforge.llm.packing import op9_best_fit_packing
 from ctxforge.llm.permutation_index import op1_permutation_index
+from ctxforge.llm.secrets import op2_secret_scan
 from ctxforge.llm.simhash import op3_simhash_near_dedup
 
 QUERIES = (
     op1_permutation_index,
+    op2_secret_scan,
     op3_simhash_near_dedup,
     op4_line_dedup,
     op6_chat_format,
