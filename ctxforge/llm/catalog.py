@@ -7,6 +7,7 @@ from ctxforge.llm.chat_format import op6_chat_format
 from ctxforge.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from ctxforge.llm.language_id import op8_language_id
 from ctxforge.llm.line_dedup import OP4_SQL, op4_line_dedup
+from ctxforge.llm.lm_score import op5_lm_context_mixing
 from ctxforge.llm.packing import op9_best_fit_packing
 from ctxforge.llm.permutation_index import op1_permutation_index
 from ctxforge.llm.secrets import op2_secret_scan
@@ -17,6 +18,7 @@ QUERIES = (
     op2_secret_scan,
     op3_simhash_near_dedup,
     op4_line_dedup,
+    op5_lm_context_mixing,
     op6_chat_format,
     op7_bpe_forced_boundaries,
     op8_language_id,
