@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ctxforge.llm.common import crc_mod, documents, small_batches
 
@@ -111,9 +112,10 @@ def mean_ranks(counts: np.ndarray) -> np.ndarray:
     return mean[::-1][counts]
 
 
-def predict(docs: DataFrame, found: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text", places: int = PROFILE) -> DataFrame:
-    """(doc_id, lang_pred, score, margin): score is 1 for a document whose ranks equal the profile's and 0
-    for one that shares no n-gram with it; margin is the lead over the next language."""
+def with_language(docs: DataFrame, found: dict[str, list[str]], text_col: str = "text", places: int = PROFILE) -> DataFrame:
+    """docs with lang_pred, score and margin: score is 1 for a document whose ranks equal the profile's and
+    0 for one that shares no n-gram with it; margin is the lead over the next language. Columns of these
+    names are replaced."""
     small_batches(docs.sparkSession)
     names = sorted(found)
 
@@ -141,14 +143,24 @@ def predict(docs: DataFrame, found: dict[str, list[str]], id_col: str = "doc_id"
             return names[order[0]], float(1 - total[order[0]]), lead
 
         for batch in batches:
-            rows = [best(t) for t in batch.column(1).to_pylist()]
+            rows = [best(t) for t in batch.column(at_text).to_pylist()]
             if grams.full():
                 grams.reset()
             lang, score, lead = zip(*rows) if rows else ((), (), ())
-            yield pa.record_batch({"doc_id": batch.column(0), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "margin": pa.array(lead, pa.float64())})
+            new = (pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lead, pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *added])
 
+    added = ("lang_pred", "score", "margin")
+    docs = docs.drop(*(c for c in added if c != text_col))
+    at_text = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(added, (T.StringType(), T.DoubleType(), T.DoubleType())))])
+    return docs.mapInArrow(scan, schema)
+
+
+def predict(docs: DataFrame, found: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, lang_pred, score, margin), see with_language."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(scan, "doc_id long, lang_pred string, score double, margin double")
+    return with_language(own, found).select("doc_id", "lang_pred", "score", "margin")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

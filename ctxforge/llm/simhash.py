@@ -81,6 +81,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(found, prints.fp == found.key).select("doc_id", "fp", "component_id")
 
 
+#: Bands of 25 bits that a 256-bit fingerprint is searched by, at BAND_RADIUS or fewer differing bits each,
+#: and the bits in which two fingerprints of resemblance 0.8 differ at most, but for one pair in twenty.
+BANDS, BAND_BITS, BAND_RADIUS, WIDE_BITS = 10, 25, 2, 48
+
+
+def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for a resemblance of about 0.8 or more between sets of five-word shingles.
+
+    At 0.8 two fingerprints differ in 15 % of their bits, too many for triangle bounds to prune. So four lanes
+    make 256 bits, short bands of them are searched at a small radius, and a pair that is near in a band
+    is linked if the whole fingerprints differ in WIDE_BITS bits or fewer."""
+    prints = fingerprints(docs, id_col, text_col, 5, 4).select("doc_id", F.xxhash64("wide").alias("fp"), "wide")
+    prints = materialize(prints, "simhash")
+    groups = materialize(prints.groupBy(F.col("fp").alias("key")).agg(F.min("doc_id").alias("rep"), F.first("wide").alias("wide")), "simhash-groups")
+
+    def bands(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            wide = np.frombuffer(b"".join(pdf["wide"]), np.uint8).reshape(len(pdf), -1)
+            bits = np.unpackbits(wide, axis=1, bitorder="little")
+            weights = np.left_shift(np.uint64(1), np.arange(BAND_BITS, dtype=np.uint64))
+            for b in range(BANDS):
+                code = (bits[:, b * BAND_BITS : (b + 1) * BAND_BITS] * weights).sum(1, dtype=np.uint64).view(np.int64)
+                yield pdf.assign(band=b, code=code)[["band", "key", "code", "wide"]]
+
+    points = groups.select("key", "wide").mapInPandas(bands, "band int, key long, code long, wide binary")
+    found = classes(groups.select("key", "rep"), links(materialize(points, "bands"), BAND_RADIUS, WIDE_BITS))
+    return prints.select("doc_id", "fp").join(found, prints.fp == found.key).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without those that resemble one of smaller id, directly or over others. Repeated ids are one
+    document; rows without an id cannot be told apart and stay."""
+    own = docs.where(F.col(id_col).isNotNull())
+    stays = resembling(own, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_stays"))
+    kept = own.join(stays, own[id_col] == F.col("_stays"), "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -117,10 +117,13 @@ def search(codes: np.ndarray, points: np.ndarray, queries: np.ndarray, radius: i
                 continue
         step = max(1, BLOCK // len(q))
         for at in range(0, len(p), step):
-            some = p[at : at + step]
-            near = np.bitwise_count(codes[some][:, None] ^ codes[q][None, :]) <= radius
+            some, others = p[at : at + step], q
+            roots = forest.root[some]
+            if roots[0] == roots.max() == roots.min():  # a dense group needs no comparison within itself
+                others = q[forest.root[q] != roots[0]]
+            near = np.bitwise_count(codes[some][:, None] ^ codes[others][None, :]) <= radius
             a, b = np.nonzero(near)
-            a, b = some[a], q[b]
+            a, b = some[a], others[b]
             fresh = forest.root[a] != forest.root[b]
             a, b = a[fresh], b[fresh]
             if agree is not None and len(a):
