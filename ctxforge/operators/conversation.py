@@ -74,7 +74,8 @@ def gathered(messages: DataFrame) -> DataFrame:
         columns[cue.name] = F.when(F.col("role") == cue.role, own).otherwise(F.array().cast("array<string>")) if cue.role else own
     rows = messages.select("conv_id", F.struct("turn", text.alias("text"), *(c.alias(n) for n, c in columns.items())).alias("m"))
     rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    lists = [F.slice(F.array_distinct(F.flatten(F.transform("ms", lambda m, n=c.name: m[n]))), 1, c.most).alias(c.name) for c in CUES]
+    pick = lambda name: lambda m: m[name]
+    lists = [F.slice(F.array_distinct(F.flatten(F.transform("ms", pick(c.name)))), 1, c.most).alias(c.name) for c in CUES]
     return rows.select("conv_id", *lists, F.array_join(F.transform("ms", lambda m: m["text"]), "\n").alias("all_text"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ctxforge.plans import usage
+from ctxforge.plans import texts, usage
 
-_PARTS = (usage,)
+_PARTS = (usage, texts)
 
 
 def queries() -> dict:
