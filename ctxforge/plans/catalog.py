@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ctxforge.plans import texts, usage
+from ctxforge.plans import code, texts, usage
 
-_PARTS = (usage, texts)
+_PARTS = (usage, texts, code)
 
 
 def queries() -> dict:

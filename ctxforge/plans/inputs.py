@@ -88,8 +88,8 @@ TABLES = {"requests": (REQUESTS, "events"), "log_lines": (LOG_LINES, "events"),
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql, table = TABLES[name]
-    source = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return spark.sql(sql.replace(f"FROM {table}", "FROM {source}"), source=source)
+    spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(f"ctxforge_{table}")
+    return spark.sql(sql.replace(f"FROM {table}", f"FROM ctxforge_{table}"))
 
 
 def cte(*names: str) -> str:
