@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ctxforge.plans import code, texts, usage
+from ctxforge.plans import code, events, texts, usage
 
-_PARTS = (usage, texts, code)
+_PARTS = (usage, texts, code, events)
 
 
 def queries() -> dict:

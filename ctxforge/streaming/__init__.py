@@ -1,0 +1 @@
+"""Structured Streaming forms of the usage analytics and of keyed session state."""
