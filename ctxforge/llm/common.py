@@ -52,9 +52,11 @@ def crc_mod(column, mod: int):
     return F.crc32(column.cast("string").cast("binary")) % F.lit(mod)
 
 
-def ascii_lower(text: bytes) -> bytes:
-    """bytes.lower() changes A-Z only."""
-    return text.lower()
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or one that starts with it and is no column of df."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxforge.llm.common import documents
+from ctxforge.llm.common import documents, free_name
 
 #: Base patterns: (kind, pattern, group that must have the length, least length).
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -198,10 +198,10 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         piece = F.concat(F.substr(text, state["at"] + 1, s["start"] - state["at"]), F.lit("["), s["kind"], F.lit("]"))
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(new, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(F.col("_found"), zero, cut, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
-    found = docs.withColumn("_found", all_spans(text, accept))
-    return found.withColumn(text_col, F.when(F.size("_found") > 0, clean).otherwise(F.col(text_col))).drop("_found")
+    zero, name = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), free_name(docs, "_found")
+    clean = F.aggregate(F.col(name), zero, cut, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
+    found = docs.withColumn(name, all_spans(text, accept))
+    return found.withColumn(text_col, F.when(F.size(name) > 0, clean).otherwise(F.col(text_col))).drop(name)
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

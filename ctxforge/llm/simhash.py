@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxforge.llm.common import documents, materialize, small_batches
+from ctxforge.llm.common import documents, free_name, materialize, small_batches
 from ctxforge.llm.vptree import components, links
 
 #: Odd multipliers that derive further 64-bit hashes of a shingle from the first.
@@ -116,8 +116,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs without those that resemble one of smaller id, directly or over others. Repeated ids are one
     document; rows without an id cannot be told apart and stay."""
     own = docs.where(F.col(id_col).isNotNull())
-    stays = resembling(own, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_stays"))
-    kept = own.join(stays, own[id_col] == F.col("_stays"), "left_semi").dropDuplicates([id_col])
+    name = free_name(docs, "_stays")
+    stays = resembling(own, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(name))
+    kept = own.join(stays, own[id_col] == F.col(name), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
 
 
