@@ -112,10 +112,10 @@ def mean_ranks(counts: np.ndarray) -> np.ndarray:
     return mean[::-1][counts]
 
 
-def with_language(docs: DataFrame, found: dict[str, list[str]], text_col: str = "text", places: int = PROFILE) -> DataFrame:
-    """docs with lang_pred, score and margin: score is 1 for a document whose ranks equal the profile's and
-    0 for one that shares no n-gram with it; margin is the lead over the next language. Columns of these
-    names are replaced."""
+def with_language(docs: DataFrame, found: dict[str, list[str]], text_col: str = "text", places: int = PROFILE, added: tuple[str, str, str] = ("lang_pred", "score", "margin")) -> DataFrame:
+    """docs with lang_pred, score and margin under the names added: score is 1 for a document whose ranks
+    equal the profile's and 0 for one that shares no n-gram with it; margin is the lead over the next
+    language. Columns that have these names are replaced."""
     small_batches(docs.sparkSession)
     names = sorted(found)
 
@@ -150,7 +150,6 @@ def with_language(docs: DataFrame, found: dict[str, list[str]], text_col: str =
             new = (pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lead, pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *added])
 
-    added = ("lang_pred", "score", "margin")
     docs = docs.drop(*(c for c in added if c != text_col))
     at_text = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(added, (T.StringType(), T.DoubleType(), T.DoubleType())))])

@@ -38,6 +38,7 @@ def test_edges(spark, sf):
 def test_first_stage_drops_what_has_no_language(spark, sf):
     kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, documents(spark), sf).collect()}
     assert kept == {r[0] for r in ROWS} - {2, 3, 4, 9}
+    assert {r["score"] for r in corpus_pipeline.identify_language(spark, documents(spark), sf).collect()} == {7}
 
 
 def test_catalog():
