@@ -64,7 +64,7 @@ SELECT p_partkey AS ord,
     ELSE CASE p_partkey % 12 WHEN 5 THEN concat('doc/readme', CAST(p_partkey AS VARCHAR(9)), '.md') ELSE 'src/index.ts' END END AS path,
   CASE p_partkey % 6
     WHEN 0 THEN concat(CASE WHEN p_partkey % 4 = 0 THEN concat('/**', chr(10), ' * Handles orders of part ', CAST(p_partkey AS VARCHAR(9)), '.', chr(10), ' */', chr(10)) ELSE '' END,
-      'import { load, save as keep } from ''./f', CAST(p_partkey + 300 AS VARCHAR(9)), ''';', chr(10),
+      'import { load, save as keep } from ''./f', CAST(p_partkey + 150 AS VARCHAR(9)), ''';', chr(10),
       'import React, { useState } from ''react'';', chr(10), 'import * as zod from "zod";', chr(10), 'import type { Opts } from ''../types'';', chr(10),
       'import ''./style', CAST(p_partkey AS VARCHAR(9)), '.css'';', chr(10),
       'const { a, b } = require(''express'');', chr(10),
