@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ctxforge.functions.text import basename, js_round, lines_of
+from ctxforge.functions.text import basename, js_round, lines_of, word
 from ctxforge.functions.tokens import count_tokens, tokens_of_bytes
 
 # Words that a query's terms leave out.
@@ -29,24 +29,23 @@ def score(files: DataFrame, query: str) -> DataFrame:
     low = F.lower(content)
     files = files.withColumns({"_path": path, "_name": basename(path), "_low": low, "_log": F.log2(F.size(lines_of(low)) + F.lit(2))})
 
-    def judge(term: Column) -> Column:
+    def judge(term: str) -> Column:
         # Terms hold letters, digits, _ and - only, so they stand for themselves in a pattern.
         in_path, in_name = F.col("_path").contains(term), F.col("_name").contains(term)
-        seen = F.regexp_count("_low", F.concat(F.lit("(?<![A-Za-z0-9_])"), term, F.lit("(?![A-Za-z0-9_])")))
-        named = F.concat(F.lit(r"\w*"), term, F.lit(r"\w*"))
-        forms = (r"export\s+(?:default\s+)?(?:function|class|const|type|interface)\s+", r"def\s+", r"func\s+")
-        declared = F.regexp_like(content, F.concat(F.lit("(?i)"), *(x for f in forms for x in (F.lit(f), named, F.lit("|"))), F.lit(r"(?!)")))
+        seen = F.regexp_count("_low", F.lit(word(term)))
+        declared = content.rlike(rf"(?i)export\s+(?:default\s+)?(?:function|class|const|type|interface)\s+\w*{term}\w*|def\s+\w*{term}\w*|func\s+\w*{term}\w*")
         often = F.least(js_round(seen / F.col("_log") * 4), F.lit(20).cast("long")).cast("int")
         points = F.when(in_path, 10).otherwise(0) + F.when(in_name, 15).otherwise(0) + F.when(seen > 0, often).otherwise(0) + F.when(declared, 20).otherwise(0)
         notes = F.array(
-            F.when(in_path, F.concat(F.lit('Path contains "'), term, F.lit('"'))),
-            F.when(seen >= 3, F.concat(F.lit('"'), term, F.lit('" appears '), seen.cast("string"), F.lit("x"))),
-            F.when(declared, F.concat(F.lit('Exports symbol matching "'), term, F.lit('"'))),
+            F.when(in_path, F.lit(f'Path contains "{term}"')),
+            F.when(seen >= 3, F.concat(F.lit(f'"{term}" appears '), seen.cast("string"), F.lit("x"))),
+            F.when(declared, F.lit(f'Exports symbol matching "{term}"')),
         )
         return F.struct(points.alias("points"), notes.alias("notes"))
 
-    terms = F.array(*map(F.lit, query_terms(query))).cast("array<string>")
-    files = files.withColumn("_judged", F.transform(terms, judge))
+    terms = query_terms(query)
+    none = F.array().cast("array<struct<points:int,notes:array<string>>>")
+    files = files.withColumn("_judged", F.array(*map(judge, terms)) if terms else none)
     total = F.aggregate("_judged", F.lit(0), lambda s, j: s + j["points"])
     total = total + F.when(F.col("path").rlike(r"index\.(ts|js|py)$"), 5).otherwise(0) + F.when(F.col("path").startswith("src/"), 3).otherwise(0)
     listed = F.array_distinct(F.filter(F.flatten(F.transform("_judged", lambda j: j["notes"])), lambda r: r.isNotNull()))
@@ -56,7 +55,8 @@ def score(files: DataFrame, query: str) -> DataFrame:
 def rank(files: DataFrame, query: str, k: int = 10) -> DataFrame:
     """The k best files with a positive score, ties in the listing's order."""
     small = files.where(F.col("size_bytes") <= MAX_BYTES)
-    return score(small, query).where("score > 0").orderBy(F.desc("score"), "ord").limit(k).select("ord", "path", "score", "reasons")
+    # The best k first, so that scores are computed once and not again for a filter below the sort.
+    return score(small, query).orderBy(F.desc("score"), "ord").limit(k).where("score > 0").select("ord", "path", "score", "reasons")
 
 
 def ranking_savings(files: DataFrame, query: str, k: int = 10) -> DataFrame:
