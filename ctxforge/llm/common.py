@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,5 +61,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def per_worker(key: tuple, make):
+    """make(), kept for later tasks of the same Python worker. Functions reach workers by value, so a global
+    of this package would be new in each task; a module of its own in sys.modules is not."""
+    held = sys.modules.setdefault("_ctxforge_worker", types.ModuleType("_ctxforge_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

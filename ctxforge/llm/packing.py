@@ -21,6 +21,7 @@ import math
 import os
 import re
 import zlib
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -28,17 +29,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxforge.llm.bpe import CACHE, byte_alphabet, tokenizer_path
-from ctxforge.llm.common import documents, materialize, small_batches
+from ctxforge.llm.bpe import byte_alphabet, tokenizer_path
+from ctxforge.llm.common import documents, materialize, per_worker, small_batches
 from ctxforge.llm.merges import MergeTable
 
 CAPACITY = 4096
 #: Pieces that one shard should pack.
 SHARD_PIECES = 200_000
+#: Stretches whose ids a worker remembers, about 200 bytes each, before it starts anew.
+CACHE = 1_000_000
 STRETCH = re.compile(r"[^\W_]+|(?:[^\w \t\n\x0b\x0c\r]|_)+")
 RUN = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 #: First byte of the characters from U+0300 on.
 HIGH = 0xCC
+#: Below this first byte all characters beyond ASCII are letters, but for those that begin with, or are, one of
+#: NO_LETTERS; U+0130 (whose lower case combines), the apostrophe and the start of a special token are there too.
+LETTERS_END, NO_LETTERS = 0xCA, (b"\xc2", b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0", b"'", b"<|")
+#: Classes of bytes: 0 white space, 1 letters and digits, 2 the rest of ASCII.
+KIND = np.full(256, 2, np.uint8)
+KIND[list(b" \t\n\x0b\x0c\r")] = 0
+KIND[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
 
 
 class WordCoder:
@@ -60,32 +70,62 @@ class WordCoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def _units(self, data: bytes) -> list[str]:
+        self.known: dict[str | bytes, bytes] = {}
+
+    def _units(self, data: bytes) -> list:
+        """Stretches (bytes where classes of bytes tell them apart, else text) or runs."""
+        raw = np.frombuffer(data, np.uint8)
+        if raw.max(initial=0) < LETTERS_END and not any(x in data for x in NO_LETTERS):
+            data = data.lower()
+            kind = KIND[np.frombuffer(data, np.uint8)]
+            cut = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+            start, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(data)]])
+            solid = kind[start] > 0 if len(data) else np.zeros(1, bool)
+            return [data[a:b] for a, b in zip(start[solid].tolist(), end[solid].tolist())]
         text = data.decode("utf-8")
         if b"'" in data or np.frombuffer(data, np.uint8).max(initial=0) >= HIGH or "\u0130" in text or "<|" in text:
             return RUN.findall(text)
         return STRETCH.findall(text.lower())
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list) -> None:
         # Letters of the Latin blocks need no normalizer but lower case, and are one piece.
-        plain = [p for p in new if p.isalpha() and max(p) < "\u0300" and "\u0130" not in p]
-        self.known.update(zip(plain, self.merges.encode([p.lower().encode() for p in plain])))
-        rest = [p for p in new if self.known.get(p) is None]
-        for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
+        plain, pieces, rest, texts = [], [], [], []
+        for p in new:
+            if p.isalpha() and isinstance(p, bytes):  # ASCII, and lowered before
+                plain.append(p)
+                pieces.append(p)
+                continue
+            t = p.decode("utf-8") if isinstance(p, bytes) else p
+            if t.isalpha() and (t is not p or max(t) < "\u0300" and "\u0130" not in t):
+                plain.append(p)
+                pieces.append(t.lower().encode())
+            else:
+                rest.append(p)
+                texts.append(t)
+        done = self.merges.encode(pieces)
+        self.known.update(zip(plain, done))
+        for p, t, d in zip(plain, pieces, done):
+            if d is None:
+                rest.append(p)
+                texts.append(t.decode())
+        for p, e in zip(rest, self.library.encode_batch_fast(texts, add_special_tokens=False)):
             self.known[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, the end id included."""
-        units = list(map(self._units, texts))
-        new = {u for some in units for u in set(some).difference(self.known)}
-        if len(self.known) + len(new) > CACHE:
+        if len(self.known) > CACHE:
             self.known.clear()
-            new = {u for some in units for u in some}
-        self._learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, some)) + self.end for some in units]
+        units, known = list(map(self._units, texts)), self.known
+        found = [list(map(known.get, some)) for some in units]
+        lacking = [[x is None for x in f] if None in f else None for f in found]
+        self._learn(list({u for some, no in zip(units, lacking) if no for u in compress(some, no)}))
+        out = []
+        for some, f, no in zip(units, found, lacking):
+            if no:
+                for i in compress(range(len(no)), no):
+                    f[i] = known[some[i]]
+            out.append(b"".join(f) + self.end)
+        return out
 
 
 def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -93,7 +133,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
     small_batches(docs.sparkSession, 500)
 
     def scan(batches):
-        coder = WordCoder(path, end_id)
+        coder = per_worker(("words", path, end_id), lambda: WordCoder(path, end_id))
         for batch in batches:
             rows, ids = [], []
             texts = [t or b"" for t in batch.column(1).to_pylist()]
