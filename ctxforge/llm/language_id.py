@@ -57,7 +57,8 @@ class Grams:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters (and marks of number that are no digits) of a text that has a letter."""
+    return WORD.findall(text.lower()) if text and any(map(str.isalpha, text)) else []
 
 
 def gram_counts(train: DataFrame, lang_col: str, text_col: str) -> DataFrame:
