@@ -175,9 +175,13 @@ def test_diff_properties():
         for _ in range(rng.randint(1, 4)):
             k = rng.randrange(len(new))
             new[k : k + rng.randint(0, 2)] = [f"new {rng.random()}"] * rng.randint(0, 2)
-        if new != base and not any(o == "add" and i and ops == 0 for i, (o, ops) in enumerate([])):
-            for start, before, _ in diff.diff_hunks(base, new):
-                assert base[start : start + len(before)] == before or len(before) <= 8
+        hunks = diff.diff_hunks(base, new)
+        # A hunk that only adds leaves out the line after it, and so does not verify.
+        whole = [base[at : at + len(before)] == before for at, before, _ in hunks]
+        adds_only = [len(after) > len(before) for _, before, after in hunks]
+        assert all(w or a for w, a in zip(whole, adds_only))
+        if all(whole):
+            assert diff.applies(hunks, "\n".join(base), "\n".join(new))
 
 
 def test_write_gate(spark):
