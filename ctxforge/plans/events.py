@@ -18,7 +18,7 @@ from ctxforge.operators import logs as L
 from ctxforge.operators import prompts as P
 from ctxforge.operators import relevance as R
 from ctxforge.operators import usage as U
-from ctxforge.plans.inputs import LOGS_CTE, REQUESTS, cte, derived, logs
+from ctxforge.plans.inputs import LOGS_CTE, REQUESTS, cte, derived, logs, whole
 from ctxforge.sources.events import parse_events
 from ctxforge.streaming import usage as S
 
@@ -40,9 +40,8 @@ def _prompts(s, d):
 
 
 def _pairs(s, d):
-    """Documents of many short lines against themselves with some lines changed."""
-    words = F.slice(F.split("text", " "), 1, 140)
-    docs = s.read.parquet(f"{d}/documents.parquet").where("length(text) > 900").select("doc_id", words.alias("w"))
+    """All documents, a word to a line, against themselves with some lines changed."""
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.split("text", " ").alias("w"))
     new = F.filter(F.transform("w", lambda x, i: F.when(i % 47 == F.col("doc_id") % 47, F.concat(F.lit("new "), x)).when(i % 61 == 7, F.concat(x, F.lit("\nmore"))).otherwise(x)), lambda x, i: i % 53 != 11)
     return docs.select("doc_id", F.lit("src/a.txt").alias("path"), F.array_join("w", "\n").alias("old"), F.array_join(new, "\n").alias("new"))
 
@@ -87,9 +86,9 @@ def _streamed(s, d, build, mode: str):
 
 
 def _render(s, d):
-    """One rendered text of each kind."""
-    files, req = derived(s, d, "files").where("ord <= 12"), derived(s, d, "requests")
-    items, messages = derived(s, d, "items"), derived(s, d, "messages")
+    """Rendered texts of each kind, from whole texts and tables."""
+    files, req = derived(s, d, "files"), derived(s, d, "requests")
+    items, messages = whole(s, d, "items"), whole(s, d, "messages")
     sized = files.withColumn("size_bytes", F.octet_length("content").cast("long"))
     parts = B.breakdown(derived(s, d, "budget_items"))
     made = [

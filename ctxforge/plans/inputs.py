@@ -6,6 +6,8 @@ hold no code, logs or cue phrases of their own.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 REQUESTS = """
@@ -86,8 +88,19 @@ FROM part
 TABLES = {"requests": (REQUESTS, "events"), "log_lines": (LOG_LINES, "events"), "messages": (MESSAGES, "conversations"), "items": (ITEMS, "documents"), "budget_items": (BUDGET_ITEMS, "documents"), "files": (FILES, "part")}
 
 
+#: The same rows without cuts, for queries that no SQL is held against: whole texts.
+WHOLE = {n: re.sub(r"substr\(text, (\d+), \d+\)", r"substr(text, \1)", TABLES[n][0]) for n in ("messages", "items")}
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    sql, table = TABLES[name]
+    return _read(spark, sf_dir, *TABLES[name])
+
+
+def whole(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return _read(spark, sf_dir, WHOLE[name], TABLES[name][1])
+
+
+def _read(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
     spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(f"ctxforge_{table}")
     return spark.sql(sql.replace(f"FROM {table}", f"FROM ctxforge_{table}"))
 
