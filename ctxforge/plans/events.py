@@ -90,7 +90,7 @@ def _render(s, d):
     files, req = derived(s, d, "files"), derived(s, d, "requests")
     items, messages = whole(s, d, "items"), whole(s, d, "messages")
     sized = files.withColumn("size_bytes", F.octet_length("content").cast("long"))
-    parts = B.breakdown(derived(s, d, "budget_items"))
+    parts = B.breakdown(whole(s, d, "budget_items"))
     made = [
         K.compress(files).select(F.lit("file").alias("kind"), F.col("ord").cast("string").alias("id"), render.file(F.struct("*")).alias("text")),
         L.summarize(logs(s, d)).select(F.lit("log"), F.col("log_id").cast("string"), render.log(F.struct("*"))),

@@ -88,8 +88,8 @@ FROM part
 TABLES = {"requests": (REQUESTS, "events"), "log_lines": (LOG_LINES, "events"), "messages": (MESSAGES, "conversations"), "items": (ITEMS, "documents"), "budget_items": (BUDGET_ITEMS, "documents"), "files": (FILES, "part")}
 
 
-#: The same rows without cuts, for queries that no SQL is held against: whole texts.
-WHOLE = {n: re.sub(r"substr\(text, (\d+), \d+\)", r"substr(text, \1)", TABLES[n][0]) for n in ("messages", "items")}
+#: The same rows without cuts, for queries that no SQL is held against: whole texts, and no budget left out.
+WHOLE = {n: re.sub(r"substr\(text, (\d+), \d+\)", r"substr(text, \1)", TABLES[n][0]).split(" WHERE ")[0] for n in ("messages", "items", "budget_items")}
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

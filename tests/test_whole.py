@@ -34,6 +34,11 @@ def test_reports_take_whole_inputs(spark, small):
     assert inputs.derived(spark, folder, "items").where(F.length("text") > 500).count() == 0
 
 
+def test_reports_have_every_budget(spark, small):
+    folder, texts = small
+    assert inputs.whole(spark, folder, "budget_items").where("budget_id = 3").count() == len(texts)
+
+
 def plain_ops(old, new):
     table = np.zeros((len(old) + 1, len(new) + 1), int)
     for i in range(len(old)):
