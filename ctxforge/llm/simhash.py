@@ -1,4 +1,5 @@
-"""SimHash fingerprints, exact near pairs by vantage-point trees, one class per document.
+"""SimHash fingerprints, exact near pairs by vantage-point trees, one class per document; and resemblance of
+shingle sets, found by least hashes and checked on the sets.
 
 Edge cases: a null text counts as empty; a text without words has fingerprint zero and is linked like
 any other; a text of fewer words than a shingle is one shingle; null ids never become a class id unless
@@ -9,13 +10,14 @@ and text columns are read, whatever the others are called.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxforge.llm.common import documents, free_name, materialize, small_batches
-from ctxforge.llm.vptree import components, links
+from ctxforge.llm.vptree import Forest, components, links
 
 #: Odd multipliers that derive further 64-bit hashes of a shingle from the first.
 LANES = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -81,35 +83,127 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(found, prints.fp == found.key).select("doc_id", "fp", "component_id")
 
 
-#: Bands of 25 bits that a 256-bit fingerprint is searched by, at BAND_RADIUS or fewer differing bits each,
-#: and the bits in which two fingerprints of resemblance 0.8 differ at most, but for one pair in twenty.
-BANDS, BAND_BITS, BAND_RADIUS, WIDE_BITS = 10, 25, 2, 48
+#: Two sets resemble each other if they share this part, 4 / 5, of what either holds. Of HASHES least hashes a set has BANDS
+#: bands of ROWS; a pair at 4 / 5 shares no band once in 20,000. Their lowest bits are a sketch: a pair at 4 / 5 differs in
+#: 13 of its bits on average, in more than SKETCH_BITS once in 50,000.
+PART, BANDS, ROWS, HASHES, SKETCH_BITS = (4, 5), 25, 5, 128, 28
+_SKETCH = "doc_id long, key long, n int, low long, high long, bands array<long>, shingles binary"
+
+
+def least_hashes(shingles: np.ndarray) -> np.ndarray:
+    """The least of HASHES further hashes over a set's hashes; zeros for an empty set."""
+    rng = np.random.default_rng(11)
+    factors, terms = (rng.integers(0, 1 << 63, (HASHES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    out = np.full(HASHES, np.uint64(0xFFFFFFFFFFFFFFFF) if len(shingles) else np.uint64(0))
+    for at in range(0, len(shingles), 4096):
+        np.minimum(out, (shingles[at : at + 4096] * factors + terms).min(1), out=out)
+    return out
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each row's set of five-word shingles as sorted hashes, with key (its digest), size n, sketch and band codes."""
+    small_batches(docs.sparkSession, 200)
+
+    def scan(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, 5)) for t in batch.column(1).to_pylist()]
+            least = np.array([least_hashes(s) for s in sets], np.uint64).reshape(-1, HASHES)
+            bits = np.packbits((least >> np.uint64(32) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+            codes = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(LANES[1]), (len(sets), 1))
+            for r in range(ROWS):
+                codes = (codes ^ least[:, r * BANDS : (r + 1) * BANDS]) * np.uint64(LANES[2])
+                codes ^= codes >> np.uint64(29)
+            held = [s.tobytes() for s in sets]
+            keys = np.array([xxhash.xxh3_64_intdigest(h) for h in held], np.uint64).view(np.int64)
+            yield pa.record_batch({
+                "doc_id": batch.column(0), "key": pa.array(keys), "n": pa.array(np.array([len(s) for s in sets], np.int32)), "low": pa.array(bits[:, 0]), "high": pa.array(bits[:, 1]),
+                "bands": pa.array(codes.view(np.int64).tolist(), pa.list_(pa.int64())), "shingles": pa.array(held, pa.binary()),
+            })
+
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return own.mapInArrow(scan, _SKETCH)
+
+
+def _may_resemble(a: str, b: str):
+    """Sizes allow a resemblance of PART and the sketches do not speak against it."""
+    fit = (F.col(f"{a}.n") * PART[1] >= F.col(f"{b}.n") * PART[0]) & (F.col(f"{b}.n") * PART[1] >= F.col(f"{a}.n") * PART[0])
+    apart = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in ("low", "high")), F.lit(0))
+    return fit & (apart <= SKETCH_BITS)
+
+
+def _sets(keys: DataFrame, prints: DataFrame) -> DataFrame:
+    return materialize(prints.select("key", "shingles").join(keys, "key", "left_semi").dropDuplicates(["key"]), "shingles")
+
+
+def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose shingle sets resemble each other, by the sets themselves."""
+    sets = _sets(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), prints)
+    left, right = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
+
+    def check(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(PART[1] * both >= PART[0] * (len(x) + len(y) - both))
+            yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(good, pa.bool_()))
+
+    joined = materialize(pairs.join(left, "a"), "pairs").join(right, "b").select("a", "b", "sa", "sb")
+    return materialize(joined.mapInArrow(check, "a long, b long"), "verified")
+
+
+def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(a, b) that join the bucket's components (label) where sets resemble each other; all pairs of different
+    components are counted through the sets' inverted lists, and one link for two components is given."""
+    pdf = pdf.sort_values("key")
+    key, label = pdf["key"].to_numpy(), np.unique(pdf["label"], return_inverse=True)[1]
+    sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    each, place = np.unique(np.concatenate(sets), return_inverse=True)
+    lists = np.repeat(np.arange(len(sets)), sizes)[np.argsort(place, kind="stable")]
+    length = np.bincount(place, minlength=len(each))
+    start, first = np.cumsum(length) - length, np.cumsum(sizes) - sizes
+    forest, a, b = Forest(int(label.max()) + 1), [], []
+    for r in range(len(sets)):
+        if (forest.root == forest.root[0]).all():
+            break
+        own = place[first[r] : first[r] + sizes[r]]
+        many = length[own]
+        both = np.bincount(lists[np.repeat(start[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())], minlength=len(sets))
+        alike = PART[1] * both >= PART[0] * (sizes[r] + sizes - both)
+        for q in np.flatnonzero(alike & (forest.root[label] != forest.root[label[r]])).tolist():
+            if forest.root[label[q]] != forest.root[label[r]]:
+                forest.link(label[[r]], label[[q]])
+                a.append(key[r])
+                b.append(key[q])
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
 def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) for a resemblance of about 0.8 or more between sets of five-word shingles.
-
-    At 0.8 two fingerprints differ in 15 % of their bits, too many for triangle bounds to prune. So four lanes
-    make 256 bits, short bands of them are searched at a small radius, and a pair that is near in a band
-    is linked if the whole fingerprints differ in WIDE_BITS bits or fewer."""
-    prints = fingerprints(docs, id_col, text_col, 5, 4).select("doc_id", F.xxhash64("wide").alias("fp"), "wide")
-    prints = materialize(prints, "simhash")
-    groups = materialize(prints.groupBy(F.col("fp").alias("key")).agg(F.min("doc_id").alias("rep"), F.first("wide").alias("wide")), "simhash-groups")
-
-    def bands(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            wide = np.frombuffer(b"".join(pdf["wide"]), np.uint8).reshape(len(pdf), -1)
-            bits = np.unpackbits(wide, axis=1, bitorder="little")
-            weights = np.left_shift(np.uint64(1), np.arange(BAND_BITS, dtype=np.uint64))
-            for b in range(BANDS):
-                code = (bits[:, b * BAND_BITS : (b + 1) * BAND_BITS] * weights).sum(1, dtype=np.uint64).view(np.int64)
-                yield pdf.assign(band=b, code=code)[["band", "key", "code", "wide"]]
-
-    points = groups.select("key", "wide").mapInPandas(bands, "band int, key long, code long, wide binary")
-    found = classes(groups.select("key", "rep"), links(materialize(points, "bands"), BAND_RADIUS, WIDE_BITS))
-    return prints.select("doc_id", "fp").join(found, prints.fp == found.key).select("doc_id", "component_id")
+    """(doc_id, component_id) for a resemblance of 0.8 or more between sets of five-word shingles.
+
+    Sets that share a band of least hashes are candidates, and each link is checked on the sets. First each set of a
+    bucket is held against one of the bucket; then buckets that still hold more than one component get their
+    sets, and all pairs of different components are compared in the task, which gives a spanning forest."""
+    prints = materialize(sketches(docs, id_col, text_col), "sketches")
+    rest = F.first(F.struct("n", "low", "high", "bands")).alias("s")
+    groups = materialize(prints.groupBy("key").agg(F.min("doc_id").alias("rep"), rest).select("key", "rep", "s.*"), "sketch-groups")
+    points = groups.select(F.struct("key", "n", "low", "high").alias("p"), F.explode("bands").alias("code"))
+    hubs = materialize(points.groupBy("code").agg(F.min(F.struct(F.xxhash64("p.key", "code").alias("turn"), "p")).alias("m"), F.count(F.lit(1)).alias("many")).where("many > 1").select("code", F.col("m.p").alias("hub")), "hubs")
+    found = points.join(hubs, "code").where((F.col("p.key") != F.col("hub.key")) & _may_resemble("p", "hub"))
+    tried = materialize(found.select(F.col("p.key").alias("a"), F.col("hub.key").alias("b")).distinct(), "tried")
+    first = verified(tried, prints)
+
+    marked = groups.join(components(first).withColumnRenamed("v", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    marked = materialize(marked.select("key", "label", "bands"), "marked")
+    points = marked.select(F.struct("key", "label").alias("p"), F.explode("bands").alias("code"))
+    mixed = points.groupBy("code").agg(F.min("p.label").alias("least"), F.max("p.label").alias("most")).where("least <> most").select("code")
+    own = materialize(points.join(materialize(mixed, "mixed"), "code", "left_semi").select("code", "p.key", "p.label"), "mixed-points")
+    with_sets = own.join(_sets(own.select("key").distinct(), prints), "key")
+    more = materialize(with_sets.select("code", "key", "label", "shingles").groupBy("code").applyInPandas(_linked, "a long, b long"), "more")
+    classed = classes(groups.select("key", "rep"), first.union(more))
+    return prints.select("doc_id", "key").join(classed, "key").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
