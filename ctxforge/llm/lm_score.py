@@ -46,9 +46,8 @@ END, PAD = 0xFF, b"\xff" * 8
 #: Bytes of text in a chunk of token requests, and handled at once by the bit model; decisions that wait to be
 #: counted together.
 CHUNK, PIECE, WAITING = 8 << 20, 1 << 19, 6 << 20
-#: Bytes between two updates of the weights; learning rates of weights, and of scale and offset. Texts of LONG
-#: bytes or more take blocks four times as long at half the rates.
-BLOCK, LONG, RATE, SCALE_RATE = 96, 12_000, 0.003, 0.001
+#: Bytes between two updates of the weights; learning rates of weights, and of scale and offset.
+BLOCK, RATE, SCALE_RATE = 96, 0.003, 0.001
 #: First weights: row g holds when the g-th hashed context is the longest seen in training.
 WEIGHTS = ((1.0, 0.0, 0.0), (0.3, 0.7, 0.0), (0.1, 0.4, 0.6))
 #: Logits are kept as sixteenths in a byte; PRIOR is added to both counts of a decision.
@@ -297,15 +296,13 @@ def _score_piece(texts: list[bytes], code: SimpleNamespace, tables: list[np.ndar
     data, first, sizes = laid_out(texts)
     n = len(texts)
     # Blocks of all texts, ordered by number within the text, then by text.
-    block = np.where(sizes < LONG, BLOCK, 4 * BLOCK)
-    pace = np.where(sizes < LONG, 1, 0.5).astype(np.float32)
-    blocks = -(-sizes // block)
+    blocks = -(-sizes // BLOCK)
     text = np.repeat(np.arange(n), blocks)
     number = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     order = np.argsort(number, kind="stable")
     text, number = text[order], number[order]
-    start = first[text] + number * block[text]
-    size = np.minimum(block[text], sizes[text] - number * block[text])
+    start = first[text] + number * BLOCK
+    size = np.minimum(BLOCK, sizes[text] - number * BLOCK)
     place = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
     flat, length = decisions(code, data, place)
     sign = code.bit[flat].astype(np.float32) * 2 - 1
@@ -338,11 +335,10 @@ def _score_piece(texts: list[bytes], code: SimpleNamespace, tables: list[np.ndar
         odds = np.exp(np.clip(-final, -60, 60))
         total[own] -= np.add.reduceat(np.log1p(odds), at, dtype=np.float64)
         miss = odds / (1 + odds) * sign[lo:hi]  # probability of the other bit, signed
-        rate = pace[own]
-        scale[own] += SCALE_RATE * rate * np.add.reduceat(miss * mixed, at)
-        offset[own] += SCALE_RATE * rate * np.add.reduceat(miss, at)
+        scale[own] += SCALE_RATE * np.add.reduceat(miss * mixed, at)
+        offset[own] += SCALE_RATE * np.add.reduceat(miss, at)
         for k, value in enumerate(inputs):
-            weights[own, :, k] += (RATE * rate * np.add.reduceat(miss * value[lo:hi], at))[:, None]
+            weights[own, :, k] += (RATE * np.add.reduceat(miss * value[lo:hi], at))[:, None]
     return total / np.log(10)
 
 
