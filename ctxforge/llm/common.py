@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import sys
 import types
@@ -13,11 +14,16 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as every contract of this subpackage reads it.
 SPACE = "\\x20\\x09-\\x0D"
+#: Bytes of a table that may be broadcast to a join.
+SENT_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The folder that driver and executors share; a local one only where both are one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (found or "/tmp/checkpoints").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -56,11 +62,26 @@ def crc_mod(column, mod: int):
 
 def free_name(df: DataFrame, name: str) -> str:
     """name, or one that starts with it and is no column of df."""
-    while name in df.columns:
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
         name += "_"
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL reads it, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def all_columns(df: DataFrame) -> list:
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def sent_if_small(table: DataFrame, row_bytes: int, most: int = SENT_BYTES) -> DataFrame:
+    """table with a broadcast hint if its rows, counted, take at most that many bytes; else as it is, to be shuffled."""
+    return F.broadcast(table) if table.count() * row_bytes <= most else table
+
+
 def per_worker(key: tuple, make):
     """make(), kept for later tasks of the same Python worker. Functions reach workers by value, so a global
     of this package would be new in each task; a module of its own in sys.modules is not."""

@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ctxforge.llm.common import crc_mod, documents, small_batches
+from ctxforge.llm.common import all_columns, crc_mod, documents, quoted, small_batches
 
 #: Places in a language's profile and in a document's.
 PROFILE, OWN = 400, 300
 WORD = re.compile(r"[^\W\d_]+")
+#: A document that shares less with every profile may be rejected; labelled documents on which that bound is fitted.
+REJECT, SAMPLE = 0.3, 20_000
 #: Words and n-grams that a worker remembers before it starts anew.
 WORDS, GRAMS = 300_000, 1_000_000
 
@@ -90,7 +92,7 @@ def gram_counts(train: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                 counts = {}
         yield from rows()
 
-    own = train.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    own = train.where(F.col(quoted(lang_col)).isNotNull()).select(F.col(quoted(lang_col)).cast("string").alias("lang"), F.col(quoted(text_col)).alias("text"))
     found = own.mapInArrow(scan, "lang string, gram string, n long")
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -144,25 +146,39 @@ def with_language(docs: DataFrame, found: dict[str, list[str]], text_col: str =
             return names[order[0]], float(1 - total[order[0]]), lead
 
         for batch in batches:
-            rows = [best(t) for t in batch.column(at_text).to_pylist()]
+            rows = [best(t) for t in batch.column(0).field(at_text).to_pylist()]
             if grams.full():
                 grams.reset()
             lang, score, lead = zip(*rows) if rows else ((), (), ())
-            new = (pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lead, pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *added])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lead, pa.float64())], ["row", "lang", "score", "lead"])
 
-    docs = docs.drop(*(c for c in added if c != text_col))
-    at_text = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(added, (T.StringType(), T.DoubleType(), T.DoubleType())))])
-    return docs.mapInArrow(scan, schema)
+    names_added = {a.lower() for a in added}
+    others = [c for c in docs.columns if c.lower() not in names_added or c == text_col]
+    at_text = others.index(text_col)
+    rows = docs.select(F.struct(*(F.col(quoted(c)) for c in others)).alias("row"))  # names within it are free
+    kinds = (("lang", T.StringType()), ("score", T.DoubleType()), ("lead", T.DoubleType()))
+    found_rows = rows.mapInArrow(scan, T.StructType([rows.schema["row"], *(T.StructField(n, t) for n, t in kinds)]))
+    return found_rows.select(*(F.col(f"row.{quoted(c)}").alias(c) for c in others), *(F.col(n).alias(a) for (n, _), a in zip(kinds, added)))
 
 
 def predict(docs: DataFrame, found: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, margin), see with_language."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     return with_language(own, found).select("doc_id", "lang_pred", "score", "margin")
 
 
+def least_likeness(docs: DataFrame, found: dict[str, list[str]], lang_col: str = "lang", text_col: str = "text", most: float = REJECT, rows: int = SAMPLE) -> float:
+    """The score below which a document is in none of the languages: most, or three quarters of the score that all
+    but one in a thousand labelled documents reach, if that is less; where no profile has all its places, for want
+    of text, in proportion to the longest. It is fitted on about `rows` labelled documents."""
+    most *= max(map(len, found.values()), default=0) / PROFILE
+    own = docs.where(F.col(quoted(lang_col)).isNotNull()).select(F.xxhash64(*all_columns(docs)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
+    part = min(1.0, rows / max(1, own.count()))
+    some = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30))).limit(4 * rows)
+    low = predict(some, found).where("lang_pred <> 'und'").agg(F.percentile("score", 0.001)).first()[0]
+    return most if low is None else min(most, 0.75 * low)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = profiles(docs.where(crc_mod(F.col("doc_id"), 3) != 1))

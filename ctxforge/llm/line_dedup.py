@@ -7,12 +7,12 @@ occurrence covers are removed; overlapping occurrences merge because positions f
 Windows are hashed on the JVM inside an array expression, so no window function and no shuffle of
 lines is needed; only (hash, document, position) rows of 16-byte hashes are exchanged. The table
 of repeated windows is written out before it is joined, which lets adaptive execution split a hot
-window over tasks.
+window over tasks. Places to remove go to the texts where they take little room; else both are shuffled.
 
 Edge cases: a null text counts as empty and gives an empty text; documents of fewer than three
-lines, and windows of blank lines only, are left alone; documents are told apart by id and text,
+lines, and windows of lines without a character but spaces, are left alone; documents are told apart by id and text,
 so repeated (id, text) rows are one document and get the same result; null ids sort first; an empty
-table gives no rows; other columns pass through untouched.
+table gives no rows; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +20,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxforge.llm.common import documents, materialize
+from ctxforge.llm.common import documents, materialize, quoted, sent_if_small
+
+
+def _identity(docs: DataFrame, id_col: str, text_col: str):
+    """(text, id, key): columns that tell documents apart."""
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    return text, F.col(quoted(id_col)).cast("long").alias("_id"), F.xxhash64(text).alias("_key")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_key"), F.split(text, "\n", -1).alias("_lines"))
+    text, own, key = _identity(docs, id_col, text_col)
+    return docs.select(own, key, F.split(text, "\n", -1).alias("_lines"))
 
 
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,21 +57,25 @@ def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return later.groupBy("_id", "_key").agg(F.collect_set("pos").alias("_starts"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the covered lines cut from the text, plus n_lines and n_removed (long)."""
-    starts = covered_lines(docs, id_col, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_key"))
-    starts = starts.select(F.col("_id").alias("_sid"), F.col("_key").alias("_skey"), "_starts").hint("shuffle_hash")
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", added: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with the covered lines cut from the text, plus their numbers of lines and of removed lines (long) under
+    the names added. Columns that have these names are replaced."""
+    starts = materialize(covered_lines(docs, id_col, text_col), "line-starts")
+    width = starts.agg(F.avg(F.size("_starts"))).first()[0] or 0
+    # Ids, a list of places, and what a hash table adds.
+    starts = sent_if_small(starts.withColumnsRenamed({"_id": "_sid", "_key": "_skey"}), int(64 + 8 * width))
+    others = [c for c in docs.columns if c.lower() not in {a.lower() for a in added} or c == text_col]
+    _, own, key = _identity(docs, id_col, text_col)
+    keyed = docs.select(F.struct(*(F.col(quoted(c)) for c in others)).alias("_row"), own, key)
     both = keyed.join(starts, F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_key") == F.col("_skey")), "left")
-    lines = F.split(F.coalesce(F.col(f"_row.{text_col}"), F.lit("")), "\n", -1)
+    text = F.coalesce(F.col(f"_row.{quoted(text_col)}"), F.lit(""))
     gone = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.array(p, p + 1, p + 2))))
-    both = both.select("_row", lines.alias("_lines"), F.map_from_arrays(gone, F.transform(gone, lambda p: F.lit(True))).alias("_gone"))
-    kept = F.filter("_lines", lambda _, i: ~F.map_contains_key("_gone", i))
-    out = F.when(F.col("_gone").isNull(), F.coalesce(F.col(f"_row.{text_col}"), F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    columns = [(out if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]
+    both = both.select("_row", F.split(text, "\n", -1).alias("_lines"), gone.alias("_gone"))
+    both = both.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")))
+    out = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n"))
+    columns = [(out if c == text_col else F.col(f"_row.{quoted(c)}")).alias(c) for c in others]
     removed = F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone"))
-    return both.select(*columns, F.size("_lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
+    return both.select(*columns, F.size("_lines").cast("long").alias(added[0]), removed.cast("long").alias(added[1]))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,11 @@ the sum by 2*(N(g-s) - N(g) + 1), opening a new one by 2*N(capacity-s) + 1, and
 by 1 - 2*N(g), so the state is one array of counts and a piece costs one vector operation.
 
 Pieces are dealt to shards by hash; a shard takes its pieces both longest first and in hash order, with ties by
-document and piece, and keeps the packing of fewer sequences, so the result does not depend on how the input was partitioned. The number of shards grows with the
-number of pieces; each leaves only a few sequences open.
+document and piece, and keeps the packing of fewer sequences, so the result does not depend on how the input was
+partitioned. The number of shards grows with the number of pieces; each leaves only a few sequences open.
 
 Edge cases: a null text counts as empty and is one piece that holds the end token only; repeated rows are
-packed once each; a null id is passed on; other columns are not read; an empty table gives no rows.
+packed once each; ids of any size are passed on as they are, null ones too; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,16 +21,18 @@ import math
 import os
 import re
 import zlib
+from functools import reduce
 from itertools import compress
+from operator import and_
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctxforge.llm.bpe import byte_alphabet, tokenizer_path
-from ctxforge.llm.common import documents, materialize, per_worker, small_batches
+from ctxforge.llm.common import documents, materialize, per_worker, quoted, small_batches
 from ctxforge.llm.merges import MergeTable
 
 CAPACITY = 4096
@@ -146,7 +148,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
             out = {n: pa.array(c, t) for n, c, t in zip(("doc_id", "piece", "start", "length", "ids_crc32"), columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))}
             yield pa.record_batch(out | ({"ids": pa.array(ids, pa.binary())} if keep_ids else {}))
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    own = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("binary").alias("text"))
     return own.mapInArrow(scan, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
@@ -181,21 +183,35 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Rows of pieces() with sequence_id and offset."""
+    """Rows of pieces() with sequence_id and offset. Token ids, if there, stay out of the shards and are joined back."""
     found = materialize(found, "pieces")
+    if "ids" in found.columns:
+        keys = [c for c in found.columns if c != "ids"]
+        with_ids = found.dropDuplicates(keys).select(*(F.col(c).alias(f"_{c}") for c in keys), "ids")
+        placed = pack(found.drop("ids"), capacity)
+        same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys))
+        return placed.join(with_ids, same).select(*found.columns, "offset", "sequence_id")
     shards = max(1, math.ceil(found.count() / SHARD_PIECES))
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True])
-        mixed = pdf.sort_values(["ids_crc32", "doc_id", "piece"])
-        tries = [(p, *sum_of_squares(p["length"].to_numpy(), capacity)) for p in (pdf, mixed)]
-        pdf, sequence, offset = min(tries, key=lambda t: t[1].max(initial=-1))
-        pdf["offset"], pdf["sequence_id"] = offset, sequence + (pdf["shard"].to_numpy() << 40)
-        return pdf.drop(columns="shard")
-
+    def place(table: pa.Table) -> pa.Table:
+        ties = [("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("copy", "ascending")]
+        tries = []
+        for keys in ([("length", "descending"), *ties], [("ids_crc32", "ascending"), *ties]):
+            order = pc.sort_indices(table, sort_keys=keys)
+            tries.append((order, *sum_of_squares(table["length"].take(order).to_numpy(), capacity)))
+        order, sequence, offset = min(tries, key=lambda t: t[1].max(initial=-1))
+        shard = table["shard"].to_numpy()[:1]
+        dealt = table.take(order).drop_columns(["shard", "copy"])
+        return dealt.append_column("offset", pa.array(offset)).append_column("sequence_id", pa.array(sequence + (shard << 40)))
+
+    # Rows that are equal in all columns are told apart by a number, so that they are dealt to shards too.
+    names = found.columns
+    once = found.groupBy(*names).agg(F.count(F.lit(1)).alias("times"))
+    blocks = once.withColumn("from", F.explode(F.sequence(F.lit(0), F.col("times") - 1, F.lit(SHARD_PIECES))))
+    copies = blocks.withColumn("copy", F.explode(F.sequence("from", F.least(F.col("from") + SHARD_PIECES, "times") - 1)))
+    dealt = copies.select(*names, "copy", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "copy"), F.lit(shards)).alias("shard"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields)
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(place, f"{fields}, offset long, sequence_id long")
+    return dealt.groupBy("shard").applyInArrow(place, f"{fields}, offset long, sequence_id long")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

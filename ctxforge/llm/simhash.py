@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxforge.llm.common import documents, free_name, materialize, small_batches
+from ctxforge.llm.common import all_columns, documents, materialize, quoted, sent_if_small, small_batches
 from ctxforge.llm.vptree import Forest, components, links
 
 #: Odd multipliers that derive further 64-bit hashes of a shingle from the first.
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = np.array([fingerprint(shingle_hashes(t, k), lanes) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, lanes)
             yield pa.record_batch({"doc_id": batch.column(0), "fp": pa.array(prints[:, 0].view(np.int64)), "wide": pa.array([p.tobytes() for p in prints], pa.binary())})
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    own = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("binary").alias("text"))
     return own.mapInArrow(scan, "doc_id long, fp long, wide binary")
 
 
@@ -87,7 +87,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: bands of ROWS; a pair at 4 / 5 shares no band once in 20,000. Their lowest bits are a sketch: a pair at 4 / 5 differs in
 #: 13 of its bits on average, in more than SKETCH_BITS once in 50,000.
 PART, BANDS, ROWS, HASHES, SKETCH_BITS = (4, 5), 25, 5, 128, 28
-_SKETCH = "doc_id long, key long, n int, low long, high long, bands array<long>, shingles binary"
+_SKETCH = "doc_id long, mark long, key long, n int, low long, high long, bands array<long>, shingles binary"
 
 
 def least_hashes(shingles: np.ndarray) -> np.ndarray:
@@ -101,12 +101,13 @@ def least_hashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's set of five-word shingles as sorted hashes, with key (its digest), size n, sketch and band codes."""
+    """Each row's set of five-word shingles as sorted hashes, with mark (a hash of its text), key (the set's digest), size
+    n, sketch and band codes."""
     small_batches(docs.sparkSession, 200)
 
     def scan(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, 5)) for t in batch.column(1).to_pylist()]
+            sets = [np.unique(shingle_hashes(t, 5)) for t in batch.column(2).to_pylist()]
             least = np.array([least_hashes(s) for s in sets], np.uint64).reshape(-1, HASHES)
             bits = np.packbits((least >> np.uint64(32) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
             codes = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(LANES[1]), (len(sets), 1))
@@ -116,11 +117,12 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             held = [s.tobytes() for s in sets]
             keys = np.array([xxhash.xxh3_64_intdigest(h) for h in held], np.uint64).view(np.int64)
             yield pa.record_batch({
-                "doc_id": batch.column(0), "key": pa.array(keys), "n": pa.array(np.array([len(s) for s in sets], np.int32)), "low": pa.array(bits[:, 0]), "high": pa.array(bits[:, 1]),
+                "doc_id": batch.column(0), "mark": batch.column(1), "key": pa.array(keys), "n": pa.array(np.array([len(s) for s in sets], np.int32)), "low": pa.array(bits[:, 0]), "high": pa.array(bits[:, 1]),
                 "bands": pa.array(codes.view(np.int64).tolist(), pa.list_(pa.int64())), "shingles": pa.array(held, pa.binary()),
             })
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    text = F.col(quoted(text_col))
+    own = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("text"))
     return own.mapInArrow(scan, _SKETCH)
 
 
@@ -181,14 +183,24 @@ def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) for a resemblance of 0.8 or more between sets of five-word shingles.
+    """(doc_id, component_id) for a resemblance of 0.8 or more between sets of five-word shingles."""
+    prints = materialize(sketches(docs, id_col, text_col), "sketches")
+    return prints.select("doc_id", "key").join(classes_of(prints), "key").select("doc_id", F.col("component_id.doc_id").alias("component_id"))
+
+
+def _place():
+    """Order of documents in sketches(): those without an id come last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("mark"))
+
+
+def classes_of(prints: DataFrame) -> DataFrame:
+    """(key, component_id) for each set of sketches(); component_id is the place of the class's first document.
 
     Sets that share a band of least hashes are candidates, and each link is checked on the sets. First each set of a
     bucket is held against one of the bucket; then buckets that still hold more than one component get their
     sets, and all pairs of different components are compared in the task, which gives a spanning forest."""
-    prints = materialize(sketches(docs, id_col, text_col), "sketches")
     rest = F.first(F.struct("n", "low", "high", "bands")).alias("s")
-    groups = materialize(prints.groupBy("key").agg(F.min("doc_id").alias("rep"), rest).select("key", "rep", "s.*"), "sketch-groups")
+    groups = materialize(prints.groupBy("key").agg(F.min(_place()).alias("rep"), rest).select("key", "rep", "s.*"), "sketch-groups")
     points = groups.select(F.struct("key", "n", "low", "high").alias("p"), F.explode("bands").alias("code"))
     hubs = materialize(points.groupBy("code").agg(F.min(F.struct(F.xxhash64("p.key", "code").alias("turn"), "p")).alias("m"), F.count(F.lit(1)).alias("many")).where("many > 1").select("code", F.col("m.p").alias("hub")), "hubs")
     found = points.join(hubs, "code").where((F.col("p.key") != F.col("hub.key")) & _may_resemble("p", "hub"))
@@ -202,18 +214,27 @@ def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = materialize(points.join(materialize(mixed, "mixed"), "code", "left_semi").select("code", "p.key", "p.label"), "mixed-points")
     with_sets = own.join(_sets(own.select("key").distinct(), prints), "key")
     more = materialize(with_sets.select("code", "key", "label", "shingles").groupBy("code").applyInPandas(_linked, "a long, b long"), "more")
-    classed = classes(groups.select("key", "rep"), first.union(more))
-    return prints.select("doc_id", "key").join(classed, "key").select("doc_id", "component_id")
+    return classes(groups.select("key", "rep"), first.union(more))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that resemble one of smaller id, directly or over others. Repeated ids are one
-    document; rows without an id cannot be told apart and stay."""
-    own = docs.where(F.col(id_col).isNotNull())
-    name = free_name(docs, "_stays")
-    stays = resembling(own, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(name))
-    kept = own.join(stays, own[id_col] == F.col(name), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """docs without those that resemble one of smaller id, directly or over others.
+
+    A document is an id and a text: of a group the one of smallest id, then of smallest text hash, stays, once if its
+    row is repeated; different texts under one id are different documents. Rows without an id cannot be told
+    apart and stay. Columns may have any names."""
+    none = F.col(quoted(id_col)).isNull()
+    keyed = docs.select(F.struct(*all_columns(docs)).alias("_row"), F.col(quoted(id_col)).cast("long").alias("_id"), F.xxhash64(F.col(quoted(text_col))).alias("_mark"))
+    prints = materialize(sketches(docs.where(~none), id_col, text_col), "sketches")
+    rows = prints.groupBy("key", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).join(classes_of(prints), "key")
+    judged = rows.select("doc_id", "mark", "n", (_place() == F.col("component_id")).alias("stays"))
+    # Rows to drop, and rows that stay once though they are repeated.
+    odd = materialize(judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_i"), F.col("mark").alias("_m"), F.col("stays").alias("_once")), "near-odd")
+    both = keyed.join(sent_if_small(odd, 64), (F.col("_id") == F.col("_i")) & (F.col("_mark") == F.col("_m")), "left")
+    kept = both.where(F.col("_once").isNull())
+    if not odd.where("_once").isEmpty():
+        kept = kept.union(both.where("_once").dropDuplicates(["_id", "_mark"]))
+    return kept.select(*(F.col(f"_row.{quoted(c)}").alias(c) for c in docs.columns))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ def documents(spark, rows=None):
     frame = spark.createDataFrame(ROWS if rows is None else rows, SCHEMA)
     from pyspark.sql import functions as F
 
-    names = ("digest", "_id", "_key", "_lines", "_found", "_stays", "rep", "label", "key", "wide", "score", "found", "kept")
+    names = ("a.b", "n_lines", "n_removed", "_starts", "_sid", "_i", "_m", "_number", "mark", "times", "from", "copy", "component_id", "tick`ed", "digest", "_id", "_key", "_lines", "_found", "_stays", "rep", "label", "key", "wide", "score", "found", "kept")
     return frame.select("*", *(F.lit(7).alias(n) for n in names))
 
 

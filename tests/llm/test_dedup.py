@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -32,9 +33,33 @@ def test_exact_batches(spark):
     second = {r["doc_id"]: r for r in index.dedup(spark.createDataFrame([(1, "a b"), (2, "d"), (3, "d")], "doc_id long, text string")).collect()}
     assert (second[1]["keep_id"], second[1]["kept"]) == (5, False) and second[2]["kept"] and not second[3]["kept"]
     assert index.table().count() == 3
+    again = index.dedup(spark.createDataFrame([(1, "a b"), (2, "d"), (3, "d")], "doc_id long, text string")).collect()
+    assert {tuple(r) for r in again} == {tuple(r) for r in second.values()} and index.table().count() == 3
+    index.compact()
+    assert index.table().count() == 3
+    named = index.dedup(spark.createDataFrame([(1, "a b"), (2, "d"), (9, "e")], "doc_id long, text string"), batch="another").collect()
+    assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in named} == {1: (5, False), 2: (2, False), 9: (9, True)}
+    assert index.table().count() == 4
     assert "Exchange" not in index.table().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString().replace("AdaptiveSparkPlan", "")
 
 
+def test_exact_index_is_found_again(spark, tmp_path):
+    docs = spark.createDataFrame([(5, "a"), (6, "b")], "doc_id long, text string")
+    for wanted in (True, True):  # a run, and the same one after its output was lost
+        index = DigestIndex(spark, "kept_index", str(tmp_path / "kept"), 2)
+        assert all(r["kept"] == wanted for r in index.dedup(docs).collect())
+    assert not any(r["kept"] for r in DigestIndex(spark, "kept_index", str(tmp_path / "kept"), 2).dedup(docs, batch="later").collect())
+    index.drop()
+
+
+def test_many_copies_of_one_row(spark, monkeypatch):
+    import ctxforge.llm.exact_dedup as E
+
+    monkeypatch.setattr(E, "COPIES", 7)
+    rows = DigestIndex(spark).dedup(spark.createDataFrame([(1, "x")] * 50 + [(2, "x")], "doc_id long, text string")).collect()
+    assert len(rows) == 51 and sum(r["kept"] for r in rows) == 1 and {r["group_size"] for r in rows} == {51}
+
+
 def brute_lines(rows):
     windows, docs = {}, {}
     for i, text in sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
@@ -66,12 +91,30 @@ def test_line_dedup_equals_brute_force(spark):
 def test_line_dedup_edges(spark):
     frame = documents(spark)
     got = dedup_lines(frame)
-    assert got.columns == [*frame.columns, "n_lines", "n_removed"] and got.count() == len(ROWS)
+    others = [c for c in frame.columns if c not in ("n_lines", "n_removed")]
+    assert got.columns == [*others, "n_lines", "n_removed"] and got.count() == len(ROWS)
+    assert dedup_lines(frame, added=("p", "q")).columns == [*frame.columns, "p", "q"]
     texts = {r["doc_id"]: r["text"] for r in got.collect()}
     assert texts[0] == ROWS[0][1] and texts[1] == "" and texts[2] == "" and texts[7] == ROWS[7][1]
     assert dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_where_nothing_is_sent(spark, monkeypatch):
+    import ctxforge.llm.common as C
+    import ctxforge.llm.line_dedup as L
+
+    monkeypatch.setattr(L, "sent_if_small", lambda table, row_bytes: C.sent_if_small(table, row_bytes, -1))
+    test_line_dedup_equals_brute_force(spark)
+
+
+def test_line_dedup_of_many_lines(spark):
+    frame = spark.createDataFrame([(0, "\n".join(f"line {i}" for i in range(40_000))), (1, "\n".join(f"line {i}" for i in range(39_999)) + "\nlast")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in dedup_lines(frame).collect()}
+    assert got[0]["n_removed"] == 0 and got[1]["n_removed"] == 39_999 and got[1]["text"] == "last"
+    assert time.perf_counter() - began < 10
+
+
 def brute_components(codes, radius):
     root = list(range(len(codes)))
 
@@ -180,3 +223,16 @@ def test_one_of_each_edges(spark):
     ids = sorted(str(r["doc_id"]) for r in kept.collect())
     assert ids == sorted(["0", "2", "5", "7", "8", "9", "10", "None"])
     assert one_of_each(empty(spark)).count() == 0
+
+
+def test_texts_that_share_an_id(spark, monkeypatch):
+    import ctxforge.llm.common as C
+    import ctxforge.llm.simhash as S
+
+    big, words = 2**60 + 1, [" ".join(f"{x}{i}" for i in range(40)) for x in "abc"]
+    rows = [(big, words[0]), (big, words[1]), (big + 1, words[0]), (big + 2, words[1] + " tail"), (big, words[0]), (None, words[2]), (None, words[2])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(str(big), words[0]), (str(big), words[1]), ("None", words[2]), ("None", words[2])])
+    for most in (1 << 20, -1):
+        monkeypatch.setattr(S, "sent_if_small", lambda table, row_bytes: C.sent_if_small(table, row_bytes, most))
+        assert sorted((str(r["doc_id"]), r["text"]) for r in one_of_each(frame).collect()) == want

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from ctxforge.llm.bpe import tokenizer_path
-from ctxforge.llm.packing import WordCoder, sum_of_squares
+from ctxforge.llm.packing import WordCoder, pack, pieces, sum_of_squares
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +49,18 @@ def test_sum_of_squares_minimises_at_each_step():
             best = min(cost(fill | {k: fill.get(k, 0) + s}) for k in choices)
             fill[b] = o + s
             assert cost(fill) == best
+
+
+def test_ids_of_any_size_beside_nulls(spark):
+    big = 2**60 + 1
+    rows = [(big, "one two"), (None, "three"), (None, "three"), (3, None), (big, "one two"), (-big, "x " * 40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    path = tokenizer_path("word_bpe_49k.json")
+    got = pack(pieces(frame, path, capacity=16, keep_ids=True), 16).collect()
+    assert sorted(str(r["doc_id"]) for r in got if r["piece"] == 0) == sorted(str(i) for i, _ in rows)
+    coder = WordCoder(path, 1)
+    want = {str(i): coder.encode_all([(t or "").encode()])[0] for i, t in rows}
+    for r in got:
+        assert bytes(r["ids"]) == want[str(r["doc_id"])][4 * r["start"] : 4 * (r["start"] + r["length"])]
+    places = [(r["sequence_id"], r["offset"]) for r in got]
+    assert len(set(places)) == len(places)
