@@ -43,3 +43,18 @@ def test_first_stage_drops_what_has_no_language(spark, sf):
 
 def test_catalog():
     assert len([n for n in catalog.queries() if n.startswith("op")]) == 10 and set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_no_labelled_language(spark, sf):
+    rows = [(1, "the cat sat on the mat", None), (2, "another text here", None), (3, "12 34", None), (4, None, None)]
+    kept = corpus_pipeline.identify_language(spark, documents(spark, rows), sf)
+    assert {r["doc_id"] for r in kept.collect()} == {1, 2}
+
+
+def test_first_stage_rejects_other_languages_only(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    strange = ["rb zwzj jjgk twjqkkb qfjzf xkcd wrtg ghjk zxcv bnmq wrtp " * 4, "Все люди рождаются свободными и равными", "全ての人間は、生まれながらにして自由である"]
+    extra = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(strange)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(extra, allowMissingColumns=True), "").collect()}
+    letters = {r["doc_id"] for r in docs.where("text RLIKE '[[:alpha:]]' OR text RLIKE '\\\\p{L}'").collect()}
+    assert kept == letters
