@@ -360,12 +360,12 @@ def base_scores(found: dict[str, DataFrame], train_docs: int) -> tuple[DataFrame
     vocabulary = (totals["v"] or 0) + (train_docs > 0)
     norm = n_train + 0.5 * (vocabulary + 1)
 
-    def score(chunk: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        counts = np.frombuffer(b"".join(got.sort_values("part")["counts"]), np.int64)
-        frames = []
-        for local, ids, keys, sizes in zip(chunk["p1"], chunk["ids"], chunk["keys"], chunk["sizes"]):
+    def score(chunk: pa.Table, got: pa.Table) -> pa.Table:
+        counts = np.frombuffer(b"".join(got.sort_by("part")["counts"].to_pylist()), np.int64)
+        tables = []
+        for local, ids, keys, sizes in zip(chunk["p1"].to_pylist(), chunk["ids"], chunk["keys"], chunk["sizes"]):
             c = np.append(counts[np.frombuffer(local, np.uint32)], 0)  # a last zero keeps reduceat in range
-            sizes = np.asarray(sizes, np.int64)
+            sizes = sizes.values.to_numpy()
             starts = np.minimum(np.cumsum(sizes) - sizes, len(c) - 1)
             some = sizes > 0
             logs = np.where(some, np.add.reduceat(np.log10((c + 0.5) / norm), starts), 0.0)
@@ -373,11 +373,11 @@ def base_scores(found: dict[str, DataFrame], train_docs: int) -> tuple[DataFrame
             if len(some) and some[-1]:  # its sum also took the zero that was added
                 logs[-1] -= np.log10(0.5 / norm)
             end = np.log10((train_docs + 0.5) / norm)
-            frames.append(pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "key": keys, "n_tokens": sizes + 1, "n_known": known + (train_docs > 0), "base_score": logs + end}))
-        return pd.concat(frames) if frames else pd.DataFrame({"doc_id": [], "key": [], "n_tokens": [], "n_known": [], "base_score": []})
+            tables.append(pa.table({"doc_id": ids.values, "key": keys.values, "n_tokens": sizes + 1, "n_known": known + (train_docs > 0), "base_score": logs + end}))
+        return pa.concat_tables(tables) if tables else pa.table({n: pa.array([], t) for n, t in (("doc_id", pa.int64()), ("key", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()))})
 
     chunks = found["chunks"].select("chunk", "p1", "ids", "keys", "sizes")
-    scored = chunks.groupBy("chunk").cogroup(answers.select("chunk", "part", "counts").groupBy("chunk")).applyInPandas(score, "doc_id long, key long, n_tokens long, n_known long, base_score double")
+    scored = chunks.groupBy("chunk").cogroup(answers.select("chunk", "part", "counts").groupBy("chunk")).applyInArrow(score, "doc_id long, key long, n_tokens long, n_known long, base_score double")
     return scored, n_train
 
 

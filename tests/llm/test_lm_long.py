@@ -2,6 +2,9 @@
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
+from ctxforge.llm import lm_score
 from ctxforge.llm.lm_score import ORDERS, byte_code, score_texts
 
 
@@ -16,3 +19,10 @@ def test_a_byte_more_changes_little():
     steps = -np.diff(scores) / np.diff(sizes)
     # The end costs the same within a few decisions; beyond that each byte costs at most a few digits.
     assert (np.abs(steps) < 20).all(), steps
+
+
+def test_ids_of_any_size_beside_nulls(spark):
+    big = 2**60 + 1
+    rows = [(big, "one two"), (None, "three one"), (None, "three one"), (7, None), (-big, "two two")]
+    got = lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
