@@ -40,7 +40,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     split by adaptive execution where a key is hot."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._written = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what materialize() wrote for tables that nothing will read again."""
+    for table in tables:
+        jvm, session = table.sparkSession._jvm, table.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(table._written)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -1,10 +1,12 @@
 """Exact Hamming range joins with vantage-point trees, and connected components of their links.
 
 A tree built on the driver from a sample of codes splits the space: each inner node has a vantage
-code and a radius, and sends codes within the radius one way and the others the other way. A leaf is
-a shard. A code lives in one home shard; a copy goes to each further shard that the triangle bound
-cannot exclude, but only from the inner side of a boundary to the outer side, since one of the two
-codes of a pair has to travel. The number of leaves grows with the data, so a shard's size does not.
+code and a radius, and sends codes within the radius one way and the others the other way. A code lives in one
+home leaf; a copy goes to each further leaf that the triangle bound cannot exclude, but only from the inner
+side of a boundary to the outer side, since one of the two codes of a pair has to travel. Sample and tree are bounded
+(TOP_LEAVES); a leaf that holds more codes than a shard should is split on, by as many further levels as its count
+asks for, each with one vantage for the whole level, so what the driver knows does not grow with the data
+and a shard does not either. (No more than 65 codes lie within two bits of each other, so no group defies splitting.)
 
 Within a shard, nodes of a deeper tree split the points by their exact distance to a vantage code and
 keep, for each distance, the queries that differ by no more than the search radius; what is left is
@@ -21,10 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxforge.llm.common import materialize
+from ctxforge.llm.common import forget, materialize
 
-#: Home codes that a shard should hold, and sampled codes for each shard.
-SHARD_CODES, SAMPLE_PER_SHARD = 8192, 16
+#: Home codes that a shard should hold, leaves of the tree at most, and sampled codes for each leaf.
+SHARD_CODES, TOP_LEAVES, SAMPLE_PER_LEAF = 8192, 1024, 24
 #: Comparisons that are done as one block.
 BLOCK = 1 << 21
 
@@ -57,27 +59,56 @@ def number_leaves(tree, first: int = 0):
     return (tree[0], tree[1], inner, outer), n
 
 
-def route(tree, codes: np.ndarray, radius: int):
-    """(row, leaf, is_home) arrays: where each code lives and where copies of it have to look."""
-    rows, leaves, homes = [], [], []
-    todo = [(tree, np.arange(len(codes)), np.arange(0))]
+def split(codes: np.ndarray, home: np.ndarray, guest: np.ndarray, vantage: int, bound: int, radius: int):
+    """((home, guest) of the inner side, and of the outer side): where rows of codes live and copies have to look."""
+    d, g = (np.bitwise_count(codes[x] ^ np.uint64(vantage)).astype(np.int16) for x in (home, guest))
+    crossing = home[(d <= bound) & (d + radius > bound)]
+    return (home[d <= bound], guest[g - radius <= bound]), (home[d > bound], np.concatenate([crossing, guest[g + radius > bound]]))
+
+
+def route(tree, codes: np.ndarray, radius: int, levels: dict | None = None):
+    """(row, shard, is_home) arrays: where each code lives and where copies of it have to look.
+
+    levels: for leaves that are split on, their (vantage, radius) pairs; a shard is a leaf and a side for each level."""
+    rows, shards, homes = [], [], []
+    levels = levels or {}
+    todo = [(tree, 0, 0, np.arange(len(codes)), np.arange(0))]
     while todo:
-        node, home, guest = todo.pop()
+        node, depth, sides, home, guest = todo.pop()
         if not len(home) and not len(guest):
             continue
-        if not isinstance(node, tuple):
+        if isinstance(node, tuple):
+            inner, outer = split(codes, home, guest, node[0], node[1], radius)
+            todo += [(node[2], 0, 0, *inner), (node[3], 0, 0, *outer)]
+        elif depth < len(levels.get(node, ())):
+            inner, outer = split(codes, home, guest, *levels[node][depth], radius)
+            todo += [(node, depth + 1, sides << 1, *inner), (node, depth + 1, sides << 1 | 1, *outer)]
+        else:
             rows += [home, guest]
-            leaves.append(np.full(len(home) + len(guest), node, np.int64))
+            shards.append(np.full(len(home) + len(guest), sides << 24 | node, np.int64))
             homes.append(np.arange(len(home) + len(guest)) < len(home))
-            continue
-        vantage, bound, inner, outer = node
-        d, g = (np.bitwise_count(codes[x] ^ np.uint64(vantage)).astype(np.int16) for x in (home, guest))
-        crossing = home[(d <= bound) & (d + radius > bound)]
-        todo.append((inner, home[d <= bound], guest[g - radius <= bound]))
-        todo.append((outer, home[d > bound], np.concatenate([crossing, guest[g + radius > bound]])))
     if not rows:
         return np.arange(0), np.arange(0), np.zeros(0, bool)
-    return np.concatenate(rows), np.concatenate(leaves), np.concatenate(homes)
+    return np.concatenate(rows), np.concatenate(shards), np.concatenate(homes)
+
+
+def further_levels(leaf: int, sample: np.ndarray, count: int) -> list[tuple[int, int]]:
+    """(vantage, radius) for each level that a leaf of count codes needs; sample: some of its codes. Vantages are drawn from
+    the sample and from a generator seeded by the leaf; each level takes what splits the sample's groups into the least squares."""
+    rng, out, groups = np.random.default_rng(leaf), [], np.zeros(len(sample), np.int64)
+    for _ in range(max(0, math.ceil(math.log2(max(1, count) / SHARD_CODES)))):
+        tries = np.concatenate([rng.integers(0, 1 << 63, 8, dtype=np.uint64) << np.uint64(1), sample[rng.integers(0, len(sample), 8)]])
+        found = []
+        for vantage in tries:
+            distance = np.bitwise_count(sample ^ vantage).astype(np.int64)
+            for radius in np.unique(np.quantile(distance, (0.25, 0.4, 0.5, 0.6, 0.75)).astype(int)).tolist():
+                sides = 2 * groups + (distance > radius)
+                squares = int((np.unique(sides, return_counts=True)[1] ** 2).sum())
+                found.append((squares, -float(distance.std()), int(vantage), radius, sides))
+        _, _, vantage, radius, sides = min(found, key=lambda f: f[:4])
+        groups = np.unique(sides, return_inverse=True)[1]
+        out.append((vantage, radius))
+    return out
 
 
 class Forest:
@@ -140,25 +171,35 @@ def links(points: DataFrame, radius: int, wide_bits: int | None = None, label: s
     """
     points = points.select("band", "key", "code", "wide")
     sizes = {r["band"]: r["n"] for r in points.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
-    leaves = {b: max(1, math.ceil(n / SHARD_CODES)) for b, n in sizes.items()}
-    trees, first = {}, 0
-    most = max(leaves.values(), default=1)
-    if most > 1:
-        part = min(1.0, 1.5 * SAMPLE_PER_SHARD * most / max(sizes.values()))
+    wanted = {b: max(1, math.ceil(n / SHARD_CODES)) for b, n in sizes.items()}
+    most = max(1, TOP_LEAVES // max(1, len(sizes)))
+    leaves = {b: min(n, most) for b, n in wanted.items()}
+    trees, levels, first, samples = {}, {}, 0, {}
+    if max(wanted.values(), default=1) > 1:
+        part = min(1.0, SAMPLE_PER_LEAF * max(leaves.values()) / max(sizes.values()))
         spread = F.pmod(F.xxhash64("code", F.lit("sample")), F.lit(1 << 30)) < int(part * (1 << 30))
         found = points.where(spread).select("band", "code").toPandas().sort_values(["band", "code"])
+        samples = {b: found.code[found.band == b].to_numpy().view(np.uint64) for b in sizes}
     for b in sorted(sizes):
-        sample = found.code[found.band == b].to_numpy().view(np.uint64) if most > 1 else np.zeros(0, np.uint64)
+        sample = samples.get(b, np.zeros(0, np.uint64))
         order = np.argsort(sample * np.uint64(0x9E3779B97F4A7C15))
         trees[b], first = number_leaves(build_tree(sample[order], leaves[b]), first)
 
-    def spread_out(batches):
+    def routed(batches):
         for pdf in batches:
             for b, own in pdf.groupby("band"):
                 own = own.reset_index(drop=True)
-                row, leaf, home = route(trees[b], own["code"].to_numpy().view(np.uint64), radius)
+                row, leaf, home = route(trees[b], own["code"].to_numpy().view(np.uint64), radius, levels)
                 yield pd.DataFrame({"leaf": leaf, "home": home, "key": own["key"].to_numpy()[row], "code": own["code"].to_numpy()[row], "wide": own["wide"].to_numpy()[row]})
 
+    schema = "leaf long, home boolean, key long, code long, wide binary"
+    if any(wanted[b] > leaves[b] for b in sizes):
+        counts = points.mapInPandas(routed, schema).where("home").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each leaf
+        for b, sample in samples.items():
+            row, leaf, home = route(trees[b], sample, 0)
+            own = {r: sample[row[home & (leaf == r)]] for r in np.unique(leaf).tolist()}
+            levels |= {r["leaf"]: further_levels(r["leaf"], own[r["leaf"]], r["n"]) for r in counts if len(own.get(r["leaf"], ()))}
+
     def in_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["home", "key"], ascending=[False, True])
         codes, key, n = pdf["code"].to_numpy().view(np.uint64), pdf["key"].to_numpy(), int(pdf["home"].sum())
@@ -170,7 +211,7 @@ def links(points: DataFrame, radius: int, wide_bits: int | None = None, label: s
         moved = np.flatnonzero(forest.root != np.arange(len(pdf)))
         return pd.DataFrame({"a": key[moved], "b": key[forest.root[moved]]})
 
-    shards = points.mapInPandas(spread_out, "leaf long, home boolean, key long, code long, wide binary")
+    shards = points.mapInPandas(routed, schema)
     edges = shards.groupBy("leaf").applyInPandas(in_shard, "a long, b long")
     return materialize(edges.where("a <> b"), label)
 
@@ -181,13 +222,16 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among neighbours, then jumps to the label's own label; every
     round's labels are written out, so lineage stays short and hot vertices can be split."""
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
+    start = materialize(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("label"), F.lit(None).cast("long").alias("old")), "labels")
+    labels, last = start.select("v", "label"), start
     while True:
         near = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("label").alias("near"))
         hooked = labels.join(near, labels.v == near.a).select("v", F.least("label", "near").alias("next"), "label")
         hooked = materialize(hooked, "labels")
         jump = hooked.select(F.col("v").alias("u"), F.col("next").alias("up"))
         moved = materialize(hooked.join(jump, hooked.next == jump.u).select("v", F.least("next", "up").alias("label"), F.col("label").alias("old")), "labels")
-        labels = moved.select("v", "label")
+        forget(hooked, last)
+        labels, last = moved.select("v", "label"), moved
         if moved.where("label <> old").isEmpty():
+            forget(both)
             return labels

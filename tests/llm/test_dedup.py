@@ -171,6 +171,23 @@ def test_links_over_shards(spark, monkeypatch):
     assert [labels.get(int(c), int(c)) for c in codes] == [int(codes[w]) for w in want]
 
 
+def test_links_where_leaves_are_split_on(spark, monkeypatch):
+    import ctxforge.llm.vptree as V
+
+    monkeypatch.setattr(V, "SHARD_CODES", 20)
+    monkeypatch.setattr(V, "TOP_LEAVES", 4)
+    rng = np.random.default_rng(6)
+    codes = np.unique(np.concatenate([rng.integers(0, 1 << 15, 500), rng.integers(0, 1 << 62, 300)]))
+    points = spark.createDataFrame([(0, int(c), int(c), None) for c in codes], "band int, key long, code long, wide binary")
+    labels = {r["v"]: r["label"] for r in components(links(points, 2)).collect()}
+    want = brute_components([int(c) for c in codes], 2)
+    assert [labels.get(int(c), int(c)) for c in codes] == [int(codes[w]) for w in want]
+    levels = V.further_levels(3, rng.permutation(codes)[:60].astype(np.uint64), 800)
+    row, shard, home = route(3, codes.astype(np.uint64), 2, {3: levels})
+    assert len(levels) == 6 and sorted(row[home]) == list(range(len(codes)))
+    assert np.unique(shard[home], return_counts=True)[1].max() < len(codes) / 3
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["v"]: r["label"] for r in components(edges).collect()}
