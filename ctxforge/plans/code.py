@@ -58,7 +58,7 @@ QUERIES = {
     "project_language": _markers,
     "js_doc": _doc(*JS),
     "js_imports": _imports(*JS),
-    "js_requires": lambda s, d: _imports(*JS)(s, d).where("NOT is_side_effect AND NOT is_default AND source IN ('express', 'jest')").select("ord", "source", "specifiers"),
+    "js_requires": lambda s, d: _imports(*JS)(s, d).where("NOT is_side_effect AND NOT is_default").select("ord", "source", "specifiers"),
     "js_exports": lambda s, d: K.export_rows(_parsed(s, d, *JS)),
     "js_symbols": _symbols(*JS),
     "py_doc": _doc("python"),
@@ -235,7 +235,7 @@ SQL = {
     "py_doc": _AGG + " SELECT ord, comment FROM cm WHERE language = 'python' AND comment IS NOT NULL",
     "js_imports": _IMPORTS + f" SELECT {_IMCOLS} FROM im WHERE {_ISJS}",
     "py_imports": _IMPORTS + f" SELECT {_IMCOLS} FROM im WHERE language = 'python'",
-    "js_requires": _IMPORTS + " SELECT ord, source, array_to_string(specifiers, ',') AS specifiers FROM im WHERE source IN ('express', 'jest')",
+    "js_requires": _IMPORTS + f" SELECT ord, source, array_to_string(specifiers, ',') AS specifiers FROM im WHERE {_ISJS} AND NOT is_side_effect AND NOT is_default",
     "js_exports": _EXPORTS + f" SELECT ord, path, place, name FROM ex WHERE {_ISJS}",
     "js_symbols": _SYMBOLS + f" SELECT {_SYCOLS} FROM sy WHERE {_ISJS}",
     "py_symbols": _SYMBOLS + f" SELECT {_SYCOLS} FROM sy WHERE language = 'python'",

@@ -18,7 +18,7 @@ from ctxforge.operators import logs as L
 from ctxforge.operators import prompts as P
 from ctxforge.operators import relevance as R
 from ctxforge.operators import usage as U
-from ctxforge.plans.inputs import LOGS_CTE, REQUESTS, cte, derived, logs, whole
+from ctxforge.plans.inputs import LOGS_CTE, REQUESTS, cte, derived, logs
 from ctxforge.sources.events import parse_events
 from ctxforge.streaming import usage as S
 
@@ -31,7 +31,7 @@ def _reads(s, d):
 
 
 def _outputs(s, d):
-    return logs(s, d).withColumn("output", F.when(F.col("log_id") % 3 == 0, F.substring("content", 1, 700)).otherwise(F.col("content")))
+    return logs(s, d).withColumnRenamed("content", "output")
 
 
 def _prompts(s, d):
@@ -88,9 +88,9 @@ def _streamed(s, d, build, mode: str):
 def _render(s, d):
     """Rendered texts of each kind, from whole texts and tables."""
     files, req = derived(s, d, "files"), derived(s, d, "requests")
-    items, messages = whole(s, d, "items"), whole(s, d, "messages")
+    items, messages = derived(s, d, "items"), derived(s, d, "messages")
     sized = files.withColumn("size_bytes", F.octet_length("content").cast("long"))
-    parts = B.breakdown(whole(s, d, "budget_items"))
+    parts = B.breakdown(derived(s, d, "budget_items"))
     made = [
         K.compress(files).select(F.lit("file").alias("kind"), F.col("ord").cast("string").alias("id"), render.file(F.struct("*")).alias("text")),
         L.summarize(logs(s, d)).select(F.lit("log"), F.col("log_id").cast("string"), render.log(F.struct("*"))),
@@ -114,7 +114,7 @@ QUERIES = {
     "read_gate": _reads,
     "bash_head_tail": lambda s, d: _outputs(s, d).select("log_id", G.head_tail(F.col("output")).alias("short")),
     "bash_gate": lambda s, d: _outputs(s, d).select("log_id", G.output_decision(F.when(F.col("log_id") % 13 == 0, "Read").otherwise("Bash"), F.col("output")).alias("decision")),
-    "response_text": lambda s, d: _responses(s, d).groupBy("tool_name", "command", "text").agg(F.count(F.lit(1)).alias("n")).where("text NOT LIKE 'out %'"),
+    "response_text": lambda s, d: _responses(s, d).groupBy("tool_name", "command", "text").agg(F.count(F.lit(1)).alias("n")),
     "prompt_blocks": lambda s, d: P.blocks(_prompts(s, d)).select("prompt_id", "place", "lang", "n_lines", F.length("content").alias("chars")),
     "prompt_block_kind": lambda s, d: P.blocks(_prompts(s, d)).select("prompt_id", "place", "kind"),
     "compress_prompt": lambda s, d: P.compress(_prompts(s, d)),
@@ -134,7 +134,7 @@ QUERIES = {
 _PCT = "CAST(CASE WHEN {o} > 0 THEN floor({s} * 100 / {o} + 0.5) ELSE 0 END AS INT)"
 _EXTS = ", ".join(f"'{x}'" for x in G.READ_EXTENSIONS)
 _LOGS = f"WITH {cte('log_lines')}, {LOGS_CTE}"
-_OUT = _LOGS + ", o AS (SELECT log_id, CASE WHEN log_id % 3 = 0 THEN substr(content, 1, 700) ELSE content END AS output FROM logs), l AS (SELECT *, string_split(output, chr(10)) AS ls FROM o), "
+_OUT = _LOGS + ", o AS (SELECT log_id, content AS output FROM logs), l AS (SELECT *, string_split(output, chr(10)) AS ls FROM o), "
 _OUT += (
     "h AS (SELECT log_id, output, CASE WHEN len(ls) <= 60 THEN output ELSE array_to_string(list_slice(ls, 1, 40), chr(10)) || chr(10) || chr(10) || '── output shortened ──' || chr(10) || '  ' || (len(ls) - 55) || ' lines / ~' "
     "|| CAST(ceil(length(array_to_string(list_slice(ls, 41, len(ls) - 15), chr(10))) / 4.0) AS BIGINT) || ' tokens omitted from middle' || chr(10) || '──' || chr(10) || chr(10) || array_to_string(list_slice(ls, len(ls) - 14, len(ls)), chr(10)) END AS short FROM l)"
@@ -154,7 +154,7 @@ SQL = {
     f"SELECT ord, CASE WHEN ord % 11 = 0 THEN 'skip' WHEN ord % 7 <> 0 AND contains(base, '.') AND lower(list_last(string_split(base, '.'))) IN ({_EXTS}) AND len(string_split(body, chr(10))) >= 100 AND pct >= 15 THEN 'block' ELSE 'pass' END AS decision FROM t",
     "bash_head_tail": _OUT + " SELECT log_id, short FROM h",
     "bash_gate": _OUT + f" SELECT log_id, CASE WHEN log_id % 13 = 0 OR output = '' THEN 'skip' WHEN {_TOK('output')} >= 200 AND {_SAVED} >= 15 THEN 'shorten' ELSE 'pass' END AS decision FROM h",
-    "response_text": "SELECT 'Bash' AS tool_name, event_type AS command, CASE event_id % 4 WHEN 1 THEN 'plain \"text\"' WHEN 2 THEN 'ab' ELSE '' END AS text, count(*) AS n FROM events WHERE event_id % 4 <> 0 GROUP BY ALL",
+    "response_text": "SELECT 'Bash' AS tool_name, event_type AS command, CASE event_id % 4 WHEN 0 THEN 'out ' || event_id WHEN 1 THEN 'plain \"text\"' WHEN 2 THEN 'ab' ELSE '' END AS text, count(*) AS n FROM events GROUP BY ALL",
     "prompt_blocks": _BLOCKS + " SELECT prompt_id, place, lang, CAST(len(string_split(content, chr(10))) AS INT) AS n_lines, length(content) AS chars FROM b",
     "prompt_block_kind": _BLOCKS + r", k AS (SELECT *, list_slice(string_split(content, chr(10)), 1, 20) AS ls FROM b) SELECT prompt_id, place, CASE WHEN len(list_filter(ls, lambda x: regexp_matches(x, '(?i)\b(?:error|warn(?:ing)?|info|debug|fatal|stdout|stderr)\b.*:') OR regexp_matches(x, '\d{2}:\d{2}:\d{2}|\d{4}-\d{2}-\d{2}'))) >= least(3.0, len(ls) * 0.3) THEN 'log' ELSE 'code' END AS kind FROM k",
     "events_tumbling": _TUMBLE,

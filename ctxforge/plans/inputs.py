@@ -6,8 +6,6 @@ hold no code, logs or cue phrases of their own.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
 REQUESTS = """
@@ -35,23 +33,23 @@ MESSAGES = """
 SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'assistant' ELSE role END AS role,
        concat(CASE (conv_id + turn) % 10 WHEN 0 THEN 'goal: ' WHEN 1 THEN 'I need to ' WHEN 2 THEN 'todo: ' WHEN 3 THEN '- [ ] ' WHEN 4 THEN 'Using ' WHEN 5 THEN 'error: '
                 WHEN 6 THEN 'done: ' WHEN 7 THEN concat('I''ve fixed ', '') WHEN 8 THEN 'we''ll ' ELSE '' END,
-              substr(text, 1, 40), chr(10), CASE turn % 4 WHEN 0 THEN concat('please ', substr(text, 3, 60), chr(10), 'cannot: ', substr(text, 5, 30), chr(10), 'failed: ', substr(text, 9, 30))
-                WHEN 1 THEN concat('Done: ', substr(text, 2, 50)) WHEN 2 THEN concat('see src/a', CAST(conv_id AS VARCHAR(20)), '/b.ts and ./c.py', chr(10), '```ts', chr(10), 'x', chr(10), '```')
-                ELSE concat('decided: ', substr(text, 4, 44), chr(10), 'next step: ', substr(text, 8, 33)) END) AS text
+              text, chr(10), CASE turn % 4 WHEN 0 THEN concat('please ', substr(text, 3), chr(10), 'cannot: ', substr(text, 5), chr(10), 'failed: ', substr(text, 9))
+                WHEN 1 THEN concat('Done: ', substr(text, 2)) WHEN 2 THEN concat('see src/a', CAST(conv_id AS VARCHAR(20)), '/b.ts and ./c.py', chr(10), '```ts', chr(10), 'x', chr(10), '```')
+                ELSE concat('decided: ', substr(text, 4), chr(10), 'next step: ', substr(text, 8)) END) AS text
 FROM conversations
 """
 
 ITEMS = """
 SELECT doc_id AS item_id, doc_id AS ord,
        concat(CASE doc_id % 9 WHEN 0 THEN 'ERROR at 2024-01-05 10:11:12.5Z ' WHEN 1 THEN 'user: ' WHEN 2 THEN 'PASS ' WHEN 3 THEN 'x Error: bad 0xDEADBEEF id 12345 ' ELSE '' END,
-              substr(text, 1, 400)) AS text
+              text) AS text
 FROM documents
 """
 
 BUDGET_ITEMS = """
 SELECT doc_id % 20 AS budget_id, doc_id AS ord, concat('doc', CAST(doc_id AS VARCHAR(20))) AS name, text AS content,
        CASE doc_id % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS priority
-FROM documents WHERE doc_id % 20 <> 3 OR doc_id < 40
+FROM documents
 """
 
 #: Templated source files: TypeScript, JavaScript, Python, Go, Rust and text by key.
@@ -88,19 +86,8 @@ FROM part
 TABLES = {"requests": (REQUESTS, "events"), "log_lines": (LOG_LINES, "events"), "messages": (MESSAGES, "conversations"), "items": (ITEMS, "documents"), "budget_items": (BUDGET_ITEMS, "documents"), "files": (FILES, "part")}
 
 
-#: The same rows without cuts, for queries that no SQL is held against: whole texts, and no budget left out.
-WHOLE = {n: re.sub(r"substr\(text, (\d+), \d+\)", r"substr(text, \1)", TABLES[n][0]).split(" WHERE ")[0] for n in ("messages", "items", "budget_items")}
-
-
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return _read(spark, sf_dir, *TABLES[name])
-
-
-def whole(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return _read(spark, sf_dir, WHOLE[name], TABLES[name][1])
-
-
-def _read(spark: SparkSession, sf_dir: str, sql: str, table: str) -> DataFrame:
+    sql, table = TABLES[name]
     spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(f"ctxforge_{table}")
     return spark.sql(sql.replace(f"FROM {table}", f"FROM ctxforge_{table}"))
 

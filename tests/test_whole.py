@@ -1,8 +1,7 @@
-"""Derived inputs hold whole texts and whole tables where no SQL is held against them."""
+"""Derived inputs hold whole texts and whole tables."""
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from ctxforge.operators import diff
 from ctxforge.plans import catalog, events, inputs
@@ -25,18 +24,12 @@ def test_diffs_take_whole_documents(spark, small):
     assert {i: r["keep"] + r["del"] for i, r in got.items()} == {i * 20 + 3: len(t.split(" ")) for i, t in enumerate(texts)}
 
 
-def test_reports_take_whole_inputs(spark, small):
+def test_inputs_are_whole(spark, small):
     folder, texts = small
-    items = {r["item_id"]: r["text"] for r in inputs.whole(spark, folder, "items").collect()}
+    items = {r["item_id"]: r["text"] for r in inputs.derived(spark, folder, "items").collect()}
     assert all(items[i * 20 + 3].endswith(t) for i, t in enumerate(texts))
-    assert all(f"end{r['turn']}" in r["text"] for r in inputs.whole(spark, folder, "messages").collect())
-    # Other inputs than those with SQL: these keep the filter and the prefix of their SQL.
-    assert inputs.derived(spark, folder, "items").where(F.length("text") > 500).count() == 0
-
-
-def test_reports_have_every_budget(spark, small):
-    folder, texts = small
-    assert inputs.whole(spark, folder, "budget_items").where("budget_id = 3").count() == len(texts)
+    assert all(f"end{r['turn']}" in r["text"] for r in inputs.derived(spark, folder, "messages").collect())
+    assert inputs.derived(spark, folder, "budget_items").where("budget_id = 3").count() == len(texts)
 
 
 def plain_ops(old, new):
