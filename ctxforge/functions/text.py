@@ -44,3 +44,17 @@ def lines_of(text: Column) -> Column:
 
 def plural(n: Column, noun: str) -> Column:
     return F.concat(n.cast("string"), F.lit(f" {noun}"), F.when(n == 1, "").otherwise("s"))
+
+
+#: Marks within a replacement: a dollar sign, what was found, what stands before it and what follows.
+REPLACEMENT_MARK = r"\$[$&`']"
+
+
+def replace_first(text: Column, found: Column, replacement: Column) -> Column:
+    """text with the first occurrence of found replaced; marks in the replacement are filled in."""
+    at = F.call_function("locate", found, text)
+    before, after = F.substr(text, F.lit(1), at - 1), F.substr(text, at + F.length(found))
+    fill = lambda m: F.when(m == "$$", "$").when(m == "$&", found).when(m == "$`", before).otherwise(after)
+    marks = F.transform(F.regexp_extract_all(replacement, F.lit(REPLACEMENT_MARK), F.lit(0)), fill)
+    parts = F.zip_with(F.split(replacement, REPLACEMENT_MARK, -1), marks, lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
+    return F.when(at > 0, F.concat(before, F.array_join(parts, ""), after)).otherwise(text)

@@ -1,11 +1,9 @@
 """Token counts and savings as column expressions, and a pluggable exact counter."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ctxforge.functions.text import js_round
@@ -65,16 +63,22 @@ def ago_label(seconds: Column) -> Column:
 
 
 def exact_counter(load: Callable[[], Callable[[str], int]]):
-    """A column function that counts with a tokenizer; load() runs once in each Python worker."""
+    """A column function that counts with a tokenizer; load() runs once for each task."""
 
     @F.pandas_udf("long")
-    def count(batches: "pd.Series") -> "pd.Series":
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = load()
-        return batches.map(lambda t: counter(t) if t else 0)
+        for batch in batches:
+            yield batch.map(lambda t: counter(t) if t else 0).astype("int64")
 
     return count
 
 
+def register(spark: SparkSession) -> None:
+    """count_tokens(text) for SQL."""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION count_tokens(text STRING) RETURNS BIGINT RETURN CAST(ceil(length(coalesce(text, '')) / 4) AS BIGINT)")
+
+
 def project_port(path: Column) -> Column:
     """7100 + h % 900, h: 32-bit hash of the path, h = (h * 33) xor character code, from 5381."""
     codes = F.transform(F.filter(F.split(path, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))

@@ -192,9 +192,10 @@ def kind_summary(symbols: Column) -> Column:
     return F.array_join(F.transform(kinds, one), "; ")
 
 
-def compress(files: DataFrame) -> DataFrame:
-    """parse() with purpose, dependencies, summary, the skeleton's text and its savings."""
-    p = parse(files)
+def compress(files: DataFrame, parser: Callable[[DataFrame], DataFrame] = parse) -> DataFrame:
+    """Parsed files with purpose, dependencies, summary, the skeleton's text and its savings. parser: parse, by patterns, or
+    syntax.dispatch, by syntax first."""
+    p = parser(files)
     p = p.withColumn("purpose", infer_purpose(F.col("path"), F.col("symbols"), F.col("imports"), F.col("comments")))
     sources = F.transform("imports", lambda i: i["source"])
     external = F.filter(sources, lambda s: ~s.startswith(".") & ~s.startswith("/"))

@@ -41,6 +41,7 @@ CUES = (
     Cue("decisions", None, (_line("decided?|chose?|using|will use|going with|opted for"), _line("the decision is|we'll|let's use|i'll use")), 10, 8),
     Cue("blockers", "user", (_line("error|blocked?|issue|problem|fail|broken"), _line("can't|cannot|doesn't work|not working|failed")), 5, 5),
 )
+# What is a path and a fenced block, and what is said where no goal was.
 PATHS = r"(?:[A-Za-z0-9_@][A-Za-z0-9_./-]*/[A-Za-z0-9_./-]+|\.{1,2}/[A-Za-z0-9_./-]+)\.[a-z]{1,5}"
 FENCES = rf"```[A-Za-z0-9_]*\n[\s\S]*?```"
 NO_GOALS = "No explicit goals detected — see key context"

@@ -59,6 +59,11 @@ def head_tail(text: Column, limits: OutputLimits = OutputLimits()) -> Column:
     return F.when(n <= limits.head + limits.tail + limits.slack, text).otherwise(short)
 
 
+def unless_opted_out(decision: Column, opted_out: Column) -> Column:
+    """A decision, or 'skip' for events whose caller turned gates off."""
+    return F.when(F.coalesce(opted_out, F.lit(False)), "skip").otherwise(decision)
+
+
 def output_decision(tool: Column, text: Column, limits: OutputLimits = OutputLimits()) -> Column:
     saved = text_savings(text, head_tail(text, limits))["saved_percent"]
     return F.when((tool != "Bash") | (text == ""), "skip").when((count_tokens(text) >= limits.tokens) & (saved >= limits.percent), "shorten").otherwise("pass")

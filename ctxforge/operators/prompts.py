@@ -1,17 +1,18 @@
 """Fenced blocks of prompts (prompt_id, prompt): their kind, and prompts with long blocks summarised.
 
 Blocks are cut and summarised by the native log and source operators; putting the summaries back is an ordered
-replacement of first occurrences, folded within the row."""
+replacement of first occurrences, folded within the row; `$` marks in a summary act as in the replacements it matches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxforge.functions.text import DOT, lines_of, word
+from ctxforge.functions.text import DOT, lines_of, replace_first, word
 from ctxforge.functions.tokens import count_tokens
 from ctxforge.operators import code, logs
 
+# What a fenced block is.
 FENCE = r"```([A-Za-z0-9_]*)\n([\s\S]*?)```"
 # What makes a line look like a log's.
 LOG_LINE = f"(?i){word('error|warn(?:ing)?|info|debug|fatal|stdout|stderr')}{DOT}*:"
@@ -32,7 +33,7 @@ def blocks(prompts: DataFrame) -> DataFrame:
     return rows.withColumns({"n_lines": F.size(lines_of(F.col("content"))), "kind": F.when(looks_like_log(F.col("content")), "log").otherwise("code")})
 
 
-def _summaries(long: DataFrame) -> DataFrame:
+def _summaries(long: DataFrame, parser=code.parse) -> DataFrame:
     """(prompt_id, place, summary, percent)."""
     key = F.struct("prompt_id", "place")
     as_log = logs.summarize(long.where("kind = 'log'").select(key.alias("log_id"), "content"))
@@ -40,7 +41,7 @@ def _summaries(long: DataFrame) -> DataFrame:
     head = F.concat(F.lit("[log compressed — "), F.col("status"), F.lit(", "), F.least("n_errors", F.lit(10)).cast("string"), F.lit(" errors, "), F.least("n_warnings", F.lit(10)).cast("string"), F.lit(" warnings]"))
     as_log = as_log.select("log_id.prompt_id", "log_id.place", F.concat_ws("\n", head, "compressed", advice).alias("summary"), F.col("tokens.saved_percent").alias("percent"))
     path = F.when(F.col("lang") == "", "file.ts").otherwise(F.concat(F.lit("file."), F.col("lang")))
-    as_code = code.compress(long.where("kind = 'code'").select("prompt_id", "place", path.alias("path"), "content"))
+    as_code = code.compress(long.where("kind = 'code'").select("prompt_id", "place", path.alias("path"), "content"), parser)
     names = lambda label, array: F.when(F.size(array) > 0, F.concat(F.lit(f"{label}: "), F.array_join(array, ", ")))
     symbols = F.transform("symbols", lambda s: F.concat(F.when(s["exported"], "export ").otherwise(""), F.when(F.coalesce(s["is_async"], F.lit(False)), "async ").otherwise(""), s["kind"], F.lit(" "), s["name"]))
     head = F.concat(F.lit("[code compressed — "), F.col("language"), F.lit(", "), F.size("symbols").cast("string"), F.lit(" symbols, "), F.col("tokens.saved_percent").cast("string"), F.lit("% saved]"))
@@ -49,19 +50,15 @@ def _summaries(long: DataFrame) -> DataFrame:
     return as_log.unionByName(as_code)
 
 
-def compress(prompts: DataFrame) -> DataFrame:
-    """(prompt_id, compressed, saved_tokens); prompts that save nothing keep their text and 0."""
+def compress(prompts: DataFrame, parser=code.parse) -> DataFrame:
+    """(prompt_id, compressed, saved_tokens); prompts that save nothing keep their text and 0. parser: as in code.compress()."""
     long = blocks(prompts).where(F.col("n_lines") >= LEAST_LINES)
-    done = long.join(_summaries(long), ["prompt_id", "place"]).where(F.col("percent") >= LEAST_PERCENT)
+    done = long.join(_summaries(long, parser), ["prompt_id", "place"]).where(F.col("percent") >= LEAST_PERCENT)
     swap = F.concat(F.lit("```"), F.col("lang"), F.lit("\n"), F.col("summary"), F.lit("\n```"))
     saved = F.greatest(count_tokens(F.col("content")) - count_tokens(F.col("summary")), F.lit(0).cast("long"))
     per = done.groupBy("prompt_id").agg(F.sort_array(F.collect_list(F.struct("place", "full", swap.alias("swap")))).alias("swaps"), F.sum(saved).alias("saved"))
 
-    def put(text: Column, s: Column) -> Column:
-        at = F.call_function("locate", s["full"], text)
-        return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), s["swap"], F.substr(text, at + F.length(s["full"])))).otherwise(text)
-
     both = prompts.join(per, "prompt_id", "left")
     useful = F.coalesce("saved", F.lit(0)) > 0
-    out = F.when(useful, F.aggregate("swaps", F.col("prompt"), put)).otherwise(F.col("prompt"))
+    out = F.when(useful, F.aggregate("swaps", F.col("prompt"), lambda text, s: replace_first(text, s["full"], s["swap"]))).otherwise(F.col("prompt"))
     return both.select("prompt_id", out.alias("compressed"), F.when(useful, F.col("saved")).otherwise(0).cast("long").alias("saved_tokens"))

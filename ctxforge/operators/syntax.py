@@ -3,7 +3,7 @@
 The scanner blanks comments and strings, so that what is left has the same places, measures bracket depth, and
 matches each language's declarations at the depth where they may stand; a body ends at its closing bracket.
 Python files go through the standard library's parser. A language is an entry of EXTRACTORS, and one Arrow
-UDF runs them; code that cannot be scanned gives null, for which callers take code.parse()."""
+UDF runs them; code that cannot be scanned gives null, for which dispatch() takes code.parse()."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ctxforge.operators import code
+
 _S, _B, _I = T.StringType(), T.BooleanType(), T.IntegerType()
 SYMBOL = T.StructType([T.StructField("name", _S), T.StructField("kind", _S), T.StructField("signature", _S), T.StructField("exported", _B), T.StructField("is_async", _B), T.StructField("line", _I), T.StructField("line_end", _I)])
 IMPORT = T.StructType([T.StructField("source", _S), T.StructField("specifiers", T.ArrayType(_S)), T.StructField("is_default", _B), T.StructField("is_side_effect", _B)])
@@ -319,6 +321,24 @@ def parse(files: DataFrame) -> DataFrame:
     return found.select(*files.columns, *(F.col(f"_s.{n}").alias(n) for n in PARSED.names))
 
 
+def dispatch(files: DataFrame) -> DataFrame:
+    """Rows of code.parse() with what the syntax tier finds in place of the patterns' finds, where it finds anything: the
+    scanner's symbols, imports, exports and comments for its languages, the patterns' for other files and for code that
+    cannot be scanned. parser says which ("syntax" or "patterns")."""
+    patterns = code.parse(files)
+    both = patterns.withColumn("_s", parse_syntax("content", "language"))
+    scanned = F.col("_s.symbols").isNotNull()
+    symbols = F.transform("_s.symbols", lambda s: F.struct(*(s[f].cast(t).alias(f) if f in SYMBOL.names else F.lit(None).cast(t).alias(f) for f, t in _fields_of(patterns, "symbols"))))
+    imports = F.transform("_s.imports", lambda i: F.struct(*(i[f].cast(t).alias(f) for f, t in _fields_of(patterns, "imports"))))
+    chosen = {"symbols": symbols, "imports": imports, "exports": F.col("_s.exports"), "comments": F.col("_s.comments")}
+    both = both.withColumns({n: F.when(scanned, c).otherwise(F.col(n)) for n, c in chosen.items()})
+    return both.withColumn("parser", F.when(scanned, "syntax").otherwise("patterns")).drop("_s")
+
+
+def _fields_of(parsed: DataFrame, name: str):
+    return [(f.name, f.dataType) for f in parsed.schema[name].dataType.elementType.fields]
+
+
 @F.udtf(returnType="name string, kind string, exported boolean, line int, line_end int")
 class CodeSymbols:
     """code_symbols(content, language) for SQL."""

@@ -89,6 +89,29 @@ def project_totals(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     return sums.join(latest, "project_id", "left")
 
 
+def credit_sessions(sessions: DataFrame, savings: DataFrame) -> DataFrame:
+    """sessions (session_id, project_id, last_activity, saved) with savings (project_id, saved, ts) added to the latest session
+    of each project, which is renewed; savings of nothing, and of projects without a session, change nothing."""
+    sums = savings.where("saved > 0").groupBy("project_id").agg(F.sum("saved").alias("_saved"), F.max("ts").alias("_ts"))
+    latest = sessions.groupBy("project_id").agg(F.max_by("session_id", F.struct("last_activity", "session_id")).alias("_latest"))
+    both = sessions.join(latest.join(sums, "project_id"), "project_id", "left")
+    own = F.col("_latest").eqNullSafe(F.col("session_id"))
+    changed = both.withColumns({"saved": F.when(own, F.col("saved") + F.col("_saved")).otherwise(F.col("saved")), "last_activity": F.when(own, F.greatest("last_activity", "_ts")).otherwise(F.col("last_activity"))})
+    return changed.select(*sessions.columns)
+
+
+def since_reset(requests: DataFrame, resets: DataFrame) -> DataFrame:
+    """The requests that count after the last reset, resets (session_id, ts), of their session."""
+    last = resets.groupBy("session_id").agg(F.max("ts").alias("_reset"))
+    return requests.join(last, "session_id", "left").where(F.col("_reset").isNull() | (F.col("ts") > F.col("_reset"))).select(*requests.columns)
+
+
+def unexpired(entries: DataFrame, now, ttl_ms: int = 300_000) -> DataFrame:
+    """entries (key, value, set_at) that a cache still holds: the last value of each key, while it is younger than its life."""
+    last = entries.groupBy("key").agg(F.max_by(F.struct("value", "set_at"), "set_at").alias("e")).select("key", "e.*")
+    return last.where(F.unix_millis(F.lit(now).cast("timestamp")) <= F.unix_millis("set_at") + ttl_ms)
+
+
 def usage_report(requests: DataFrame, n: int = 5) -> dict[str, DataFrame]:
     """The tables of a usage report."""
     return {"session": session_stats(requests), "usage": tool_usage(requests), "top": top_saving_tools(requests, n), "last": last_request(requests), "all_time": all_time_saved(requests)}

@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from ctxforge.functions import render
+from ctxforge.functions.tokens import project_port
 from ctxforge.operators import budget as B
 from ctxforge.operators import code as K
 from ctxforge.operators import conversation as C
@@ -17,6 +18,7 @@ from ctxforge.operators import gates as G
 from ctxforge.operators import logs as L
 from ctxforge.operators import prompts as P
 from ctxforge.operators import relevance as R
+from ctxforge.operators import repo_graph as RG
 from ctxforge.operators import usage as U
 from ctxforge.plans.inputs import LOGS_CTE, REQUESTS, cte, derived, logs
 from ctxforge.sources.events import parse_events
@@ -85,12 +87,22 @@ def _streamed(s, d, build, mode: str):
     return s.table(name)
 
 
+def _status(s, d):
+    """Projects and sessions of the request log, as a status report lists them."""
+    req = derived(s, d, "requests")
+    projects = req.groupBy("project_id").agg(F.max("ts").alias("last_seen_at"), F.countDistinct("session_id").alias("session_count"), F.sum("saved").alias("total_saved"))
+    name = F.concat(F.lit("project"), F.col("project_id"))
+    projects = projects.select("last_seen_at", F.col("project_id").cast("string").alias("id"), name.alias("name"), project_port(name).alias("port"), "session_count", "total_saved")
+    live = req.groupBy("session_id").agg(F.min("ts").alias("started_at"), F.sum("saved").alias("saved"), F.max_by("project_id", "ts").alias("p"))
+    return projects, live.select("started_at", F.lpad(F.col("session_id").cast("string"), 8, "0").alias("id"), F.concat(F.lit("project"), F.col("p")).alias("project"), "saved")
+
+
 def _render(s, d):
     """Rendered texts of each kind, from whole texts and tables."""
     files, req = derived(s, d, "files"), derived(s, d, "requests")
     items, messages = derived(s, d, "items"), derived(s, d, "messages")
     sized = files.withColumn("size_bytes", F.octet_length("content").cast("long"))
-    parts = B.breakdown(derived(s, d, "budget_items"))
+    parts, parsed = B.breakdown(derived(s, d, "budget_items")), K.parse(files)
     made = [
         K.compress(files).select(F.lit("file").alias("kind"), F.col("ord").cast("string").alias("id"), render.file(F.struct("*")).alias("text")),
         L.summarize(logs(s, d)).select(F.lit("log"), F.col("log_id").cast("string"), render.log(F.struct("*"))),
@@ -99,6 +111,10 @@ def _render(s, d):
         render.budget(parts, B.totals(parts), B.recommendations(parts)).select(F.lit("budget"), F.col("budget_id").cast("string"), "text"),
         render.usage(U.session_stats(req), U.tool_usage(req)).select(F.lit("usage"), F.col("session_id").cast("string"), "text"),
         render.duplicates(D.duplicate_groups(items), items).select(F.lit("duplicates"), F.lit("0"), "text"),
+        K.compress(files).select(F.lit("read block"), F.col("ord").cast("string"), render.read_block(F.struct("*"))),
+        W.write_gate(_pairs(s, d)).where("decision = 'block'").select(F.lit("write block"), F.col("doc_id").cast("string"), render.write_block(F.struct("*"))),
+        render.directory(RG.compress_directory(parsed, "."), RG.entry_points(parsed), RG.important_files(parsed), RG.relationships(parsed), ".").select(F.lit("directory"), F.lit("."), "text"),
+        render.status(*_status(s, d), "2024-02-01 00:00:00").select(F.lit("status"), F.lit("0"), "text"),
     ]
     out = made[0]
     for more in made[1:]:

@@ -39,3 +39,23 @@ def write_registry(projects: DataFrame, path: str) -> None:
     """To a new folder; the caller swaps it in."""
     rows = projects.agg(F.collect_list(F.struct(*projects.columns)).alias("projects")).select(F.lit(1).alias("version"), "projects")
     rows.coalesce(1).write.mode("errorifexists").json(path)
+
+
+def all_projects(projects: DataFrame) -> DataFrame:
+    """Latest seen first."""
+    return projects.orderBy(F.desc("last_seen_at"), "id")
+
+
+def get_project(projects: DataFrame, id_: str) -> DataFrame:
+    return projects.where(F.col("id") == id_)
+
+
+def remove_projects(projects: DataFrame, ids: DataFrame) -> DataFrame:
+    return projects.join(ids.select("id").distinct(), "id", "left_anti")
+
+
+def add_savings(projects: DataFrame, savings: DataFrame) -> DataFrame:
+    """savings (id, saved, seen_at) added to the projects that are registered; others are dropped."""
+    sums = savings.groupBy("id").agg(F.sum("saved").alias("_saved"), F.max("seen_at").alias("_seen"))
+    both = projects.join(sums, "id", "left").withColumns({"total_saved": F.col("total_saved") + F.coalesce("_saved", F.lit(0)), "last_seen_at": F.coalesce("_seen", "last_seen_at")})
+    return both.select(*projects.columns)

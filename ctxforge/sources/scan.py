@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Folders that are not entered (any other that starts with a dot is left out too).
 DENIED = frozenset("node_modules .git dist build .next .nuxt coverage .cache __pycache__ .pytest_cache vendor .turbo .parcel-cache".split())
-DENIED_RELEVANCE = DENIED - frozenset((".nuxt", ".pytest_cache", ".turbo", ".parcel-cache"))
+DENIED_RELEVANCE = frozenset("node_modules .git dist build .next coverage __pycache__ .cache vendor".split())
 # Extensions of source files, case counts.
 EXTENSIONS = frozenset(".ts .tsx .js .jsx .mjs .cjs .py .rs .go .java .kt .swift .rb .php .cpp .cc .c .h".split())
 RELEVANCE_EXTENSIONS = frozenset(".ts .tsx .js .jsx .py .go .rs".split())
@@ -22,17 +22,20 @@ TESTS = re.compile(r"\.(test|spec)\.|__tests__|_test\.|tests/")
 DIRECTORY_BYTES, RELEVANCE_BYTES = 200 * 1024, 100 * 1024
 
 
-def walk(base: str, extensions: frozenset[str] = EXTENSIONS, denied: frozenset[str] = DENIED, include_tests: bool = False, most: int | None = 100) -> list[tuple[int, str, str, int]]:
-    """(ord, full path, relative path, bytes), depth first in name order; at most the given number."""
+def walk(base: str, extensions: frozenset[str] = EXTENSIONS, denied: frozenset[str] = DENIED, include_tests: bool = False, most: int | None = 100, soft: bool = False) -> list[tuple[int, str, str, int]]:
+    """(ord, full path, relative path, bytes), depth first in name order; at most the given number. A soft limit only
+    keeps further folders from being entered: the files of one that was entered are all listed."""
     found: list[tuple[int, str, str, int]] = []
 
     def enter(folder: str) -> None:
+        if soft and most is not None and len(found) >= most:
+            return
         try:
             entries = sorted(os.scandir(folder), key=lambda e: e.name)
         except OSError:
             return
         for entry in entries:
-            if most is not None and len(found) >= most:
+            if not soft and most is not None and len(found) >= most:
                 return
             if entry.is_dir(follow_symlinks=False):
                 if entry.name not in denied and not entry.name.startswith("."):
@@ -64,5 +67,10 @@ def read_tree(spark: SparkSession, base: str, max_bytes: int = DIRECTORY_BYTES,
     return listed.where(listed.size_bytes <= max_bytes).mapInPandas(read, schema)
 
 
+def read_for_relevance(spark: SparkSession, base: str, extensions: frozenset[str] = RELEVANCE_EXTENSIONS, most: int = 500) -> DataFrame:
+    """The files that relevance ranking looks at: fewer kinds, smaller ones, tests too, and a soft limit."""
+    return read_tree(spark, base, RELEVANCE_BYTES, extensions=extensions, denied=DENIED_RELEVANCE, include_tests=True, most=most, soft=True)
+
+
 def read_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).toDF("content")
