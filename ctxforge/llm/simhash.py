@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxforge.llm.common import all_columns, documents, materialize, quoted, sent_if_small, small_batches
+from ctxforge.llm.common import all_columns, documents, forget, materialize, quoted, sent_if_small, small_batches
 from ctxforge.llm.vptree import Forest, components, links
 
 #: Odd multipliers that derive further 64-bit hashes of a shingle from the first.
@@ -71,7 +71,9 @@ def classes(groups: DataFrame, edges: DataFrame) -> DataFrame:
     least = materialize(joined.groupBy("label").agg(F.min("rep").alias("component_id")), "labels")
     linked = joined.join(least, "label").select(F.col("v").alias("key"), "component_id")
     found = groups.join(linked, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
-    return materialize(found, "classes")
+    found = materialize(found, "classes")
+    forget(labels, joined, least)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, radius: int = 2) -> DataFrame:
@@ -84,10 +86,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: Two sets resemble each other if they share this part, 4 / 5, of what either holds. Of HASHES least hashes a set has BANDS
-#: bands of ROWS; a pair at 4 / 5 shares no band once in 20,000. Their lowest bits are a sketch: a pair at 4 / 5 differs in
-#: 13 of its bits on average, in more than SKETCH_BITS once in 50,000.
-PART, BANDS, ROWS, HASHES, SKETCH_BITS = (4, 5), 25, 5, 128, 28
-_SKETCH = "doc_id long, mark long, key long, n int, low long, high long, bands array<long>, shingles binary"
+#: bands of ROWS; a pair at 4 / 5 shares no band once in 20,000. Their lowest bits are a mark, their lowest four bits a sketch: a
+#: pair at 4 / 5 differs in 13 bits and 24 places on average, in more than MARK_BITS or SKETCH_PLACES once in 50,000.
+PART, BANDS, ROWS, HASHES, MARK_BITS, SKETCH_PLACES = (4, 5), 25, 5, 128, 28, 43
+#: Pairs that a bucket may name for each of its sets; a bucket with more is compared as a whole.
+PAIRS_PER_SET = 8
+_SKETCH = "doc_id long, mark long, key long, n int, low long, high long, sketch binary, bands array<long>"
 
 
 def least_hashes(shingles: np.ndarray) -> np.ndarray:
@@ -100,47 +104,73 @@ def least_hashes(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(quoted(text_col))
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("text"))
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's set of five-word shingles as sorted hashes, with mark (a hash of its text), key (the set's digest), size
-    n, sketch and band codes."""
+    """Each row's mark (a hash of its text) and, of its set of five-word shingles, key (a digest), size n, lowest bits and
+    places of its least hashes, and band codes. The sets themselves are not kept."""
     small_batches(docs.sparkSession, 200)
 
     def scan(batches):
         for batch in batches:
             sets = [np.unique(shingle_hashes(t, 5)) for t in batch.column(2).to_pylist()]
             least = np.array([least_hashes(s) for s in sets], np.uint64).reshape(-1, HASHES)
-            bits = np.packbits((least >> np.uint64(32) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+            nibbles = (least >> np.uint64(32)).astype(np.uint8) & np.uint8(15)
+            bits = np.packbits(nibbles & np.uint8(1), axis=1).view(np.int64)
             codes = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(LANES[1]), (len(sets), 1))
             for r in range(ROWS):
                 codes = (codes ^ least[:, r * BANDS : (r + 1) * BANDS]) * np.uint64(LANES[2])
                 codes ^= codes >> np.uint64(29)
-            held = [s.tobytes() for s in sets]
-            keys = np.array([xxhash.xxh3_64_intdigest(h) for h in held], np.uint64).view(np.int64)
+            keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             yield pa.record_batch({
                 "doc_id": batch.column(0), "mark": batch.column(1), "key": pa.array(keys), "n": pa.array(np.array([len(s) for s in sets], np.int32)), "low": pa.array(bits[:, 0]), "high": pa.array(bits[:, 1]),
-                "bands": pa.array(codes.view(np.int64).tolist(), pa.list_(pa.int64())), "shingles": pa.array(held, pa.binary()),
+                "sketch": pa.array([(x[0::2] << 4 | x[1::2]).tobytes() for x in nibbles], pa.binary()), "bands": pa.array(codes.view(np.int64).tolist(), pa.list_(pa.int64())),
             })
 
-    text = F.col(quoted(text_col))
-    own = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("text"))
-    return own.mapInArrow(scan, _SKETCH)
+    return _rows(docs, id_col, text_col).mapInArrow(scan, _SKETCH)
 
 
 def _may_resemble(a: str, b: str):
-    """Sizes allow a resemblance of PART and the sketches do not speak against it."""
+    """Sizes allow a resemblance of PART and the marks do not speak against it."""
     fit = (F.col(f"{a}.n") * PART[1] >= F.col(f"{b}.n") * PART[0]) & (F.col(f"{b}.n") * PART[1] >= F.col(f"{a}.n") * PART[0])
     apart = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in ("low", "high")), F.lit(0))
-    return fit & (apart <= SKETCH_BITS)
+    return fit & (apart <= MARK_BITS)
+
+
+def places_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many places two sketches, rows of 64 bytes, differ."""
+    differ = x ^ y
+    return ((differ & 15) > 0).sum(-1) + (differ > 15).sum(-1)
 
 
-def _sets(keys: DataFrame, prints: DataFrame) -> DataFrame:
-    return materialize(prints.select("key", "shingles").join(keys, "key", "left_semi").dropDuplicates(["key"]), "shingles")
+class Sets:
+    """Shingle sets of keys, made from the text of one document of each."""
 
+    def __init__(self, docs: DataFrame, groups: DataFrame, id_col: str, text_col: str):
+        self.rows, self.groups = _rows(docs, id_col, text_col), groups
 
-def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose shingle sets resemble each other, by the sets themselves."""
-    sets = _sets(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), prints)
-    left, right = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
+    def of(self, keys: DataFrame) -> DataFrame:
+        def scan(batches):
+            for batch in batches:
+                sets = [np.unique(shingle_hashes(t, 5)).tobytes() for t in batch.column(1).to_pylist()]
+                yield pa.record_batch({"key": batch.column(0), "shingles": pa.array(sets, pa.binary())})
+
+        wanted = materialize(keys.join(self.groups.select("key", "rep"), "key").select("key", F.col("rep.doc_id").alias("_i"), F.col("rep.mark").alias("_m")), "wanted")
+        found = self.rows.join(sent_if_small(wanted, 64), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("mark") == F.col("_m")))
+        # A row may be repeated.
+        return materialize(found.select("key", "text").mapInArrow(scan, "key long, shingles binary").dropDuplicates(["key"]), "shingles")
+
+
+def verified(pairs: DataFrame, sets: Sets) -> DataFrame:
+    """The pairs (a, b) of keys whose shingle sets resemble each other: by their sketches, then by the sets themselves."""
+
+    def alike(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES // 2) for i in (2, 3))
+            yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(places_apart(x, y) <= SKETCH_PLACES))
 
     def check(batches):
         for batch in batches:
@@ -151,8 +181,31 @@ def verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
                 good.append(PART[1] * both >= PART[0] * (len(x) + len(y) - both))
             yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(good, pa.bool_()))
 
-    joined = materialize(pairs.join(left, "a"), "pairs").join(right, "b").select("a", "b", "sa", "sb")
-    return materialize(joined.mapInArrow(check, "a long, b long"), "verified")
+    left, right = (sets.groups.select(F.col("key").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    near = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"), "alike")
+    own = sets.of(near.select(F.col("a").alias("key")).union(near.select("b")).distinct())
+    left, right = (own.select(F.col("key").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
+    joined = near.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    found = materialize(joined.mapInArrow(check, "a long, b long"), "verified")
+    forget(near, own)
+    return found
+
+
+def _named(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The bucket's pairs (a, b) of different components whose sizes and sketches allow a resemblance; if they are more than
+    PAIRS_PER_SET times its sets, (code, null), for a comparison of the whole bucket."""
+    key, size, label = pdf["key"].to_numpy(), pdf["n"].to_numpy(np.int64), pdf["label"].to_numpy()
+    sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+    a, b, many = [], [], 0
+    for r in range(len(pdf) - 1):
+        rest = r + 1 + np.flatnonzero((label[r + 1 :] != label[r]) & (PART[1] * size[r + 1 :] >= PART[0] * size[r]) & (PART[1] * size[r] >= PART[0] * size[r + 1 :]))
+        rest = rest[places_apart(sketch[rest], sketch[r]) <= SKETCH_PLACES]
+        many += len(rest)
+        if many > PAIRS_PER_SET * len(pdf):
+            return pd.DataFrame({"a": pd.array([pdf["code"].iloc[0]], "Int64"), "b": pd.array([None], "Int64")})
+        a.append(np.minimum(key[rest], key[r]))
+        b.append(np.maximum(key[rest], key[r]))
+    return pd.DataFrame({"a": pd.array(np.concatenate(a), "Int64"), "b": pd.array(np.concatenate(b), "Int64")})
 
 
 def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -185,7 +238,7 @@ def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
 def resembling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for a resemblance of 0.8 or more between sets of five-word shingles."""
     prints = materialize(sketches(docs, id_col, text_col), "sketches")
-    return prints.select("doc_id", "key").join(classes_of(prints), "key").select("doc_id", F.col("component_id.doc_id").alias("component_id"))
+    return prints.select("doc_id", "key").join(classes_of(prints, docs, id_col, text_col), "key").select("doc_id", F.col("component_id.doc_id").alias("component_id"))
 
 
 def _place():
@@ -193,28 +246,43 @@ def _place():
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("mark"))
 
 
-def classes_of(prints: DataFrame) -> DataFrame:
-    """(key, component_id) for each set of sketches(); component_id is the place of the class's first document.
+def classes_of(prints: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, component_id) for each set of sketches(docs); component_id is the place of the class's first document.
 
     Sets that share a band of least hashes are candidates, and each link is checked on the sets. First each set of a
-    bucket is held against one of the bucket; then buckets that still hold more than one component get their
-    sets, and all pairs of different components are compared in the task, which gives a spanning forest."""
-    rest = F.first(F.struct("n", "low", "high", "bands")).alias("s")
+    bucket is held against one of the bucket. Buckets that still hold more than one component then name their
+    pairs of different components, and these are checked; a bucket of too many gets its sets, and all its pairs of different
+    components are compared in the task, which gives a spanning forest."""
+    rest = F.first(F.struct("n", "low", "high", "sketch", "bands")).alias("s")
     groups = materialize(prints.groupBy("key").agg(F.min(_place()).alias("rep"), rest).select("key", "rep", "s.*"), "sketch-groups")
+    sets = Sets(docs, groups, id_col, text_col)
     points = groups.select(F.struct("key", "n", "low", "high").alias("p"), F.explode("bands").alias("code"))
     hubs = materialize(points.groupBy("code").agg(F.min(F.struct(F.xxhash64("p.key", "code").alias("turn"), "p")).alias("m"), F.count(F.lit(1)).alias("many")).where("many > 1").select("code", F.col("m.p").alias("hub")), "hubs")
     found = points.join(hubs, "code").where((F.col("p.key") != F.col("hub.key")) & _may_resemble("p", "hub"))
-    tried = materialize(found.select(F.col("p.key").alias("a"), F.col("hub.key").alias("b")).distinct(), "tried")
-    first = verified(tried, prints)
+    ends = F.least("p.key", "hub.key").alias("a"), F.greatest("p.key", "hub.key").alias("b")
+    tried = materialize(found.select(*ends).distinct(), "tried")
+    first = verified(tried, sets)
 
     marked = groups.join(components(first).withColumnRenamed("v", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    marked = materialize(marked.select("key", "label", "bands"), "marked")
-    points = marked.select(F.struct("key", "label").alias("p"), F.explode("bands").alias("code"))
-    mixed = points.groupBy("code").agg(F.min("p.label").alias("least"), F.max("p.label").alias("most")).where("least <> most").select("code")
-    own = materialize(points.join(materialize(mixed, "mixed"), "code", "left_semi").select("code", "p.key", "p.label"), "mixed-points")
-    with_sets = own.join(_sets(own.select("key").distinct(), prints), "key")
+    marked = materialize(marked.select("key", "label", "n", "low", "high", "sketch", "bands"), "marked")
+    points = marked.select(F.struct("key", "n", "low", "high").alias("p"), "label", F.explode("bands").alias("code"))
+    ranges = points.groupBy("code").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("many"))
+    mixed = materialize(ranges.where("least <> most").select("code", "many"), "mixed")
+    mixed_points = materialize(points.join(mixed, "code").select("code", "p", "label", "many"), "mixed-points")
+    # A bucket of so few sets has no more pairs than it may name.
+    small = mixed_points.where(F.col("many") <= 2 * PAIRS_PER_SET)
+    other = small.select("code", F.col("p").alias("q"), F.col("label").alias("other"))
+    pairs = small.join(other, "code").where((F.col("p.key") < F.col("q.key")) & (F.col("label") != F.col("other")) & _may_resemble("p", "q"))
+    own = mixed_points.where(F.col("many") > 2 * PAIRS_PER_SET).select("code", "p.key", "label")
+    large = own.join(marked.select("key", "n", "sketch"), "key").groupBy("code").applyInPandas(_named, "a long, b long")
+    named = materialize(pairs.select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).union(large).distinct(), "named")
+    second = verified(named.where("b IS NOT NULL").join(tried, ["a", "b"], "left_anti"), sets)
+    dense = own.join(named.where("b IS NULL").select(F.col("a").alias("code")), "code", "left_semi").select("code", "key", "label")
+    with_sets = dense.join(sets.of(dense.select("key").distinct()), "key")
     more = materialize(with_sets.select("code", "key", "label", "shingles").groupBy("code").applyInPandas(_linked, "a long, b long"), "more")
-    return classes(groups.select("key", "rep"), first.union(more))
+    out = classes(groups.select("key", "rep"), first.union(second).union(more))
+    forget(groups, hubs, tried, first, marked, mixed, mixed_points, named, second, more)
+    return out
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,10 +294,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     none = F.col(quoted(id_col)).isNull()
     keyed = docs.select(F.struct(*all_columns(docs)).alias("_row"), F.col(quoted(id_col)).cast("long").alias("_id"), F.xxhash64(F.col(quoted(text_col))).alias("_mark"))
     prints = materialize(sketches(docs.where(~none), id_col, text_col), "sketches")
-    rows = prints.groupBy("key", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).join(classes_of(prints), "key")
+    rows = prints.groupBy("key", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).join(classes_of(prints, docs.where(~none), id_col, text_col), "key")
     judged = rows.select("doc_id", "mark", "n", (_place() == F.col("component_id")).alias("stays"))
     # Rows to drop, and rows that stay once though they are repeated.
     odd = materialize(judged.where("NOT stays OR n > 1").select(F.col("doc_id").alias("_i"), F.col("mark").alias("_m"), F.col("stays").alias("_once")), "near-odd")
+    forget(prints)
     both = keyed.join(sent_if_small(odd, 64), (F.col("_id") == F.col("_i")) & (F.col("_mark") == F.col("_m")), "left")
     kept = both.where(F.col("_once").isNull())
     if not odd.where("_once").isEmpty():
