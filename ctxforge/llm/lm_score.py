@@ -2,29 +2,32 @@
 
 Text is coded byte by byte (UTF-8, A-Z lowered, byte 255 as the end). A byte becomes a few binary
 decisions by a Huffman code that depends on the byte before; each decision is predicted by counts under
-several hashed contexts (the last bytes, in more than one length) and by the exact counts of the previous
-byte alone. The predictions' logits are added with weights that a gate chooses by the longest context seen
-in training, and a scale and offset refine the sum. Weights, scale and offset adapt online while a text is
-read: after each block of bytes, by the gradient of its code length, so a block is predicted from earlier
-ones only. Every text starts from the same state; its score depends on the text and the training
-counts alone. The sum of log10 probabilities of all decisions is the text's score, and total bits per byte
-follow from it.
-
-Training counts are exact sums over all training texts, in hash tables of a fixed number of slots, so the
-finished model has a proven size (a byte for each slot of ORDERS) and is broadcast. What is
-gathered to make it, sparse partial tables of every task, grows with the corpus and is merged as a stream.
+four hashed contexts (the last 2, 3, 4 and 6 bytes) and by the exact counts of the previous byte alone. The
+predictions' logits are added with weights that a gate chooses by the longest context seen in training, and a
+scale and offset refine the sum. Weights, scale and offset adapt online while a text is read: after each block
+of bytes, by the gradient of its code length, so a block is predicted from earlier ones only. Every text starts
+from the same state; its score depends on the text and the training counts alone. The sum of log10 probabilities
+of all decisions is the text's score, and total bits per byte follow from it.
+
+Training counts are exact sums over all training texts for 31-bit hashes of context and decision. Tasks sort what
+they count and write it by ranges of hashes; partial counts are summed in two steps, groups of tasks first. The finished
+model is a table for each context length with twice as many slots as hashes were seen, up to 2 ** MOST_BITS, so its
+size has a proven bound (64 MB in all) and it is broadcast; a slot holds eight more bits of the hash, so that a context
+that training did not see reads as unseen, and goes to the most frequent of the hashes that want it.
 
 The base score needs a count for each distinct token, which has no such bound: each chunk of texts asks for
-the counts of its distinct tokens once, requests are dealt by token hash, and replies go back to the chunk.
+the counts of its distinct tokens once, requests are dealt by token hash into buckets whose number grows with the
+corpus, and replies go back to the chunk.
 
-Edge cases: null texts are empty and score their end alone; ids may be null; repeated (id, text) rows get the
-same scores; without training rows every count is zero (base score: log10 of 1 for each token; the model
-predicts evenly); empty tables give no rows; other columns are not read.
+Edge cases: null texts are empty and score their end alone; ids may be null or of any size; repeated (id, text) rows
+get the same scores; without training rows every count is zero (base score: log10 of 1 for each token; the model
+predicts evenly); texts of any length are read in segments; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections import defaultdict
 from types import SimpleNamespace
 
@@ -38,18 +41,19 @@ from pyspark.sql import functions as F
 
 from ctxforge.llm.common import crc_mod, documents, fresh_path, materialize, shuffle_partitions, small_batches
 
-#: Context lengths in bytes, beside the previous byte alone, and the binary logarithm of their tables' slots.
-ORDERS = {3: 20, 5: 22}
-#: Counts (two for each slot) in a part of a table; places within a part take two bytes.
-PART = 1 << 16
+#: Context lengths in bytes, beside the previous byte alone.
+ORDERS = (2, 3, 4, 6)
+#: Bits of the hash of a context and a decision; binary logarithm of a table's slots; and of the ranges of hashes that are
+#: merged as one.
+HASH_BITS, LEAST_BITS, MOST_BITS, RANGE_BITS = 31, 16, 23, 8
 END, PAD = 0xFF, b"\xff" * 8
-#: Bytes of text in a chunk of token requests, and handled at once by the bit model; decisions that wait to be
-#: counted together.
-CHUNK, PIECE, WAITING = 8 << 20, 1 << 19, 6 << 20
 #: Bytes between two updates of the weights; learning rates of weights, and of scale and offset.
 BLOCK, RATE, SCALE_RATE = 96, 0.003, 0.001
+#: Bytes of text in a chunk of token requests, and handled at once by the bit model (a number of blocks); distinct counts that
+#: wait in a task before they are summed, and that it holds at most; tasks merged at once; bytes of text for a bucket of requests.
+CHUNK, PIECE, WAITING, HELD, TASKS, BUCKET = 8 << 20, 5400 * BLOCK, 6 << 20, 4 << 20, 64, 64 << 20
 #: First weights: row g holds when the g-th hashed context is the longest seen in training.
-WEIGHTS = ((1.0, 0.0, 0.0), (0.3, 0.7, 0.0), (0.1, 0.4, 0.6))
+WEIGHTS = ((1.0, 0.0, 0.0, 0.0, 0.0), (0.2, 0.8, 0.0, 0.0, 0.0), (0.0, 0.3, 0.7, 0.0, 0.0), (0.0, 0.1, 0.3, 0.6, 0.0), (0.0, 0.0, 0.1, 0.3, 0.7))
 #: Logits are kept as sixteenths in a byte; PRIOR is added to both counts of a decision.
 STEP, PRIOR = 16.0, 0.4
 
@@ -81,12 +85,20 @@ def byte_code(pairs: np.ndarray) -> SimpleNamespace:
     return SimpleNamespace(length=length.astype(np.int32), start=start.astype(np.int32), salt=(np.array(nodes, np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(1)).astype(np.int32), bit=np.array(bits, np.uint8), logit=np.array(logits, np.float32))
 
 
-def laid_out(texts: list[bytes]):
-    """Bytes of all texts, each between PAD and END, and the places of the bytes to code."""
-    data = np.frombuffer(b"".join([PAD + t + b"\xff" for t in texts]), np.uint8)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+def segments(text: bytes) -> list[tuple[bytes, bytes]]:
+    """(bytes in front, bytes to code) of a text, PIECE bytes at a time, its end as the last byte."""
+    whole = text + b"\xff"
+    return [((PAD + whole[max(0, at - len(PAD)) : at])[-len(PAD) :], whole[at : at + PIECE]) for at in range(0, len(whole), PIECE)]
+
+
+def laid_out(parts: list[tuple[bytes, bytes]]):
+    """Bytes of all segments, each behind those in front of it, the places of the bytes to code, where each segment
+    begins and its size."""
+    data = np.frombuffer(b"".join([x for p in parts for x in p]), np.uint8)
+    sizes = np.fromiter((len(own) for _, own in parts), np.int64, len(parts))
     first = np.cumsum(sizes + len(PAD)) - sizes
-    return data, first, sizes
+    place = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    return data, place, first, sizes
 
 
 def decisions(code: SimpleNamespace, data: np.ndarray, place: np.ndarray):
@@ -105,25 +117,58 @@ def contexts(data: np.ndarray, place: np.ndarray, length: np.ndarray):
     """For each context length, the hash of every decision's context."""
     # The eight bytes before each place as one number, the latest on top.
     window = np.ndarray((len(data) - 7,), np.uint64, data.tobytes(), strides=(1,))[place - 8]
-    for order, bits in ORDERS.items():
+    for order in ORDERS:
         h = window >> np.uint64(64 - 8 * order)
         h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        h >>= np.uint64(64 - bits)
-        yield np.repeat(h.astype(np.int32), length), bits
+        h >>= np.uint64(64 - HASH_BITS)
+        yield np.repeat(h.astype(np.int32), length)
 
 
-def in_pieces(texts: list[bytes], most: int = PIECE):
-    """Ranges of texts of about most bytes each; a longer text stands alone."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
+def in_pieces(sizes: list[int], most: int = PIECE):
+    """Ranges of texts or segments of about most bytes each."""
+    first, total = 0, 0
+    for i, size in enumerate(sizes):
+        if total and total + size > most:
             yield first, i
-            first, size = i, 0
-        size += len(t) + len(PAD)
-    if first < len(texts):
-        yield first, len(texts)
+            first, total = i, 0
+        total += size + len(PAD)
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def runs(ordered: np.ndarray, n: np.ndarray | None = None):
+    """Distinct values of a sorted array, and how often each occurs or the sum of its n."""
+    if not len(ordered):
+        return ordered, np.zeros(0, np.int64)
+    at = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1])
+    return ordered[at], np.diff(np.append(at, len(ordered))) if n is None else np.add.reduceat(n, at)
+
+
+def summed(some: list[tuple[np.ndarray, np.ndarray]]):
+    """One sorted array of keys with their counts from several."""
+    if not some:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    if len(some) == 1:
+        return some[0]
+    keys, n = (np.concatenate(x) for x in zip(*some))
+    order = np.argsort(keys, kind="stable")
+    return runs(keys[order], n[order])
+
+
+def packed(keys: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """Keys of one range as three bytes each, by place, and counts as one byte each, with those from 255 on behind."""
+    few = n < 255
+    return (keys & np.uint32(0xFFFF)).astype(np.uint16).tobytes() + (keys >> np.uint32(16)).astype(np.uint8).tobytes(), np.where(few, n, 255).astype(np.uint8).tobytes() + n[~few].astype(np.int64).tobytes()
+
+
+def unpacked(p1: bytes, p2: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = len(p1) // 3
+    keys = np.frombuffer(p1, np.uint16, size).astype(np.uint32) | np.frombuffer(p1, np.uint8, size, 2 * size).astype(np.uint32) << np.uint32(16)
+    n = np.frombuffer(p2, np.uint8, size).astype(np.int64)
+    n[n == 255] = np.frombuffer(p2[size:], np.int64)
+    return keys, n
 
 
 def pair_counts(docs: DataFrame) -> np.ndarray:
@@ -132,13 +177,9 @@ def pair_counts(docs: DataFrame) -> np.ndarray:
     def scan(batches):
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            texts = [(t or b"").lower() for t in batch.column(0).to_pylist()]
-            for a, b in in_pieces(texts):
-                data, first, sizes = laid_out(texts[a:b])
-                here = np.ones(len(data), bool)
-                for back in range(1, len(PAD) + 1):
-                    here[first - back] = False
-                place = np.flatnonzero(here)
+            parts = [p for t in batch.column(0).to_pylist() for p in segments((t or b"").lower())]
+            for a, b in in_pieces([len(own) for _, own in parts]):
+                data, place, _, _ = laid_out(parts[a:b])
                 total += np.bincount(data[place - 1].astype(np.int64) << 8 | data[place], minlength=1 << 16)
         rows = total.reshape(256, 256)
         used = np.flatnonzero(rows.any(1))
@@ -152,15 +193,26 @@ def pair_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def decision_keys(coder: SimpleNamespace, parts: list[tuple[bytes, bytes]]):
+    """For each context length, a key for every decision: its hash with the context, and its bit."""
+    data, place, _, _ = laid_out(parts)
+    flat, length = decisions(coder, data, place)
+    salt, bit = coder.salt[flat], coder.bit[flat]
+    for context in contexts(data, place, length):
+        context ^= salt
+        keys = context.view(np.uint32)
+        keys <<= np.uint32(1)
+        keys |= bit
+        yield keys
+
+
 def gather(docs: DataFrame, code, buckets: int) -> dict[str, DataFrame]:
-    """One pass over all texts: sparse partial tables of training decisions (kind 0), requests for token
+    """One pass over all texts: sparse partial counts of training decisions (kind 0), requests for token
     counts (1) and the chunks that will use the replies (2)."""
 
     def scan(batches):
         coder = code.value
-        tables = [np.zeros(2 << bits, np.int32) for bits in ORDERS.values()]
-        waiting = [np.empty(WAITING, np.int32) for _ in ORDERS]
-        filled = 0
+        waiting: list[list] = [[] for _ in ORDERS]
         held: list = []
         task, chunks, size = TaskContext.get().partitionId(), 0, 0
 
@@ -169,31 +221,25 @@ def gather(docs: DataFrame, code, buckets: int) -> dict[str, DataFrame]:
             kinds = {"kind": pa.int32(), "part": pa.int32(), "chunk": pa.string(), "p1": pa.binary(), "p2": pa.binary(), "ids": pa.list_(pa.int64()), "keys": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64())}
             return pa.record_batch({k: pa.array(columns.get(k, [None] * n), t) for k, t in kinds.items()})
 
-        def settle():
-            nonlocal filled
-            for table, places in zip(tables, waiting):
-                np.add(table, np.bincount(places[:filled], minlength=len(table)), out=table, casting="unsafe")
-            filled = 0
+        def partial(k):
+            keys, n = summed(waiting[k])
+            waiting[k] = []
+            bounds = np.searchsorted(keys, np.arange(1 << RANGE_BITS, dtype=np.uint64) << np.uint64(32 - RANGE_BITS)).tolist() + [len(keys)]
+            full = [p for p in range(1 << RANGE_BITS) if bounds[p] < bounds[p + 1]]
+            rows = [packed(keys[bounds[p] : bounds[p + 1]] & np.uint32((1 << 32 - RANGE_BITS) - 1), n[bounds[p] : bounds[p + 1]]) for p in full]
+            if rows:
+                yield record(kind=[0] * len(full), part=[k << RANGE_BITS | p for p in full], chunk=[str(task)] * len(full), p1=[r[0] for r in rows], p2=[r[1] for r in rows])
 
         def count(texts):
-            nonlocal filled
-            for a, b in in_pieces(texts):
-                data, first, sizes = laid_out(texts[a:b])
-                place = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                flat, length = decisions(coder, data, place)
-                salt = (coder.salt << 1 | coder.bit)[flat]
-                for k, (context, bits) in enumerate(contexts(data, place, length)):
-                    context <<= 1
-                    context ^= salt & ((2 << bits) - 1)
-                    at = filled
-                    for x in range(0, len(context), WAITING):
-                        some = context[x : x + WAITING]
-                        if at + len(some) > WAITING:
-                            np.add(tables[k], np.bincount(waiting[k][:at], minlength=len(tables[k])), out=tables[k], casting="unsafe")
-                            at = 0
-                        waiting[k][at : at + len(some)] = some
-                        at += len(some)
-                filled = at
+            parts = [p for t in texts for p in segments(t)]
+            for a, b in in_pieces([len(own) for _, own in parts]):
+                for k, keys in enumerate(decision_keys(coder, parts[a:b])):
+                    keys.sort()
+                    waiting[k].append(runs(keys))
+                    if sum(len(u) for u, _ in waiting[k]) > WAITING:
+                        waiting[k] = [summed(waiting[k])]
+                        if len(waiting[k][0][0]) > HELD:
+                            yield from partial(k)
 
         def chunk():
             nonlocal chunks, size
@@ -215,18 +261,19 @@ def gather(docs: DataFrame, code, buckets: int) -> dict[str, DataFrame]:
             order = np.argsort(bucket, kind="stable")
             place = np.empty(n, np.uint32)
             place[order] = np.arange(n, dtype=np.uint32)
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = [b for b in range(buckets) if bounds[b] < bounds[b + 1]]
+            full, start = np.unique(bucket[order], return_index=True)
+            bounds = np.append(start, n).tolist()
             hashes, counts = hashes[order], counts[order]
-            if full:
-                yield record(kind=[1] * len(full), part=full, chunk=[name] * len(full), p1=[hashes[bounds[b] : bounds[b + 1]].tobytes() for b in full], p2=[counts[bounds[b] : bounds[b + 1]].tobytes() for b in full])
+            if len(full):
+                ranges = list(zip(bounds, bounds[1:]))
+                yield record(kind=[1] * len(full), part=full.tolist(), chunk=[name] * len(full), p1=[hashes[a:b].tobytes() for a, b in ranges], p2=[counts[a:b].tobytes() for a, b in ranges])
             yield record(kind=[2], chunk=[name], p1=[place[local].tobytes()], ids=[[h[0] for h in held]], keys=[[h[1] for h in held]], sizes=[sizes])
             held.clear()
 
         for batch in batches:
             texts = [(t or b"").lower() for t in batch.column(3).to_pylist()]
             rows = list(zip(*(batch.column(i).to_pylist() for i in range(3)), texts))
-            count([r[3] for r in rows if r[2]])
+            yield from count([r[3] for r in rows if r[2]])
             for r in rows:
                 held.append(r)
                 size += len(r[3])
@@ -234,67 +281,96 @@ def gather(docs: DataFrame, code, buckets: int) -> dict[str, DataFrame]:
                     yield from chunk()
         if held:
             yield from chunk()
-        settle()
-        for p, own in enumerate(own for table in tables for own in table.reshape(-1, PART)):
-            at = np.flatnonzero(own)
-            if len(at):
-                n = own[at]
-                yield record(kind=[0], part=[p], p1=[at.astype(np.uint16).tobytes()], p2=[n.astype(np.uint16 if n.max() < 1 << 16 else np.int64).tobytes()])
+        for k in range(len(ORDERS)):
+            yield from partial(k)
 
     schema = "kind int, part int, chunk string, p1 binary, p2 binary, ids array<long>, keys array<long>, sizes array<long>"
     path = fresh_path(docs.sparkSession, "lm-scan")
-    docs.select("doc_id", "key", "train", "text").mapInArrow(scan, schema).write.partitionBy("kind").option("parquet.block.size", 16 << 20).parquet(path)
+    docs.select("doc_id", "key", "train", "text").mapInArrow(scan, schema).write.partitionBy("kind").option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(path)
     rest = "part int, chunk string, p1 binary, p2 binary, ids array<long>, keys array<long>, sizes array<long>, kind int"
     found = docs.sparkSession.read.schema(rest).parquet(path)
     return {name: found.where(F.col("kind") == k).drop("kind") for k, name in enumerate(("tables", "requests", "chunks"))}
 
 
-def merged_tables(tables: DataFrame) -> list[np.ndarray]:
-    """Logit of a decision's one in each slot, from the sums of all partial tables."""
-    spark = tables.sparkSession
+def merged(tables: DataFrame, groups: int | None = None) -> DataFrame:
+    """(part, p1, p2, n): a row for each range of hashes, from the partial counts of all tasks. Groups of tasks are summed
+    first, so what a task reads does not grow with the corpus beyond the distinct hashes of its range."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        some, held = [], 0
+        for p1, p2 in zip(table["p1"], table["p2"]):
+            some.append(unpacked(p1.as_py(), p2.as_py()))
+            held += len(some[-1][0])
+            if held > WAITING:
+                some = [summed(some)]
+                held = len(some[0][0])
+        keys, n = summed(some)
+        p1, p2 = packed(keys, n)
+        return pa.table({"part": table["part"][:1], "p1": pa.array([p1], pa.binary()), "p2": pa.array([p2], pa.binary()), "n": pa.array([len(keys)], pa.int64())})
+
+    schema = "part int, p1 binary, p2 binary, n long"
+    groups = groups or max(1, -(-tables.count() // (TASKS * len(ORDERS) << RANGE_BITS)))
+    while groups > 1:
+        dealt = tables.select("part", "p1", "p2", F.pmod(F.xxhash64("p1"), F.lit(groups)).alias("g"))
+        tables = materialize(dealt.groupBy("part", "g").applyInArrow(merge, schema), "lm-sums")
+        groups = -(-groups // TASKS) if groups > TASKS else 1
+    return materialize(tables.select("part", "p1", "p2").groupBy("part").applyInArrow(merge, schema), "lm-counts")
+
+
+def table_of(keys: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
+    """Slots of a range of hashes: eight bits that check the hash, and its logit; 0 for none. keys: hash and bit, sorted."""
+    h, at = np.unique(keys >> np.uint32(1), return_inverse=True)
+    zero, one = (np.bincount(at[(keys & np.uint32(1)) == b], n[(keys & np.uint32(1)) == b], minlength=len(h)) for b in (0, 1))
+    slot = (h >> np.uint32(HASH_BITS - bits)).astype(np.int64)
+    order = np.lexsort((h, -(zero + one), slot))
+    slot, first = np.unique(slot[order], return_index=True)
+    best = order[first]
+    logit = np.clip(np.rint(STEP * np.log((one[best] + PRIOR) / (zero[best] + PRIOR))), -127, 127).astype(np.int64)
+    out = np.zeros(1 << bits - RANGE_BITS, np.uint16)
+    out[slot] = (h[best] >> np.uint32(HASH_BITS - 8 - bits) & np.uint32(255)).astype(np.int64) << 8 | logit + 128
+    return out
 
-    def scan(batches):
-        current, total = None, None
 
-        def row():
-            zero, one = total[0::2], total[1::2]
-            logit = np.rint(STEP * np.log((one + PRIOR) / (zero + PRIOR)))
-            # A seen decision never reads as an unseen one.
-            logit = np.where((logit == 0) & (zero + one > 0), 1, logit)
-            return pa.record_batch({"part": pa.array([current], pa.int32()), "logits": pa.array([np.clip(logit, -127, 127).astype(np.int8).tobytes()], pa.binary())})
+def finished_tables(counts: DataFrame) -> list[np.ndarray]:
+    """The model's tables; twice as many slots as there are hashes, within bounds."""
+    sizes = {r["k"]: r["n"] for r in counts.groupBy(F.shiftright("part", RANGE_BITS).alias("k")).agg(F.sum("n").alias("n")).collect()}
+    bits = [min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, 2 * sizes.get(k, 0)))))) for k in range(len(ORDERS))]
 
-        for batch in batches:
-            for part, at, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if part != current:
-                    if current is not None:
-                        yield row()
-                    current, total = part, np.zeros(PART, np.int64)
-                at = np.frombuffer(at, np.uint16)
-                total[at] += np.frombuffer(n, np.uint16 if len(n) == 2 * len(at) else np.int64)
-        if current is not None:
-            yield row()
-
-    dealt = tables.select("part", "p1", "p2").repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part")
-    half, sizes = PART // 2, [1 << bits for bits in ORDERS.values()]
-    out = np.zeros(sum(sizes), np.int8)
-    for r in dealt.mapInArrow(scan, "part int, logits binary").collect():  # a byte for each slot at most
-        out[r["part"] * half : (r["part"] + 1) * half] = np.frombuffer(r["logits"], np.int8)
-    return np.split(out, np.cumsum(sizes)[:-1])
+    def build(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        slots = table_of(*unpacked(table["p1"][0].as_py(), table["p2"][0].as_py()), bits[part >> RANGE_BITS])
+        return pa.table({"part": pa.array([part], pa.int32()), "slots": pa.array([slots.tobytes()], pa.binary())})
+
+    out = [np.zeros(1 << b, np.uint16) for b in bits]
+    for r in counts.select("part", "p1", "p2").groupBy("part").applyInArrow(build, "part int, slots binary").collect():  # two bytes for each slot
+        k, p = r["part"] >> RANGE_BITS, r["part"] & (1 << RANGE_BITS) - 1
+        step = len(out[k]) >> RANGE_BITS
+        out[k][p * step : (p + 1) * step] = np.frombuffer(r["slots"], np.uint16)
+    return out
 
 
 def score_texts(texts: list[bytes], code: SimpleNamespace, tables: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each text, its end included."""
     out = np.zeros(len(texts))
     by_size = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-    ordered = [texts[i] for i in by_size]
-    for a, b in in_pieces(ordered):
-        out[by_size[a:b]] = _score_piece(ordered[a:b], code, tables)
+    short = [i for i in by_size if len(texts[i]) < PIECE]
+    for a, b in in_pieces([len(texts[i]) for i in short]):
+        out[short[a:b]] = _score_piece([segments(texts[i])[0] for i in short[a:b]], code, tables, first_state(b - a))
+    for i in by_size[len(short) :]:
+        state = first_state(1)
+        out[i] = sum(_score_piece([part], code, tables, state)[0] for part in segments(texts[i]))
     return out
 
 
-def _score_piece(texts: list[bytes], code: SimpleNamespace, tables: list[np.ndarray]) -> np.ndarray:
-    data, first, sizes = laid_out(texts)
-    n = len(texts)
+def first_state(n: int) -> SimpleNamespace:
+    """Weights, scale and offset of n texts that were not read yet."""
+    return SimpleNamespace(weights=np.tile(np.array(WEIGHTS, np.float32)[None], (n, 1, 1)), scale=np.ones(n, np.float32), offset=np.zeros(n, np.float32))
+
+
+def _score_piece(parts: list[tuple[bytes, bytes]], code: SimpleNamespace, tables: list[np.ndarray], state: SimpleNamespace) -> np.ndarray:
+    """log10 probability of each segment; the state is carried on to the texts' next ones."""
+    data, _, first, sizes = laid_out(parts)
+    n = len(parts)
     # Blocks of all texts, ordered by number within the text, then by text.
     blocks = -(-sizes // BLOCK)
     text = np.repeat(np.arange(n), blocks)
@@ -308,18 +384,23 @@ def _score_piece(texts: list[bytes], code: SimpleNamespace, tables: list[np.ndar
     sign = code.bit[flat].astype(np.float32) * 2 - 1
     inputs, gate = [code.logit[flat]], np.zeros(len(flat), np.int32)
     salt = code.salt[flat]
-    for k, (context, bits) in enumerate(contexts(data, place, length)):
-        context ^= salt & ((1 << bits) - 1)
-        logit = tables[k][context]
-        inputs.append(logit * np.float32(1 / STEP))
-        gate[logit != 0] = k + 1
+    for k, hashed in enumerate(contexts(data, place, length)):
+        hashed ^= salt
+        bits = len(tables[k]).bit_length() - 1
+        entry = tables[k][hashed >> (HASH_BITS - bits)].astype(np.int32)
+        hashed >>= HASH_BITS - 8 - bits
+        hashed &= 255
+        seen = (entry >> 8 == hashed) & (entry > 0)
+        gate[seen] = k + 1
+        entry &= 255
+        entry -= 128
+        entry *= seen
+        inputs.append(entry.astype(np.float32) * np.float32(1 / STEP))
     # Decisions of a block are adjacent; those of all blocks of one number too.
     per_block = np.add.reduceat(length, np.cumsum(size) - size, dtype=np.int64)
     ends = np.cumsum(per_block)
     steps = np.searchsorted(number, np.arange(number[-1] + 2))
-    gates = len(WEIGHTS)
-    weights = np.tile(np.array(WEIGHTS, np.float32)[None], (n, 1, 1))
-    scale, offset, total = np.ones(n, np.float32), np.zeros(n, np.float32), np.zeros(n)
+    gates, weights, scale, offset, total = len(WEIGHTS), state.weights, state.scale, state.offset, np.zeros(n)
     for s in range(len(steps) - 1):
         x, y = steps[s], steps[s + 1]
         lo, hi = int(ends[x] - per_block[x]), int(ends[y - 1])
@@ -389,9 +470,10 @@ def lm_scores(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col
     small_batches(spark, 500)
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.coalesce(train, F.lit(False)).alias("train"), text.cast("binary").alias("text"))
-    sent_code = spark.sparkContext.broadcast(byte_code(pair_counts(own)))
-    found = gather(own, sent_code, shuffle_partitions(spark))
-    tables = spark.sparkContext.broadcast(merged_tables(found["tables"]))
+    pairs = pair_counts(own)
+    sent_code = spark.sparkContext.broadcast(byte_code(pairs))
+    found = gather(own, sent_code, max(shuffle_partitions(spark), -(-int(pairs.sum()) // BUCKET)))
+    tables = spark.sparkContext.broadcast(finished_tables(merged(found["tables"])))
     base, n_train = base_scores(found, own.where("train").count())
 
     def scan(batches):

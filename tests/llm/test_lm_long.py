@@ -12,7 +12,7 @@ def test_a_byte_more_changes_little():
     rng = np.random.default_rng(4)
     counts = np.zeros((256, 256), np.int64)
     counts[97:107, 97:107] = rng.integers(1, 30, (10, 10))
-    code, tables = byte_code(counts), [rng.integers(-40, 41, 1 << bits).astype(np.int8) for bits in ORDERS.values()]
+    code, tables = byte_code(counts), [rng.integers(0, 1 << 16, 1 << 16).astype(np.uint16) for _ in ORDERS]
     text = bytes(rng.integers(97, 107, 14_000).astype(np.uint8))
     sizes = [11_900, 11_998, 11_999, 12_000, 12_001, 12_100]
     scores = score_texts([text[:n] for n in sizes], code, tables)
@@ -26,3 +26,36 @@ def test_ids_of_any_size_beside_nulls(spark):
     rows = [(big, "one two"), (None, "three one"), (None, "three one"), (7, None), (-big, "two two")]
     got = lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).collect()
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
+
+
+def test_segments_of_a_long_text_are_one_text(monkeypatch):
+    rng = np.random.default_rng(8)
+    code = byte_code(rng.integers(0, 50, (256, 256)))
+    tables = [rng.integers(0, 1 << 16, 1 << 16).astype(np.uint16) for _ in ORDERS]
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (0, 95, 96, 4 * 96 - 1, 4 * 96, 4 * 96 + 1, 3000)]
+    whole = score_texts(texts, code, tables)
+    keys = [np.concatenate(k) for k in zip(*(lm_score.decision_keys(code, lm_score.segments(t)) for t in texts))]
+    monkeypatch.setattr(lm_score, "PIECE", 4 * 96)
+    assert np.allclose(score_texts(texts, code, tables), whole, rtol=1e-5)
+    cut = [np.concatenate(k) for k in zip(*(lm_score.decision_keys(code, lm_score.segments(t)) for t in texts))]
+    assert all((a == b).all() for a, b in zip(keys, cut))
+
+
+def test_partial_counts_are_exact_sums(spark, monkeypatch):
+    """Whatever is held, emitted early or merged in groups, the counts are those of all texts at once."""
+    texts = [f"text {i % 7} of the cat that sat {i % 3} times on mat {i}" for i in range(60)]
+    frame = spark.createDataFrame([(i, 0, True, bytearray(t.encode())) for i, t in enumerate(texts)], "doc_id long, key long, train boolean, text binary").repartition(5)
+    pairs = lm_score.pair_counts(frame)
+    code = byte_code(pairs)
+    want = [lm_score.runs(np.sort(k)) for k in lm_score.decision_keys(code, [p for t in texts for p in lm_score.segments(t.encode())])]
+    for held, groups in ((lm_score.HELD, 1), (100, 1), (100, 5)):
+        monkeypatch.setattr(lm_score, "HELD", held)
+        monkeypatch.setattr(lm_score, "WAITING", held)
+        monkeypatch.setattr(lm_score, "TASKS", 2)
+        found = lm_score.gather(frame, spark.sparkContext.broadcast(code), 3)
+        got: list = [[] for _ in ORDERS]
+        for r in lm_score.merged(found["tables"], groups).collect():
+            u, n = lm_score.unpacked(r["p1"], r["p2"])
+            got[r["part"] >> 8].append((u.astype(np.uint64) | np.uint64((r["part"] & 255) << 24), n))
+        for (u, n), rows in zip(want, got):
+            assert np.array_equal(np.sort(np.concatenate([x for x, _ in rows])), u) and sum(x.sum() for _, x in rows) == n.sum()

@@ -34,39 +34,96 @@ def test_lm_edges(spark):
     assert {r["train_tokens"] for r in none} == {0} and all(abs(r["base_score"]) < 1e-9 for r in none)
 
 
-def _model(texts):
+def _model(texts, bits=16):
+    """Code and tables of training texts, made without Spark."""
     pairs = np.zeros((256, 256), np.int64)
     for t in texts:
         for a, b in zip(b"\xff" + t, t + b"\xff"):
             pairs[a, b] += 1
     code = lm_score.byte_code(pairs)
-    data, first, sizes = lm_score.laid_out(texts)
-    place = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    flat, length = lm_score.decisions(code, data, place)
     tables = []
-    for context, bits in lm_score.contexts(data, place, length):
-        slot = context ^ (code.salt[flat] & ((1 << bits) - 1))
-        one, zero = (np.bincount(slot[code.bit[flat] == b], minlength=1 << bits) for b in (1, 0))
-        logit = np.rint(lm_score.STEP * np.log((one + lm_score.PRIOR) / (zero + lm_score.PRIOR)))
-        tables.append(np.clip(np.where((logit == 0) & (one + zero > 0), 1, logit), -127, 127).astype(np.int8))
+    for keys in lm_score.decision_keys(code, [p for t in texts for p in lm_score.segments(t)]):
+        u, n = lm_score.runs(np.sort(keys))
+        ranges = [(u >> 24) == p for p in range(256)]
+        tables.append(np.concatenate([lm_score.table_of(u[r] & np.uint32(0xFFFFFF), n[r], bits) for r in ranges]))
     return code, tables
 
 
 def test_model_is_a_distribution():
-    """The probabilities of all next bytes after a text, its end among them, sum to one."""
+    """Codes are complete, and the probabilities of all one-byte texts, two decisions being the same at the start, sum to one."""
     texts = [b"the cat sat on the mat", b"the dog sat", b"a cat and a dog"]
     code, tables = _model(texts)
     assert all(abs(sum(2.0 ** -code.length[p << 8 : (p + 1) << 8].astype(float)) - 1) < 1e-9 for p in (0, 97, 255))
+    # The first block of a text is predicted with the first weights, so p(a text) = p(its bytes) p(end | bytes).
     for head in (b"", b"the c", b"zz"):
-        total = 0.0
-        for b in range(256):
-            data, first, sizes = lm_score.laid_out([head + bytes([b])])
-            tail = 10.0 ** lm_score.score_texts([head + bytes([b])], code, tables)[0]
-            if b == lm_score.END:
-                continue
-            # p(head + b, end) = p(head, b) * p(end | head, b); the sum over continuations of one more byte bounds it
-            total += tail
-        assert 0 < total <= 1.0 + 1e-6
+        whole = 10.0 ** plain_score(head, code, tables, end=False)
+        total = sum(10.0 ** plain_score(head + bytes([b]), code, tables, end=False) for b in range(256))
+        assert abs(total / whole - 1) < 1e-6
+
+
+def plain_score(text, code, tables, end=True):
+    """The mixer one decision at a time, in plain Python."""
+    orders, weights, scale, offset = lm_score.ORDERS, [list(map(float, w)) for w in lm_score.WEIGHTS], 1.0, 0.0
+    whole, total, waiting = text + (b"\xff" if end else b""), 0.0, []
+    for at, byte in enumerate(whole):
+        if at and at % lm_score.BLOCK == 0:
+            # The gradient of the block's code length, taken at once.
+            d_scale = sum(miss * mixed for miss, mixed, _ in waiting)
+            d_offset = sum(miss for miss, _, _ in waiting)
+            step = [sum(miss * x[k] for miss, _, x in waiting) for k in range(len(orders) + 1)]
+            scale, offset = scale + lm_score.SCALE_RATE * d_scale, offset + lm_score.SCALE_RATE * d_offset
+            weights = [[w + lm_score.RATE * d for w, d in zip(row, step)] for row in weights]
+            waiting = []
+        before = (lm_score.PAD + whole[:at])[-8:]
+        pair = before[-1] << 8 | byte
+        for d in range(int(code.start[pair]), int(code.start[pair] + code.length[pair])):
+            inputs, gate = [float(code.logit[d])], 0
+            for k, order in enumerate(orders):
+                h = int.from_bytes(before, "little") >> (64 - 8 * order)
+                h = h * 0x9E3779B97F4A7C15 % 2**64
+                h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+                h = (h >> 33) ^ int(code.salt[d])
+                bits = len(tables[k]).bit_length() - 1
+                entry = int(tables[k][h >> (31 - bits)])
+                seen = entry > 0 and entry >> 8 == (h >> (23 - bits)) & 255
+                inputs.append(((entry & 255) - 128) / lm_score.STEP if seen else 0.0)
+                gate = k + 1 if seen else gate
+            mixed = sum(w * x for w, x in zip(weights[gate], inputs))
+            sign = 1 if code.bit[d] else -1
+            p = 1 / (1 + math.exp(-sign * (scale * mixed + offset)))
+            total += math.log10(p)
+            waiting.append(((1 - p) * sign, mixed, inputs))
+    return total
+
+
+def test_scores_equal_a_plain_mixer():
+    rng = random.Random(7)
+    words = ["the", "cat", "sat", "on", "a", "mat", "dog", "ünï", "zz9"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 120))).encode() for _ in range(24)]
+    code, tables = _model(texts[:16])
+    got = lm_score.score_texts(texts, code, tables)
+    for t, s in zip(texts, got):
+        assert abs(s - plain_score(t, code, tables)) < 1e-4 * max(1.0, abs(s))
+
+
+def test_tables_check_their_hashes():
+    rng = np.random.default_rng(5)
+    keys = np.sort(rng.integers(0, 1 << 24, 3000).astype(np.uint32))
+    u, n = lm_score.runs(keys)
+    assert lm_score.summed([(u, n), (u[:7], n[:7])])[1].sum() == n.sum() + n[:7].sum()
+    n[5] = 70_000
+    back = lm_score.unpacked(*lm_score.packed(u, n))
+    assert back[0].tolist() == u.tolist() and back[1].tolist() == n.tolist()
+    table = lm_score.table_of(u, n, 16)  # 256 slots for some 3000 hashes: the most frequent of each stays
+    best: dict = {}
+    for h in np.unique(u >> 1).tolist():
+        zero, one = (int(n[u == (h << 1 | b)].sum()) for b in (0, 1))
+        best.setdefault(h >> 15, []).append((-(zero + one), h, zero, one))
+    for slot, rows in best.items():
+        _, h, zero, one = min(rows)
+        logit = max(-127, min(127, round(lm_score.STEP * math.log((one + lm_score.PRIOR) / (zero + lm_score.PRIOR)))))
+        assert int(table[slot]) >> 8 == h >> 7 & 255 and (int(table[slot]) & 255) - 128 == logit
+    assert (table > 0).sum() == len(best)
 
 
 def test_scores_do_not_depend_on_company():
