@@ -14,7 +14,9 @@ The largest inner product becomes a nearest direction by one more coordinate tha
 to the largest norm (queries get none), which changes nothing for unit vectors.
 
 Vectors and queries are dealt by hash into blocks whose number depends on their counts alone; each pair of blocks is one
-group of a join, so no task holds more than two blocks and nothing is broadcast or collected. Equal vectors of a block
+group of a join, so no task holds more than two blocks and nothing is broadcast or collected. Where there are many
+blocks, a sixteenth of them is searched first, and the others give only what is as near as a query's results so far, so
+what is found grows with the queries and not with the pairs of blocks. Equal vectors of a block
 are one entry with all their ids, so copies do not crowd others out and their ties are exact.
 
 Edge cases: vectors that are null, zero, hold null or non-finite components, or have another dimension than
@@ -39,9 +41,9 @@ PIVOTS, PREFIX = 512, 64
 #: Vectors on which pivots and share are fitted, queries among them, their nearest that must be found, and how often.
 SAMPLE, TRIED, NEAREST, FOUND = 4096, 128, 5, 0.95
 #: Least candidates of a block.
-LEAST = 256
-#: Bytes and least rows of a block, and the number of blocks that smaller tables are dealt into.
-BLOCK_BYTES, BLOCK_ROWS, BLOCKS = 32 << 20, 2048, 48
+LEAST = 128
+#: Bytes and least rows of a block, the number of blocks that smaller tables are dealt into, and one in how many goes ahead.
+BLOCK_BYTES, BLOCK_ROWS, BLOCKS, AHEAD = 32 << 20, 512, 12, 16
 
 
 def clean_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -167,22 +169,34 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float |
     dimension = pivots.directions.shape[1] - 1
     vectors, queries = (t.where(F.size("vec") == dimension).dropDuplicates() for t in (vectors, queries))
     n_blocks, q_blocks = blocks_of(vectors.count(), dimension, BLOCKS), blocks_of(queries.count(), dimension)
-
-    def dealt(table, own, others, own_name, other_name):
-        turn = F.pmod(F.xxhash64("vec_id", "vec"), F.lit(own)).cast("int").alias(own_name)
-        return table.select("vec_id", "vec", turn, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other_name)).groupBy("block", "turn")
-
-    def matrix(table):
-        return table["vec_id"].to_numpy(), table["vec"].combine_chunks().flatten().to_numpy().reshape(-1, dimension)
+    number = lambda n: F.pmod(F.xxhash64("vec_id", "vec"), F.lit(n)).cast("int")
+    vectors, queries = vectors.withColumn("block", number(n_blocks)), queries.withColumn("turn", number(q_blocks))
 
     def search(block: pa.Table, turn: pa.Table) -> pa.Table:
-        q, i, s = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) if not len(block) or not len(turn) else nearest_in_block(*matrix(block), *matrix(turn), pivots, k, part)
-        return pa.table({"query_id": q, "vec_id": i, "score": s})
+        if not len(block) or not len(turn):
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        (ids, own), (query_ids, asked) = ((t["vec_id"].to_numpy(), t["vec"].combine_chunks().flatten().to_numpy().reshape(-1, dimension)) for t in (block, turn))
+        q, i, s = nearest_in_block(ids, own, query_ids, asked, pivots, k, part)
+        order = np.argsort(query_ids)
+        least = turn["least"].to_numpy()[order][np.searchsorted(query_ids[order], q)]
+        return pa.table({"query_id": q, "vec_id": i, "score": s}).filter(pa.array(s >= least))
+
+    def searched(first: int, last: int, asked: DataFrame, label: str) -> DataFrame:
+        left = vectors.where(F.col("block").between(first, last)).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+        right = asked.withColumn("block", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        pairs = left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn"))
+        return materialize(pairs.applyInArrow(search, "query_id long, vec_id long, score double"), label)
 
-    pairs = dealt(vectors, n_blocks, q_blocks, "block", "turn").cogroup(dealt(queries, q_blocks, n_blocks, "turn", "block"))
-    near = materialize(pairs.applyInArrow(search, "query_id long, vec_id long, score double"), "neighbours")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    ranked = lambda t: t.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # Of many blocks, some go first; what a query found there is the least that the others need to give it.
+    ahead = n_blocks if n_blocks <= BLOCKS else math.ceil(n_blocks / AHEAD)
+    near = searched(0, ahead - 1, queries.withColumn("least", F.lit(float("-inf"))), "neighbours")
+    if ahead < n_blocks:
+        least = ranked(near).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+        asked = materialize(queries.join(least, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))), "asked")
+        near = near.union(searched(ahead, n_blocks - 1, asked, "neighbours"))
+    return ranked(near).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,14 +46,17 @@ def test_recall(dimension, clusters):
 
 
 def test_partitioning_does_not_matter(spark, monkeypatch):
-    monkeypatch.setattr(P, "BLOCK_ROWS", 200)
+    monkeypatch.setattr(P, "BLOCK_ROWS", 400)
     monkeypatch.setattr(P, "BLOCK_BYTES", 40_000)
     rng = np.random.default_rng(3)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 16)))]
     rows += [(2000 + i, rows[7][1]) for i in range(200)] + [rows[40], rows[40]]  # many equal vectors, and repeated rows
     frame = P.clean_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = [sorted(map(tuple, P.nearest(f, f.where("vec_id % 20 = 0")).collect())) for f in (frame.repartition(1), frame.repartition(7))]
-    assert got[0] == got[1] and P.blocks_of(1102, 16, P.BLOCKS) > 4
+    assert got[0] == got[1] and P.blocks_of(1102, 16, P.BLOCKS) > 3
+    monkeypatch.setattr(P, "BLOCKS", 1)  # a few blocks go ahead: the same rows
+    monkeypatch.setattr(P, "AHEAD", 3)
+    assert sorted(map(tuple, P.nearest(frame, frame.where("vec_id % 20 = 0")).collect())) == got[0]
     assert all(i != q for q, _, i, _ in got[0]) and len({(q, i) for q, _, i, _ in got[0]}) == len(got[0])
     copies = [(r, i) for q, r, i, _ in got[0] if q == 2000]
     assert copies == [(1, 7), *((k + 2, 2001 + k) for k in range(19))]
