@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxforge.llm.common import documents, small_batches
+from ctxforge.llm.common import documents, per_worker, quoted, small_batches
 from ctxforge.llm.merges import MergeTable
 
 #: Fragments whose ids a worker remembers before it starts anew.
@@ -125,16 +125,17 @@ class FragmentCoder:
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids binary, decoded string): ids as little-endian u32, and the text they give back."""
+    """(doc_id, ids binary, decoded string): ids as little-endian u32, and the text they give back. path: of the vocabulary
+    file, or its public name, by which each worker finds it."""
     small_batches(docs.sparkSession, 500)
 
     def scan(batches):
-        coder = FragmentCoder(path)
+        coder = per_worker(("fragments", path), lambda: FragmentCoder(on_worker(path)))
         for batch in batches:
             ids = coder.encode_all([t or b"" for t in batch.column(1).to_pylist()])
             yield pa.record_batch({"doc_id": batch.column(0), "ids": pa.array(ids, pa.binary()), "decoded": pa.array([coder.decode(i) for i in ids], pa.string())})
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    own = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("binary").alias("text"))
     return own.mapInArrow(scan, "doc_id long, ids binary, decoded string")
 
 
@@ -144,7 +145,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def on_worker(path: str) -> str:
+    """Where this machine has a vocabulary file that is given by name; a path is taken as it is."""
+    return path if os.path.isabs(path) else tokenizer_path(path)
+
+
 def op7_bpe_forced_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = encode_decode(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    found = encode_decode(documents(spark, sf_dir), "byte_bpe_50k.json")
     count = F.floor(F.octet_length("ids") / 4).cast("long")
     return found.select("doc_id", count.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -95,6 +95,39 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     return own.mapInArrow(scan, "conv_id long, turn long, role string, text string, formatted string, loss_start long, loss_end long")
 
 
+def _in_order(formatted: DataFrame) -> DataFrame:
+    """Rows of format_conversations(), each conversation in one partition and in its order."""
+    order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
+    return formatted.repartition(shuffle_partitions(formatted.sparkSession), "conv_id").sortWithinPartitions(*order)
+
+
+def joined(formatted: DataFrame) -> DataFrame:
+    """(conv_id, formatted, loss_mask): each conversation as one text, and the ranges of code points that its loss covers.
+    A conversation is one row here; read_back() needs no such row."""
+
+    def scan(batches):
+        current, texts, mask, at = None, [], [], 0
+
+        def row():
+            return pa.record_batch({"conv_id": pa.array([current[0]], pa.int64()), "formatted": pa.array(["".join(texts)], pa.string()), "loss_mask": pa.array([mask], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
+
+        for batch in batches:
+            for conv, out, start, end in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if current != [conv]:
+                    if current is not None:
+                        yield row()
+                    current, texts, mask, at = [conv], [], [], 0
+                texts.append(out)
+                if end:
+                    mask.append({"start": at + start, "end": at + end})
+                at += len(out)
+        if current is not None:
+            yield row()
+
+    rows = _in_order(formatted).select("conv_id", "formatted", "loss_start", "loss_end")
+    return rows.mapInArrow(scan, "conv_id long, formatted string, loss_mask array<struct<start:long,end:long>>")
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests per conversation of what its output says when it is parsed."""
 
@@ -130,9 +163,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if current is not None:
             yield batch_of([row()])
 
-    order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    dealt = formatted.repartition(shuffle_partitions(formatted.sparkSession), "conv_id").sortWithinPartitions(*order)
-    return dealt.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(scan, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    rows = _in_order(formatted).select("conv_id", "formatted", "loss_start", "loss_end")
+    return rows.mapInArrow(scan, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

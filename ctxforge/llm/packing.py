@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxforge.llm.bpe import byte_alphabet, tokenizer_path
+from ctxforge.llm.bpe import byte_alphabet, on_worker
 from ctxforge.llm.common import documents, materialize, per_worker, quoted, small_batches
 from ctxforge.llm.merges import MergeTable
 
@@ -135,7 +135,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
     small_batches(docs.sparkSession, 500)
 
     def scan(batches):
-        coder = per_worker(("words", path, end_id), lambda: WordCoder(path, end_id))
+        coder = per_worker(("words", path, end_id), lambda: WordCoder(on_worker(path), end_id))
         for batch in batches:
             rows, ids = [], []
             texts = [t or b"" for t in batch.column(1).to_pylist()]
@@ -215,4 +215,4 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(pieces(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json")))
+    return pack(pieces(documents(spark, sf_dir), "word_bpe_49k.json"))

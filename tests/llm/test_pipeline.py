@@ -1,3 +1,5 @@
+import re
+
 import corpus_pipeline
 from edges import ROWS, documents, empty
 from pyspark.sql import functions as F
@@ -58,3 +60,38 @@ def test_first_stage_rejects_other_languages_only(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(extra, allowMissingColumns=True), "").collect()}
     letters = {r["doc_id"] for r in docs.where("text RLIKE '[[:alpha:]]' OR text RLIKE '\\\\p{L}'").collect()}
     assert kept == letters
+
+
+def test_near_stage_equals_all_pairs(spark):
+    """Which documents stay, against all pairs by inverted lists over the real shingle sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+    sets = []
+    for _, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    lists: dict = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            lists.setdefault(x, []).append(i)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    empty_sets = [i for i, s in enumerate(sets) if not s]
+    for i, s in enumerate(sets):
+        both: dict = {}
+        for x in s:
+            for j in lists[x]:
+                both[j] = both.get(j, 0) + 1
+        for j in [j for j, n in both.items() if 5 * n >= 4 * (len(s) + len(sets[j]) - n)] + (empty_sets if not s else []):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    first: dict = {}
+    for i, (doc, _) in enumerate(rows):
+        first[find(i)] = min(doc, first.get(find(i), doc))
+    kept = {r["doc_id"] for r in corpus_pipeline.dedup_near(spark, docs, "").select("doc_id").collect()}
+    assert kept == set(first.values()) and len(kept) < len(rows)

@@ -6,7 +6,7 @@ import re
 import pytest
 from edges import ROWS, documents, empty
 
-from ctxforge.llm.chat_format import escape, format_conversations, format_turn, parse, read_back, unescape
+from ctxforge.llm.chat_format import escape, format_conversations, format_turn, joined, parse, read_back, unescape
 from ctxforge.llm.language_id import mean_ranks, predict, profiles, with_language
 from ctxforge.llm.secrets import digest_columns, find_secrets, redact, thresholds
 
@@ -101,6 +101,11 @@ def test_random_conversations_parse_back(spark):
     whole = {}
     for r in sorted(made.collect(), key=lambda r: (str(r["conv_id"]), -1 if r["turn"] is None else r["turn"], r["role"], r["text"])):
         whole[r["conv_id"]] = whole.get(r["conv_id"], "") + r["formatted"]
+    texts = {r["conv_id"]: r for r in joined(made).collect()}
+    assert {c: r["formatted"] for c, r in texts.items()} == whole
+    for c, r in texts.items():
+        turns = parse(r["formatted"])
+        assert [(m["start"], m["end"]) for m in r["loss_mask"]] == [(a, b) for role, _, a, b in turns if role == "assistant"]
     for r in read_back(made).collect():
         turns = sorted(by[r["conv_id"]], key=lambda x: (x[0], x[1].encode(), x[2].encode()))
         assert [t[:2] for t in parse(whole[r["conv_id"]])] == [(a, b) for _, a, b in turns]
@@ -138,3 +143,53 @@ def test_language_edges(spark):
     assert len(rows) == len({r[0] for r in ROWS}) and {rows[i]["lang_pred"] for i in (2, 3, 4, 9)} == {"und"}
     assert with_language(frame, {}).where("lang_pred <> 'und'").count() == 0
     assert predict(empty(spark), profiles(empty(spark))).count() == 0
+
+
+def plain_distance(text, profiles):
+    """Out-of-place distances by loops: (language, score) of the nearest."""
+    words = re.findall(r"[^\W\d_]+", text.lower()) if text and any(c.isalpha() for c in text) else []
+    if not words:
+        return "und", 0.0
+    counts = {}
+    for w in words:
+        p = f"_{w}_"
+        for g in [*w, *(p[i : i + 2] for i in range(len(p) - 1)), *(p[i : i + 3] for i in range(len(p) - 2))]:
+            counts[g] = counts.get(g, 0) + 1
+    ranks, at = {}, 0
+    for n in sorted(set(counts.values()), reverse=True):
+        same = [g for g in counts if counts[g] == n]
+        ranks |= dict.fromkeys(same, at + (len(same) + 1) / 2)  # ties share their mean rank
+        at += len(same)
+    best = min(ranks.values())
+    own = {g: r for g, r in ranks.items() if r <= max(300, best)}
+    found = []
+    for name in sorted(profiles):
+        place = {g: i + 1 for i, g in enumerate(profiles[name])}
+        total = sum(min(400, abs(place[g] - r)) if g in place else 400 for g, r in own.items())
+        found.append((total / (400 * len(own)), name))
+    distance, name = min(found)
+    return name, 1 - distance
+
+
+def test_language_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
+    rng = random.Random(12)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs]
+    rows += [(-1 - i, "".join(rng.choice("abcdeé XYZ12_-ñ\n") for _ in range(rng.randint(0, 80))), None) for i in range(60)] + [(-100, None, "en"), (-101, "ǅ ʰ ªº", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    # Profiles by loops.
+    sums: dict = {}
+    for _, text, lang in rows:
+        if lang and text:
+            for w in re.findall(r"[^\W\d_]+", text.lower()):
+                p = f"_{w}_"
+                for g in [*w, *(p[i : i + 2] for i in range(len(p) - 1)), *(p[i : i + 3] for i in range(len(p) - 2))]:
+                    own = sums.setdefault(lang, {})
+                    own[g] = own.get(g, 0) + 1
+    want = {lang: [g for g, _ in sorted(own.items(), key=lambda x: (-x[1], x[0].encode()))[:400]] for lang, own in sums.items()}
+    found = profiles(frame)
+    assert found == want
+    for r in predict(frame, found).collect():
+        text = next(t for i, t, _ in rows if i == r["doc_id"])
+        name, score = plain_distance(text, want)
+        assert r["lang_pred"] == name and abs(r["score"] - score) < 1e-9, (text, r, name, score)
