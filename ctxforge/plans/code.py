@@ -246,9 +246,6 @@ SQL = {
     "go_symbols": _SYMBOLS + f" SELECT {_SYCOLS} FROM sy WHERE language = 'go'",
     "rust_symbols": _SYMBOLS + f" SELECT {_SYCOLS} FROM sy WHERE language = 'rust'",
     "infer_purpose": _AGG + " SELECT ord, path, purpose FROM pu",
-    "syntax_symbols": lambda s, d: K.symbol_rows(syntax.dispatch(_files(s, d))),
-    "syntax_imports": lambda s, d: K.import_rows(syntax.dispatch(_files(s, d))),
-    "compress_syntax": lambda s, d: K.compress(_files(s, d), syntax.dispatch).select("ord", "path", "parser", "purpose", "summary", "skeleton", "tokens.*"),
     "symbol_kind_summary": _AGG + " SELECT ord, coalesce(kinds, '') AS kinds FROM pu",
     "compress_file": _SKEL + f" SELECT ord, language, summary, skeleton, original, optimized, greatest(original - optimized, 0) AS saved, {_PCT.format(o='original', s='greatest(original - optimized, 0)')} AS saved_percent FROM tk",
     "parser_lang_stats": _SYMBOLS + ", c AS (SELECT f.ord, f.language, (SELECT count(*) FROM sy WHERE sy.ord = f.ord) AS ns, (SELECT count(*) FROM im WHERE im.ord = f.ord) AS ni FROM fl f) "
