@@ -335,6 +335,14 @@ def dispatch(files: DataFrame) -> DataFrame:
     return both.withColumn("parser", F.when(scanned, "syntax").otherwise("patterns")).drop("_s")
 
 
+def largest_deltas(files: DataFrame, most: int = 10) -> DataFrame:
+    """(ord, path, by_patterns, by_syntax, delta): the files where the two tiers differ most in their number of symbols."""
+    by_patterns = code.parse(files).select("ord", "path", F.size("symbols").alias("by_patterns"), parse_syntax("content", "language").alias("_s"))
+    both = by_patterns.select("ord", "path", "by_patterns", F.coalesce(F.size("_s.symbols"), F.lit(0)).alias("by_syntax")).withColumn("by_syntax", F.greatest("by_syntax", F.lit(0)))
+    counted = both.withColumn("delta", F.col("by_syntax") - F.col("by_patterns"))
+    return counted.orderBy(F.desc(F.abs("delta")), "ord").limit(most)
+
+
 def _fields_of(parsed: DataFrame, name: str):
     return [(f.name, f.dataType) for f in parsed.schema[name].dataType.elementType.fields]
 

@@ -112,6 +112,9 @@ def unexpired(entries: DataFrame, now, ttl_ms: int = 300_000) -> DataFrame:
     return last.where(F.unix_millis(F.lit(now).cast("timestamp")) <= F.unix_millis("set_at") + ttl_ms)
 
 
-def usage_report(requests: DataFrame, n: int = 5) -> dict[str, DataFrame]:
-    """The tables of a usage report."""
-    return {"session": session_stats(requests), "usage": tool_usage(requests), "top": top_saving_tools(requests, n), "last": last_request(requests), "all_time": all_time_saved(requests)}
+def usage_report(requests: DataFrame, n: int = 5, activity: int = 20) -> dict[str, DataFrame]:
+    """The tables of a usage report: totals and calls of each session, top saving tools, the last request and the last few."""
+    return {
+        "session": session_stats(requests), "usage": tool_usage(requests), "top": top_saving_tools(requests, n), "last": last_request(requests),
+        "recent": recent_activity(requests, activity), "all_time": all_time_saved(requests),
+    }

@@ -71,6 +71,7 @@ QUERIES = {
     "syntax_symbols": lambda s, d: K.symbol_rows(syntax.dispatch(_files(s, d))),
     "syntax_imports": lambda s, d: K.import_rows(syntax.dispatch(_files(s, d))),
     "compress_syntax": lambda s, d: K.compress(_files(s, d), syntax.dispatch).select("ord", "path", "parser", "purpose", "summary", "skeleton", "tokens.*"),
+    "symbol_delta": lambda s, d: syntax.largest_deltas(_files(s, d)),
     "symbol_kind_summary": lambda s, d: _parsed(s, d).select("ord", K.kind_summary(F.col("symbols")).alias("kinds")),
     "compress_file": lambda s, d: K.compress(_files(s, d)).select("ord", "language", "summary", "skeleton", "tokens.*"),
     "parser_lang_stats": lambda s, d: _parsed(s, d).groupBy("language").agg(

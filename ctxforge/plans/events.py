@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -74,17 +76,33 @@ def _responses(s, d):
     return events.select("tool_name", F.col("tool_input")["command"].alias("command"), G.response_text(F.col("tool_response")).alias("text"))
 
 
-def _streamed(s, d, build, mode: str):
-    """Run a stream over the events to its end and give its last output."""
-    folder = tempfile.mkdtemp(prefix="ctxforge-stream-")
+def _folder(s) -> str:
+    """A folder that driver and executors share; a local one only where none is set."""
+    base = s.conf.get("spark.checkpoint.dir", None)
+    folder = f"{base.rstrip('/')}/ctxforge-stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="ctxforge-stream-")
+    atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
+    return folder
+
+
+def _streamed(s, d, build, mode: str, key: str | None = None):
+    """Run a stream over the events to its end and give its last output: in complete mode the last batch's, in update mode
+    the last row of each key."""
+    folder, seen = _folder(s), []
     source = s.readStream.schema(s.read.parquet(f"{d}/events.parquet").schema).format("parquet").option("pathGlobFilter", "events.parquet").load(d)
     source.createOrReplaceTempView("ctxforge_stream_events")
     requests = s.sql(REQUESTS.replace("FROM events", "FROM ctxforge_stream_events")).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = "ctxforge_" + folder.rsplit("-", 1)[1].replace("-", "_")
-    query = build(requests).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
-    query.awaitTermination()
-    shutil.rmtree(folder, ignore_errors=True)
-    return s.table(name)
+    found = build(requests)
+    upsert = S.upsert_into(f"{folder}/out", key, "_batch") if key else None
+
+    def write(batch, batch_id):
+        seen.append(batch_id)
+        if upsert:
+            upsert(batch.withColumn("_batch", F.lit(batch_id)), batch_id)
+        else:
+            batch.write.mode("overwrite").parquet(f"{folder}/out/v{batch_id}")
+
+    found.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{folder}/out/v{max(seen)}").drop("_batch") if seen else s.createDataFrame([], found.schema)
 
 
 def _status(s, d):
@@ -143,7 +161,7 @@ QUERIES = {
     "events_session": lambda s, d: _windows(s, d, S.sessions),
     "stream_session_stats": lambda s, d: _streamed(s, d, S.running_stats, "complete").drop("started_at"),
     "stream_tumbling": lambda s, d: _streamed(s, d, S.tumbling, "complete"),
-    "stream_track_sessions": lambda s, d: _streamed(s, d, S.track_sessions, "update").where("active").select("session_id", "saved", "requests"),
+    "stream_track_sessions": lambda s, d: _streamed(s, d, S.track_sessions, "update", "session_id").where("active").select("session_id", "saved", "requests"),
     "render_reports": _render,
 }
 

@@ -30,6 +30,12 @@ def stream_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(REQUEST).json(path)
 
 
+def ingest_requests(spark: SparkSession, source: str, target: str, checkpoint: str):
+    """Append the requests that arrive as JSON files to a Parquet folder, each once; gives the running query. Started again
+    with the same checkpoint, it goes on where it stopped."""
+    return stream_requests(spark, source).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """Projects of a registry file; a corrupt file has none."""
     return spark.read.schema(REGISTRY).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).select(F.explode("projects").alias("p")).select("p.*")

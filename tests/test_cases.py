@@ -83,7 +83,7 @@ def test_log_blocks_equal_a_sequential_scan(spark):
 def test_conversation(spark):
     rows = [(1, 0, "user", "I need to build an authentication system using JWT\nCan you also add refresh tokens?"), (1, 1, "assistant", "Sure, I have added it."), (1, 2, "user", None)]
     r = conversation.summarize(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"), 0).first()
-    assert list(r["goals"]) == ["also add refresh tokens?", "build an authentication system using JWT"] or list(r["goals"]) == ["build an authentication system using JWT", "also add refresh tokens?"]
+    assert list(r["goals"]) == ["also add refresh tokens?", "build an authentication system using JWT"]  # by cue, then place
     assert list(r["completed"]) == []
     short = conversation.summarize(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).first()
     assert list(short["goals"]) == [conversation.NO_GOALS] and short["key_context"] == "General conversation"
@@ -219,7 +219,7 @@ def test_event_files(spark, tmp_path):
     (tmp_path / "e.json").write_text('{"tool_name":"Bash","tool_input":{"command":"ls"},"tool_response":"a \\"b\\""}\nnot json\n{"tool_name":"Bash","tool_response":{"output":"o"}}\n')
     frame = events.read_events(spark, str(tmp_path / "e.json"))
     got = [r["t"] for r in frame.select(gates.response_text(F.col("tool_response")).alias("t")).collect()]
-    assert sorted(got, key=str) == sorted(['a "b"', None, "o"], key=str) or sorted(x or "" for x in got) == ["", 'a "b"', "o"]
+    assert got == ['a "b"', "", "o"]  # a line that is no JSON has no response
     projects = spark.createDataFrame([("1", "p", "/p", 7100, "go", "a", "b", 1, 5)], "id string, name string, path string, port int, language string, registered_at string, last_seen_at string, session_count int, total_saved long")
     events.write_registry(projects, str(tmp_path / "registry"))
     assert events.read_registry(spark, str(tmp_path / "registry")).first()["port"] == 7100

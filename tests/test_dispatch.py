@@ -37,3 +37,11 @@ def test_compress_and_prompts_take_either(spark, files):
     body = "export class Part {\n" + "".join(f"  run{i}(n: number) {{\n    return {i};\n  }}\n" for i in range(40)) + "}\n"
     ask = spark.createDataFrame([(1, f"see\n```ts\n{body}```\nend")], "prompt_id long, prompt string")
     assert "method run7" in prompts.compress(ask, syntax.dispatch).first()["compressed"]
+
+
+def test_largest_deltas(files):
+    rows = [tuple(r)[2:] for r in syntax.largest_deltas(files, 3).collect()]
+    first = syntax.largest_deltas(files, 3).collect()
+    assert [abs(r["delta"]) for r in first] == sorted((abs(r["delta"]) for r in first), reverse=True) and len(rows) == 3
+    by = {r["ord"]: (r["by_patterns"], r["by_syntax"]) for r in syntax.largest_deltas(files, 10).collect()}
+    assert by[3] == (0, 2) and by[2][1] == 0 and by[4] == (0, 0) and by[0] == (1, 3)

@@ -4,6 +4,8 @@ import json
 
 import pytest
 
+from ctxforge.sources.events import ingest_requests
+from ctxforge.sources.scan import read_file
 from ctxforge.streaming import usage as S
 
 SCHEMA = "session_id long, event_id long, tool string, ts timestamp, original long, saved long, action string"
@@ -86,3 +88,15 @@ def test_upsert_keeps_the_latest_row(spark, stream, tmp_path):
     stream(batches, lambda r: r, "append", twice)
     assert {(r["session_id"], r["saved"]) for r in spark.read.parquet(f"{path}/v3").collect()} == {(1, 1), (2, 5), (3, 7)}
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["v2", "v3"]
+
+
+def test_ingest_goes_on_where_it_stopped(spark, tmp_path):
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+    row = {"session_id": 1, "tool": "t", "ts": day(1), "original": 10, "saved": 5}
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps(row | {"event_id": i}) + "\n")
+        ingest_requests(spark, source, target, state).awaitTermination()
+    assert sorted(r["event_id"] for r in spark.read.parquet(target).collect()) == [0, 1, 2]
+    (tmp_path / "one.py").write_text("import os\nx = 1\n")
+    assert read_file(spark, str(tmp_path / "one.py")).first()["content"] == "import os\nx = 1\n"
