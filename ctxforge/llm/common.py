@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import sys
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,5 +103,14 @@ def per_worker(key: tuple, make):
     return held[key]
 
 
+def give_back() -> None:
+    """Return memory that this Python worker has freed to the system: a worker lives on for later stages, and what its
+    allocator keeps would count beside theirs. Nothing happens where the C library has no such call."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -1,8 +1,8 @@
 """Language-model scores by online logistic context mixing, beside a unigram base score.
 
-Text is coded byte by byte (UTF-8, A-Z lowered, byte 255 as the end). A byte becomes a few binary
-decisions by a Huffman code that depends on the byte before; each decision is predicted by counts under
-four hashed contexts (the last 2, 3, 4 and 6 bytes) and by the exact counts of the previous byte alone. The
+Text is coded byte by byte (UTF-8, A-Z lowered, byte 255 as the end). A byte becomes a few binary decisions by a
+Huffman code that depends on the two bytes before (the first of them by its class); each decision is predicted by
+counts under three hashed contexts (the last 3, 4 and 5 bytes) and by the exact counts of its code's context. The
 predictions' logits are added with weights that a gate chooses by the longest context seen in training, and a
 scale and offset refine the sum. Weights, scale and offset adapt online while a text is read: after each block
 of bytes, by the gradient of its code length, so a block is predicted from earlier ones only. Every text starts
@@ -12,7 +12,7 @@ of all decisions is the text's score, and total bits per byte follow from it.
 Training counts are exact sums over all training texts for 31-bit hashes of context and decision. Tasks sort what
 they count and write it by ranges of hashes; partial counts are summed in two steps, groups of tasks first. The finished
 model is a table for each context length with twice as many slots as hashes were seen, up to 2 ** MOST_BITS, so its
-size has a proven bound (64 MB in all) and it is broadcast; a slot holds eight more bits of the hash, so that a context
+size has a proven bound (48 MB in all) and it is broadcast; a slot holds eight more bits of the hash, so that a context
 that training did not see reads as unseen, and goes to the most frequent of the hashes that want it.
 
 The base score needs a count for each distinct token, which has no such bound: each chunk of texts asks for
@@ -28,43 +28,61 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import defaultdict
 from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxforge.llm.common import crc_mod, documents, fresh_path, materialize, shuffle_partitions, small_batches
+from ctxforge.llm.common import crc_mod, documents, fresh_path, give_back, materialize, shuffle_partitions, small_batches
 
 #: Context lengths in bytes, beside the previous byte alone.
-ORDERS = (2, 3, 4, 6)
+ORDERS = (3, 4, 5)
+#: Classes of the byte before the last in a code's context: white space, letters, digits, other ASCII, bytes of other
+#: characters (two), the end; contexts with a code of their own, and how often they must occur.
+CLASSES = np.array([0 if b in b" \t\n\x0b\x0c\r" else b - 96 if 97 <= b < 123 else 27 if 48 <= b < 58 else 28 if b < 128 else 29 if b < 192 else 30 if b < 255 else 31 for b in range(256)], np.int32)
+OWN_CODES, OWN_LEAST = 384, 1000
 #: Bits of the hash of a context and a decision; binary logarithm of a table's slots; and of the ranges of hashes that are
 #: merged as one.
 HASH_BITS, LEAST_BITS, MOST_BITS, RANGE_BITS = 31, 16, 23, 8
 END, PAD = 0xFF, b"\xff" * 8
 #: Bytes between two updates of the weights; learning rates of weights, and of scale and offset.
 BLOCK, RATE, SCALE_RATE = 96, 0.003, 0.001
-#: Bytes of text in a chunk of token requests, and handled at once by the bit model (a number of blocks); distinct counts that
+#: Bytes of text in a chunk of token requests, and counted at once by the bit model; distinct counts that
 #: wait in a task before they are summed, and that it holds at most; tasks merged at once; bytes of text for a bucket of requests.
-CHUNK, PIECE, WAITING, HELD, TASKS, BUCKET = 8 << 20, 5400 * BLOCK, 6 << 20, 4 << 20, 64, 64 << 20
+CHUNK, PIECE, WAITING, HELD, TASKS, BUCKET = 8 << 20, 2 << 17, 3 << 20, 2 << 20, 64, 64 << 20
+#: Texts that are scored side by side, and bytes of them that are read at once (so that arrays stay in a core's cache).
+TOGETHER, SLICE = 128, 1 << 16
 #: First weights: row g holds when the g-th hashed context is the longest seen in training.
-WEIGHTS = ((1.0, 0.0, 0.0, 0.0, 0.0), (0.2, 0.8, 0.0, 0.0, 0.0), (0.0, 0.3, 0.7, 0.0, 0.0), (0.0, 0.1, 0.3, 0.6, 0.0), (0.0, 0.0, 0.1, 0.3, 0.7))
+WEIGHTS = ((1.0, 0.0, 0.0, 0.0), (0.2, 0.8, 0.0, 0.0), (0.1, 0.3, 0.6, 0.0), (0.0, 0.1, 0.3, 0.7))
 #: Logits are kept as sixteenths in a byte; PRIOR is added to both counts of a decision.
 STEP, PRIOR = 16.0, 0.4
-
-
-def byte_code(pairs: np.ndarray) -> SimpleNamespace:
-    """Huffman codes of a byte after each previous byte, as flat paths of decisions."""
-    length, start = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+#: Logit of each byte of a slot, and whether it is one; 0 is an empty slot, 256 another hash's. Signs of the bits' opposites.
+#: (Places are in range; numpy's take() is fastest where it need not raise.)
+LOGITS = np.array([0.0, *((x - 128) / STEP for x in range(1, 256)), 0.0], np.float32)
+GATES, SIGNS = np.array([0, *[1] * 255, 0], np.int32), np.array([1, -1], np.float32)
+
+
+def byte_code(counts: np.ndarray) -> SimpleNamespace:
+    """Huffman codes of a byte after the two before it, as flat paths of decisions. counts: (classes of a byte * 256, 256); the
+    most frequent contexts have a code of their own (which says where), others that of the previous byte alone."""
+    alone = counts.reshape(-1, 256, 256).sum(0)
+    size = counts.sum(1)
+    own = np.argsort(-size, kind="stable")[:OWN_CODES]
+    own = own[size[own] >= OWN_LEAST]
+    which = np.tile(np.arange(256, dtype=np.int32), len(counts) // 256)
+    which[own] = 256 + np.arange(len(own), dtype=np.int32)
+    rows = np.concatenate([alone, counts[own]])
+    length, start = np.zeros(rows.size, np.int64), np.zeros(rows.size, np.int64)
     nodes, bits, logits = [], [], []
-    for prev in range(256):
+    for at, row in enumerate(rows):
         # (weight, order, symbol or node, node's children)
-        heap: list[tuple] = [(c * 512 + 1, s, s, None) for s, c in enumerate(pairs[prev].tolist())]
+        heap: list[tuple] = [(c * 512 + 1, s, s, None) for s, c in enumerate(row.tolist())]
         heapq.heapify(heap)
         made = 0
         while len(heap) > 1:
@@ -73,16 +91,17 @@ def byte_code(pairs: np.ndarray) -> SimpleNamespace:
             made += 1
         todo: list[tuple] = [(heap[0], (), (), ())]
         while todo:
-            (weight, _, which, kids), node, bit, logit = todo.pop()
+            (weight, _, node_or_symbol, kids), node, bit, logit = todo.pop()
             if kids is None:
-                length[prev << 8 | which], start[prev << 8 | which] = len(node), len(nodes)
+                length[at << 8 | node_or_symbol], start[at << 8 | node_or_symbol] = len(node), len(nodes)
                 nodes += node
                 bits += bit
                 logits += logit
                 continue
             one = (*logit, np.log((kids[1][0] / 512 + PRIOR) / (kids[0][0] / 512 + PRIOR)))
-            todo += [(kid, (*node, which), (*bit, i), one) for i, kid in enumerate(kids)]
-    return SimpleNamespace(length=length.astype(np.int32), start=start.astype(np.int32), salt=(np.array(nodes, np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(1)).astype(np.int32), bit=np.array(bits, np.uint8), logit=np.array(logits, np.float32))
+            todo += [(kid, (*node, node_or_symbol), (*bit, i), one) for i, kid in enumerate(kids)]
+    salt = (np.array(nodes, np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(1)).astype(np.int32)
+    return SimpleNamespace(which=which, length=length.astype(np.int32), start=start.astype(np.int32), salt=salt, bit=np.array(bits, np.uint8), logit=np.array(logits, np.float32))
 
 
 def segments(text: bytes) -> list[tuple[bytes, bytes]]:
@@ -101,10 +120,15 @@ def laid_out(parts: list[tuple[bytes, bytes]]):
     return data, place, first, sizes
 
 
+def places_before(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The context of a code for each place: the class of the byte before the last, and the last."""
+    return CLASSES.take(data.take(place - 2, mode="clip"), mode="clip") << 8 | data.take(place - 1, mode="clip")
+
+
 def decisions(code: SimpleNamespace, data: np.ndarray, place: np.ndarray):
     """(row in the flat code for each decision, decisions of each byte) for the bytes at place."""
-    pair = data[place - 1].astype(np.int32) << 8 | data[place]
-    length, start = code.length[pair], code.start[pair]
+    pair = code.which.take(places_before(data, place), mode="clip") << 8 | data.take(place, mode="clip")
+    length, start = code.length.take(pair, mode="clip"), code.start.take(pair, mode="clip")
     ends = np.cumsum(length)
     # Steps of one along a byte's path, and a jump where the next byte's path begins.
     flat = np.ones(ends[-1], np.int32)
@@ -153,13 +177,26 @@ def summed(some: list[tuple[np.ndarray, np.ndarray]]):
     if len(some) == 1:
         return some[0]
     keys, n = (np.concatenate(x) for x in zip(*some))
-    order = np.argsort(keys, kind="stable")
-    return runs(keys[order], n[order])
+    if n.max(initial=0) < 1 << 32:  # a key and its count fit in one number, which sorts ten times as fast
+        both = keys.astype(np.uint64)
+        both <<= np.uint64(32)
+        both |= n.astype(np.uint64)
+        both.sort()
+        keys, n = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+    return runs(keys, n)
+
+
+def narrow(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts in four bytes each, if they fit."""
+    return keys, n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n
 
 
 def packed(keys: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
     """Keys of one range as three bytes each, by place, and counts as one byte each, with those from 255 on behind."""
-    few = n < 255
+    few, n = n < 255, n.astype(np.int64)
     return (keys & np.uint32(0xFFFF)).astype(np.uint16).tobytes() + (keys >> np.uint32(16)).astype(np.uint8).tobytes(), np.where(few, n, 255).astype(np.uint8).tobytes() + n[~few].astype(np.int64).tobytes()
 
 
@@ -172,32 +209,42 @@ def unpacked(p1: bytes, p2: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pair_counts(docs: DataFrame) -> np.ndarray:
-    """256x256 counts of a byte after a byte over the training texts, ends included."""
+    """Counts of a byte after the context of its code over the training texts, ends included."""
+    contexts_of = 256 * (int(CLASSES.max()) + 1)
 
     def scan(batches):
-        total = np.zeros(1 << 16, np.int64)
+        total = np.zeros(contexts_of << 8, np.int64)
         for batch in batches:
             parts = [p for t in batch.column(0).to_pylist() for p in segments((t or b"").lower())]
             for a, b in in_pieces([len(own) for _, own in parts]):
                 data, place, _, _ = laid_out(parts[a:b])
-                total += np.bincount(data[place - 1].astype(np.int64) << 8 | data[place], minlength=1 << 16)
-        rows = total.reshape(256, 256)
-        used = np.flatnonzero(rows.any(1))
-        yield pa.record_batch({"prev": pa.array(used.astype(np.int32)), "counts": pa.array(rows[used].tolist(), pa.list_(pa.int64()))})
-
-    found = docs.where("train").select("text").mapInArrow(scan, "prev int, counts array<long>")
-    sums = found.select("prev", F.posexplode("counts").alias("next", "n")).where("n > 0").groupBy("prev", "next").agg(F.sum("n").alias("n"))
-    out = np.zeros((256, 256), np.int64)
-    for r in sums.collect():  # 65,536 rows at most
-        out[r["prev"], r["next"]] = r["n"]
-    return out
+                at, n = runs(np.sort(places_before(data, place) << 8 | data[place]))
+                total[at] += n
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"at": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
+
+    found = docs.where("train").select("text").mapInArrow(scan, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    out = np.zeros(contexts_of << 8, np.int64)
+    for r in found.toLocalIterator():  # at most a row for each class of bytes and pair of bytes
+        out[r["at"]] = r["n"]
+    return out.reshape(contexts_of, 256)
+
+
+def tokens(lowered: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts, between ASCII white space, and how many each text has."""
+    trimmed = pc.ascii_trim_whitespace(lowered)
+    split = pc.ascii_split_whitespace(trimmed)
+    # A text without a word splits into one empty string.
+    sizes = np.where(pc.binary_length(trimmed).to_numpy() > 0, pc.list_value_length(split).to_numpy(), 0).astype(np.int64)
+    values = split.flatten()
+    return values.filter(pc.greater(pc.binary_length(values), 0)), sizes
 
 
 def decision_keys(coder: SimpleNamespace, parts: list[tuple[bytes, bytes]]):
     """For each context length, a key for every decision: its hash with the context, and its bit."""
     data, place, _, _ = laid_out(parts)
     flat, length = decisions(coder, data, place)
-    salt, bit = coder.salt[flat], coder.bit[flat]
+    salt, bit = coder.salt.take(flat, mode="clip"), coder.bit.take(flat, mode="clip")
     for context in contexts(data, place, length):
         context ^= salt
         keys = context.view(np.uint32)
@@ -212,7 +259,7 @@ def gather(docs: DataFrame, code, buckets: int) -> dict[str, DataFrame]:
 
     def scan(batches):
         coder = code.value
-        waiting: list[list] = [[] for _ in ORDERS]
+        waiting: list[list] = [[] for _ in range(len(ORDERS))]
         held: list = []
         task, chunks, size = TaskContext.get().partitionId(), 0, 0
 
@@ -235,9 +282,9 @@ def gather(docs: DataFrame, code, buckets: int) -> dict[str, DataFrame]:
             for a, b in in_pieces([len(own) for _, own in parts]):
                 for k, keys in enumerate(decision_keys(coder, parts[a:b])):
                     keys.sort()
-                    waiting[k].append(runs(keys))
+                    waiting[k].append(narrow(*runs(keys)))
                     if sum(len(u) for u, _ in waiting[k]) > WAITING:
-                        waiting[k] = [summed(waiting[k])]
+                        waiting[k] = [narrow(*summed(waiting[k]))]
                         if len(waiting[k][0][0]) > HELD:
                             yield from partial(k)
 
@@ -245,17 +292,12 @@ def gather(docs: DataFrame, code, buckets: int) -> dict[str, DataFrame]:
             nonlocal chunks, size
             name, size = f"{task}-{chunks}", 0
             chunks += 1
-            ids: dict[bytes, int] = defaultdict()
-            ids.default_factory = ids.__len__
-            local, sizes, trained = [], [], []
-            for _, _, train, text in held:
-                own = list(map(ids.__getitem__, text.split()))
-                local += own
-                sizes.append(len(own))
-                trained.append(train)
-            local, n = np.array(local, np.int64), len(ids)
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, ids), np.uint64, n)
-            used = np.repeat(np.array(trained, bool), sizes)
+            values, sizes = tokens(pa.concat_arrays([t for _, t in held]))
+            encoded = values.dictionary_encode()
+            local, words = encoded.indices.to_numpy(), encoded.dictionary.cast(pa.binary()).to_pylist()
+            n, rows = len(words), [r for some, _ in held for r in some]
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+            used = np.repeat(np.array([r[2] for r in rows], bool), sizes)
             counts = np.bincount(local[used], minlength=n).astype(np.int64)
             bucket = (hashes % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -267,22 +309,29 @@ def gather(docs: DataFrame, code, buckets: int) -> dict[str, DataFrame]:
             if len(full):
                 ranges = list(zip(bounds, bounds[1:]))
                 yield record(kind=[1] * len(full), part=full.tolist(), chunk=[name] * len(full), p1=[hashes[a:b].tobytes() for a, b in ranges], p2=[counts[a:b].tobytes() for a, b in ranges])
-            yield record(kind=[2], chunk=[name], p1=[place[local].tobytes()], ids=[[h[0] for h in held]], keys=[[h[1] for h in held]], sizes=[sizes])
+            yield record(kind=[2], chunk=[name], p1=[place[local].tobytes()], ids=[[r[0] for r in rows]], keys=[[r[1] for r in rows]], sizes=[sizes.tolist()])
             held.clear()
 
         for batch in batches:
-            texts = [(t or b"").lower() for t in batch.column(3).to_pylist()]
-            rows = list(zip(*(batch.column(i).to_pylist() for i in range(3)), texts))
-            yield from count([r[3] for r in rows if r[2]])
-            for r in rows:
-                held.append(r)
-                size += len(r[3])
-                if size >= CHUNK:
-                    yield from chunk()
+            lowered = batch.column(3).cast(pa.string(), safe=False)
+            lowered = pc.ascii_lower(pc.fill_null(lowered, ""))
+            rows = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            yield from count(lowered.filter(pc.fill_null(batch.column(2), False)).cast(pa.binary()).to_pylist())
+            lengths = pc.binary_length(lowered).to_numpy()
+            # Whole texts until a chunk is full.
+            first = 0
+            for i, length in enumerate(lengths.tolist(), 1):
+                size += length
+                if size >= CHUNK or i == len(rows):
+                    held.append((rows[first:i], lowered[first:i]))
+                    first = i
+                    if size >= CHUNK:
+                        yield from chunk()
         if held:
             yield from chunk()
         for k in range(len(ORDERS)):
             yield from partial(k)
+        give_back()
 
     schema = "kind int, part int, chunk string, p1 binary, p2 binary, ids array<long>, keys array<long>, sizes array<long>"
     path = fresh_path(docs.sparkSession, "lm-scan")
@@ -350,15 +399,19 @@ def finished_tables(counts: DataFrame) -> list[np.ndarray]:
 
 
 def score_texts(texts: list[bytes], code: SimpleNamespace, tables: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each text, its end included."""
+    """log10 probability of each text, its end included. Texts of like size are read side by side, a slice of whole blocks at
+    a time, so that a step has many decisions whatever the texts' lengths."""
     out = np.zeros(len(texts))
-    by_size = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-    short = [i for i in by_size if len(texts[i]) < PIECE]
-    for a, b in in_pieces([len(texts[i]) for i in short]):
-        out[short[a:b]] = _score_piece([segments(texts[i])[0] for i in short[a:b]], code, tables, first_state(b - a))
-    for i in by_size[len(short) :]:
-        state = first_state(1)
-        out[i] = sum(_score_piece([part], code, tables, state)[0] for part in segments(texts[i]))
+    by_size = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    for first in range(0, len(texts), TOGETHER):
+        group = by_size[first : first + TOGETHER]
+        whole, state, at = [texts[i] + b"\xff" for i in group], first_state(len(group)), 0
+        sizes = np.array([-len(w) for w in whole])
+        while n := int(np.searchsorted(sizes, -at)):  # the first n go on beyond this place
+            step = BLOCK * max(1, SLICE // (BLOCK * n))
+            parts = [((PAD + w[max(0, at - len(PAD)) : at])[-len(PAD) :], w[at : at + step]) for w in whole[:n]]
+            out[group[:n]] += _score_piece(parts, code, tables, SimpleNamespace(weights=state.weights[:n], scale=state.scale[:n], offset=state.offset[:n]))
+            at += step
     return out
 
 
@@ -381,21 +434,21 @@ def _score_piece(parts: list[tuple[bytes, bytes]], code: SimpleNamespace, tables
     size = np.minimum(BLOCK, sizes[text] - number * BLOCK)
     place = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
     flat, length = decisions(code, data, place)
-    sign = code.bit[flat].astype(np.float32) * 2 - 1
-    inputs, gate = [code.logit[flat]], np.zeros(len(flat), np.int32)
-    salt = code.salt[flat]
+    minus = SIGNS.take(code.bit.take(flat, mode="clip"), mode="clip")
+    inputs, gate = [code.logit.take(flat, mode="clip")], np.zeros(len(flat), np.int32)
+    salt = code.salt.take(flat, mode="clip")
     for k, hashed in enumerate(contexts(data, place, length)):
         hashed ^= salt
         bits = len(tables[k]).bit_length() - 1
-        entry = tables[k][hashed >> (HASH_BITS - bits)].astype(np.int32)
-        hashed >>= HASH_BITS - 8 - bits
-        hashed &= 255
-        seen = (entry >> 8 == hashed) & (entry > 0)
-        gate[seen] = k + 1
-        entry &= 255
-        entry -= 128
-        entry *= seen
-        inputs.append(entry.astype(np.float32) * np.float32(1 / STEP))
+        entry = tables[k].take(hashed >> (HASH_BITS - bits), mode="clip")
+        # The check's bits become zero where they are right, and what is left is the logit's byte.
+        check = hashed.astype(np.uint16)
+        check <<= np.uint16(16 + bits - HASH_BITS)
+        check &= np.uint16(0xFF00)
+        entry ^= check
+        np.minimum(entry, np.uint16(256), out=entry)
+        inputs.append(LOGITS.take(entry, mode="clip"))
+        np.maximum(gate, GATES.take(entry, mode="clip") * np.int32(k + 1), out=gate)
     # Decisions of a block are adjacent; those of all blocks of one number too.
     per_block = np.add.reduceat(length, np.cumsum(size) - size, dtype=np.int64)
     ends = np.cumsum(per_block)
@@ -408,18 +461,27 @@ def _score_piece(parts: list[tuple[bytes, bytes]], code: SimpleNamespace, tables
         at = np.cumsum(many) - many
         row = np.repeat(np.arange(y - x, dtype=np.int32) * gates, many) + gate[lo:hi]
         table = weights[own].reshape(-1, len(inputs))
-        mixed = np.zeros(hi - lo, np.float32)
-        for k, value in enumerate(inputs):
-            mixed += np.ascontiguousarray(table[:, k])[row] * value[lo:hi]
-        final = np.repeat(scale[own], many) * mixed + np.repeat(offset[own], many)
-        final *= sign[lo:hi]
-        odds = np.exp(np.clip(-final, -60, 60))
-        total[own] -= np.add.reduceat(np.log1p(odds), at, dtype=np.float64)
-        miss = odds / (1 + odds) * sign[lo:hi]  # probability of the other bit, signed
-        scale[own] += SCALE_RATE * np.add.reduceat(miss * mixed, at)
-        offset[own] += SCALE_RATE * np.add.reduceat(miss, at)
-        for k, value in enumerate(inputs):
-            weights[own, :, k] += (RATE * np.add.reduceat(miss * value[lo:hi], at))[:, None]
+        here = [value[lo:hi] for value in inputs]
+        mixed = np.ascontiguousarray(table[:, 0]).take(row, mode="clip")
+        mixed *= here[0]
+        for k in range(1, len(here)):
+            part = np.ascontiguousarray(table[:, k]).take(row, mode="clip")
+            part *= here[k]
+            mixed += part
+        odds = np.repeat(scale[own], many)
+        odds *= mixed
+        odds += np.repeat(offset[own], many)
+        odds *= minus[lo:hi]  # the logit of the other bit
+        np.minimum(odds, np.float32(60), out=odds)
+        np.exp(odds, out=odds)
+        both = odds + np.float32(1)
+        odds /= both
+        total[own] -= np.add.reduceat(np.log(both), at, dtype=np.float64)
+        odds *= minus[lo:hi]  # probability of the other bit, against the bit's sign
+        scale[own] -= SCALE_RATE * np.add.reduceat(odds * mixed, at)
+        offset[own] -= SCALE_RATE * np.add.reduceat(odds, at)
+        for k, value in enumerate(here):
+            weights[own, :, k] -= (RATE * np.add.reduceat(odds * value, at))[:, None]
     return total / np.log(10)
 
 

@@ -1,6 +1,8 @@
 """Long texts are scored by the same model as short ones."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ctxforge.llm.lm_score import ORDERS, byte_code, score_texts
 
 def test_a_byte_more_changes_little():
     rng = np.random.default_rng(4)
-    counts = np.zeros((256, 256), np.int64)
+    counts = np.zeros((32 * 256, 256), np.int64)
     counts[97:107, 97:107] = rng.integers(1, 30, (10, 10))
     code, tables = byte_code(counts), [rng.integers(0, 1 << 16, 1 << 16).astype(np.uint16) for _ in ORDERS]
     text = bytes(rng.integers(97, 107, 14_000).astype(np.uint8))
@@ -30,12 +32,14 @@ def test_ids_of_any_size_beside_nulls(spark):
 
 def test_segments_of_a_long_text_are_one_text(monkeypatch):
     rng = np.random.default_rng(8)
-    code = byte_code(rng.integers(0, 50, (256, 256)))
+    code = byte_code(rng.integers(0, 50, (32 * 256, 256)))
     tables = [rng.integers(0, 1 << 16, 1 << 16).astype(np.uint16) for _ in ORDERS]
     texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (0, 95, 96, 4 * 96 - 1, 4 * 96, 4 * 96 + 1, 3000)]
     whole = score_texts(texts, code, tables)
     keys = [np.concatenate(k) for k in zip(*(lm_score.decision_keys(code, lm_score.segments(t)) for t in texts))]
     monkeypatch.setattr(lm_score, "PIECE", 4 * 96)
+    monkeypatch.setattr(lm_score, "SLICE", 3 * 96)
+    monkeypatch.setattr(lm_score, "TOGETHER", 3)
     assert np.allclose(score_texts(texts, code, tables), whole, rtol=1e-5)
     cut = [np.concatenate(k) for k in zip(*(lm_score.decision_keys(code, lm_score.segments(t)) for t in texts))]
     assert all((a == b).all() for a, b in zip(keys, cut))
@@ -59,3 +63,14 @@ def test_partial_counts_are_exact_sums(spark, monkeypatch):
             got[r["part"] >> 8].append((u.astype(np.uint64) | np.uint64((r["part"] & 255) << 24), n))
         for (u, n), rows in zip(want, got):
             assert np.array_equal(np.sort(np.concatenate([x for x, _ in rows])), u) and sum(x.sum() for _, x in rows) == n.sum()
+
+
+def test_words_are_those_of_split():
+    rng = np.random.default_rng(9)
+    alphabet = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", "a", "B", "é", "\u2003", "\0", "😀"]
+    texts = ["", " ", "\n a"] + ["".join(rng.choice(alphabet, rng.integers(0, 30))) for _ in range(300)]
+    values, sizes = lm_score.tokens(pa.array(texts))
+    want = [t.encode().split() for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and [v.encode() for v in values.to_pylist()] == [x for w in want for x in w]
+    raw = pa.array([b"a\xff b", b"\xfe"]).cast(pa.string(), safe=False)  # bytes that are no characters stay as they are
+    assert lm_score.tokens(pc.ascii_lower(raw))[0].cast(pa.binary()).to_pylist() == [b"a\xff", b"b", b"\xfe"]
