@@ -2,7 +2,7 @@
 
 Text is coded byte by byte (UTF-8, A-Z lowered, byte 255 as the end). A byte becomes a few binary decisions by a
 Huffman code that depends on the two bytes before (the first of them by its class); each decision is predicted by
-counts under three hashed contexts (the last 3, 4 and 5 bytes) and by the exact counts of its code's context. The
+counts under four hashed contexts (the last 2, 3, 4 and 6 bytes) and by the exact counts of its code's context. The
 predictions' logits are added with weights that a gate chooses by the longest context seen in training, and a
 scale and offset refine the sum. Weights, scale and offset adapt online while a text is read: after each block
 of bytes, by the gradient of its code length, so a block is predicted from earlier ones only. Every text starts
@@ -12,7 +12,7 @@ of all decisions is the text's score, and total bits per byte follow from it.
 Training counts are exact sums over all training texts for 31-bit hashes of context and decision. Tasks sort what
 they count and write it by ranges of hashes; partial counts are summed in two steps, groups of tasks first. The finished
 model is a table for each context length with twice as many slots as hashes were seen, up to 2 ** MOST_BITS, so its
-size has a proven bound (48 MB in all) and it is broadcast; a slot holds eight more bits of the hash, so that a context
+size has a proven bound (64 MB in all) and it is broadcast; a slot holds eight more bits of the hash, so that a context
 that training did not see reads as unseen, and goes to the most frequent of the hashes that want it.
 
 The base score needs a count for each distinct token, which has no such bound: each chunk of texts asks for
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from ctxforge.llm.common import crc_mod, documents, fresh_path, give_back, materialize, shuffle_partitions, small_batches
 
 #: Context lengths in bytes, beside the previous byte alone.
-ORDERS = (3, 4, 5)
+ORDERS = (2, 3, 4, 6)
 #: Classes of the byte before the last in a code's context: white space, letters, digits, other ASCII, bytes of other
 #: characters (two), the end; contexts with a code of their own, and how often they must occur.
 CLASSES = np.array([0 if b in b" \t\n\x0b\x0c\r" else b - 96 if 97 <= b < 123 else 27 if 48 <= b < 58 else 28 if b < 128 else 29 if b < 192 else 30 if b < 255 else 31 for b in range(256)], np.int32)
@@ -59,7 +59,7 @@ CHUNK, PIECE, WAITING, HELD, TASKS, BUCKET = 8 << 20, 2 << 17, 3 << 20, 2 << 20,
 #: Texts that are scored side by side, and bytes of them that are read at once (so that arrays stay in a core's cache).
 TOGETHER, SLICE = 128, 1 << 16
 #: First weights: row g holds when the g-th hashed context is the longest seen in training.
-WEIGHTS = ((1.0, 0.0, 0.0, 0.0), (0.2, 0.8, 0.0, 0.0), (0.1, 0.3, 0.6, 0.0), (0.0, 0.1, 0.3, 0.7))
+WEIGHTS = ((1.0, 0.0, 0.0, 0.0, 0.0), (0.2, 0.8, 0.0, 0.0, 0.0), (0.0, 0.3, 0.7, 0.0, 0.0), (0.0, 0.1, 0.3, 0.6, 0.0), (0.0, 0.0, 0.1, 0.3, 0.7))
 #: Logits are kept as sixteenths in a byte; PRIOR is added to both counts of a decision.
 STEP, PRIOR = 16.0, 0.4
 #: Logit of each byte of a slot, and whether it is one; 0 is an empty slot, 256 another hash's. Signs of the bits' opposites.
