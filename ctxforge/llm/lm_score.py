@@ -35,11 +35,12 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxforge.llm.common import crc_mod, documents, fresh_path, give_back, materialize, shuffle_partitions, small_batches
+from ctxforge.llm.common import crc_mod, documents, forget, fresh_path, give_back, materialize, shuffle_partitions, small_batches
 
 #: Context lengths in bytes, beside the previous byte alone.
 ORDERS = (2, 3, 4, 6)
@@ -195,17 +196,22 @@ def narrow(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(keys: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
-    """Keys of one range as three bytes each, by place, and counts as one byte each, with those from 255 on behind."""
+    """Sorted keys of one range as differences, by place: the lowest bytes as they are, the two others compressed; and counts as
+    one byte each, with those from 255 on behind."""
     few, n = n < 255, n.astype(np.int64)
-    return (keys & np.uint32(0xFFFF)).astype(np.uint16).tobytes() + (keys >> np.uint32(16)).astype(np.uint8).tobytes(), np.where(few, n, 255).astype(np.uint8).tobytes() + n[~few].astype(np.int64).tobytes()
+    steps = np.diff(keys.astype(np.uint32), prepend=np.uint32(0))
+    high = (steps >> np.uint32(8) & np.uint32(255)).astype(np.uint8).tobytes() + (steps >> np.uint32(16)).astype(np.uint8).tobytes()
+    small = zstandard.ZstdCompressor(level=1).compress
+    return len(keys).to_bytes(4, "little") + steps.astype(np.uint8).tobytes() + small(high), small(np.where(few, n, 255).astype(np.uint8).tobytes() + n[~few].tobytes())
 
 
 def unpacked(p1: bytes, p2: bytes) -> tuple[np.ndarray, np.ndarray]:
-    size = len(p1) // 3
-    keys = np.frombuffer(p1, np.uint16, size).astype(np.uint32) | np.frombuffer(p1, np.uint8, size, 2 * size).astype(np.uint32) << np.uint32(16)
+    whole, size = zstandard.ZstdDecompressor().decompress, int.from_bytes(p1[:4], "little")
+    high, p2 = np.frombuffer(whole(p1[4 + size :]), np.uint8).astype(np.uint32), whole(p2)
+    steps = np.frombuffer(p1, np.uint8, size, 4) | high[:size] << np.uint32(8) | high[size:] << np.uint32(16)
     n = np.frombuffer(p2, np.uint8, size).astype(np.int64)
     n[n == 255] = np.frombuffer(p2[size:], np.int64)
-    return keys, n
+    return np.cumsum(steps, dtype=np.uint32), n
 
 
 def pair_counts(docs: DataFrame) -> np.ndarray:
@@ -338,12 +344,16 @@ def gather(docs: DataFrame, code, buckets: int) -> dict[str, DataFrame]:
     docs.select("doc_id", "key", "train", "text").mapInArrow(scan, schema).write.partitionBy("kind").option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(path)
     rest = "part int, chunk string, p1 binary, p2 binary, ids array<long>, keys array<long>, sizes array<long>, kind int"
     found = docs.sparkSession.read.schema(rest).parquet(path)
-    return {name: found.where(F.col("kind") == k).drop("kind") for k, name in enumerate(("tables", "requests", "chunks"))}
+    out = {name: found.where(F.col("kind") == k).drop("kind") for k, name in enumerate(("tables", "requests", "chunks"))}
+    for k, name in enumerate(out):
+        out[name]._written = f"{path}/kind={k}"
+    return out
 
 
 def merged(tables: DataFrame, groups: int | None = None) -> DataFrame:
     """(part, p1, p2, n): a row for each range of hashes, from the partial counts of all tasks. Groups of tasks are summed
-    first, so what a task reads does not grow with the corpus beyond the distinct hashes of its range."""
+    first, so what a task reads does not grow with the corpus beyond the distinct hashes of its range. The partial counts are
+    deleted once their sums are written."""
 
     def merge(table: pa.Table) -> pa.Table:
         some, held = [], 0
@@ -361,9 +371,13 @@ def merged(tables: DataFrame, groups: int | None = None) -> DataFrame:
     groups = groups or max(1, -(-tables.count() // (TASKS * len(ORDERS) << RANGE_BITS)))
     while groups > 1:
         dealt = tables.select("part", "p1", "p2", F.pmod(F.xxhash64("p1"), F.lit(groups)).alias("g"))
-        tables = materialize(dealt.groupBy("part", "g").applyInArrow(merge, schema), "lm-sums")
+        sums = materialize(dealt.groupBy("part", "g").applyInArrow(merge, schema), "lm-sums")
+        forget(tables)
+        tables = sums
         groups = -(-groups // TASKS) if groups > TASKS else 1
-    return materialize(tables.select("part", "p1", "p2").groupBy("part").applyInArrow(merge, schema), "lm-counts")
+    counts = materialize(tables.select("part", "p1", "p2").groupBy("part").applyInArrow(merge, schema), "lm-counts")
+    forget(tables)
+    return counts
 
 
 def table_of(keys: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
@@ -535,7 +549,9 @@ def lm_scores(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col
     pairs = pair_counts(own)
     sent_code = spark.sparkContext.broadcast(byte_code(pairs))
     found = gather(own, sent_code, max(shuffle_partitions(spark), -(-int(pairs.sum()) // BUCKET)))
-    tables = spark.sparkContext.broadcast(finished_tables(merged(found["tables"])))
+    counts = merged(found["tables"])
+    tables = spark.sparkContext.broadcast(finished_tables(counts))
+    forget(counts)
     base, n_train = base_scores(found, own.where("train").count())
 
     def scan(batches):
@@ -544,7 +560,9 @@ def lm_scores(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col
             yield pa.record_batch({"doc_id": batch.column(0), "key": batch.column(1), "train": batch.column(2), "bytes": pa.array([len(t) for t in texts], pa.int64()), "score": pa.array(score_texts(texts, sent_code.value, tables.value), pa.float64())})
 
     model = own.mapInArrow(scan, "doc_id long, key long, train boolean, bytes long, score double")
-    base = materialize(base, "lm-base").dropDuplicates(["doc_id", "key"]).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
+    base = materialize(base, "lm-base")
+    forget(found["requests"], found["chunks"])
+    base = base.dropDuplicates(["doc_id", "key"]).withColumnsRenamed({"doc_id": "_id", "key": "_key"})
     both = model.join(base, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
     bits = -F.col("score") * float(np.log2(10)) / F.greatest(F.col("bytes"), F.lit(1))
     return both.select("doc_id", "train", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
