@@ -12,6 +12,7 @@ from ctxforge.llm.packing import op9_best_fit_packing
 from ctxforge.llm.permutation_index import op1_permutation_index
 from ctxforge.llm.secrets import op2_secret_scan
 from ctxforge.llm.simhash import op3_simhash_near_dedup
+from ctxforge.llm.suffix_dedup import OP12_SQL, op12_suffix_dedup
 
 QUERIES = (
     op1_permutation_index,
@@ -24,6 +25,7 @@ QUERIES = (
     op8_language_id,
     op9_best_fit_packing,
     op10_exact_dedup,
+    op12_suffix_dedup,
 )
 
 
@@ -32,4 +34,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op10_exact_dedup": OP10_SQL, "op12_suffix_dedup": OP12_SQL}
