@@ -13,6 +13,7 @@ from ctxforge.llm.permutation_index import op1_permutation_index
 from ctxforge.llm.secrets import op2_secret_scan
 from ctxforge.llm.simhash import op3_simhash_near_dedup
 from ctxforge.llm.suffix_dedup import OP12_SQL, op12_suffix_dedup
+from ctxforge.llm.token_alignment import op13_token_alignment
 
 QUERIES = (
     op1_permutation_index,
@@ -26,6 +27,7 @@ QUERIES = (
     op9_best_fit_packing,
     op10_exact_dedup,
     op12_suffix_dedup,
+    op13_token_alignment,
 )
 
 
