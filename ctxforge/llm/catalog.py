@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ctxforge.llm.bpe import op7_bpe_forced_boundaries
 from ctxforge.llm.chat_format import op6_chat_format
+from ctxforge.llm.dual_tree_lloyd import OP11_SQL, op11_dual_tree_lloyd
 from ctxforge.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from ctxforge.llm.language_id import op8_language_id
 from ctxforge.llm.line_dedup import OP4_SQL, op4_line_dedup
@@ -26,6 +27,7 @@ QUERIES = (
     op8_language_id,
     op9_best_fit_packing,
     op10_exact_dedup,
+    op11_dual_tree_lloyd,
     op12_suffix_dedup,
     op13_token_alignment,
 )
@@ -36,4 +38,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op10_exact_dedup": OP10_SQL, "op12_suffix_dedup": OP12_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op10_exact_dedup": OP10_SQL, "op11_dual_tree_lloyd": OP11_SQL, "op12_suffix_dedup": OP12_SQL}
