@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import re
 import shutil
@@ -55,6 +56,18 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of what is written inside are removed when the writing ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what a Python worker holds at once when texts are long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxforge.llm.common import documents, give_back, materialize, quoted, sent_if_small, small_batches
+from ctxforge.llm.common import documents, give_back, materialize, quoted, sent_if_small, shuffles_removed, small_batches
 
 #: Bytes that must repeat, and bytes of the strings that give the first digit.
 WINDOW = 50
@@ -39,6 +39,8 @@ FREQUENT = 1 << 15
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _RUNS = "bucket int, n long, settled long, ids binary, keys binary, starts binary, runs binary, digits binary, size long, text binary"
+#: Columns of a run as integers; ids are stored as differences. Those of settled runs have no digit.
+_KINDS = {"ids": np.int64, "keys": np.int64, "starts": np.int32, "runs": np.uint8, "digits": np.uint32}
 
 
 def _words(buffer: np.ndarray, kind: str = "<u8") -> np.ndarray:
@@ -123,6 +125,17 @@ def sorted_groups(words: np.ndarray, at: np.ndarray, digit: np.ndarray, ids: np.
     yield live, least
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Integers byte by byte of their width, compressed."""
+    return pa.Codec("zstd", compression_level=3).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T), asbytes=True)
+
+
+def _unpacked(x: bytes, n: int, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    data = np.frombuffer(pa.decompress(x, n * width, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(data.reshape(width, n).T).reshape(-1).view(kind)
+
+
 def _runs_of(parts: list[tuple[int, int, int, bytes]], n_buckets: int, frequent: np.ndarray, window: int, gram: int) -> pa.RecordBatch | None:
     """A chunk's runs, a row for each bucket. parts: (id, key, place in the text, bytes)."""
     sizes = np.array([len(p[3]) for p in parts])
@@ -167,7 +180,8 @@ def _runs_of(parts: list[tuple[int, int, int, bytes]], n_buckets: int, frequent:
         n_gone = int(gone[own].sum())
         sent = own[: len(own) - n_gone]
         text = buffer[spread(begin[sent], size[sent])]
-        rows.append((int(bucket[own[0]]), len(own), n_gone, ids[own].tobytes(), keys[own].tobytes(), place[own].tobytes(), count[own].astype(np.uint8).tobytes(), digit[sent].tobytes(), len(text), pa.compress(text.tobytes(), "zstd", asbytes=True)))
+        held = (np.diff(ids[own], prepend=0), keys[own], place[own].astype(np.int32), count[own].astype(np.uint8), digit[sent])
+        rows.append((int(bucket[own[0]]), len(own), n_gone, *map(_packed, held), len(text), pa.Codec("zstd", compression_level=3).compress(text, asbytes=True)))
         left = right
     kinds = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.int64(), pa.binary())
     return pa.record_batch([pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], [f.split()[0] for f in _RUNS.split(", ")])
@@ -191,16 +205,13 @@ def _segments(batches, window: int) -> Iterator[list[tuple[int, int, int, bytes]
 
 def _repeats(rows: list[dict], window: int) -> pa.RecordBatch:
     """Places to remove, as (_id, _key, at, end), from the runs of one bucket."""
-    def column(name, kind, settled_ones=None):
-        parts = []
-        for r in rows:
-            x, cut = np.frombuffer(r[name], kind), r["n"] - r["settled"]
-            parts.append(x if settled_ones is None else x[cut:] if settled_ones else x[:cut])
-        return np.concatenate(parts)
-
-    out = [tuple(column(n, k, True) for n, k in (("ids", np.int64), ("keys", np.int64), ("starts", np.int64), ("runs", np.uint8)))]
-    ids, keys, starts, runs = (column(n, k, False) for n, k in (("ids", np.int64), ("keys", np.int64), ("starts", np.int64), ("runs", np.uint8)))
-    digit, runs = column("digits", np.uint32), runs.astype(np.int64)
+    held = []
+    for r in rows:
+        own = {name: _unpacked(r[name], r["n"] - (r["settled"] if name == "digits" else 0), kind) for name, kind in _KINDS.items()}
+        held.append((own | {"ids": np.cumsum(own["ids"])}, r["n"] - r["settled"]))
+    out = [tuple(np.concatenate([h[name][sent:] for h, sent in held]) for name in ("ids", "keys", "starts", "runs"))]
+    ids, keys, starts, runs, digit = (np.concatenate([h[name][:sent] for h, sent in held]) for name in _KINDS)
+    starts, runs = starts.astype(np.int64), runs.astype(np.int64)
     text = np.frombuffer(b"".join(pa.decompress(r["text"], r["size"], "zstd", asbytes=True) for r in rows) + bytes(8), np.uint8)
     size = runs + window - 1
     at = np.cumsum(size) - size
@@ -244,13 +255,26 @@ def frequent_digits(texts: DataFrame, n_docs: int, window: int = WINDOW, gram: i
     return np.array([r[0] for r in sums.where((F.col("n") >= 4) & (F.col("n") * part >= FREQUENT)).collect()], np.uint32)
 
 
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(quoted(text_col)).cast("string")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("_id"), F.xxhash64(text).alias("_key"), text.cast("binary").alias("_text"))
+
+
+def _size(texts: DataFrame) -> tuple[int, int, bool]:
+    """Rows, bytes, and whether rows of one id have different texts."""
+    by_id = texts.groupBy("_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_text")).alias("size"), (F.min("_key") != F.max("_key")).alias("several"))
+    return tuple(by_id.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("several"), F.lit(False))).first())
+
+
 def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(_id, _key, at, end): stretches of the texts' bytes that window bytes of a smaller id cover; they may overlap."""
+    """(_id, _key, at, end): stretches of the texts' bytes that window bytes of a smaller id cover; they may overlap. _key: xxhash64 of
+    the text, or zero where no id has several texts."""
     spark = docs.sparkSession
     small_batches(spark)
-    own = docs.select(F.col(quoted(id_col)).cast("long").alias("_id"), F.xxhash64(quoted(text_col)).alias("_key"), F.col(quoted(text_col)).cast("binary").alias("_text"))
-    texts = own.where(F.col("_id").isNotNull() & (F.octet_length("_text") >= window))
-    n_docs, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
+    texts = _identified(docs, id_col, text_col).where(F.col("_id").isNotNull() & (F.octet_length("_text") >= window))
+    n_docs, size, several = _size(texts)
+    # A hash of the text tells rows of one id apart; it is carried only where there are such rows.
+    texts = texts.withColumn("_key", F.col("_key") if several else F.lit(0).cast("long"))
     n_buckets = max(1, min(-(-size // BUCKET), 1 << 30))
     frequent = frequent_digits(texts, n_docs, window, gram) if n_docs >= FREQUENT else np.zeros(0, np.uint32)
 
@@ -280,13 +304,13 @@ def repeated_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary): each text without the bytes that documents of smaller ids hold too."""
     places = repeated_places(docs, id_col, text_col, window, gram)
-    spans = materialize(places.groupBy("_id", "_key").agg(F.collect_list(F.struct("at", "end")).alias("_spans")), "repeated-spans")
+    with shuffles_removed(docs.sparkSession):
+        spans = materialize(places.groupBy("_id", "_key").agg(F.collect_list(F.struct("at", "end")).alias("_spans")), "repeated-spans")
     width = spans.agg(F.avg(F.size("_spans"))).first()[0] or 0
     spans = sent_if_small(spans.withColumnsRenamed({"_id": "_sid", "_key": "_skey"}), int(64 + 32 * width))
-    own = docs.select(F.col(quoted(id_col)).cast("long").alias("_id"), F.col(quoted(text_col)).cast("string").alias("_text"))
-    own = own.withColumn("_key", F.xxhash64("_text"))
-    both = own.join(spans, (F.col("_id") == F.col("_sid")) & (F.col("_key") == F.col("_skey")), "left")
-    both = both.select(F.col("_id").alias("doc_id"), F.coalesce(F.col("_text").cast("binary"), F.lit(b"")).alias("text"), F.col("_spans.at").alias("at"), F.col("_spans.end").alias("end"))
+    own = _identified(docs, id_col, text_col)
+    both = own.join(spans, (F.col("_id") == F.col("_sid")) & F.col("_skey").isin(F.col("_key"), F.lit(0)), "left")
+    both = both.select(F.col("_id").alias("doc_id"), F.coalesce("_text", F.lit(b"")).alias("text"), F.col("_spans.at").alias("at"), F.col("_spans.end").alias("end"))
 
     def cut(batches):
         for batch in batches:
