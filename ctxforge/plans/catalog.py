@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ctxforge.plans import code, events, texts, usage
+from ctxforge.plans import code, events, streams, texts, usage
 
-_PARTS = (usage, texts, code, events)
+_PARTS = (usage, texts, code, events, streams)
 
 
 def queries() -> dict:

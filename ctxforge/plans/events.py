@@ -1,12 +1,7 @@
-"""Queries over tool events, prompts, diffs and streams, with their SQL where SQL can say it."""
+"""Queries over tool events, prompts, diffs and windows of time, with their SQL where SQL can say it."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ctxforge.functions import render
@@ -22,7 +17,7 @@ from ctxforge.operators import prompts as P
 from ctxforge.operators import relevance as R
 from ctxforge.operators import repo_graph as RG
 from ctxforge.operators import usage as U
-from ctxforge.plans.inputs import LOGS_CTE, REQUESTS, cte, derived, logs
+from ctxforge.plans.inputs import LOGS_CTE, cte, derived, logs
 from ctxforge.sources.events import parse_events
 from ctxforge.streaming import usage as S
 
@@ -76,35 +71,6 @@ def _responses(s, d):
     return events.select("tool_name", F.col("tool_input")["command"].alias("command"), G.response_text(F.col("tool_response")).alias("text"))
 
 
-def _folder(s) -> str:
-    """A folder that driver and executors share; a local one only where none is set."""
-    base = s.conf.get("spark.checkpoint.dir", None)
-    folder = f"{base.rstrip('/')}/ctxforge-stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="ctxforge-stream-")
-    atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
-    return folder
-
-
-def _streamed(s, d, build, mode: str, key: str | None = None):
-    """Run a stream over the events to its end and give its last output: in complete mode the last batch's, in update mode
-    the last row of each key."""
-    folder, seen = _folder(s), []
-    source = s.readStream.schema(s.read.parquet(f"{d}/events.parquet").schema).format("parquet").option("pathGlobFilter", "events.parquet").load(d)
-    source.createOrReplaceTempView("ctxforge_stream_events")
-    requests = s.sql(REQUESTS.replace("FROM events", "FROM ctxforge_stream_events")).withColumn("ts", F.col("ts").cast("timestamp"))
-    found = build(requests)
-    upsert = S.upsert_into(f"{folder}/out", key, "_batch") if key else None
-
-    def write(batch, batch_id):
-        seen.append(batch_id)
-        if upsert:
-            upsert(batch.withColumn("_batch", F.lit(batch_id)), batch_id)
-        else:
-            batch.write.mode("overwrite").parquet(f"{folder}/out/v{batch_id}")
-
-    found.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return s.read.parquet(f"{folder}/out/v{max(seen)}").drop("_batch") if seen else s.createDataFrame([], found.schema)
-
-
 def _status(s, d):
     """Projects and sessions of the request log, as a status report lists them."""
     req = derived(s, d, "requests")
@@ -159,9 +125,6 @@ QUERIES = {
     "events_tumbling": lambda s, d: _windows(s, d, S.tumbling),
     "events_sliding": lambda s, d: _windows(s, d, S.sliding),
     "events_session": lambda s, d: _windows(s, d, S.sessions),
-    "stream_session_stats": lambda s, d: _streamed(s, d, S.running_stats, "complete").drop("started_at"),
-    "stream_tumbling": lambda s, d: _streamed(s, d, S.tumbling, "complete"),
-    "stream_track_sessions": lambda s, d: _streamed(s, d, S.track_sessions, "update", "session_id").where("active").select("session_id", "saved", "requests"),
     "render_reports": _render,
 }
 
@@ -181,7 +144,6 @@ _BLOCKS = (
     r"unnest(regexp_extract_all(prompt, '```([A-Za-z0-9_]*)\n([\s\S]*?)```', 2)) AS content FROM p)"
 )
 _REQ = f"WITH {cte('requests')} "
-_STATS = _REQ + f"SELECT *, greatest(total_original - total_saved, 0) AS total_optimized, {_PCT.format(o='total_original', s='total_saved')} AS saved_percent FROM (SELECT session_id, count(*) AS total_requests, CAST(sum(original) AS BIGINT) AS total_original, CAST(sum(saved) AS BIGINT) AS total_saved FROM requests GROUP BY session_id)"
 _TUMBLE = _REQ + f"SELECT time_bucket(INTERVAL '1 hour', ts) AS start, tool, count(*) AS requests, CAST(sum(saved) AS BIGINT) AS saved, {_PCT.format(o='sum(original)', s='sum(saved)')} AS saved_percent FROM requests GROUP BY 1, 2"
 SQL = {
     "read_gate": f"WITH {cte('files')}, t AS (SELECT ord, path, ord % 40 AS pct, repeat(content || chr(10), CASE WHEN ord % 3 = 0 THEN 12 ELSE 1 END) AS body, list_last(string_split(path, '/')) AS base FROM files) "
@@ -195,7 +157,4 @@ SQL = {
     "events_sliding": _REQ + f"SELECT start, tool, count(*) AS requests, CAST(sum(saved) AS BIGINT) AS saved, {_PCT.format(o='sum(original)', s='sum(saved)')} AS saved_percent FROM (SELECT *, time_bucket(INTERVAL '1 hour', ts) - INTERVAL '1 hour' * k AS start FROM requests, (SELECT unnest([0, 1]) AS k)) GROUP BY 1, 2",
     "events_session": _REQ + ", g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL '6 hours' THEN 1 ELSE 0 END AS fresh FROM requests WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)), "
     "n AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS k FROM g) SELECT session_id, min(ts) AS start, max(ts) + INTERVAL '6 hours' AS \"end\", count(*) AS requests, CAST(sum(saved) AS BIGINT) AS saved FROM n GROUP BY session_id, k",
-    "stream_session_stats": _STATS,
-    "stream_tumbling": _TUMBLE,
-    "stream_track_sessions": _REQ + "SELECT session_id, CAST(sum(saved) AS BIGINT) AS saved, count(*) AS requests FROM requests GROUP BY session_id",
 }

@@ -1,22 +1,13 @@
-"""Live usage: running totals per session and tool, windows over event time, and state of sessions."""
+"""Live usage: running totals per session and tool, and windows over event time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ctxforge.functions.tokens import saved_percent
 from ctxforge.operators import usage
 
-SESSION_STATE = "started_at timestamp, last_activity timestamp, saved long, requests long"
-SESSION_ROW = "session_id long, started_at timestamp, last_activity timestamp, saved long, requests long, active boolean"
-#: Idle time after which a session is dropped.
-IDLE_MS = 48 * 3600 * 1000
-
 
 def running_stats(requests: DataFrame) -> DataFrame:
     """Totals per session, for update or complete mode."""
@@ -40,69 +31,3 @@ def sessions(requests: DataFrame, gap: str = "6 hours", late: str = "2 hours") -
 def _windowed(requests: DataFrame, window) -> DataFrame:
     sums = requests.groupBy(window.alias("w"), "tool").agg(F.count(F.lit(1)).alias("requests"), F.sum("saved").alias("saved"), F.sum("original").alias("original"))
     return sums.select(F.col("w.start").alias("start"), "tool", "requests", "saved", saved_percent(F.col("original"), F.col("saved")).alias("saved_percent"))
-
-
-def track_sessions(requests: DataFrame, idle_ms: int = IDLE_MS, late: str = "2 hours") -> DataFrame:
-    """Attach, touch, reset, detach and drop sessions: the first record attaches one, later ones add their savings and
-    renew it; with a column action, "reset" starts its counts anew and "detach" ends it. One that is idle once the
-    watermark has passed is dropped; ended ones are reported as inactive. Output mode: update."""
-    has_action = "action" in requests.columns
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            row = (*key, *state.get, False)
-            state.remove()
-        else:
-            held = state.get if state.exists else None
-            rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-            for ts, saved, action in zip(rows["ts"], rows["saved"], rows["action"] if has_action else [None] * len(rows)):
-                if action == "detach":
-                    row, held = (*key, *(held or (ts, ts, 0, 0)), False), None
-                    continue
-                started, last, total, n = held if held and action != "reset" else (ts, ts, 0, 0)
-                held = (min(started, ts), max(last, ts), total, n) if action == "reset" else (min(started, ts), max(last, ts), total + int(saved), n + 1)
-            if held:
-                row = (*key, *held, True)
-                state.update(held)
-                due = int(pd.Timestamp(held[1]).timestamp() * 1000) + idle_ms
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame([row], columns=["session_id", "started_at", "last_activity", "saved", "requests", "active"])
-
-    timed = requests.withWatermark("ts", late)
-    return timed.groupBy("session_id").applyInPandasWithState(step, SESSION_ROW, SESSION_STATE, "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def bounded_history(requests: DataFrame, keep: int = usage.HISTORY) -> DataFrame:
-    """What each session still remembers, its last `keep` records, after every batch: (session_id, remembered, saved, oldest,
-    newest). Output mode: update."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, saved = (list(x) for x in state.get) if state.exists else ([], [])
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        held = sorted(zip(times + [int(t.value // 1000) for t in rows["ts"]], saved + rows["saved"].astype(int).tolist()), key=lambda x: x[0])[-keep:]
-        state.update(([t for t, _ in held], [s for _, s in held]))
-        ends = [pd.Timestamp(held[i][0], unit="us") for i in (0, -1)]
-        yield pd.DataFrame([(*key, len(held), sum(s for _, s in held), *ends)], columns=["session_id", "remembered", "saved", "oldest", "newest"])
-
-    schema = "session_id long, remembered long, saved long, oldest timestamp, newest timestamp"
-    return requests.groupBy("session_id").applyInPandasWithState(step, schema, "times array<long>, saved array<long>", "update", GroupStateTimeout.NoTimeout)
-
-
-def upsert_into(path: str, key: str, order: str, versions: int = 2):
-    """A foreachBatch function that keeps the row of the largest order for each key under path, a new version each batch;
-    a batch that is run again writes the same version. Older versions than the last few are removed."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if batch_id:
-            rows = spark.read.parquet(f"{path}/v{batch_id - 1}").unionByName(batch)
-        row = F.struct(*batch.columns)
-        rows.groupBy(key).agg(F.max_by(row, F.struct(order, row)).alias("r")).select("r.*").write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{batch_id - versions}")
-        if batch_id >= versions:
-            old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
-
-    return write
