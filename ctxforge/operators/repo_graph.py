@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxforge.functions.tokens import savings
+from ctxforge.sources.scratch import written
 
 # Import prefixes that name a technology, first match wins.
 STACK = (
@@ -106,7 +107,7 @@ def entry_points(files: DataFrame) -> DataFrame:
 
 def compress_directory(files: DataFrame, base: str) -> DataFrame:
     """One row: architecture, entry points, technologies, and savings over the listing of imports and exports."""
-    files = files.persist()  # parsed once for the seven digests below
+    files = written(files, "parsed-files")  # parsed once for the seven digests below
     joined = lambda df, value, order: df.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, F.expr(value).alias("v")))), lambda x: x["v"]), ", "))
     names = lambda df, value, order, label: joined(df, value, order).toDF(label)
     ranked = directory_structure(files).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "first")))  # eight rows

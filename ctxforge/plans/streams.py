@@ -3,11 +3,6 @@ minutes, so rows come late; after each slice the stream is started again from it
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +12,7 @@ from ctxforge.operators import usage as U
 from ctxforge.plans.inputs import cte, derived
 from ctxforge.plans.usage import PCT
 from ctxforge.sources import keyed
+from ctxforge.sources.scratch import fresh_path
 from ctxforge.streaming import rollups
 from ctxforge.streaming import state as S
 from ctxforge.streaming import usage as W
@@ -24,19 +20,9 @@ from ctxforge.streaming import usage as W
 SLICES = 3
 
 
-def _folder(s: SparkSession) -> str:
-    """A folder that driver and executors share; a local one only where both are one process."""
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base and not re.fullmatch(r"local(\[[^-]*\])?", s.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = f"{base.rstrip('/')}/ctxforge-stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="ctxforge-stream-")
-    atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
-    return folder
-
-
 def streamed(s: SparkSession, d: str, build: Callable[[DataFrame], DataFrame], mode: str, sink: Callable[[DataFrame, int], None] | None = None) -> str:
     """Deliver the requests slice by slice to a stream; gives the folder with its output: out/v<batch> without a sink."""
-    folder = _folder(s)
+    folder = fresh_path(s, "stream")
     rows = derived(s, d, "requests").withColumn("ts", F.col("ts").cast("timestamp"))
     rows = rows.withColumn("_arrival", F.unix_seconds("ts") + F.col("event_id") % 7 * 540)
     low, high = rows.agg(F.min("_arrival"), F.max("_arrival")).first()

@@ -110,11 +110,47 @@ def test_similar_pairs_equal_all_pairs(spark, threshold):
     rng = random.Random(7)
     texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(60)]
     groups = dedupe.exact_groups(items(spark, texts))
-    sets = {r["first_ord"]: set(r["norm"].split(" ")) for r in groups.collect()}
+    sets = {r["first_ord"]: set(r["text"].split(" ")) for r in groups.collect()}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold}
     assert {(r["a"], r["b"]) for r in dedupe.similar_pairs(groups, threshold).collect()} == want
 
 
+@pytest.mark.parametrize("threshold", [0.0, 0.4, 0.6, 0.85, 1.0])
+def test_near_duplicates_equal_a_nested_loop(spark, threshold):
+    """First partners, both ways of dropping and merged groups, with copies and families of alike items in between."""
+    rng = random.Random(11)
+    base = [[rng.choice("abcdefghijklmnopq") for _ in range(rng.randint(1, 12))] for _ in range(25)]
+    texts = []
+    for _ in range(110):
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            t[rng.randrange(len(t))] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        texts.append(" ".join(t))
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(t, []).append(i)
+    sets = {own[0]: set(t.split(" ")) for t, own in groups.items()}
+    copies = {own[0] for own in groups.values() if len(own) > 1}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold
+    first = {a: next((b for b in sorted(sets) if b != a and alike(a, b)), None) for a in sets if a not in copies}
+    frame = items(spark, texts)
+    assert {(r["ord"], r["partner"]) for r in dedupe.partners(dedupe.exact_groups(frame), threshold).collect()} == {(a, b) for a, b in first.items() if b is not None}
+    assert {r["ord"] for r in dedupe.deduplicate(frame, threshold).collect()} == copies | {a for a, b in first.items() if b is None}
+    fixed = copies | {a for a in first if not any(alike(a, b) for b in sets if b != a and (b < a or b in copies))}
+    assert {r["ord"] for r in dedupe.deduplicate_fixed(frame, threshold).collect()} == fixed
+    count = {g: len(own) + sum(b == g and b < a for a, b in first.items()) for g, own in ((own[0], own) for own in groups.values()) if g in copies}
+    assert {r["first_ord"]: r["count"] for r in dedupe.duplicate_groups(frame, threshold).collect()} == count
+
+
+def test_alike_items_do_not_meet_all_others(spark, monkeypatch):
+    """3,000 items of one family, all similar to each other: the pairs that are compared are about as many as the items."""
+    texts = [" ".join([f"w{k}" for k in range(40)] + [f"own{i}"]) for i in range(3000)] + ["something else", "one more thing"]
+    compared, real = [], dedupe._verified
+    monkeypatch.setattr(dedupe, "_verified", lambda pairs, *more: (compared.append(pairs), real(pairs, *more))[1])
+    assert {r["item_id"] for r in dedupe.deduplicate(items(spark, texts)).collect()} == {3000, 3001}
+    assert sum(p.count() for p in compared) < 3 * len(texts)
+
+
 def test_budget(spark):
     rows = [("b", 0, "spec", "x" * 532, "critical"), ("b", 1, "code", "x" * 1036, "high"), ("b", 2, "old", "x" * 2000, "low")]
     parts = budget.breakdown(spark.createDataFrame(rows, "budget_id string, ord int, name string, content string, priority string"))
