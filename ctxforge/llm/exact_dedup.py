@@ -8,8 +8,7 @@ themselves never enter a shuffle.
 
 A batch may be run again, say after a job that was lost before its output was written: digests that the index
 holds under the batch's own name count as new, so every run of a batch gives the same rows and the index grows
-once. A batch is named by the caller or, by default, by its contents; the same contents that arrive a second
-time as another batch need a name of their own.
+once. The caller names the batch: the same contents that arrive a second time, under another name, are duplicates.
 
 Edge cases: a null text counts as empty; a null id sorts after every other id and can only be kept
 when no copy has an id; repeated (id, text) rows count one each in group_size and exactly one of
@@ -72,8 +71,8 @@ class DigestIndex:
         """Take the index out of the catalog; its files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
-    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
-        """Deduplicate a batch and append it. One row per document:
+    def dedup(self, docs: DataFrame, batch: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Deduplicate a batch and append it under its name. One row per document:
         doc_id, keep_id, group_size (copies in this batch), kept, text_sha256.
 
         A digest that another batch brought keeps that batch's id, so no copy of it is kept."""
@@ -83,9 +82,6 @@ class DigestIndex:
         own = own.select("digest", F.col("doc_id").cast("long").alias("doc_id"), "times")
         groups = own.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("times").alias("n"))
         groups = materialize(groups, "digest-groups")
-        if batch is None:
-            mixed = F.xxhash64("digest", "keep_id", "n")
-            batch = "-".join(str(x) for x in groups.agg(F.count(F.lit(1)), F.bit_xor(mixed), F.sum(mixed % 1_000_003)).first())
         # One row per digest on either side.
         index = self.table().where(F.col("batch") != batch).select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("known"))
         found = materialize(groups.join(index.hint("merge"), "digest", "left"), "digest-found")
@@ -102,7 +98,7 @@ class DigestIndex:
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark)
-    found = index.dedup(documents(spark, sf_dir))
+    found = index.dedup(documents(spark, sf_dir), "documents")
     index.drop()  # what was found is in tables of its own
     return found
 

@@ -14,7 +14,7 @@ from ctxforge.llm.vptree import Forest, build_tree, components, links, number_le
 
 
 def test_exact_edges(spark):
-    got = DigestIndex(spark).dedup(documents(spark)).collect()
+    got = DigestIndex(spark).dedup(documents(spark), "first").collect()
     assert len(got) == len(ROWS)
     by = defaultdict(list)
     for i, text, _ in ROWS:
@@ -23,17 +23,17 @@ def test_exact_edges(spark):
     assert sorted(r["group_size"] for r in got) == sizes
     assert sum(r["kept"] for r in got) == len(by)
     assert {r["keep_id"] for r in got if r["doc_id"] == 3} == {2} and {r["keep_id"] for r in got if r["doc_id"] == 4} == {4}
-    assert DigestIndex(spark).dedup(empty(spark)).count() == 0
+    assert DigestIndex(spark).dedup(empty(spark), "first").count() == 0
 
 
 def test_exact_batches(spark):
     index = DigestIndex(spark, buckets=3)
-    first = index.dedup(spark.createDataFrame([(5, "a  b"), (6, "c")], "doc_id long, text string")).collect()
+    first = index.dedup(spark.createDataFrame([(5, "a  b"), (6, "c")], "doc_id long, text string"), "first").collect()
     assert all(r["kept"] for r in first)
-    second = {r["doc_id"]: r for r in index.dedup(spark.createDataFrame([(1, "a b"), (2, "d"), (3, "d")], "doc_id long, text string")).collect()}
+    second = {r["doc_id"]: r for r in index.dedup(spark.createDataFrame([(1, "a b"), (2, "d"), (3, "d")], "doc_id long, text string"), "second").collect()}
     assert (second[1]["keep_id"], second[1]["kept"]) == (5, False) and second[2]["kept"] and not second[3]["kept"]
     assert index.table().count() == 3
-    again = index.dedup(spark.createDataFrame([(1, "a b"), (2, "d"), (3, "d")], "doc_id long, text string")).collect()
+    again = index.dedup(spark.createDataFrame([(1, "a b"), (2, "d"), (3, "d")], "doc_id long, text string"), "second").collect()
     assert {tuple(r) for r in again} == {tuple(r) for r in second.values()} and index.table().count() == 3
     index.compact()
     assert index.table().count() == 3
@@ -47,16 +47,23 @@ def test_exact_index_is_found_again(spark, tmp_path):
     docs = spark.createDataFrame([(5, "a"), (6, "b")], "doc_id long, text string")
     for wanted in (True, True):  # a run, and the same one after its output was lost
         index = DigestIndex(spark, "kept_index", str(tmp_path / "kept"), 2)
-        assert all(r["kept"] == wanted for r in index.dedup(docs).collect())
+        assert all(r["kept"] == wanted for r in index.dedup(docs, "first").collect())
     assert not any(r["kept"] for r in DigestIndex(spark, "kept_index", str(tmp_path / "kept"), 2).dedup(docs, batch="later").collect())
     index.drop()
 
 
+def test_the_same_contents_twice_are_duplicates(spark):
+    """Delivered again as another batch, nothing is kept; as the same batch, after a lost run, what was kept is kept."""
+    index, docs = DigestIndex(spark, buckets=2), spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, text string")
+    kept = [[r["kept"] for r in index.dedup(docs, name).collect()] for name in ("monday", "tuesday", "monday")]
+    assert kept == [[True, True], [False, False], [True, True]] and index.table().count() == 2
+
+
 def test_many_copies_of_one_row(spark, monkeypatch):
     import ctxforge.llm.exact_dedup as E
 
     monkeypatch.setattr(E, "COPIES", 7)
-    rows = DigestIndex(spark).dedup(spark.createDataFrame([(1, "x")] * 50 + [(2, "x")], "doc_id long, text string")).collect()
+    rows = DigestIndex(spark).dedup(spark.createDataFrame([(1, "x")] * 50 + [(2, "x")], "doc_id long, text string"), "first").collect()
     assert len(rows) == 51 and sum(r["kept"] for r in rows) == 1 and {r["group_size"] for r in rows} == {51}
 
 
