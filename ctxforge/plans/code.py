@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from ctxforge.functions.language import LANGUAGES, MARKERS, PURPOSES, detect_language, project_language
@@ -10,6 +12,8 @@ from ctxforge.operators import relevance as R
 from ctxforge.operators import repo_graph as G
 from ctxforge.operators import syntax
 from ctxforge.plans.inputs import cte, derived
+from ctxforge.sources import scan
+from ctxforge.sources.scratch import fresh_path
 
 QUERY = "where is the load of Part orders and service config?"
 
@@ -53,8 +57,38 @@ def _markers(s, d):
     return s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", project_language(names).alias("language"))
 
 
+#: Where a file of the tree stands; folders of dependencies and those that start with a dot are not entered.
+TREE_PATH = "concat(CASE ord % 17 WHEN 0 THEN 'node_modules/x/' WHEN 1 THEN '.cfg/' WHEN 2 THEN '_app/' ELSE '' END, path)"
+
+
+def _tree(s, d) -> str:
+    """The files as a tree in the shared folder, written by the executors; of those with one path the first."""
+    base = fresh_path(s, "tree").removeprefix("file://")
+    files = _files(s, d).groupBy(F.expr(TREE_PATH).alias("path")).agg(F.min_by("content", "ord").alias("content"))
+
+    def write(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                place = os.path.join(base, row["path"])
+                os.makedirs(os.path.dirname(place), exist_ok=True)
+                with open(place, "w", encoding="utf-8", newline="") as file:
+                    file.write(row["content"])
+            yield batch.select(["path"])
+
+    files.mapInArrow(write, "path string").count()
+    return base
+
+
+def _scanned(s, d, **options):
+    found = scan.read_tree(s, _tree(s, d), include_tests=True, **options)
+    return found.select("ord", "path", "size_bytes", F.sha2("content", 256).alias("sha256"))
+
+
 JS = ("typescript", "javascript")
 QUERIES = {
+    "scan_tree": lambda s, d: _scanned(s, d, most=None).drop("ord"),
+    "scan_first": lambda s, d: _scanned(s, d, most=100),
+    "scan_relevance": lambda s, d: scan.read_for_relevance(s, _tree(s, d)).select("path", "size_bytes", F.sha2("content", 256).alias("sha256")),
     "detect_language": lambda s, d: _files(s, d).select("ord", "path", detect_language(F.col("path")).alias("language")),
     "project_language": _markers,
     "js_doc": _doc(*JS),
@@ -94,6 +128,13 @@ QUERIES = {
 
 # SQL
 
+_TREE = (
+    f"WITH {cte('files')}, t AS (SELECT {TREE_PATH} AS path, arg_min(content, ord) AS content FROM files GROUP BY 1), "
+    "k AS (SELECT path, strlen(content) AS size_bytes, sha256(content) AS sha256, string_split(path, '/') AS parts FROM t WHERE NOT starts_with(path, 'node_modules/') AND NOT starts_with(path, '.cfg/') AND regexp_matches(path, '[.](EXTENSIONS)$')), "
+    "o AS (SELECT *, row_number() OVER (ORDER BY parts) AS k FROM k) "
+)
+_SOURCES, _RANKED = "ts|tsx|js|jsx|mjs|cjs|py|rs|go|java|kt|swift|rb|php|cpp|cc|c|h", "ts|tsx|js|jsx|py|go|rs"
+
 
 def _q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
@@ -234,6 +275,10 @@ def _rows(cond: str, *columns: str) -> str:
 _SYCOLS = "ord, path, place, name, kind, signature, exported, is_async, CAST(no AS INT) AS line"
 _IMCOLS = "ord, place, source, array_to_string(specifiers, ',') AS specifiers, is_default, is_side_effect"
 SQL = {
+    "scan_tree": _TREE.replace("EXTENSIONS", _SOURCES) + "SELECT path, size_bytes, sha256 FROM o",
+    "scan_first": _TREE.replace("EXTENSIONS", _SOURCES) + "SELECT k - 1 AS ord, path, size_bytes, sha256 FROM o WHERE k <= 100",
+    # A folder counts as entered if it stands before the 500th file.
+    "scan_relevance": _TREE.replace("EXTENSIONS", _RANKED) + "SELECT path, size_bytes, sha256 FROM o WHERE len(parts) = 1 OR list_slice(parts, 1, len(parts) - 1) < coalesce((SELECT parts FROM o WHERE k = 500), ['\U0010FFFF'])",
     "detect_language": _BASE.rstrip(", ") + " SELECT ord, path, language FROM fl",
     "project_language": "SELECT n_nationkey, CASE " + " ".join(f"WHEN n_nationkey % {i + 2} = 0 THEN '{lang}'" for i, (_, lang) in enumerate(MARKERS)) + " ELSE 'unknown' END AS language FROM nation",
     "js_doc": _AGG + f" SELECT ord, comment FROM cm WHERE {_ISJS} AND comment IS NOT NULL",

@@ -1,16 +1,15 @@
-"""Scanning source trees: a listing made on the driver, contents read by the executors.
-
-Spark's file index leaves out names that start with "_", which source trees have, so folders are listed here;
-only paths and sizes pass through the driver."""
+"""Scanning source trees: executors list the folders and read the contents; the driver sees folder names alone."""
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ctxforge.sources.tree import SourceTree
 
 # Folders that are not entered (any other that starts with a dot is left out too).
 DENIED = frozenset("node_modules .git dist build .next .nuxt coverage .cache __pycache__ .pytest_cache vendor .turbo .parcel-cache".split())
@@ -22,49 +21,53 @@ TESTS = re.compile(r"\.(test|spec)\.|__tests__|_test\.|tests/")
 DIRECTORY_BYTES, RELEVANCE_BYTES = 200 * 1024, 100 * 1024
 
 
-def walk(base: str, extensions: frozenset[str] = EXTENSIONS, denied: frozenset[str] = DENIED, include_tests: bool = False, most: int | None = 100, soft: bool = False) -> list[tuple[int, str, str, int]]:
-    """(ord, full path, relative path, bytes), depth first in name order; at most the given number. A soft limit only
-    keeps further folders from being entered: the files of one that was entered are all listed."""
-    found: list[tuple[int, str, str, int]] = []
-
-    def enter(folder: str) -> None:
-        if soft and most is not None and len(found) >= most:
-            return
-        try:
-            entries = sorted(os.scandir(folder), key=lambda e: e.name)
-        except OSError:
-            return
-        for entry in entries:
-            if not soft and most is not None and len(found) >= most:
-                return
-            if entry.is_dir(follow_symlinks=False):
-                if entry.name not in denied and not entry.name.startswith("."):
-                    enter(entry.path)
-            elif entry.is_file(follow_symlinks=False) and os.path.splitext(entry.name)[1] in extensions:
-                if include_tests or not TESTS.search(entry.path):
-                    found.append((len(found), entry.path, os.path.relpath(entry.path, base), entry.stat().st_size))
-
-    enter(base)
-    return found
+#: Stands between folders in the order of a listing: depth first, by name, files among folders.
+_BELOW = "\0"
+
+
+def _place(path: str):
+    return F.replace(F.col(path), F.lit("/"), F.lit(_BELOW))
+
+
+def list_tree(
+    spark: SparkSession, base: str, extensions: frozenset[str] = EXTENSIONS, denied: frozenset[str] = DENIED, include_tests: bool = False, most: int | None = 100, soft: bool = False, max_bytes: int | None = None
+) -> DataFrame:
+    """(ord, full_path, path, size_bytes), depth first in name order; ord grows along the listing. At most the given number of files,
+    of which those that are too large (max_bytes) are then left out. A soft limit only keeps further folders from being entered: the
+    files of one that was entered are all listed. Folders are listed on the executors."""
+    spark.dataSource.register(SourceTree)
+    reader = spark.read.format("source_tree").option("extensions", " ".join(sorted(extensions))).option("denied", " ".join(sorted(denied)))
+    if not include_tests:
+        reader = reader.option("skipped", TESTS.pattern)
+    if most is None and max_bytes is not None:
+        reader = reader.option("maxBytes", max_bytes)
+    files = reader.load(base)
+    if most is not None and not soft:
+        files = files.orderBy(_place("path")).limit(most)
+    elif most is not None:
+        # A folder is entered while fewer files were found: if it stands before the last of that many.
+        last = files.orderBy(_place("path")).limit(most).agg(F.max(_place("path")), F.count(F.lit(1))).first()
+        if last[1] == most:
+            files = files.where((F.col("folder") == "") | (_place("folder") < F.lit(last[0])))
+    listed = files.orderBy(_place("path")).select(F.monotonically_increasing_id().alias("ord"), "full_path", "path", "size_bytes")
+    return listed.where(F.col("size_bytes") <= max_bytes) if max_bytes is not None else listed
 
 
 def read_tree(spark: SparkSession, base: str, max_bytes: int = DIRECTORY_BYTES, **options) -> DataFrame:
     """(ord, full_path, path, size_bytes, content) of a tree; files that are too large or unreadable have no row."""
-    listed = spark.createDataFrame(walk(base, **options), "ord long, full_path string, path string, size_bytes long")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
                 try:
-                    with open(row.full_path, encoding="utf-8", errors="replace", newline="") as file:
-                        rows.append((*row, file.read()))
+                    with open(row["full_path"], encoding="utf-8", errors="replace", newline="") as file:
+                        content = file.read()
                 except OSError:
                     continue
-            yield pd.DataFrame(rows, columns=[*pdf.columns, "content"])
+                yield pa.record_batch([*(pa.array([row[n]], batch.schema.field(n).type) for n in batch.schema.names), pa.array([content], pa.string())], [*batch.schema.names, "content"])
 
     schema = "ord long, full_path string, path string, size_bytes long, content string"
-    return listed.where(listed.size_bytes <= max_bytes).mapInPandas(read, schema)
+    return list_tree(spark, base, max_bytes=max_bytes, **options).mapInArrow(read, schema)
 
 
 def read_for_relevance(spark: SparkSession, base: str, extensions: frozenset[str] = RELEVANCE_EXTENSIONS, most: int = 500) -> DataFrame:

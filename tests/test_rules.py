@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ctxforge.functions import render, tokens
 from ctxforge.functions.text import replace_first
 from ctxforge.operators import code, diff, gates, params, repo_graph, usage
-from ctxforge.sources import events, scan
+from ctxforge.sources import events, scan, tree
 
 
 def plain_replace(text, found, replacement):
@@ -84,13 +84,65 @@ def test_sessions_and_cache(spark):
     assert [r[0] for r in spark.sql("SELECT 'block' AS d, true AS o UNION ALL SELECT 'block', NULL").select(gates.unless_opted_out(F.col("d"), F.col("o"))).collect()] == ["skip", "block"]
 
 
-def test_soft_limit(tmp_path):
-    for folder in ("a", "b"):
-        (tmp_path / folder).mkdir()
-        for i in range(3):
-            (tmp_path / folder / f"f{i}.py").write_text("x")
-    names = lambda **o: [x[2] for x in scan.walk(str(tmp_path), **o)]
-    assert names(most=2) == ["a/f0.py", "a/f1.py"] and names(most=2, soft=True) == ["a/f0.py", "a/f1.py", "a/f2.py"] and len(names(most=None)) == 6
+def listed(base, extensions, denied, most, soft, tests=True):
+    """Depth first in name order, as a plain recursion."""
+    import os
+
+    found = []
+
+    def enter(folder):
+        if most is not None and len(found) >= most:
+            return
+        for name in sorted(os.listdir(folder)):
+            path = os.path.join(folder, name)
+            if not soft and most is not None and len(found) >= most:
+                return
+            if os.path.isdir(path):
+                if name not in denied and not name.startswith("."):
+                    enter(path)
+            elif os.path.splitext(name)[1] in extensions and (tests or not scan.TESTS.search(path)):
+                found.append(os.path.relpath(path, base))
+
+    enter(base)
+    return found
+
+
+def test_listings_equal_a_recursion(spark, tmp_path):
+    """Order, hard and soft limits, with names around the separator, denied folders and folders opened on the driver or not."""
+    rng = random.Random(3)
+    names = ["a", "a.b", "a-b", "a b", "_x", ".hid", "dist", "z", "é", "A"]
+    folders = [tmp_path / "base"]
+    for _ in range(60):
+        folders.append(rng.choice(folders) / rng.choice(names))
+    for folder in folders:
+        folder.mkdir(parents=True, exist_ok=True)
+        for _ in range(rng.randint(1, 4)):
+            file = folder / (rng.choice(["f", "aa", "__init__", "b.test", "zz"]) + rng.choice([".py", ".ts", ".TS", ".txt", ""]))
+            file.write_text("x" * rng.randint(0, 9))
+    base, kinds = str(tmp_path / "base"), frozenset([".py", ".ts"])
+    full = listed(base, kinds, scan.DENIED, None, False)
+    assert len(full) > 12
+    for most in (1, 2, 5, 9, len(full), 100, None):
+        for soft in (False, True):
+            for tests in (False, True):
+                got = [r["path"] for r in scan.list_tree(spark, base, extensions=kinds, include_tests=tests, most=most, soft=soft).orderBy("ord").collect()]
+                assert got == listed(base, kinds, scan.DENIED, most, soft, tests), (most, soft)
+
+
+def test_tree_partitions(tmp_path):
+    """Folders alone are listed to deal them out; every file is in one partition."""
+    for i in range(4):
+        for j in range(3):
+            (tmp_path / f"d{i}" / f"e{j}").mkdir(parents=True)
+            (tmp_path / f"d{i}" / f"e{j}" / "f.py").write_text("x")
+        (tmp_path / f"d{i}" / "g.py").write_text("xx")
+    (tmp_path / "h.py").write_text("xxx")
+    for n, wanted in ((1, 1), (5, 5), (6, 1 + 4 + 12), (100, 17)):
+        reader = tree.TreeReader({"path": str(tmp_path), "extensions": ".py", "maxbytes": "2", "folders": str(n)})
+        parts = reader.partitions()
+        assert len(parts) == wanted
+        paths = [x for p in parts for b in reader.read(p) for x in b["path"].to_pylist()]
+        assert len(paths) == len(set(paths)) == 16 and "h.py" not in paths
 
 
 def test_reports(spark):
