@@ -1,7 +1,8 @@
 """Log compression: (log_id, content) -> unique errors and warnings with counts, and advice.
 
 An error line takes the run of stack frames after it. That scan is a gaps-and-islands problem: lines that are
-not frames number the islands, and within an island everything from its error line on is one block."""
+not frames number the islands, and within an island everything from its error line on is one block. Islands are
+numbered in blocks of lines with a carry, so a long log is the work of many tasks."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ctxforge.functions.text import WS, js_trim, plural, word
 from ctxforge.functions.tokens import text_savings
+from ctxforge.operators.prefix import running
 
 # The words that give a line its level, first match wins.
 LEVELS = (("error", "error|err|fatal|exception|traceback|panic"), ("warn", "warn|warning"), ("info", "info|success|done|complete"), ("debug", "debug|trace|verbose"))
@@ -27,6 +29,8 @@ ADVICE = (
 DEPRECATED = "Update deprecated APIs"
 #: Frames that are kept and shown.
 KEPT, SHOWN = 5, 3
+#: Lines of a log that are scanned as one block.
+BLOCK = 4096
 
 
 def level(line: Column) -> Column:
@@ -49,12 +53,13 @@ def log_lines(logs: DataFrame) -> DataFrame:
 
 def log_blocks(logs: DataFrame) -> DataFrame:
     """(log_id, line_no, level, message, key): an error with its frames, or a warning."""
-    order = Window.partitionBy("log_id").orderBy("line_no")
-    marked = log_lines(logs).withColumn("island", F.sum(F.when(is_frame(F.col("line")), 0).otherwise(1)).over(order))
+    block = F.floor(F.col("line_no") / BLOCK)
+    marked = running(log_lines(logs), "log_id", block, ["line_no"], {"island": F.when(is_frame(F.col("line")), 0).otherwise(1)})
     island = Window.partitionBy("log_id", "island")
     start = F.min(F.when(F.col("level") == "error", F.col("line_no"))).over(island)
     blocks = marked.withColumn("start", start).where(((F.col("line_no") >= F.col("start"))) | (F.col("level") == "warn"))
     head = F.when(F.col("line_no") >= F.col("start"), F.col("start")).otherwise(F.col("line_no"))
+    blocks = blocks.where(F.col("line_no") - head <= KEPT)  # an error's frames follow it line by line
     parts = blocks.groupBy("log_id", head.alias("line_no")).agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "level"))).alias("parts"))
     frames = F.transform(F.slice("parts", 2, KEPT), lambda p: p["line"])
     first = F.element_at("parts", 1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxforge.functions.tokens import saved_percent
+from ctxforge.operators.prefix import last_sum, running
 
 #: Requests that a session remembers.
 HISTORY = 10_000
@@ -52,9 +53,17 @@ def last_request(requests: DataFrame) -> DataFrame:
     return requests.groupBy("session_id").agg(latest.alias("r")).select("session_id", "r.*")
 
 
+#: Rows of a session are scanned by blocks of this width of time.
+BLOCK = "hour"
+
+
+def _block():
+    return F.date_trunc(BLOCK, F.col("ts").cast("timestamp"))
+
+
 def ring_buffer(requests: DataFrame, keep: int = HISTORY) -> DataFrame:
-    """The records that a session still holds."""
-    return requests.withColumn("age", F.row_number().over(_latest_first())).where(F.col("age") <= keep)
+    """The records that a session still holds; age: 1 for the latest."""
+    return running(requests, "session_id", _block(), ["ts", "event_id"], {"age": F.lit(1)}, backwards=True).where(F.col("age") <= keep)
 
 
 def tool_share(requests: DataFrame) -> DataFrame:
@@ -66,14 +75,9 @@ def tool_share(requests: DataFrame) -> DataFrame:
 
 def spark_series(requests: DataFrame, points: int = 20) -> DataFrame:
     """Running totals of a session and the sum over its last points."""
-    order = Window.partitionBy("session_id").orderBy("ts", "event_id")
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    out = requests.withColumns({
-        "running_saved": F.sum("saved").over(running),
-        "running_original": F.sum("original").over(running),
-        "requests": F.count(F.lit(1)).over(running),
-        "window_saved": F.sum("saved").over(order.rowsBetween(1 - points, 0)),
-    })
+    order = ["ts", "event_id"]
+    out = running(requests, "session_id", _block(), order, {"running_saved": F.col("saved"), "running_original": F.col("original"), "requests": F.lit(1)})
+    out = last_sum(out, "session_id", _block(), order, "saved", points, "window_saved")
     return out.withColumn("running_percent", saved_percent(F.col("running_original"), F.col("running_saved")))
 
 

@@ -89,6 +89,50 @@ def test_conversation(spark):
     assert list(short["goals"]) == [conversation.NO_GOALS] and short["key_context"] == "General conversation"
 
 
+def test_running_sums_in_blocks(spark):
+    """Against plain loops, with blocks of one row and of all, null keys and values, and nulls in between."""
+    from pyspark.sql import functions as F
+
+    from ctxforge.operators import prefix
+
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 1, 1, 1, 2, None]), i, rng.choice([None, *range(5)])) for i in range(300)]
+    frame = spark.createDataFrame(rows, "k int, t int, v long").repartition(7)
+    for width in (1, 7, 50, 1000):
+        block = F.floor(F.col("t") / width)
+        out = prefix.running(frame, "k", block, ["t"], {"s": F.coalesce("v", F.lit(0)), "n": F.lit(1)})
+        out = prefix.running(out, "k", block, ["t"], {"back": F.lit(1)}, backwards=True)
+        out = prefix.last_sum(out, "k", block, ["t"], "v", 4, "last")
+        got = {r["t"]: (r["s"], r["n"], r["back"], r["last"]) for r in out.collect()}
+        for k in (1, 2, None):
+            own = [(t, v or 0) for key, t, v in rows if key == k]
+            for i, (t, _) in enumerate(own):
+                assert got[t] == (sum(v for _, v in own[: i + 1]), i + 1, len(own) - i, sum(v for _, v in own[max(0, i - 3) : i + 1])), (width, k, t)
+        assert len(got) == 300
+
+
+def test_a_long_log_is_split(spark, monkeypatch):
+    """One log with nine tenths of all lines: the same blocks whatever the width, and no task has most of the lines."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    kinds = ["ERROR: bad", "at f (a.js:1)", "at error (b.js:2)", "warn: slow", "info ok", ""]
+    texts = [(0, "\n".join(rng.choice(kinds) for _ in range(3000))), (1, "\n".join(rng.choice(kinds) for _ in range(300)))]
+    frame, seen = spark.createDataFrame(texts, "log_id int, content string"), []
+    for width in (8, 100, 100_000):
+        monkeypatch.setattr(logs, "BLOCK", width)
+        seen.append(sorted(map(tuple, logs.log_blocks(frame).collect())))
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 500
+    monkeypatch.setattr(logs, "BLOCK", 100)
+    spread = logs.running(logs.log_lines(frame), "log_id", F.floor(F.col("line_no") / 100), ["line_no"], {"island": F.lit(1)})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r[0] for r in spread.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 0.6 * sum(sizes)
+
+
 def test_duplicates(spark):
     error = "Error: failed at line 1\n    at foo"
     kept = dedupe.deduplicate(items(spark, [error] * 3 + ["something else entirely"]))
