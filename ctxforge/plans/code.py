@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ctxforge.functions.language import LANGUAGES, MARKERS, PURPOSES, detect_language, project_language
 from ctxforge.operators import code as K
+from ctxforge.operators import postings as P
 from ctxforge.operators import relevance as R
 from ctxforge.operators import repo_graph as G
 from ctxforge.operators import syntax
@@ -84,6 +85,13 @@ def _scanned(s, d, **options):
     return found.select("ord", "path", "size_bytes", F.sha2("content", 256).alias("sha256"))
 
 
+def _ranked(s, d):
+    """All files ranked for every kind of part."""
+    queries = s.read.parquet(f"{d}/part.parquet").groupBy("p_type").agg(F.min("p_partkey").alias("query_id"))
+    queries = queries.select("query_id", F.concat(F.lit("where is the "), F.col("p_type"), F.lit(" part of service-config in m"), F.col("query_id") % 50, F.lit("?")).alias("query"))
+    return P.rank(P.build(_sized(s, d)), queries).select("query_id", "position", "ord", "score", F.array_join("reasons", "|").alias("reasons"))
+
+
 JS = ("typescript", "javascript")
 QUERIES = {
     "scan_tree": lambda s, d: _scanned(s, d, most=None).drop("ord"),
@@ -123,6 +131,7 @@ QUERIES = {
     "query_terms": lambda s, d: s.createDataFrame(list(enumerate(R.query_terms(QUERY))), "place int, term string"),
     "relevance_scores": lambda s, d: R.score(_sized(s, d), QUERY).select("ord", "path", "score", F.array_join("reasons", "|").alias("reasons")),
     "semantic_relevance": lambda s, d: R.rank(_sized(s, d), QUERY).select("ord", "path", "score", F.array_join("reasons", "|").alias("reasons")),
+    "relevance_batch": _ranked,
     "relevance_savings": lambda s, d: R.ranking_savings(_sized(s, d), QUERY),
 }
 
@@ -314,6 +323,18 @@ SQL = {
     "fin AS (SELECT architecture, (SELECT entries FROM ep) AS entry_points, CAST(ceil((SELECT chars FROM oc) / 4.0) AS BIGINT) AS original, CAST(ceil(length((SELECT shown FROM sh)) / 4.0) AS BIGINT) AS optimized FROM ar) "
     f"SELECT *, greatest(original - optimized, 0) AS saved, {_PCT.format(o='original', s='greatest(original - optimized, 0)')} AS saved_percent FROM fin",
     "query_terms": "SELECT CAST(row_number() OVER () - 1 AS INT) AS place, t AS term FROM (SELECT unnest(['where', 'load', 'part', 'orders', 'service', 'config']) AS t)",
+    "relevance_batch": f"WITH {cte('files')}, q AS (SELECT min(p_partkey) AS query_id, concat('where is the ', p_type, ' part of service-config in m', min(p_partkey) % 50, '?') AS query FROM part GROUP BY p_type), "
+    r"w AS (SELECT query_id, string_split_regex(regexp_replace(lower(query), '[^a-z0-9\s_-]', ' ', 'g'), '\s+') AS ws FROM q), "
+    "t AS (SELECT query_id, unnest(ws) AS term, generate_subscripts(ws, 1) AS place FROM w), k AS (SELECT query_id, term, place FROM t WHERE length(term) > 2 AND term NOT IN ('the', 'with', 'where is', 'part of')), "
+    "f AS (SELECT ord, path, lower(path) AS lp, list_last(string_split(lower(path), '/')) AS name, content, lower(content) AS low, log2(len(string_split(content, chr(10))) + 2) AS lg, "
+    r"CASE WHEN regexp_matches(path, 'index\.(ts|js|py)$') THEN 5 ELSE 0 END + CASE WHEN starts_with(path, 'src/') THEN 3 ELSE 0 END AS boost FROM files WHERE strlen(content) <= 102400), "
+    r"h AS (SELECT ord, term, contains(lp, term) AS p, contains(name, term) AS b, len(regexp_extract_all(low, '\b' || term || '\b')) AS n, lg, "
+    r"regexp_matches(content, '(?i)export\s+(?:default\s+)?(?:function|class|const|type|interface)\s+\w*' || term || '\w*|def\s+\w*' || term || '\w*|func\s+\w*' || term || '\w*') AS e FROM f, (SELECT DISTINCT term FROM k)), "
+    "s AS (SELECT ord, term, CASE WHEN p THEN 10 ELSE 0 END + CASE WHEN b THEN 15 ELSE 0 END + least(floor(n / lg * 4 + 0.5), 20) + CASE WHEN e THEN 20 ELSE 0 END AS points, "
+    "list_filter([CASE WHEN p THEN 'Path contains \"' || term || '\"' END, CASE WHEN n >= 3 THEN '\"' || term || '\" appears ' || n || 'x' END, CASE WHEN e THEN 'Exports symbol matching \"' || term || '\"' END], lambda x: x IS NOT NULL) AS notes FROM h), "
+    "g AS (SELECT query_id, ord, sum(points) AS points, array_to_string(flatten(list(notes ORDER BY place)), '|') AS reasons FROM k JOIN s USING (term) GROUP BY query_id, ord), "
+    "r AS (SELECT q.query_id, f.ord, CAST(coalesce(points, 0) + boost AS INT) AS score, coalesce(reasons, '') AS reasons FROM q CROSS JOIN f LEFT JOIN g ON g.query_id = q.query_id AND g.ord = f.ord), "
+    "o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS INT) AS position FROM r WHERE score > 0) SELECT query_id, position, ord, score, reasons FROM o WHERE position <= 10",
     "relevance_scores": _SCORED + " SELECT ord, path, score, reasons FROM sc",
     "semantic_relevance": _SCORED + " SELECT ord, path, score, reasons FROM sc WHERE score > 0 ORDER BY score DESC, ord LIMIT 10",
     "relevance_savings": _SCORED + ", tp AS (SELECT path, reasons FROM sc WHERE score > 0 ORDER BY score DESC, ord LIMIT 10), "

@@ -243,6 +243,24 @@ def test_relevance(spark):
     assert relevance.query_terms("What is the Login-flow of it?") == ["what", "login-flow"]
 
 
+def test_many_queries_equal_one_at_a_time(spark):
+    """Postings against a scan of all files for each query, with hyphens, parts of names, repeats and terms that no file has."""
+    from ctxforge.operators import postings
+
+    rng = random.Random(9)
+    words = ["load", "login", "flow", "login-flow", "order_id", "def", "func", "x-y", "index", "user", "naïve", "users", "a-", "-flow"]
+    rows = []
+    for i in range(60):
+        lines = [rng.choice(["export function {}User() {{}}", "def {}(x):", "func {}Flow(a int)", "export const def {} = 1", "{} {} login-flow", "// {}-x-y", "def ab{}-ycd {}", "{}"]).format(*rng.choices(words, k=2)) for _ in range(rng.randint(0, 6))]
+        rows.append((i, rng.choice(["src/auth/login.ts", "src/Index.ts", "src/index.ts", "lib/user-flow.py", "lib/x.py", "src/z.ts"]), "\n".join(lines), rng.choice([10, 10, 10**6])))
+    files = spark.createDataFrame(rows, "ord int, path string, content string, size_bytes long")
+    asked = ["the login flow", "login-flow login-flow user", "index", "nothing of this", "x-y", "-flow a- ---", "n-ycd w-y", "order_id def func", "User load flow users", "", "ser"]
+    got = postings.rank(postings.build(files), spark.createDataFrame(list(enumerate(asked)), "query_id int, query string"), 7).orderBy("query_id", "position").collect()
+    for i, query in enumerate(asked):
+        want = [(r["ord"], r["path"], r["score"], r["reasons"]) for r in relevance.rank(files, query, 7).collect()]
+        assert [(r["ord"], r["path"], r["score"], r["reasons"]) for r in got if r["query_id"] == i] == want, query
+
+
 def test_diff_properties():
     rng = random.Random(1)
     for _ in range(300):
