@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ctxforge.functions import tokens as T
+from ctxforge.functions.merge_ranks import bpe_counter
 from ctxforge.operators import usage as U
 from ctxforge.plans.inputs import cte, derived
 
@@ -51,6 +52,7 @@ def _registry(spark, sf):
 QUERIES = {
     "token_counts": lambda s, d: _docs(s, d).select("doc_id", T.count_tokens(F.col("text")).alias("tokens")),
     "token_savings": lambda s, d: _texts(s, d).select("doc_id", T.text_savings(F.col("original"), F.col("optimized")).alias("t")).select("doc_id", "t.*"),
+    "bpe_token_counts": lambda s, d: _docs(s, d).select("doc_id", bpe_counter("byte_bpe_50k.tiktoken")(F.col("text")).alias("tokens")),
     "approx_tokens": lambda s, d: _docs(s, d).select("doc_id", T.approx_tokens(F.col("text")).alias("tokens")),
     "json_tokens": lambda s, d: _docs(s, d).select("doc_id", T.json_tokens(F.struct("doc_id", "lang")).alias("tokens")),
     "format_tokens": lambda s, d: _req(s, d).select("event_id", T.format_tokens(F.col("original") * F.lit(8)).alias("short"), T.format_millions(F.col("original") * F.lit(4000)).alias("long")),

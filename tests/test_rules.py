@@ -201,3 +201,35 @@ def test_diffs_equal_the_table_method():
                 assert diff.diff_ops(old, new) == table(old, new), (old, new)
     finally:
         diff.BLOCK_BYTES = held
+
+
+def test_token_counts_equal_a_plain_merge_loop(spark, sf):
+    """All documents and awkward texts against a plain loop over neighbours, and against the tokenizer's own library."""
+    import regex
+    import tiktoken
+    from public_tokenizers import PATTERN, path
+
+    from ctxforge.functions import merge_ranks
+
+    table = merge_ranks.MergeRanks(path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table.ranks, special_tokens={})
+
+    def plain(text):
+        total = 0
+        for word in regex.findall(PATTERN, text):
+            parts = [bytes([b]) for b in word.encode()]
+            while len(parts) > 1:
+                rank, at = min((table.ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+                if rank == 1 << 40:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            total += len(parts)
+        return total
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    odd = [(-1, None), (-2, ""), (-3, "   "), (-4, "a\u00a0b\u2003 c\n\n d"), (-5, "don't I'll  we've\t\tx'S"), (-6, "ünïçödé 😀👍🏽 12³½ ___ --"), (-7, "x" * 3000 + " " * 50 + "é" * 500), (-8, "<|endoftext|>"), (-9, "a\x1cb\x85c")]
+    frame = docs.union(spark.createDataFrame(odd, "doc_id long, text string"))
+    got = {r[0]: r[1] for r in frame.select("doc_id", merge_ranks.bpe_counter("byte_bpe_50k.tiktoken")(F.col("text"))).collect()}
+    texts = {r[0]: r[1] or "" for r in frame.collect()}
+    assert got == {i: len(library.encode_ordinary(t)) for i, t in texts.items()}
+    assert all(got[i] == plain(t) for i, t in texts.items() if len(t) < 3000)
