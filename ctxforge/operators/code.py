@@ -18,19 +18,17 @@ SYMBOL = "struct<name:string,kind:string,signature:string,exported:boolean,is_as
 IMPORT = "struct<source:string,specifiers:array<string>,is_default:boolean,is_side_effect:boolean>"
 
 # The forms of declarations that count.
-_X = r"^(export\s+)?"
-_XD = r"^(export\s+)?(export\s+default\s+)?"
 JS_IMPORT = r"""^import\s+(?:type\s+)?(?:\{([^}]*)\}|(\w+)|\*\s+as\s+(\w+))(?:\s*,\s*(?:\{([^}]*)\}|(\w+)))?\s+from\s+['"]([^'"]+)['"]"""
 JS_SIDE_EFFECT = r"""^import\s+['"]([^'"]+)['"]"""
 JS_REQUIRE = r"""(?:const|let|var)\s+\{?([^}=]+)\}?\s*=\s*require\(['"]([^'"]+)['"]\)"""
 JS_DEFAULT = r"^export\s+default\s"
 JS_LIST = r"^export\s+\{([^}]+)\}"
-JS_FUNCTION = _XD + r"(async\s+)?function\s+(\w+)\s*(<[^>]*>)?\s*\(([^)]*)\)"
-JS_CLASS = _XD + r"(?:abstract\s+)?class\s+(\w+)"
-JS_INTERFACE = _X + r"interface\s+(\w+)"
-JS_TYPE = _X + r"type\s+(\w+)\s*(?:<[^>]*)?\s*="
-JS_CONST = _X + r"const\s+(\w+)\s*(?::[^=]+)?\s*=\s*(?:async\s+)?\("
-JS_ENUM = _X + r"(?:const\s+)?enum\s+(\w+)"
+JS_FUNCTION = r"^(export\s+)?(export\s+default\s+)?(async\s+)?function\s+(\w+)\s*(<[^>]*>)?\s*\(([^)]*)\)"
+JS_CLASS = r"^(export\s+)?(export\s+default\s+)?(?:abstract\s+)?class\s+(\w+)"
+JS_INTERFACE = r"^(export\s+)?interface\s+(\w+)"
+JS_TYPE = r"^(export\s+)?type\s+(\w+)\s*(?:<[^>]*)?\s*="
+JS_CONST = r"^(export\s+)?const\s+(\w+)\s*(?::[^=]+)?\s*=\s*(?:async\s+)?\("
+JS_ENUM = r"^(export\s+)?(?:const\s+)?enum\s+(\w+)"
 PY_FROM = r"^from\s+([\w.]+)\s+import\s+(.*)"
 PY_IMPORT = r"^import\s+([\w.,\s]+)"
 PY_DEF = r"^(?:async\s+)?def\s+(\w+)\s*\((.*)\)"

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from ctxforge.functions.language import LANGUAGES, MARKERS, PURPOSES, detect_language, project_language
+from ctxforge.functions.language import MARKERS, detect_language, project_language
 from ctxforge.operators import code as K
 from ctxforge.operators import postings as P
 from ctxforge.operators import relevance as R
@@ -85,6 +85,19 @@ def _scanned(s, d, **options):
     return found.select("ord", "path", "size_bytes", F.sha2("content", 256).alias("sha256"))
 
 
+def _asked(s, d):
+    """A question about every part."""
+    query = F.concat(F.lit("Where is the "), F.col("p_name"), F.lit(" ("), F.col("p_type"), F.lit(") of p-"), F.col("p_partkey"), F.lit(", the p_Brand and the BRAND?"))
+    return s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("query_id"), query.alias("query"))
+
+
+def _required(s, d):
+    """Imports of the lines that call require, without the others."""
+    kept = F.filter(F.split("content", "\n", -1), lambda line: line.contains("require("))
+    files = _files(s, d).withColumn("content", F.array_join(kept, "\n"))
+    return K.import_rows(K.parse(files).where(F.col("language").isin(*JS))).select("ord", "place", "source", F.array_join("specifiers", ",").alias("specifiers"))
+
+
 def _ranked(s, d):
     """All files ranked for every kind of part."""
     queries = s.read.parquet(f"{d}/part.parquet").groupBy("p_type").agg(F.min("p_partkey").alias("query_id"))
@@ -101,7 +114,7 @@ QUERIES = {
     "project_language": _markers,
     "js_doc": _doc(*JS),
     "js_imports": _imports(*JS),
-    "js_requires": lambda s, d: _imports(*JS)(s, d).where("NOT is_side_effect AND NOT is_default").select("ord", "source", "specifiers"),
+    "js_requires": _required,
     "js_exports": lambda s, d: K.export_rows(_parsed(s, d, *JS)),
     "js_symbols": _symbols(*JS),
     "py_doc": _doc("python"),
@@ -128,14 +141,65 @@ QUERIES = {
     "important_files": lambda s, d: G.important_files(_meta(s, d)),
     "entry_points": lambda s, d: G.entry_points(_meta(s, d)).select("path", "reason"),
     "compress_directory": lambda s, d: G.compress_directory(_meta(s, d), "/srv/shop").select("architecture", "entry_points", "tokens.original", "tokens.optimized", "tokens.saved", "tokens.saved_percent"),
-    "query_terms": lambda s, d: s.createDataFrame(list(enumerate(R.query_terms(QUERY))), "place int, term string"),
+    "query_terms": lambda s, d: P.query_terms(_asked(s, d)),
     "relevance_scores": lambda s, d: R.score(_sized(s, d), QUERY).select("ord", "path", "score", F.array_join("reasons", "|").alias("reasons")),
     "semantic_relevance": lambda s, d: R.rank(_sized(s, d), QUERY).select("ord", "path", "score", F.array_join("reasons", "|").alias("reasons")),
     "relevance_batch": _ranked,
     "relevance_savings": lambda s, d: R.ranking_savings(_sized(s, d), QUERY),
 }
 
-# SQL
+# SQL. What the rules must find is written out here once more, for RE2, and not taken from the library, so that a wrong pattern there shows.
+
+_JS_IMPORT = r"""^import\s+(?:type\s+)?(?:\{([^}]*)\}|([A-Za-z0-9_]+)|\*\s+as\s+([A-Za-z0-9_]+))(?:\s*,\s*(?:\{([^}]*)\}|([A-Za-z0-9_]+)))?\s+from\s+['"]([^'"]+)['"]"""
+_JS_SIDE_EFFECT = r"""^import\s+['"]([^'"]+)['"]"""
+_JS_REQUIRE = r"""(?:const|let|var)\s+\{?([^}=]+)\}?\s*=\s*require\(['"]([^'"]+)['"]\)"""
+_JS_DEFAULT = r"^export\s+default\s"
+_JS_LIST = r"^export\s+\{([^}]+)\}"
+_JS_FUNCTION = r"^(export\s+)?(export\s+default\s+)?(async\s+)?function\s+([A-Za-z0-9_]+)\s*(<[^>]*>)?\s*\(([^)]*)\)"
+_JS_CLASS = r"^(export\s+)?(export\s+default\s+)?(?:abstract\s+)?class\s+([A-Za-z0-9_]+)"
+_JS_INTERFACE = r"^(export\s+)?interface\s+([A-Za-z0-9_]+)"
+_JS_TYPE = r"^(export\s+)?type\s+([A-Za-z0-9_]+)\s*(?:<[^>]*)?\s*="
+_JS_CONST = r"^(export\s+)?const\s+([A-Za-z0-9_]+)\s*(?::[^=]+)?\s*=\s*(?:async\s+)?\("
+_JS_ENUM = r"^(export\s+)?(?:const\s+)?enum\s+([A-Za-z0-9_]+)"
+_PY_FROM = r"^from\s+([A-Za-z0-9_.]+)\s+import\s+(.*)"
+_PY_IMPORT = r"^import\s+([A-Za-z0-9_.,\s]+)"
+_PY_DEF = r"^(?:async\s+)?def\s+([A-Za-z0-9_]+)\s*\((.*)\)"
+_PY_CLASS = r"^class\s+([A-Za-z0-9_]+)"
+_GO_IMPORT, _GO_FUNC = r'^import\s+"([^"]+)"', r"^func\s+([A-Za-z0-9_]+)"
+_RUST_USE, _RUST_FN = r"^use\s+([A-Za-z0-9_:]+)", r"^(?:pub\s+)?(?:async\s+)?fn\s+([A-Za-z0-9_]+)"
+_LANGUAGE_OF = {
+    "typescript": "ts tsx mts cts", "javascript": "js jsx mjs cjs", "python": "py pyi", "rust": "rs", "go": "go", "java": "java", "kotlin": "kt", "swift": "swift", "ruby": "rb", "php": "php", "cpp": "cpp cc cxx hpp", "c": "c h",
+}
+_PURPOSE_OF = """index|main|app=Application entry point
+server|api=HTTP server / API handler
+router|routes?=Routing definitions
+controller=Request controller
+service=Business logic service
+model|schema=Data model / schema definition
+util|helper|lib=Utility functions
+config|settings?=Configuration
+test|spec|__tests__=Test suite
+type|interface=Type definitions
+hook=React hook / lifecycle hook
+component=UI component
+store|redux|slice=State management
+middleware=Middleware
+auth=Authentication / authorization
+db|database|migration=Database operations
+parse|parser=Parser / code analysis
+compress|optim=Compression / optimization
+analytics|track=Analytics / tracking"""
+_PURPOSES = [tuple(x.split("=")) for x in _PURPOSE_OF.splitlines()]
+_MARKED = (("package.json", "typescript"), ("go.mod", "go"), ("Cargo.toml", "rust"), ("requirements.txt", "python"), ("pyproject.toml", "python"))
+_STACK_OF = (
+    ("react", "React"), ("next", "Next.js"), ("vue", "Vue"), ("express", "Express"), ("fastify", "Fastify"), ("@nestjs", "NestJS"), ("prisma", "Prisma"), ("@prisma", "Prisma"),
+    ("typeorm", "TypeORM"), ("mongoose", "Mongoose"), ("zod", "Zod"), ("@modelcontextprotocol", "MCP"), ("vitest", "Testing"), ("jest", "Testing"),
+)
+_IMPORTANT_PATHS = (
+    ("^(src/)?index[.](ts|js)$", "Entry point"), ("^(src/)?main[.](ts|js)$", "Main entry"), ("^(src/)?app[.](ts|js|tsx)$", "App root"),
+    ("server/index[.](ts|js)$", "Server entry"), ("config[.](ts|js)$", "Configuration"), ("types/index[.](ts|js)$", "Type definitions"),
+)
+_TERMS = ["where", "load", "part", "orders", "service", "config"]
 
 _TREE = (
     f"WITH {cte('files')}, t AS (SELECT {TREE_PATH} AS path, arg_min(content, ord) AS content FROM files GROUP BY 1), "
@@ -163,25 +227,25 @@ def _names(x: str, alias: int | None) -> str:
 
 
 _EXT = "lower(list_last(string_split(path, '.')))"
-_LANG = f"coalesce(CASE {_EXT} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LANGUAGES.items()) + " END, 'unknown')"
+_LANG = f"coalesce(CASE {_EXT} " + " ".join(f"WHEN '{k}' THEN '{v}'" for v, ks in _LANGUAGE_OF.items() for k in ks.split()) + " END, 'unknown')"
 _BASE = f"WITH {cte('files')}, fl AS (SELECT *, {_LANG} AS language, string_split(content, chr(10)) AS ls FROM files), "
 _BASE += r"ln AS (SELECT ord, path, language, trim(raw, ' ' || chr(9) || chr(13)) AS line, no FROM (SELECT ord, path, language, unnest(ls) AS raw, generate_subscripts(ls, 1) AS no FROM fl)), "
 _ISJS = "language IN ('typescript', 'javascript')"
-_SKIP = f"NOT {_m(K.JS_IMPORT)} AND NOT {_m(K.JS_SIDE_EFFECT)}"
+_SKIP = f"NOT {_m(_JS_IMPORT)} AND NOT {_m(_JS_SIDE_EFFECT)}"
 _I = "SELECT ord, path, language, no, {k} AS k, {source} AS source, {spec} AS specifiers, {default} AS is_default, {side} AS is_side_effect FROM ln WHERE {where}"
-_star = f"CASE WHEN {_g(K.JS_IMPORT, 3)} <> '' THEN ['* as ' || {_g(K.JS_IMPORT, 3)}] ELSE [] END"
-_def = f"CASE WHEN {_g(K.JS_IMPORT, 2)} <> '' THEN [{_g(K.JS_IMPORT, 2)}] ELSE [] END"
-_spec = f"list_concat(list_concat({_names(_g(K.JS_IMPORT, 1), 0)}, {_names(_g(K.JS_IMPORT, 4), 0)}), list_concat({_def}, {_star}))"
+_star = f"CASE WHEN {_g(_JS_IMPORT, 3)} <> '' THEN ['* as ' || {_g(_JS_IMPORT, 3)}] ELSE [] END"
+_def = f"CASE WHEN {_g(_JS_IMPORT, 2)} <> '' THEN [{_g(_JS_IMPORT, 2)}] ELSE [] END"
+_spec = f"list_concat(list_concat({_names(_g(_JS_IMPORT, 1), 0)}, {_names(_g(_JS_IMPORT, 4), 0)}), list_concat({_def}, {_star}))"
 _strs = "CAST([] AS VARCHAR[])"
 _IMP = " UNION ALL ".join(
     [
-        _I.format(k=0, source=_g(K.JS_IMPORT, 6), spec=_spec, default=f"{_g(K.JS_IMPORT, 2)} <> ''", side="FALSE", where=f"{_ISJS} AND {_m(K.JS_IMPORT)}"),
-        _I.format(k=0, source=_g(K.JS_SIDE_EFFECT, 1), spec=_strs, default="FALSE", side="TRUE", where=f"{_ISJS} AND {_m(K.JS_SIDE_EFFECT)} AND NOT {_m(K.JS_IMPORT)}"),
-        _I.format(k=0, source=_g(K.JS_REQUIRE, 2), spec=_names(_g(K.JS_REQUIRE, 1), None), default="FALSE", side="FALSE", where=f"{_ISJS} AND {_m(K.JS_REQUIRE)} AND {_SKIP}"),
-        _I.format(k=0, source=_g(K.PY_FROM, 1), spec=f"CASE WHEN {_g(K.PY_FROM, 2)} = '*' THEN ['*'] ELSE {_names(f'''regexp_replace({_g(K.PY_FROM, 2)}, '[()]', '', 'g')''', 0)} END", default="FALSE", side="FALSE", where=f"language = 'python' AND {_m(K.PY_FROM)}"),
-        f"SELECT ord, path, language, no, generate_subscripts(xs, 1) AS k, unnest(xs) AS source, [unnest(xs)] AS specifiers, FALSE, FALSE FROM (SELECT *, {_names(_g(K.PY_IMPORT, 1), 0)} AS xs FROM ln WHERE language = 'python' AND {_m(K.PY_IMPORT)} AND NOT {_m(K.PY_FROM)})",
-        _I.format(k=0, source=_g(K.GO_IMPORT, 1), spec=_strs, default="FALSE", side="FALSE", where=f"language = 'go' AND {_m(K.GO_IMPORT)}"),
-        _I.format(k=0, source=_g(K.RUST_USE, 1), spec=_strs, default="FALSE", side="FALSE", where=f"language = 'rust' AND {_m(K.RUST_USE)}"),
+        _I.format(k=0, source=_g(_JS_IMPORT, 6), spec=_spec, default=f"{_g(_JS_IMPORT, 2)} <> ''", side="FALSE", where=f"{_ISJS} AND {_m(_JS_IMPORT)}"),
+        _I.format(k=0, source=_g(_JS_SIDE_EFFECT, 1), spec=_strs, default="FALSE", side="TRUE", where=f"{_ISJS} AND {_m(_JS_SIDE_EFFECT)} AND NOT {_m(_JS_IMPORT)}"),
+        _I.format(k=0, source=_g(_JS_REQUIRE, 2), spec=_names(_g(_JS_REQUIRE, 1), None), default="FALSE", side="FALSE", where=f"{_ISJS} AND {_m(_JS_REQUIRE)} AND {_SKIP}"),
+        _I.format(k=0, source=_g(_PY_FROM, 1), spec=f"CASE WHEN {_g(_PY_FROM, 2)} = '*' THEN ['*'] ELSE {_names(f'''regexp_replace({_g(_PY_FROM, 2)}, '[()]', '', 'g')''', 0)} END", default="FALSE", side="FALSE", where=f"language = 'python' AND {_m(_PY_FROM)}"),
+        f"SELECT ord, path, language, no, generate_subscripts(xs, 1) AS k, unnest(xs) AS source, [unnest(xs)] AS specifiers, FALSE, FALSE FROM (SELECT *, {_names(_g(_PY_IMPORT, 1), 0)} AS xs FROM ln WHERE language = 'python' AND {_m(_PY_IMPORT)} AND NOT {_m(_PY_FROM)})",
+        _I.format(k=0, source=_g(_GO_IMPORT, 1), spec=_strs, default="FALSE", side="FALSE", where=f"language = 'go' AND {_m(_GO_IMPORT)}"),
+        _I.format(k=0, source=_g(_RUST_USE, 1), spec=_strs, default="FALSE", side="FALSE", where=f"language = 'rust' AND {_m(_RUST_USE)}"),
     ]
 )
 _IMPORTS = _BASE + f"im0 AS ({_IMP}), im AS (SELECT *, CAST(row_number() OVER (PARTITION BY ord ORDER BY no, k) - 1 AS INT) AS place FROM im0)"
@@ -197,22 +261,22 @@ _one = lambda p: f"{_g(p, 1)} <> ''"
 _two = lambda p: f"({_g(p, 1)} <> '' OR {_g(p, 2)} <> '')"
 _SYM = " UNION ALL ".join(
     [
-        _s(1, "function", _g(K.JS_FUNCTION, 4), _two(K.JS_FUNCTION), f"{_js} AND {_m(K.JS_FUNCTION)}", _sig, f"{_g(K.JS_FUNCTION, 3)} <> ''"),
-        _s(2, "class", _g(K.JS_CLASS, 3), _two(K.JS_CLASS), f"{_js} AND {_m(K.JS_CLASS)}", _sig),
-        _s(3, "interface", _g(K.JS_INTERFACE, 2), _one(K.JS_INTERFACE), f"{_js} AND {_m(K.JS_INTERFACE)}"),
-        _s(4, "type", _g(K.JS_TYPE, 2), _one(K.JS_TYPE), f"{_js} AND {_m(K.JS_TYPE)}"),
-        _s(5, "function", _g(K.JS_CONST, 2), _one(K.JS_CONST), f"{_js} AND {_m(K.JS_CONST)}", is_async="contains(line, 'async ')"),
-        _s(6, "enum", _g(K.JS_ENUM, 2), _one(K.JS_ENUM), f"{_js} AND {_m(K.JS_ENUM)}"),
-        _s(1, "function", _g(K.PY_DEF, 1), f"{_g(K.PY_DEF, 1)}[1] <> '_'", f"language = 'python' AND {_m(K.PY_DEF)}", is_async="starts_with(line, 'async')"),
-        _s(2, "class", _g(K.PY_CLASS, 1), "TRUE", f"language = 'python' AND {_m(K.PY_CLASS)}"),
-        _s(1, "function", _g(K.GO_FUNC, 1), f"regexp_matches({_g(K.GO_FUNC, 1)}, '^[A-Z]')", f"language = 'go' AND {_m(K.GO_FUNC)}"),
-        _s(1, "function", _g(K.RUST_FN, 1), "starts_with(line, 'pub ')", f"language = 'rust' AND {_m(K.RUST_FN)}"),
+        _s(1, "function", _g(_JS_FUNCTION, 4), _two(_JS_FUNCTION), f"{_js} AND {_m(_JS_FUNCTION)}", _sig, f"{_g(_JS_FUNCTION, 3)} <> ''"),
+        _s(2, "class", _g(_JS_CLASS, 3), _two(_JS_CLASS), f"{_js} AND {_m(_JS_CLASS)}", _sig),
+        _s(3, "interface", _g(_JS_INTERFACE, 2), _one(_JS_INTERFACE), f"{_js} AND {_m(_JS_INTERFACE)}"),
+        _s(4, "type", _g(_JS_TYPE, 2), _one(_JS_TYPE), f"{_js} AND {_m(_JS_TYPE)}"),
+        _s(5, "function", _g(_JS_CONST, 2), _one(_JS_CONST), f"{_js} AND {_m(_JS_CONST)}", is_async="contains(line, 'async ')"),
+        _s(6, "enum", _g(_JS_ENUM, 2), _one(_JS_ENUM), f"{_js} AND {_m(_JS_ENUM)}"),
+        _s(1, "function", _g(_PY_DEF, 1), f"{_g(_PY_DEF, 1)}[1] <> '_'", f"language = 'python' AND {_m(_PY_DEF)}", is_async="starts_with(line, 'async')"),
+        _s(2, "class", _g(_PY_CLASS, 1), "TRUE", f"language = 'python' AND {_m(_PY_CLASS)}"),
+        _s(1, "function", _g(_GO_FUNC, 1), f"regexp_matches({_g(_GO_FUNC, 1)}, '^[A-Z]')", f"language = 'go' AND {_m(_GO_FUNC)}"),
+        _s(1, "function", _g(_RUST_FN, 1), "starts_with(line, 'pub ')", f"language = 'rust' AND {_m(_RUST_FN)}"),
     ]
 )
 _SYMBOLS = _IMPORTS + f", sy AS (SELECT *, CAST(row_number() OVER (PARTITION BY ord ORDER BY no, rule) - 1 AS INT) AS place FROM ({_SYM}))"
 _EXPORTS = (
-    _SYMBOLS + f", ex0 AS (SELECT ord, no, -2 AS rule, 0 AS k, 'default' AS name FROM ln WHERE {_js} AND {_m(K.JS_DEFAULT)} "
-    f"UNION ALL SELECT ord, no, -1, generate_subscripts(xs, 1), unnest(xs) FROM (SELECT *, {_names(_g(K.JS_LIST, 1), 1)} AS xs FROM ln WHERE {_js} AND {_m(K.JS_LIST)}) "
+    _SYMBOLS + f", ex0 AS (SELECT ord, no, -2 AS rule, 0 AS k, 'default' AS name FROM ln WHERE {_js} AND {_m(_JS_DEFAULT)} "
+    f"UNION ALL SELECT ord, no, -1, generate_subscripts(xs, 1), unnest(xs) FROM (SELECT *, {_names(_g(_JS_LIST, 1), 1)} AS xs FROM ln WHERE {_js} AND {_m(_JS_LIST)}) "
     "UNION ALL SELECT ord, no, rule, 0, name FROM sy WHERE exported), "
     "ex1 AS (SELECT e.*, f.path, f.language, row_number() OVER (PARTITION BY e.ord, e.name ORDER BY no, rule, k) AS nth FROM ex0 e JOIN fl f ON e.ord = f.ord), "
     "ex AS (SELECT ord, path, language, name, CAST(row_number() OVER (PARTITION BY ord ORDER BY no, rule, k) - 1 AS INT) AS place FROM ex1 WHERE nth = 1 OR language NOT IN ('typescript', 'javascript', 'python'))"
@@ -233,7 +297,7 @@ _AGG = (
     "dp AS (SELECT ord, string_agg(source, ', ' ORDER BY p) AS deps FROM (SELECT ord, source, min(place) AS p FROM im GROUP BY ord, source) GROUP BY ord), "
     "ea AS (SELECT ord, count(*) AS ne, string_agg(name, ', ' ORDER BY place) AS es, string_agg(name, ', ' ORDER BY place) FILTER (WHERE place < 8) AS e8 FROM ex GROUP BY ord), "
     "pu AS (SELECT f.ord, f.path, f.language, f.content, kinds, sk, it, uses, deps, ne, es, e8, CASE WHEN length(comment) > 10 AND length(comment) < 200 THEN comment "
-    + " ".join(f"WHEN regexp_matches({_STEM}, '{p}') THEN '{label}'" for p, label in PURPOSES)
+    + " ".join(f"WHEN regexp_matches({_STEM}, '{p}') THEN '{label}'" for p, label in _PURPOSES)
     + " WHEN nc = 1 THEN cs || ' class implementation' WHEN nc > 1 THEN cs || ' class implementations' WHEN nf > 0 THEN 'Module with ' || nf || ' exported function' || CASE nf WHEN 1 THEN '' ELSE 's' END "
     "WHEN tails IS NOT NULL THEN 'Module using ' || tails ELSE 'Source module' END AS purpose FROM fl f LEFT JOIN cm ON f.ord = cm.ord LEFT JOIN kd ON f.ord = kd.ord LEFT JOIN sa ON f.ord = sa.ord LEFT JOIN ia ON f.ord = ia.ord "
     "LEFT JOIN ux ON f.ord = ux.ord LEFT JOIN dp ON f.ord = dp.ord LEFT JOIN ea ON f.ord = ea.ord)"
@@ -252,16 +316,15 @@ _EDGES = (
 )
 _IMPF = (
     _EXPORTS + ", ne AS (SELECT f.ord, f.path, count(e.name) AS n FROM fl f LEFT JOIN ex e ON f.ord = e.ord GROUP BY f.ord, f.path), "
-    "rs AS (SELECT ord, path, CASE " + " ".join(f"WHEN regexp_matches(lower(path), '{p}') THEN '{r}'" for p, r in G.IMPORTANT) + " WHEN n > 5 THEN 'High export count (' || n || ' exports)' END AS reason FROM ne), "
+    "rs AS (SELECT ord, path, CASE " + " ".join(f"WHEN regexp_matches(lower(path), '{p}') THEN '{r}'" for p, r in _IMPORTANT_PATHS) + " WHEN n > 5 THEN 'High export count (' || n || ' exports)' END AS reason FROM ne), "
     "impf AS (SELECT min(ord) AS ord, path, arg_min(reason, ord) AS reason FROM rs WHERE reason IS NOT NULL GROUP BY path ORDER BY 1 LIMIT 15)"
 )
 _LMIX = "lm AS (SELECT language, count(*) AS n, min(ord) AS first FROM fl GROUP BY language ORDER BY n DESC, first LIMIT 3)"
 _TECH = (
-    ", " + _LMIX + ", tc AS (SELECT name, 0 AS tier, min(ord * 1000 + place) AS spot FROM (SELECT ord, place, CASE " + " ".join(f"WHEN starts_with(source, '{p}') THEN '{n}'" for p, n in G.STACK)
+    ", " + _LMIX + ", tc AS (SELECT name, 0 AS tier, min(ord * 1000 + place) AS spot FROM (SELECT ord, place, CASE " + " ".join(f"WHEN starts_with(source, '{p}') THEN '{n}'" for p, n in _STACK_OF)
     + " END AS name FROM im) WHERE name IS NOT NULL GROUP BY name UNION ALL SELECT upper(language[1]) || substr(language, 2), 1, row_number() OVER (ORDER BY n DESC, first) FROM lm WHERE language <> 'unknown'), "
     "ts AS (SELECT CAST(row_number() OVER (ORDER BY tier, spot) AS INT) AS place, name FROM tc)"
 )
-_TERMS = R.query_terms(QUERY)
 _SCORE = " + ".join(
     f"CASE WHEN contains(lower(path), '{t}') THEN 10 ELSE 0 END + CASE WHEN contains(lower(list_last(string_split(path, '/'))), '{t}') THEN 15 ELSE 0 END "
     f"+ CAST(least(floor(len(regexp_extract_all(lower(content), '\\b{t}\\b')) / log2(len(string_split(content, chr(10))) + 2) * 4 + 0.5), 20) AS INT) + CASE WHEN {{decl_{i}}} THEN 20 ELSE 0 END"
@@ -289,12 +352,13 @@ SQL = {
     # A folder counts as entered if it stands before the 500th file.
     "scan_relevance": _TREE.replace("EXTENSIONS", _RANKED) + "SELECT path, size_bytes, sha256 FROM o WHERE len(parts) = 1 OR list_slice(parts, 1, len(parts) - 1) < coalesce((SELECT parts FROM o WHERE k = 500), ['\U0010FFFF'])",
     "detect_language": _BASE.rstrip(", ") + " SELECT ord, path, language FROM fl",
-    "project_language": "SELECT n_nationkey, CASE " + " ".join(f"WHEN n_nationkey % {i + 2} = 0 THEN '{lang}'" for i, (_, lang) in enumerate(MARKERS)) + " ELSE 'unknown' END AS language FROM nation",
+    "project_language": "SELECT n_nationkey, CASE " + " ".join(f"WHEN n_nationkey % {i + 2} = 0 THEN '{lang}'" for i, (_, lang) in enumerate(_MARKED)) + " ELSE 'unknown' END AS language FROM nation",
     "js_doc": _AGG + f" SELECT ord, comment FROM cm WHERE {_ISJS} AND comment IS NOT NULL",
     "py_doc": _AGG + " SELECT ord, comment FROM cm WHERE language = 'python' AND comment IS NOT NULL",
     "js_imports": _IMPORTS + f" SELECT {_IMCOLS} FROM im WHERE {_ISJS}",
     "py_imports": _IMPORTS + f" SELECT {_IMCOLS} FROM im WHERE language = 'python'",
-    "js_requires": _IMPORTS + f" SELECT ord, source, array_to_string(specifiers, ',') AS specifiers FROM im WHERE {_ISJS} AND NOT is_side_effect AND NOT is_default",
+    "js_requires": f"WITH {cte('files')}, l AS (SELECT ord, unnest(list_filter(string_split(content, chr(10)), lambda x: contains(x, 'require('))) AS line FROM files WHERE regexp_matches(path, '[.][jt]s$')) "
+    r"SELECT ord, CAST(0 AS INT) AS place, regexp_extract(line, 'require\([^a-z@./]([a-z@./]+)', 1) AS source, array_to_string(list_transform(string_split(trim(regexp_extract(line, '(?:const|var) ([^=]*)=', 1), ' {}'), ','), lambda x: trim(x)), ',') AS specifiers FROM l",
     "js_exports": _EXPORTS + f" SELECT ord, path, place, name FROM ex WHERE {_ISJS}",
     "js_symbols": _SYMBOLS + f" SELECT {_SYCOLS} FROM sy WHERE {_ISJS}",
     "py_symbols": _SYMBOLS + f" SELECT {_SYCOLS} FROM sy WHERE language = 'python'",
@@ -322,7 +386,8 @@ SQL = {
     "sh AS (SELECT architecture || chr(10) || '{\"importantFiles\":[' || (SELECT string_agg('{\"path\":\"' || path || '\",\"reason\":\"' || reason || '\"}', ',' ORDER BY ord) FROM impf) || '],\"techStack\":[' || (SELECT string_agg('\"' || name || '\"', ',' ORDER BY place) FROM ts) || ']}' AS shown FROM ar), "
     "fin AS (SELECT architecture, (SELECT entries FROM ep) AS entry_points, CAST(ceil((SELECT chars FROM oc) / 4.0) AS BIGINT) AS original, CAST(ceil(length((SELECT shown FROM sh)) / 4.0) AS BIGINT) AS optimized FROM ar) "
     f"SELECT *, greatest(original - optimized, 0) AS saved, {_PCT.format(o='original', s='greatest(original - optimized, 0)')} AS saved_percent FROM fin",
-    "query_terms": "SELECT CAST(row_number() OVER () - 1 AS INT) AS place, t AS term FROM (SELECT unnest(['where', 'load', 'part', 'orders', 'service', 'config']) AS t)",
+    "query_terms": r"WITH w AS (SELECT p_partkey AS query_id, string_split_regex(regexp_replace(lower(concat('Where is the ', p_name, ' (', p_type, ') of p-', p_partkey, ', the p_Brand and the BRAND?')), '[^a-z0-9\s_-]', ' ', 'g'), '\s+') AS ws FROM part), "
+    "t AS (SELECT query_id, CAST(generate_subscripts(ws, 1) - 1 AS INT) AS n, unnest(ws) AS term FROM w) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n) - 1 AS INT) AS place, term FROM t WHERE length(term) > 2 AND term NOT IN ('the', 'and')",
     "relevance_batch": f"WITH {cte('files')}, q AS (SELECT min(p_partkey) AS query_id, concat('where is the ', p_type, ' part of service-config in m', min(p_partkey) % 50, '?') AS query FROM part GROUP BY p_type), "
     r"w AS (SELECT query_id, string_split_regex(regexp_replace(lower(query), '[^a-z0-9\s_-]', ' ', 'g'), '\s+') AS ws FROM q), "
     "t AS (SELECT query_id, unnest(ws) AS term, generate_subscripts(ws, 1) AS place FROM w), k AS (SELECT query_id, term, place FROM t WHERE length(term) > 2 AND term NOT IN ('the', 'with', 'where is', 'part of')), "

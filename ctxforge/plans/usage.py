@@ -84,6 +84,7 @@ SQL = {
     "CASE WHEN original * 4000 >= 1000000 THEN printf('%.1fM', original * 4000 / 1000000.0) ELSE printf('%.1fk', original * 4000 / 1000.0) END AS long FROM requests",
     "time_saved": _R + "SELECT event_id, CAST(floor(saved / 300.0 + 0.5) AS BIGINT) AS minutes FROM requests",
     "ago_label": _R + "SELECT event_id, CASE WHEN x < 60 THEN x || 's ago' WHEN x < 3600 THEN (x // 60) || 'm ago' ELSE (x // 3600) || 'h ago' END AS label FROM (SELECT event_id, original * (event_id % 40) AS x FROM requests)",
+    "project_port": "SELECT n_nationkey, CAST(7100 + list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split('/srv/' || n_name, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: xor(h * 33, c) & 4294967295) % 900 AS INT) AS port FROM nation",
     "session_stats": _R + f"SELECT *, greatest(total_original - total_saved, 0) AS total_optimized, {_pct('total_original', 'total_saved')} AS saved_percent FROM "
     "(SELECT session_id, count(*) AS total_requests, CAST(sum(original) AS BIGINT) AS total_original, CAST(sum(saved) AS BIGINT) AS total_saved FROM requests GROUP BY session_id)",
     "tool_usage": _R + "SELECT session_id, tool, count(*) AS calls FROM requests GROUP BY session_id, tool",
