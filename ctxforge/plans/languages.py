@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ctxforge.functions.language import detect_language
 from ctxforge.operators import code as K
 from ctxforge.operators import syntax
 
@@ -177,7 +178,15 @@ def _files(s: SparkSession, d: str) -> DataFrame:
     return s.sql(SOURCES.replace("FROM part", "FROM ctxforge_part"))
 
 
+def _in_sql(s, d):
+    """The same symbols from a table function in SQL."""
+    syntax.register(s)
+    _files(s, d).withColumn("language", detect_language(F.col("path"))).createOrReplaceTempView("ctxforge_sources")
+    return s.sql("SELECT f.ord, c.name, c.kind, c.exported FROM ctxforge_sources f, LATERAL code_symbols(f.content, f.language) c")
+
+
 QUERIES = {
+    "code_symbols_sql": _in_sql,
     "language_symbols": lambda s, d: K.symbol_rows(syntax.dispatch(_files(s, d))).select("ord", "path", "place", "name", "kind", "exported"),
     "language_imports": lambda s, d: K.import_rows(syntax.dispatch(_files(s, d))).select("ord", "place", "source"),
 }
@@ -193,6 +202,7 @@ def _rows(column: int) -> str:
 
 
 SQL = {
+    "code_symbols_sql": f"SELECT p_partkey AS ord, replace(name, 'KEY', {_KEY}) AS name, kind, exported FROM part JOIN (VALUES {_rows(1)}) v(lang, place, name, kind, exported) ON p_partkey % 10 = lang",
     "language_symbols": f"SELECT p_partkey AS ord, concat('src/f', p_partkey, CASE p_partkey % 10 {_NAME} END) AS path, place, replace(name, 'KEY', {_KEY}) AS name, kind, exported FROM part JOIN (VALUES {_rows(1)}) v(lang, place, name, kind, exported) ON p_partkey % 10 = lang",
     "language_imports": f"SELECT p_partkey AS ord, place, replace(source, 'KEY', {_KEY}) AS source FROM part JOIN (VALUES {_rows(2)}) v(lang, place, source) ON p_partkey % 10 = lang",
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ctxforge.operators import usage as U
 from ctxforge.plans.inputs import cte, derived
 from ctxforge.plans.usage import PCT
+from ctxforge.sources import events as E
 from ctxforge.sources import keyed
 from ctxforge.sources.scratch import fresh_path
 from ctxforge.streaming import rollups
@@ -105,7 +106,32 @@ def _stats(s, d):
     return rollups.stats(s, f"{_rollup(s, d)}/usage")
 
 
+def _ingested(s, d):
+    """Requests that arrive as JSON files in two deliveries, each followed by a run that goes on where the one before stopped."""
+    folder = fresh_path(s, "ingest")
+    rows = derived(s, d, "requests").select("session_id", "event_id", "tool", F.col("ts").cast("timestamp").alias("ts"), "original", "saved")
+    for n in range(2):
+        rows.where(F.col("event_id") % 2 == n).write.mode("append").json(f"{folder}/in")
+        E.ingest_requests(s, f"{folder}/in", f"{folder}/out", f"{folder}/state").awaitTermination()
+    return s.read.parquet(f"{folder}/out").withColumn("ts", F.unix_micros("ts"))
+
+
+def _registered(s, d):
+    """Projects written as registry files, read again, with savings added and some removed."""
+    folder, requests = fresh_path(s, "registry"), derived(s, d, "requests").withColumn("id", (F.col("session_id") % 500).cast("string"))
+    visits = requests.groupBy("id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).cast("int").alias("session_count"))
+    time = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSS")
+    columns = [F.concat(F.lit("project"), "id").alias("name"), F.concat(F.lit("/srv/"), "id").alias("path"), F.lit(7100).alias("port"), F.lit("unknown").alias("language"), time("first").alias("registered_at"), time("last").alias("last_seen_at"), "session_count", F.lit(0).cast("long").alias("total_saved")]
+    E.write_registry(visits.select("id", *columns), folder)
+    projects = E.read_registry(s, folder)
+    projects = E.add_savings(projects, requests.where("saved > 0").select("id", "saved", time("ts").alias("seen_at")))
+    gone = requests.where("tool = 'error'").groupBy("id").count().where("count > 15").select("id")
+    return E.remove_projects(projects, gone).select("id", "name", "session_count", "total_saved", "registered_at", "last_seen_at")
+
+
 QUERIES = {
+    "ingest_requests": _ingested,
+    "registry_files": _registered,
     "stream_session_stats": lambda s, d: _complete(s, d, W.running_stats).drop("started_at"),
     "stream_tumbling": lambda s, d: _complete(s, d, W.tumbling),
     "stream_track_sessions": _plain_sessions,
@@ -128,6 +154,10 @@ _SPLIT = (
     "sum(CASE WHEN action = 'reset' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY t, action, saved ROWS UNBOUNDED PRECEDING) AS resets FROM b)"
 )
 SQL = {
+    "ingest_requests": _REQ + "SELECT session_id, event_id, tool, epoch_us(time_bucket(INTERVAL '1 millisecond', ts)) AS ts, original, saved FROM requests",
+    "registry_files": _REQ + ", r AS (SELECT CAST(session_id % 500 AS VARCHAR) AS id, * FROM requests), s AS (SELECT id, sum(saved) AS total, max(ts) AS seen FROM r WHERE saved > 0 GROUP BY id) "
+    "SELECT r.id, 'project' || r.id AS name, CAST(count(*) AS INT) AS session_count, CAST(coalesce(any_value(total), 0) AS BIGINT) AS total_saved, strftime(time_bucket(INTERVAL '1 millisecond', min(ts)), '%Y-%m-%d %H:%M:%S.%g') AS registered_at, "
+    "strftime(time_bucket(INTERVAL '1 millisecond', coalesce(any_value(seen), max(ts))), '%Y-%m-%d %H:%M:%S.%g') AS last_seen_at FROM r LEFT JOIN s ON r.id = s.id GROUP BY r.id HAVING count(*) FILTER (WHERE tool = 'error') <= 15",
     "stream_session_stats": _REQ + f"SELECT *, greatest(total_original - total_saved, 0) AS total_optimized, {PCT.format(o='total_original', s='total_saved')} AS saved_percent FROM (SELECT session_id, count(*) AS total_requests, CAST(sum(original) AS BIGINT) AS total_original, CAST(sum(saved) AS BIGINT) AS total_saved FROM requests GROUP BY session_id)",
     "stream_tumbling": _REQ + f"SELECT time_bucket(INTERVAL '1 hour', ts) AS start, tool, count(*) AS requests, CAST(sum(saved) AS BIGINT) AS saved, {PCT.format(o='sum(original)', s='sum(saved)')} AS saved_percent FROM requests GROUP BY 1, 2",
     "stream_track_sessions": _REQ + f", r AS (SELECT session_id, epoch_us(ts) AS t, saved, '' AS action FROM requests), {_SPLIT} "

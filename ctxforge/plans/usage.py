@@ -49,7 +49,15 @@ def _registry(spark, sf):
     return U.register_projects(visits.groupBy("project_id", "ts").agg(F.min("path").alias("path")))
 
 
+def _in_sql(s, d):
+    """count_tokens as a function of SQL."""
+    T.register(s)
+    _docs(s, d).createOrReplaceTempView("ctxforge_documents")
+    return s.sql("SELECT lang, source, sum(count_tokens(text)) AS tokens FROM ctxforge_documents GROUP BY lang, source")
+
+
 QUERIES = {
+    "count_tokens_sql": _in_sql,
     "token_counts": lambda s, d: _docs(s, d).select("doc_id", T.count_tokens(F.col("text")).alias("tokens")),
     "token_savings": lambda s, d: _texts(s, d).select("doc_id", T.text_savings(F.col("original"), F.col("optimized")).alias("t")).select("doc_id", "t.*"),
     "bpe_token_counts": lambda s, d: _docs(s, d).select("doc_id", bpe_counter("byte_bpe_50k.tiktoken")(F.col("text")).alias("tokens")),
@@ -75,6 +83,7 @@ QUERIES = {
 
 _R = f"WITH {cte('requests')} "
 SQL = {
+    "count_tokens_sql": "SELECT lang, source, CAST(sum(ceil(length(coalesce(text, '')) / 4.0)) AS BIGINT) AS tokens FROM documents GROUP BY lang, source",
     "token_counts": "SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents",
     "token_savings": "WITH t AS (SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS o, CAST(ceil(length(substr(text, 1, 200)) / 4.0) AS BIGINT) AS p FROM documents) "
     f"SELECT doc_id, o AS original, p AS optimized, greatest(o - p, 0) AS saved, {_pct('o', 'greatest(o - p, 0)')} AS saved_percent FROM t",

@@ -41,10 +41,15 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REGISTRY).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).select(F.explode("projects").alias("p")).select("p.*")
 
 
+#: Projects of one registry file.
+FILE_PROJECTS = 1000
+
+
 def write_registry(projects: DataFrame, path: str) -> None:
-    """To a new folder; the caller swaps it in."""
-    rows = projects.agg(F.collect_list(F.struct(*projects.columns)).alias("projects")).select(F.lit(1).alias("version"), "projects")
-    rows.coalesce(1).write.mode("errorifexists").json(path)
+    """To a new folder, which the caller swaps in: one file for a thousand projects or so, each a registry of its own."""
+    files = max(1, -(-projects.count() // FILE_PROJECTS))
+    dealt = projects.groupBy(F.pmod(F.xxhash64("id"), F.lit(files)).alias("file")).agg(F.collect_list(F.struct(*projects.columns)).alias("projects"))
+    dealt.select(F.lit(1).alias("version"), "projects").write.option("maxRecordsPerFile", 1).mode("errorifexists").json(path)
 
 
 def all_projects(projects: DataFrame) -> DataFrame:
