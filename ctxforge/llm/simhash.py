@@ -91,6 +91,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 PART, BANDS, ROWS, HASHES, MARK_BITS, SKETCH_PLACES = (4, 5), 25, 5, 128, 28, 43
 #: Pairs that a bucket may name for each of its sets; a bucket with more is compared as a whole.
 PAIRS_PER_SET = 8
+#: Sets of a bucket that one task holds against as many others; the pairs of a larger bucket's blocks are tasks of their own.
+BLOCK_SETS = 2048
 _SKETCH = "doc_id long, mark long, key long, n int, low long, high long, sketch binary, bands array<long>"
 
 
@@ -191,27 +193,40 @@ def verified(pairs: DataFrame, sets: Sets) -> DataFrame:
     return found
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (code, key, many, ...) once for each pair of blocks, low and high, of their bucket that holds the row's own block."""
+    blocks = F.ceil(F.col("many") / BLOCK_SETS)
+    own = rows.withColumn("block", F.pmod(F.xxhash64("key", "code"), blocks).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))
+    return own.withColumn("other", other).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("many", "other")
+
+
 def _named(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The bucket's pairs (a, b) of different components whose sizes and sketches allow a resemblance; if they are more than
-    PAIRS_PER_SET times its sets, (code, null), for a comparison of the whole bucket."""
-    key, size, label = pdf["key"].to_numpy(), pdf["n"].to_numpy(np.int64), pdf["label"].to_numpy()
+    """The pairs (a, b) of different components, within a block or between two, whose sizes and sketches allow a resemblance; if
+    they are more than PAIRS_PER_SET times the sets, (code, null), for a comparison of the sets themselves."""
+    key, size, label, block = pdf["key"].to_numpy(), pdf["n"].to_numpy(np.int64), pdf["label"].to_numpy(), pdf["block"].to_numpy()
+    where, crossing = {"low": pdf["low"].iloc[0], "high": pdf["high"].iloc[0]}, pdf["low"].iloc[0] != pdf["high"].iloc[0]
     sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
-    a, b, many = [], [], 0
+    a, b, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for r in range(len(pdf) - 1):
-        rest = r + 1 + np.flatnonzero((label[r + 1 :] != label[r]) & (PART[1] * size[r + 1 :] >= PART[0] * size[r]) & (PART[1] * size[r] >= PART[0] * size[r + 1 :]))
+        able = (label[r + 1 :] != label[r]) & (PART[1] * size[r + 1 :] >= PART[0] * size[r]) & (PART[1] * size[r] >= PART[0] * size[r + 1 :])
+        if crossing:
+            able &= block[r + 1 :] != block[r]
+        rest = r + 1 + np.flatnonzero(able)
         rest = rest[places_apart(sketch[rest], sketch[r]) <= SKETCH_PLACES]
         many += len(rest)
         if many > PAIRS_PER_SET * len(pdf):
-            return pd.DataFrame({"a": pd.array([pdf["code"].iloc[0]], "Int64"), "b": pd.array([None], "Int64")})
+            return pd.DataFrame({"a": pd.array([pdf["code"].iloc[0]], "Int64"), "b": pd.array([None], "Int64"), **where})
         a.append(np.minimum(key[rest], key[r]))
         b.append(np.maximum(key[rest], key[r]))
-    return pd.DataFrame({"a": pd.array(np.concatenate(a), "Int64"), "b": pd.array(np.concatenate(b), "Int64")})
+    return pd.DataFrame({"a": pd.array(np.concatenate(a), "Int64"), "b": pd.array(np.concatenate(b), "Int64"), **where})
 
 
 def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(a, b) that join the bucket's components (label) where sets resemble each other; all pairs of different
+    """(a, b) that join components (label) within a block or between two where sets resemble each other; all pairs of different
     components are counted through the sets' inverted lists, and one link for two components is given."""
     pdf = pdf.sort_values("key")
+    block, crossing = pdf["block"].to_numpy(), pdf["low"].iloc[0] != pdf["high"].iloc[0]
     key, label = pdf["key"].to_numpy(), np.unique(pdf["label"], return_inverse=True)[1]
     sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -227,6 +242,8 @@ def _linked(pdf: pd.DataFrame) -> pd.DataFrame:
         many = length[own]
         both = np.bincount(lists[np.repeat(start[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())], minlength=len(sets))
         alike = PART[1] * both >= PART[0] * (sizes[r] + sizes - both)
+        if crossing:
+            alike &= block != block[r]
         for q in np.flatnonzero(alike & (forest.root[label] != forest.root[label[r]])).tolist():
             if forest.root[label[q]] != forest.root[label[r]]:
                 forest.link(label[[r]], label[[q]])
@@ -251,8 +268,8 @@ def classes_of(prints: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_
 
     Sets that share a band of least hashes are candidates, and each link is checked on the sets. First each set of a
     bucket is held against one of the bucket. Buckets that still hold more than one component then name their
-    pairs of different components, and these are checked; a bucket of too many gets its sets, and all its pairs of different
-    components are compared in the task, which gives a spanning forest."""
+    pairs of different components, and these are checked; one with too many gets its sets, and all its pairs of different
+    components are compared in the task, which gives a spanning forest. Large buckets are compared by pairs of blocks."""
     rest = F.first(F.struct("n", "low", "high", "sketch", "bands")).alias("s")
     groups = materialize(prints.groupBy("key").agg(F.min(_place()).alias("rep"), rest).select("key", "rep", "s.*"), "sketch-groups")
     sets = Sets(docs, groups, id_col, text_col)
@@ -273,13 +290,15 @@ def classes_of(prints: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_
     small = mixed_points.where(F.col("many") <= 2 * PAIRS_PER_SET)
     other = small.select("code", F.col("p").alias("q"), F.col("label").alias("other"))
     pairs = small.join(other, "code").where((F.col("p.key") < F.col("q.key")) & (F.col("label") != F.col("other")) & _may_resemble("p", "q"))
-    own = mixed_points.where(F.col("many") > 2 * PAIRS_PER_SET).select("code", "p.key", "label")
-    large = own.join(marked.select("key", "n", "sketch"), "key").groupBy("code").applyInPandas(_named, "a long, b long")
-    named = materialize(pairs.select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).union(large).distinct(), "named")
-    second = verified(named.where("b IS NOT NULL").join(tried, ["a", "b"], "left_anti"), sets)
-    dense = own.join(named.where("b IS NULL").select(F.col("a").alias("code")), "code", "left_semi").select("code", "key", "label")
+    own = _dealt(mixed_points.where(F.col("many") > 2 * PAIRS_PER_SET).select("code", "p.key", "label", "many"))
+    large = own.join(marked.select("key", "n", "sketch"), "key").groupBy("code", "low", "high").applyInPandas(_named, "a long, b long, low int, high int")
+    none = F.lit(None).cast("int")
+    named = materialize(pairs.select(F.col("p.key").alias("a"), F.col("q.key").alias("b"), none.alias("low"), none.alias("high")).distinct().union(large), "named")
+    second = verified(named.where("b IS NOT NULL").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), sets)
+    crowded = named.where("b IS NULL").select(F.col("a").alias("code"), "low", "high")
+    dense = own.join(crowded, ["code", "low", "high"], "left_semi")
     with_sets = dense.join(sets.of(dense.select("key").distinct()), "key")
-    more = materialize(with_sets.select("code", "key", "label", "shingles").groupBy("code").applyInPandas(_linked, "a long, b long"), "more")
+    more = materialize(with_sets.select("code", "low", "high", "block", "key", "label", "shingles").groupBy("code", "low", "high").applyInPandas(_linked, "a long, b long"), "more")
     out = classes(groups.select("key", "rep"), first.union(second).union(more))
     forget(groups, hubs, tried, first, marked, mixed, mixed_points, named, second, more)
     return out

@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 
+from ctxforge.llm import simhash
 from ctxforge.llm.simhash import BANDS, ROWS, _linked, least_hashes, resembling, shingle_hashes
 
 
@@ -49,6 +51,35 @@ def test_chains_and_buckets_of_many(spark):
     assert [got[i] for i, _ in rows] == [0] * 20 + [20] * 200
 
 
+@pytest.mark.parametrize("pairs_per_set", [8, 0])
+def test_large_buckets_are_compared_by_pairs_of_blocks(spark, monkeypatch, pairs_per_set):
+    """Blocks of few sets, with pairs named or, where they would be too many, sets compared: the classes stay the same, and no group
+    holds more than two blocks."""
+    rng = random.Random(6)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for i in range(90):  # a family in which some resemble each other and some do not
+        gone = set(rng.sample(range(150), rng.choice((0, 1, 2, 6, 9))))
+        texts.append(" ".join(f"x{i}y{k}" if k in gone else w for k, w in enumerate(base)))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r["doc_id"]: r["component_id"] for r in resembling(frame).collect()}
+    assert 1 < len(set(want.values())) < 90
+    monkeypatch.setattr(simhash, "BLOCK_SETS", 10)
+    monkeypatch.setattr(simhash, "PAIRS_PER_SET", pairs_per_set)
+    assert {r["doc_id"]: r["component_id"] for r in resembling(frame).collect()} == want
+
+
+def test_a_bucket_of_unlike_sets_is_dealt_out(spark):
+    """16,000 sets of one bucket: pairs of blocks, each pair of sets in exactly one group, none with more than two blocks' sets."""
+    from pyspark.sql import functions as F
+
+    rows = simhash._dealt(spark.range(16_000).select(F.lit(5).cast("long").alias("code"), F.col("id").alias("key"), F.lit(16_000).cast("long").alias("many")))
+    sizes = {(r["low"], r["high"]): r["count"] for r in rows.groupBy("low", "high").count().collect()}
+    assert len(sizes) == 8 * 9 // 2 and max(sizes.values()) < 2.2 * simhash.BLOCK_SETS
+    blocks = {i: n for (i, j), n in sizes.items() if i == j}
+    assert sum(blocks.values()) == 16_000 and all(sizes[i, j] == blocks[i] + blocks[j] for i, j in sizes if i < j)
+
+
 def test_least_hashes_agree_as_often_as_sets_resemble():
     rng, agree, bands = np.random.default_rng(2), [], []
     for _ in range(400):
@@ -64,7 +95,7 @@ def test_components_of_a_bucket_equal_all_pairs():
     base = [f"v{rng.randrange(10**6)}" for _ in range(120)]
     texts = [" ".join(f"x{i}y{k}" if k in gone else w for k, w in enumerate(base)) for i in range(60) for gone in [rng.sample(range(120), rng.randint(0, 4))]]
     sets = [np.unique(shingle_hashes(t.encode(), 5)) for t in texts]
-    got = _linked(pd.DataFrame({"key": range(60), "label": range(60), "shingles": [s.tobytes() for s in sets]}))
+    got = _linked(pd.DataFrame({"key": range(60), "label": range(60), "shingles": [s.tobytes() for s in sets], "block": 0, "low": 0, "high": 0}))
     alike = {(i, j) for i in range(60) for j in range(60) if i != j and 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
     edges = set(zip(got["a"], got["b"]))
 
