@@ -110,7 +110,15 @@ def _windows(s, d, f, **options):
     return f(derived(s, d, "requests"), **options)
 
 
+def _checks(s, d):
+    """A report for each customer: their orders are the checks."""
+    o = s.read.parquet(f"{d}/orders.parquet")
+    fix = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("look at order "), "o_orderkey"))
+    return render.checks(o.select(F.col("o_custkey").alias("report_id"), F.col("o_orderkey").alias("place"), F.concat(F.lit("order "), "o_orderkey").alias("name"), (F.col("o_orderstatus") != "O").alias("ok"), F.col("o_orderpriority").alias("message"), fix.alias("fix")))
+
+
 QUERIES = {
+    "render_checks": _checks,
     "read_gate": _reads,
     "bash_head_tail": lambda s, d: _outputs(s, d).select("log_id", G.head_tail(F.col("output")).alias("short")),
     "bash_gate": lambda s, d: _outputs(s, d).select("log_id", G.output_decision(F.when(F.col("log_id") % 13 == 0, "Read").otherwise("Bash"), F.col("output")).alias("decision")),
@@ -146,6 +154,9 @@ _BLOCKS = (
 _REQ = f"WITH {cte('requests')} "
 _TUMBLE = _REQ + f"SELECT time_bucket(INTERVAL '1 hour', ts) AS start, tool, count(*) AS requests, CAST(sum(saved) AS BIGINT) AS saved, {_PCT.format(o='sum(original)', s='sum(saved)')} AS saved_percent FROM requests GROUP BY 1, 2"
 SQL = {
+    "render_checks": "WITH c AS (SELECT o_custkey, o_orderkey AS k, o_orderstatus <> 'O' AS ok, o_orderpriority AS p FROM orders) SELECT o_custkey AS report_id, 'Checks' || chr(10) || chr(10) || "
+    "string_agg('  ' || CASE WHEN ok THEN '✓' ELSE '✗' END || ' order ' || k || ': ' || p || CASE WHEN NOT ok AND k % 2 = 0 THEN chr(10) || '    → look at order ' || k ELSE '' END, chr(10) ORDER BY k) || chr(10) || chr(10) || "
+    "CASE WHEN bool_and(ok) THEN 'All checks passed.' ELSE 'Run again with repairs for what failed.' END AS text FROM c GROUP BY o_custkey",
     "read_gate": f"WITH {cte('files')}, t AS (SELECT ord, path, ord % 40 AS pct, repeat(content || chr(10), CASE WHEN ord % 3 = 0 THEN 12 ELSE 1 END) AS body, list_last(string_split(path, '/')) AS base FROM files) "
     f"SELECT ord, CASE WHEN ord % 11 = 0 THEN 'skip' WHEN ord % 7 <> 0 AND contains(base, '.') AND lower(list_last(string_split(base, '.'))) IN ({_EXTS}) AND len(string_split(body, chr(10))) >= 100 AND pct >= 15 THEN 'block' ELSE 'pass' END AS decision FROM t",
     "bash_head_tail": _OUT + " SELECT log_id, short FROM h",

@@ -56,3 +56,79 @@ def test_diff_equals_the_whole_table():
     for n in range(150):
         old, new = (["abcd"[k] for k in rng.integers(0, 4, rng.integers(0, 25))] for _ in range(2))
         assert diff.diff_ops(old, new) == plain_ops(old, new)
+
+
+def long_ops(old, new):
+    """plain_ops for long texts: a row of the table is a running maximum over the row before."""
+    a, b = np.unique(old + new, return_inverse=True)[1][: len(old)], np.unique(old + new, return_inverse=True)[1][len(old) :]
+    table = np.zeros((len(old) + 1, len(new) + 1), np.int32)
+    for i in range(len(old)):
+        table[i + 1, 1:] = np.maximum.accumulate(np.where(b == a[i], table[i, :-1] + 1, table[i, 1:]))
+    ops, i, j = [], len(old), len(new)
+    while i or j:
+        if i and j and old[i - 1] == new[j - 1]:
+            i, j = i - 1, j - 1
+            ops.append(("keep", i))
+        elif j and (not i or table[i, j - 1] >= table[i - 1, j]):
+            j -= 1
+            ops.append(("add", j))
+        else:
+            i -= 1
+            ops.append(("del", i))
+    return ops[::-1]
+
+
+def plain_hunks(old, new):
+    """Changed regions with fewer than six kept lines between them as one, with three lines around."""
+    ops, regions = long_ops(old, new), []
+    for k, (op, _) in enumerate(ops):
+        if op != "keep":
+            if regions and all(o == "keep" for o, _ in ops[regions[-1][1] + 1 : k]) and k - regions[-1][1] - 1 < 6:
+                regions[-1][1] = k
+            else:
+                regions.append([k, k])
+    hunks = []
+    for x, y in regions:
+        at = [i for op, i in ops[x : y + 1] if op != "add"]
+        first = at[0] if at else next((i + 1 for op, i in reversed(ops[:x]) if op != "add"), 0)
+        last = at[-1] if at else first
+        top, lead, rest = max(0, first - 3), old[max(0, first - 3) : first], old[last + 1 : min(len(old) - 1, last + 3) + 1]
+        before = [old[i] for op, i in ops[x : y + 1] if op != "add"]
+        after = [old[i] if op == "keep" else new[i] for op, i in ops[x : y + 1] if op != "del"]
+        hunks.append((top, lead + before + rest, lead + after + rest))
+    return hunks
+
+
+def test_diff_queries_equal_plain_loops(spark, sf):
+    """Every registered diff query over all documents: operations, hunks, whether they verify, and the write gate."""
+    import math
+
+    queries = catalog.queries()
+    ops = {r["doc_id"]: (r["keep"], r["add"], r["del"]) for r in queries["line_diff"](spark, sf).collect()}
+    hunks, verified = {}, {r["doc_id"]: r["verified"] for r in queries["diff_verify"](spark, sf).collect()}
+    for r in queries["diff_hunks"](spark, sf).orderBy("doc_id", "place").collect():
+        hunks.setdefault(r["doc_id"], []).append((r["old_start"], r["n_old"], r["n_new"]))
+    gate = {r["doc_id"]: (r["decision"], r["write_cost"], r["edit_cost"], r["saved_percent"]) for r in queries["write_gate"](spark, sf).collect()}
+    rows = events._pairs(spark, sf).collect()
+    assert len(rows) == len(gate) == len(verified) == 200
+    for r in rows:
+        i, old, new = r["doc_id"], r["old"].split("\n"), r["new"].split("\n")
+        kinds = [op for op, _ in long_ops(old, new)]
+        assert ops[i] == tuple(kinds.count(k) for k in ("keep", "add", "del"))
+        found = plain_hunks(old, new)
+        assert hunks.get(i, []) == [(top, len(a), len(b)) for top, a, b in found]
+        text, good = r["old"], True
+        for _, a, b in found:
+            a, b = "\n".join(a), "\n".join(b)
+            good, text = good and a in text, text.replace(a, b, 1)
+        good = good and text == r["new"]
+        if "$" not in r["new"]:  # no marks to fill in
+            assert verified[i] == good
+        cost = lambda x: math.ceil(len(x) / 3.5)
+        able = r["old"] != r["new"] and 50 <= len(old) <= 800 and len(new) <= 800
+        edit = sum(cost("\n".join(a)) + cost("\n".join(b)) for _, a, b in found)
+        percent = math.floor((1 - edit / cost(r["new"])) * 100 + 0.5)
+        if able:
+            assert gate[i] == ("block" if found and percent >= 40 and verified[i] else "pass", cost(r["new"]), edit, percent)
+        else:
+            assert gate[i][0] == "pass" and gate[i][2] is None
