@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ctxforge.plans import code, events, languages, streams, texts, usage
+from ctxforge.plans import code, events, languages, reports, streams, texts, usage
 
-_PARTS = (usage, texts, code, languages, events, streams)
+_PARTS = (usage, texts, code, languages, events, reports, streams)
 
 
 def queries() -> dict:
