@@ -41,14 +41,25 @@ def json_tokens(value: Column) -> Column:
     return count_tokens(F.to_json(value))
 
 
+def to_fixed(n: Column, unit: int) -> Column:
+    """n / unit of a whole number n >= 0 with one decimal, as JavaScript's toFixed(1) writes the double: by its exact value, halves up."""
+    below = F.floor(n.cast("long") * 10 / F.lit(unit)).cast("long")
+    # Twenty times the double against the odd number between two tenths: the sum's rounding error is added back, so the sign is exact.
+    x = n.cast("double") / F.lit(float(unit))
+    large, small, middle = x * 16, x * 4, (2 * below + 1).cast("double")
+    total = large + small
+    tenths = below + F.when((total - middle) + (small - (total - large)) >= 0, 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def format_tokens(n: Column) -> Column:
     """999, 1.5k, 10.0k."""
-    return F.when(n >= 1000, F.format_string("%.1fk", n / 1000)).otherwise(n.cast("string"))
+    return F.when(n >= 1000, F.concat(to_fixed(n, 1000), F.lit("k"))).otherwise(n.cast("string"))
 
 
 def format_millions(n: Column) -> Column:
     """As format_tokens, with 2.5M from a million on."""
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000)).otherwise(format_tokens(n))
+    return F.when(n >= 1_000_000, F.concat(to_fixed(n, 1_000_000), F.lit("M"))).otherwise(format_tokens(n))
 
 
 def time_saved_minutes(tokens: Column) -> Column:

@@ -63,7 +63,8 @@ def _listed(title: str, table: str, key: str, line: str, most: int, noun: str, o
 
 _SAVED = "'### Token Savings', 'Original: **' || original || '** → Optimized: **' || CAST(optimized AS BIGINT) || '** (saved **' || saved_percent || '%**)'"
 _AGO = "CASE WHEN {x} < 60 THEN {x} || 's ago' WHEN {x} < 3600 THEN ({x} // 60) || 'm ago' ELSE ({x} // 3600) || 'h ago' END"
-_SHORT = "CASE WHEN {n} >= 1000000 THEN printf('%.1fM', {n} / 1000000.0) WHEN {n} >= 1000 THEN printf('%.1fk', {n} / 1000.0) ELSE CAST({n} AS VARCHAR) END"
+#: Halves go up, where they are exact.
+_SHORT = "CASE WHEN {n} >= 1000000 THEN printf('%.1fM', ({n} + CASE WHEN {n} % 500000 = 250000 THEN 1 ELSE 0 END) / 1000000.0) WHEN {n} >= 1000 THEN printf('%.1fk', ({n} + CASE WHEN {n} % 500 = 250 THEN 1 ELSE 0 END) / 1000.0) ELSE CAST({n} AS VARCHAR) END"
 _SECONDS = f"(epoch_ms(TIMESTAMP '{NOW}') // 1000 - epoch_ms({{t}}) // 1000)"
 _LISTS = (("Goals", "conv_goals", ""), ("Completed Tasks", "conv_completed", "✅ "), ("Pending Tasks", "conv_pending", "⬜ "), ("Decisions", "conv_decisions", ""), ("Blockers", "conv_blockers", "🚫 "))
 

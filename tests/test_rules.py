@@ -233,3 +233,21 @@ def test_token_counts_equal_a_plain_merge_loop(spark, sf):
     texts = {r[0]: r[1] or "" for r in frame.collect()}
     assert got == {i: len(library.encode_ordinary(t)) for i, t in texts.items()}
     assert all(got[i] == plain(t) for i, t in texts.items() if len(t) < 3000)
+
+
+def test_short_numbers_round_as_javascript_does(spark):
+    """By the exact value of the double, halves up: 1.15 lies below its name, 1.35 above, 1.25 is exact."""
+    from fractions import Fraction
+    from math import floor
+
+    def fixed(x):
+        tenths = floor(Fraction(x) * 10 + Fraction(1, 2))
+        return f"{tenths // 10}.{tenths % 10}"
+
+    known = {999: "999", 1000: "1.0k", 1050: "1.1k", 1150: "1.1k", 1250: "1.3k", 1350: "1.4k", 1450: "1.4k", 1749: "1.7k", 1750: "1.8k", 999949: "999.9k", 999950: "1000.0k", 999999: "1000.0k"}
+    numbers = sorted({*known, *range(1000, 40000, 50), *range(10**6 - 1000, 10**6, 50)})
+    got = {r[0]: r[1] for r in spark.createDataFrame([(n,) for n in numbers], "n long").select("n", tokens.format_tokens(F.col("n"))).collect()}
+    assert got == {n: fixed(n / 1000) + "k" if n >= 1000 else str(n) for n in numbers} and {n: got[n] for n in known} == known
+    big = [1_000_000, 1_250_000, 1_150_000, 2_949_999, 123_456_789_012]
+    got = {r[0]: r[1] for r in spark.createDataFrame([(n,) for n in big], "n long").select("n", tokens.format_millions(F.col("n"))).collect()}
+    assert got == {n: fixed(n / 10**6) + "M" for n in big}
