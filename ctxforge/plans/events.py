@@ -122,6 +122,7 @@ QUERIES = {
     "read_gate": _reads,
     "bash_head_tail": lambda s, d: _outputs(s, d).select("log_id", G.head_tail(F.col("output")).alias("short")),
     "bash_gate": lambda s, d: _outputs(s, d).select("log_id", G.output_decision(F.when(F.col("log_id") % 13 == 0, "Read").otherwise("Bash"), F.col("output")).alias("decision")),
+    "gate_opt_out": lambda s, d: _outputs(s, d).select("log_id", G.unless_opted_out(G.output_decision(F.lit("Bash"), F.col("output")), F.when(F.col("log_id") % 5 != 3, F.col("log_id") % 4 == 0)).alias("decision")),
     "response_text": lambda s, d: _responses(s, d).groupBy("tool_name", "command", "text").agg(F.count(F.lit(1)).alias("n")),
     "prompt_blocks": lambda s, d: P.blocks(_prompts(s, d)).select("prompt_id", "place", "lang", "n_lines", F.length("content").alias("chars")),
     "prompt_block_kind": lambda s, d: P.blocks(_prompts(s, d)).select("prompt_id", "place", "kind"),
@@ -161,6 +162,7 @@ SQL = {
     f"SELECT ord, CASE WHEN ord % 11 = 0 THEN 'skip' WHEN ord % 7 <> 0 AND contains(base, '.') AND lower(list_last(string_split(base, '.'))) IN ({_EXTS}) AND len(string_split(body, chr(10))) >= 100 AND pct >= 15 THEN 'block' ELSE 'pass' END AS decision FROM t",
     "bash_head_tail": _OUT + " SELECT log_id, short FROM h",
     "bash_gate": _OUT + f" SELECT log_id, CASE WHEN log_id % 13 = 0 OR output = '' THEN 'skip' WHEN {_TOK('output')} >= 200 AND {_SAVED} >= 15 THEN 'shorten' ELSE 'pass' END AS decision FROM h",
+    "gate_opt_out": _OUT + f" SELECT log_id, CASE WHEN log_id % 5 <> 3 AND log_id % 4 = 0 OR output = '' THEN 'skip' WHEN {_TOK('output')} >= 200 AND {_SAVED} >= 15 THEN 'shorten' ELSE 'pass' END AS decision FROM h",
     "response_text": "SELECT 'Bash' AS tool_name, event_type AS command, CASE event_id % 4 WHEN 0 THEN 'out ' || event_id WHEN 1 THEN 'plain \"text\"' WHEN 2 THEN 'ab' ELSE '' END AS text, count(*) AS n FROM events GROUP BY ALL",
     "prompt_blocks": _BLOCKS + " SELECT prompt_id, place, lang, CAST(len(string_split(content, chr(10))) AS INT) AS n_lines, length(content) AS chars FROM b",
     "prompt_block_kind": _BLOCKS + r", k AS (SELECT *, list_slice(string_split(content, chr(10)), 1, 20) AS ls FROM b) SELECT prompt_id, place, CASE WHEN len(list_filter(ls, lambda x: regexp_matches(x, '(?i)\b(?:error|warn(?:ing)?|info|debug|fatal|stdout|stderr)\b.*:') OR regexp_matches(x, '\d{2}:\d{2}:\d{2}|\d{4}-\d{2}-\d{2}'))) >= least(3.0, len(ls) * 0.3) THEN 'log' ELSE 'code' END AS kind FROM k",
