@@ -13,7 +13,7 @@ from ctxforge.operators import relevance as R
 from ctxforge.operators import usage as U
 from ctxforge.plans import code, texts, usage
 from ctxforge.plans.events import _status
-from ctxforge.plans.inputs import cte, derived, logs
+from ctxforge.plans.inputs import LOGS_CTE, cte, derived, logs
 
 NOW = "2024-02-01 00:00:00"
 
@@ -113,4 +113,11 @@ SQL = {
     f"sl AS (SELECT count(*) AS m, string_agg('    ' || substr(id, 1, 8) || '  ' || project || '  saved=' || {_SHORT.format(n='saved')} || '  (' || {_AGO.format(x=_SECONDS.format(t='began'))} || ')', {_NL} ORDER BY began, id) AS u FROM s) SELECT "
     + _lines("'Status'", "''", "'  Projects: ' || n", "'  Sessions: ' || m", f"CASE WHEN n > 0 THEN {_lines("''", "'  Projects:'", 't')} END", f"CASE WHEN m > 0 THEN {_lines("''", "'  Active sessions:'", 'u')} END", f"CASE WHEN total > 0 THEN {_NL} || '  Total tokens saved (all-time): ' || {_SHORT.format(n='total')} END")
     + " AS text FROM pl, sl",
+    # A block ends with the line end before its fence. The logs look like logs; the other block of a prompt is short.
+    "compress_prompt": f"WITH s AS ({texts.SQL['summarize_logs']}), n AS ({texts.SQL['log_status']}), {cte('log_lines')}, {LOGS_CTE}, "
+    "m AS (SELECT l.log_id, content, ceil((length(content) + 1) / 4.0) AS o, ceil(length(compressed) / 4.0) AS p, "
+    "concat_ws(chr(10), '[log compressed — ' || s.status || ', ' || least(n_errors, 10) || ' errors, ' || least(n_warnings, 10) || ' warnings]', compressed, CASE WHEN actions <> '' THEN 'Recommended: ' || replace(actions, '|', '; ') END) AS short "
+    "FROM logs l JOIN s ON l.log_id = s.log_id JOIN n ON l.log_id = n.log_id), "
+    "t AS (SELECT *, CASE WHEN len(string_split(content, chr(10))) >= 29 AND floor(greatest(o - p, 0) * 100 / o + 0.5) >= 20 THEN greatest(o - ceil(length(short) / 4.0), 0) ELSE 0 END AS saved FROM m) "
+    "SELECT log_id AS prompt_id, concat('See', chr(10), '```', CASE WHEN log_id % 2 = 0 THEN 'log' ELSE '' END, chr(10), CASE WHEN saved > 0 THEN short ELSE content END, chr(10), '```', chr(10), 'and', chr(10), '```py', chr(10), 'def f(a):', chr(10), '    pass', chr(10), '```', chr(10), 'end') AS compressed, CAST(saved AS BIGINT) AS saved_tokens FROM t",
 }
