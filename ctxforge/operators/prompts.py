@@ -5,12 +5,13 @@ replacement of first occurrences, folded within the row; `$` marks in a summary
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ctxforge.functions.text import DOT, lines_of, replace_first, word
 from ctxforge.functions.tokens import count_tokens
 from ctxforge.operators import code, logs
+from ctxforge.sources.scratch import written
 
 # What a fenced block is.
 FENCE = r"```([A-Za-z0-9_]*)\n([\s\S]*?)```"
@@ -52,8 +53,8 @@ def _summaries(long: DataFrame, parser=code.parse) -> DataFrame:
 
 def compress(prompts: DataFrame, parser=code.parse) -> DataFrame:
     """(prompt_id, compressed, saved_tokens); prompts that save nothing keep their text and 0. parser: as in code.compress()."""
-    long = blocks(prompts).where(F.col("n_lines") >= LEAST_LINES)
-    done = long.join(_summaries(long, parser), ["prompt_id", "place"]).where(F.col("percent") >= LEAST_PERCENT)
+    long = written(blocks(prompts).where(F.col("n_lines") >= LEAST_LINES), "long-blocks")  # read by three steps
+    done = long.join(written(_summaries(long, parser), "block-summaries"), ["prompt_id", "place"]).where(F.col("percent") >= LEAST_PERCENT)
     swap = F.concat(F.lit("```"), F.col("lang"), F.lit("\n"), F.col("summary"), F.lit("\n```"))
     saved = F.greatest(count_tokens(F.col("content")) - count_tokens(F.col("summary")), F.lit(0).cast("long"))
     per = done.groupBy("prompt_id").agg(F.sort_array(F.collect_list(F.struct("place", "full", swap.alias("swap")))).alias("swaps"), F.sum(saved).alias("saved"))
