@@ -44,7 +44,7 @@ def test_first_stage_drops_what_has_no_language(spark, sf):
 
 
 def test_catalog():
-    assert len([n for n in catalog.queries() if n.startswith("op")]) == 10 and set(catalog.oracle_sql()) <= set(catalog.queries())
+    assert len([n for n in catalog.queries() if n.startswith("op")]) == 13 and set(catalog.oracle_sql()) <= set(catalog.queries())
 
 
 def test_no_labelled_language(spark, sf):
