@@ -54,7 +54,7 @@ def last_request(requests: DataFrame) -> DataFrame:
 
 
 #: Rows of a session are scanned by blocks of this width of time.
-BLOCK = "hour"
+BLOCK = "day"
 
 
 def _block():
