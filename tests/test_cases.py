@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ctxforge.functions import tokens as T
 from ctxforge.functions.language import detect_language, infer_purpose
 from ctxforge.operators import budget, code, conversation, dedupe, diff, gates, logs, prompts, relevance, repo_graph, usage
-from ctxforge.sources import events, scan
+from ctxforge.sources import events, scan, scratch
 
 LOG = """2024-01-15T10:00:00Z INFO Starting build
 2024-01-15T10:00:01Z ERROR Cannot find module './missing'
@@ -186,6 +186,29 @@ def test_near_duplicates_equal_a_nested_loop(spark, threshold):
     assert {r["first_ord"]: r["count"] for r in dedupe.duplicate_groups(frame, threshold).collect()} == count
 
 
+def test_written_steps_leave_no_shuffle_files(spark):
+    """Duplicates took 18 times their input of disk, most of it shuffle files of steps that had ended."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    data = lambda: {f for f in files.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f and f.endswith(".data")}
+    before = data()
+    scratch.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert not data() - before
+
+
+def test_pairs_of_blocks_equal_a_nested_loop(spark, monkeypatch):
+    """Many blocks, and fewer postings at once than one set has."""
+    for name, value in (("BLOCK", 20), ("FEW", 10), ("HELD", 40)):
+        monkeypatch.setattr(dedupe, name, value)
+    rng = random.Random(5)
+    texts = sorted({" ".join(rng.choice("abcdefghijk") for _ in range(rng.randint(1, 9))) for _ in range(90)})
+    sets = [set(t.split(" ")) for t in texts]
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
+    groups = dedupe.exact_groups(items(spark, texts))
+    assert {(r["a"], r["b"]) for r in dedupe.similar_pairs(groups, 0.5).collect()} == want
+    few, rest = groups.where("first_ord % 3 = 0"), groups.where("first_ord % 3 > 0")
+    assert {r["ord"] for r in dedupe.similar_to(few, rest, 0.5).collect()} == {x for a, b in want for x, y in ((a, b), (b, a)) if x % 3 == 0 and y % 3}
+
+
 def test_alike_items_do_not_meet_all_others(spark, monkeypatch):
     """3,000 items of one family, all similar to each other: the pairs that are compared are about as many as the items."""
     texts = [" ".join([f"w{k}" for k in range(40)] + [f"own{i}"]) for i in range(3000)] + ["something else", "one more thing"]
