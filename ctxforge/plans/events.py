@@ -40,6 +40,7 @@ def _prompts(s, d):
 
 def _pairs(s, d):
     """All documents, a word to a line, against themselves with some lines changed."""
+    W.short_batches(s)
     docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.split("text", " ").alias("w"))
     new = F.filter(F.transform("w", lambda x, i: F.when(i % 47 == F.col("doc_id") % 47, F.concat(F.lit("new "), x)).when(i % 61 == 7, F.concat(x, F.lit("\nmore"))).otherwise(x)), lambda x, i: i % 53 != 11)
     return docs.select("doc_id", F.lit("src/a.txt").alias("path"), F.array_join("w", "\n").alias("old"), F.array_join(new, "\n").alias("new"))

@@ -132,3 +132,13 @@ def test_diff_queries_equal_plain_loops(spark, sf):
             assert gate[i] == ("block" if found and percent >= 40 and verified[i] else "pass", cost(r["new"]), edit, percent)
         else:
             assert gate[i][0] == "pass" and gate[i][2] is None
+
+
+def test_texts_and_their_diffs_go_in_short_batches(spark, small):
+    """Batches of 10,000 documents with a struct for each line took more than an executor has."""
+    folder, texts = small
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = catalog.queries()["line_diff"](spark, folder)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 200
+    assert rows.count() == len(texts)
+    assert diff.line_diff.evalType != 200  # made of Arrow arrays, not of a pandas series of dicts
