@@ -142,3 +142,8 @@ def test_texts_and_their_diffs_go_in_short_batches(spark, small):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 200
     assert rows.count() == len(texts)
     assert diff.line_diff.evalType != 200  # made of Arrow arrays, not of a pandas series of dicts
+
+
+def test_required_names_are_all_imports_without_default(spark, sf):
+    rows = catalog.queries()["js_requires"](spark, sf).collect()
+    assert {"express", "zod", "../types"} <= {r["source"] for r in rows}
