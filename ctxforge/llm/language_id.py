@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ctxforge.llm.common import all_columns, crc_mod, documents, quoted, small_batches
+from ctxforge.llm.common import crc_mod, documents, quoted, small_batches
 
 #: Places in a language's profile and in a document's.
 PROFILE, OWN = 400, 300
 WORD = re.compile(r"[^\W\d_]+")
-#: A document that shares less with every profile may be rejected; labelled documents on which that bound is fitted.
-REJECT, SAMPLE = 0.3, 20_000
+#: A document that shares less with every profile may be rejected.
+REJECT = 0.3
 #: Words and n-grams that a worker remembers before it starts anew.
 WORDS, GRAMS = 300_000, 1_000_000
 
@@ -167,15 +167,40 @@ def predict(docs: DataFrame, found: dict[str, list[str]], id_col: str = "doc_id"
     return with_language(own, found).select("doc_id", "lang_pred", "score", "margin")
 
 
-def least_likeness(docs: DataFrame, found: dict[str, list[str]], lang_col: str = "lang", text_col: str = "text", most: float = REJECT, rows: int = SAMPLE) -> float:
+#: Parts of the range of scores that are counted to find a quantile.
+PARTS = 4096
+
+
+def low_score(scores: DataFrame, share: float = 0.001) -> float | None:
+    """The exact quantile (interpolated as percentile() does) of column score, from 0 to 1, over all rows; null scores do not count. Rows are
+    counted by parts of the range, then by score within the one or two parts that hold it: no task or driver sees all scores."""
+    part = F.least(F.floor(F.col("score") * PARTS), F.lit(PARTS - 1)).alias("part")
+    counts = sorted((r["part"], r["count"]) for r in scores.where("score IS NOT NULL").groupBy(part).count().collect())
+    total = sum(n for _, n in counts)
+    if not total:
+        return None
+    place = share * (total - 1)
+    wanted, before, within = (int(place), min(int(place) + 1, total - 1)), 0, {}
+    for at, n in counts:
+        within |= {k: (at, k - before) for k in wanted if before <= k < before + n}
+        before += n
+
+    def nth(at: int, k: int) -> float:
+        run = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+        by = scores.where(part == at).groupBy("score").count().withColumn("upto", F.sum("count").over(run))
+        return by.where(F.col("upto") > k).agg(F.min("score")).first()[0]
+
+    low, high = (nth(*within[k]) for k in wanted)
+    return low + (place - int(place)) * (high - low)
+
+
+def least_likeness(judged: DataFrame, found: dict[str, list[str]], lang_col: str = "lang", names: tuple[str, str] = ("lang_pred", "score"), most: float = REJECT) -> float:
     """The score below which a document is in none of the languages: most, or three quarters of the score that all
     but one in a thousand labelled documents reach, if that is less; where no profile has all its places, for want
-    of text, in proportion to the longest. It is fitted on about `rows` labelled documents."""
+    of text, in proportion to the longest. judged: all documents with the columns `names` of with_language()."""
     most *= max(map(len, found.values()), default=0) / PROFILE
-    own = docs.where(F.col(quoted(lang_col)).isNotNull()).select(F.xxhash64(*all_columns(docs)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
-    part = min(1.0, rows / max(1, own.count()))
-    some = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30))).limit(4 * rows)
-    low = predict(some, found).where("lang_pred <> 'und'").agg(F.percentile("score", 0.001)).first()[0]
+    own = judged.where(F.col(quoted(lang_col)).isNotNull() & (F.col(quoted(names[0])) != "und"))
+    low = low_score(own.select(F.col(quoted(names[1])).alias("score")))
     return most if low is None else min(most, 0.75 * low)
 
 

@@ -192,3 +192,13 @@ def test_neighbours(spark):
     few = frame.where("vec_id < 5")
     assert nearest(few, few.where("vec_id = 0")).count() == 4
     assert nearest(frame.limit(0), frame.limit(0)).count() == 0
+
+
+def test_bound_of_likeness_comes_from_all_scores(spark):
+    from ctxforge.llm import language_id
+
+    scores = spark.range(50_000).select((F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003).alias("score")).withColumn("score", F.col("score") * F.col("score"))
+    for share in (0.0, 0.001, 0.5, 1.0):
+        assert abs(language_id.low_score(scores, share) - scores.agg(F.percentile("score", share)).first()[0]) < 1e-12
+    assert language_id.low_score(scores.where("score < 0")) is None
+    assert language_id.low_score(scores.limit(1)) == scores.limit(1).first()[0]
