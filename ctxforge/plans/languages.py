@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ctxforge.functions.language import detect_language
 from ctxforge.operators import code as K
 from ctxforge.operators import syntax
+from ctxforge.plans.inputs import parts
 
 SAMPLES = {
     "ts": (
@@ -174,7 +175,7 @@ SOURCES = f"SELECT p_partkey AS ord, concat('src/f', {_KEY}, CASE p_partkey % 10
 
 
 def _files(s: SparkSession, d: str) -> DataFrame:
-    s.read.parquet(f"{d}/part.parquet").createOrReplaceTempView("ctxforge_part")
+    parts(s, d).createOrReplaceTempView("ctxforge_part")
     return s.sql(SOURCES.replace("FROM part", "FROM ctxforge_part"))
 
 

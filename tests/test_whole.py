@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ctxforge.operators import diff
-from ctxforge.plans import catalog, events, inputs
+from ctxforge.plans import catalog, events, inputs, languages
 
 
 @pytest.fixture(scope="module")
@@ -147,3 +148,13 @@ def test_texts_and_their_diffs_go_in_short_batches(spark, small):
 def test_required_names_are_all_imports_without_default(spark, sf):
     rows = catalog.queries()["js_requires"](spark, sf).collect()
     assert {"express", "zod", "../types"} <= {r["source"] for r in rows}
+
+
+@pytest.mark.parametrize("rows", [400, 12_001])
+def test_files_are_made_and_parsed_by_many_tasks(spark, tmp_path, rows):
+    """However small the table that they are made of, a task gets at most some thousand files."""
+    part = spark.range(rows).select("id", (F.col("id")).alias("p_partkey"), *(F.lit("x").alias(c) for c in ("p_name", "p_type", "p_brand")))
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for files in (inputs.derived(spark, str(tmp_path), "files"), languages._files(spark, str(tmp_path))):
+        assert files.rdd.getNumPartitions() == -(-rows // inputs.PARTS)
+        assert files.select("ord").distinct().count() == rows
