@@ -6,6 +6,7 @@ sessions report the present view after every batch, with waiting rows counted in
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -18,6 +19,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 IDLE_MS = 48 * 3600 * 1000
 LIFE_MS = 300_000
 HISTORY = 10_000
+#: Buckets of session ids; each is state of its own, read and written as a whole.
+BUCKETS = 512
 
 SESSION_ROW = "session_id long, started_at timestamp, last_activity timestamp, saved long, requests long, active boolean, final boolean"
 HISTORY_ROW = "session_id long, remembered long, saved long, oldest timestamp, newest timestamp"
@@ -43,12 +46,12 @@ def _micros(times: pd.Series) -> list[int]:
 
 def _frame(schema: str, rows: list[tuple]) -> pd.DataFrame:
     names, kinds = zip(*(f.split() for f in schema.split(", ")))
-    frame = pd.DataFrame(rows, columns=list(names))
+    frame = pd.DataFrame(rows, columns=list(names), dtype=object)
     for name, kind in zip(names, kinds):
         if kind == "timestamp":
-            frame[name] = pd.to_datetime(frame[name], unit="us")
-        elif kind == "long":
-            frame[name] = frame[name].astype("Int64")
+            frame[name] = pd.to_datetime(frame[name].astype("int64"), unit="us")
+        elif kind != "string":
+            frame[name] = frame[name].astype("Int64" if kind == "long" else "bool")
     return frame
 
 
@@ -86,18 +89,51 @@ class _InOrder(StatefulProcessor):
         pass
 
 
-class _Sessions(_InOrder):
-    WAITING, OUT = "ts long, action string, saved long", SESSION_ROW
+class _Sessions(StatefulProcessor):
+    """The sessions of a bucket of ids. What a bucket holds, of each id the session and the rows that wait, is one value and has one timer,
+    for the id that is to be looked at first: a call costs a few requests to the store, however many ids it is for."""
 
     def __init__(self, idle_ms: int):
         self.idle = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.held = handle.getValueState("held", "started long, last long, saved long, requests long")
+        self.handle = handle
+        self.held = handle.getValueState("held", "due long, sessions string")
 
-    def taken(self, rows: pd.DataFrame) -> list[tuple]:
-        return list(zip(_micros(rows["ts"]), rows["action"].fillna("").tolist(), rows["saved"].fillna(0).astype("int64").tolist()))
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new: dict = {}
+        for part in rows:
+            taken = zip(_micros(part["ts"]), part["action"].fillna("").tolist(), part["saved"].fillna(0).astype("int64").tolist())
+            for session, row in zip(part["session_id"].tolist(), taken):
+                new.setdefault(None if session is None else int(session), []).append(row)
+        yield from self._go(new, timerValues)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._go({}, timerValues)
+
+    def _go(self, new: dict, timers) -> Iterator[pd.DataFrame]:
+        before, text = tuple(self.held.get()) if self.held.exists() else (None, "[]")
+        known = {session: (due, held and tuple(held), rows) for session, due, held, rows in json.loads(text)}
+        watermark, out = timers.getCurrentWatermarkInMs(), []
+        for session in {s for s, (due, _, _) in known.items() if due <= watermark} | new.keys():
+            _, held, rows = known.pop(session, (0, None, []))
+            rows = sorted([*map(tuple, rows), *new.get(session, [])])
+            held, left, some, due = self.advance(session, held, rows, watermark, session in new)
+            out += some
+            if due:
+                known[session] = due, held, left
+        due = min((d for d, _, _ in known.values()), default=None)
+        if known:
+            self.held.update((due, json.dumps([(s, *x) for s, x in known.items()], separators=(",", ":"))))
+        elif before is not None:
+            self.held.clear()
+        if due != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if out:
+            yield _frame(SESSION_ROW, out)
 
     def _step(self, held: tuple | None, row: tuple) -> tuple[tuple | None, tuple | None]:
         """(session held after the row, session that ended before or with it)."""
@@ -111,8 +147,8 @@ class _Sessions(_InOrder):
             held = (ts, ts, 0, 0)
         return (held if action == "reset" else (held[0], ts, held[2] + saved, held[3] + 1)), ended
 
-    def advance(self, key: int, rows: list[tuple], watermark: int, fresh: bool):
-        held = before = tuple(self.held.get()) if self.held.exists() else None
+    def advance(self, session: int | None, held: tuple | None, rows: list[tuple], watermark: int, fresh: bool):
+        """(session held, rows that still wait, rows to give, when to look again, in milliseconds, or none)."""
         n = next((i for i, r in enumerate(rows) if r[0] // 1000 >= watermark), len(rows))
         final, left = [], rows[n:]
         for row in rows[:n]:
@@ -120,28 +156,33 @@ class _Sessions(_InOrder):
             final += [ended] if ended else []
         if held and held[1] // 1000 + self.idle < watermark:
             held, final = None, [*final, held]
-        if held != before:
-            self.held.update(held) if held else self.held.clear()
-        now, last = held, None
-        for row in left:
-            now, ended = self._step(now, row)
-            last = ended or last
-        out = [(key, *s, False, True) for s in final]
+        out = [(session, *s, False, True) for s in final]
         if fresh or final:
+            now, last = held, None
+            for row in left:
+                now, ended = self._step(now, row)
+                last = ended or last
             view = now or last or (final[-1] if final else None)
-            out += [(key, *view, bool(now), False)] if view else []
+            out += [(session, *view, bool(now), False)] if view else []
         due = ([left[0][0] // 1000 + 1] if left else []) + ([held[1] // 1000 + self.idle + 1] if held else [])
-        return left, out, due
+        return held, left, out, min(due, default=None)
+
+    def close(self) -> None:
+        pass
 
 
-def track_sessions(requests: DataFrame, idle_ms: int = IDLE_MS, late: str = "2 hours") -> DataFrame:
+def track_sessions(requests: DataFrame, idle_ms: int = IDLE_MS, late: str = "2 hours", buckets: int = BUCKETS) -> DataFrame:
     """Sessions by id: the first row attaches one, later ones renew it and add their savings; with a column action, "reset" starts its
     counts anew and "detach" ends it. A row that comes after more than the idle time finds the session dropped and starts another;
     one is dropped without a row once the watermark has passed its idle time. Rows given with final are sessions that ended, each
-    once; the others are the present view of an id, of which the last one counts. Output mode: update."""
+    once; the others are the present view of an id, of which the last one counts. Ids are dealt to buckets, whose number a stream keeps;
+    more of them suit more ids. Output mode: update."""
     action = F.col("action") if "action" in requests.columns else F.lit(None).cast("string")
-    timed = requests.select("session_id", "ts", "saved", action.alias("action")).withWatermark("ts", late)
-    return timed.groupBy("session_id").transformWithStateInPandas(_Sessions(idle_ms), SESSION_ROW, "Update", "EventTime")
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(buckets)).alias("bucket")
+    # As text, since a column of numbers with nulls reaches pandas as doubles.
+    session = F.col("session_id").cast("string").alias("session_id")
+    timed = requests.select(bucket, session, "ts", "saved", action.alias("action")).withWatermark("ts", late)
+    return timed.groupBy("bucket").transformWithStateInPandas(_Sessions(idle_ms), SESSION_ROW, "Update", "EventTime")
 
 
 class _History(StatefulProcessor):

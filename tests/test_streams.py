@@ -190,3 +190,12 @@ def test_ingest_goes_on_where_it_stopped(spark, tmp_path):
     assert sorted(r["event_id"] for r in spark.read.parquet(target).collect()) == [0, 1, 2]
     (tmp_path / "one.py").write_text("import os\nx = 1\n")
     assert read_file(spark, str(tmp_path / "one.py")).first()["content"] == "import os\nx = 1\n"
+
+
+def test_sessions_share_the_state_of_a_bucket(stream):
+    """Forty ids and one that is null in one bucket or three: as many frames of rows as buckets, the same sessions."""
+    ids = [*range(1, 39), 1 << 60, (1 << 60) + 1, None]
+    rows = [{"session_id": i, "ts": day(d, (i or 0) % 5), "saved": d} for d in (1, 2, 6, 9) for i in ids]
+    for buckets in (1, 3):
+        seen = stream([rows[:41], rows[41:123], rows[123:]], lambda r: S.track_sessions(r, buckets=buckets))  # noqa: B023
+        assert present([r for batch in seen for r in batch]) == {i: ([(1, 3, 2), (6, 6, 1)], (9, 9, 1, True)) for i in ids}
