@@ -284,6 +284,22 @@ def test_many_queries_equal_one_at_a_time(spark):
         assert [(r["ord"], r["path"], r["score"], r["reasons"]) for r in got if r["query_id"] == i] == want, query
 
 
+@pytest.mark.parametrize("sent", [0, 16 << 20])
+def test_ranking_tasks_grow_with_what_they_hold(spark, monkeypatch, sent):
+    """Files and points are dealt by their number, not by how small they are on disk; with terms broadcast and without the lists are the same."""
+    from ctxforge.operators import postings
+
+    for name, most in (("FILES", 7), ("CONTENTS", 7), ("PAIRS", 9), ("SENT_BYTES", sent)):
+        monkeypatch.setattr(postings, name, most)
+    assert postings.dealt(spark.range(50).withColumnRenamed("id", "ord"), 50, postings.FILES).rdd.getNumPartitions() == 8
+    files = spark.createDataFrame([(i, f"src/m{i % 3}/part{i}.ts", f"export class Part{i} {{}}\nload-part load part" + " part" * (i % 5), 10) for i in range(50)], "ord int, path string, content string, size_bytes long")
+    asked = ["the part load", "load-part part11", "m2", "nothing"]
+    got = postings.rank(postings.build(files), spark.createDataFrame(list(enumerate(asked)), "query_id int, query string"), 5).orderBy("query_id", "position").collect()
+    for i, query in enumerate(asked):
+        want = [(r["ord"], r["path"], r["score"], r["reasons"]) for r in relevance.rank(files, query, 5).collect()]
+        assert [(r["ord"], r["path"], r["score"], r["reasons"]) for r in got if r["query_id"] == i] == want, query
+
+
 def test_diff_properties():
     rng = random.Random(1)
     for _ in range(300):
