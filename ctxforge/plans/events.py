@@ -19,6 +19,7 @@ from ctxforge.operators import repo_graph as RG
 from ctxforge.operators import usage as U
 from ctxforge.plans.inputs import LOGS_CTE, cte, derived, logs
 from ctxforge.sources.events import parse_events
+from ctxforge.sources.scratch import written
 from ctxforge.streaming import usage as S
 
 
@@ -87,18 +88,22 @@ def _render(s, d):
     files, req = derived(s, d, "files"), derived(s, d, "requests")
     items, messages = derived(s, d, "items"), derived(s, d, "messages")
     sized = files.withColumn("size_bytes", F.octet_length("content").cast("long"))
-    parts, parsed = B.breakdown(derived(s, d, "budget_items")), K.parse(files)
+    parts = B.breakdown(derived(s, d, "budget_items"))
+    # Files are made and parsed once for their own reports and for those of the directory.
+    parsed = written(K.parse(files), "parsed-files")
+    meta = parsed.select("ord", "path", "language", "imports", "exports")
+    whole = K.compress(files, lambda _: parsed)
     made = [
-        K.compress(files).select(F.lit("file").alias("kind"), F.col("ord").cast("string").alias("id"), render.file(F.struct("*")).alias("text")),
+        whole.select(F.lit("file").alias("kind"), F.col("ord").cast("string").alias("id"), render.file(F.struct("*")).alias("text")),
         L.summarize(logs(s, d)).select(F.lit("log"), F.col("log_id").cast("string"), render.log(F.struct("*"))),
         C.summarize(messages).select(F.lit("conversation"), F.col("conv_id").cast("string"), render.conversation(F.struct("*"))),
         render.ranking(R.rank(sized, "load part orders"), "load part orders").select(F.lit("ranking"), F.lit("0"), "text"),
         render.budget(parts, B.totals(parts), B.recommendations(parts)).select(F.lit("budget"), F.col("budget_id").cast("string"), "text"),
         render.usage(U.session_stats(req), U.tool_usage(req)).select(F.lit("usage"), F.col("session_id").cast("string"), "text"),
         render.duplicates(D.duplicate_groups(items), items).select(F.lit("duplicates"), F.lit("0"), "text"),
-        K.compress(files).select(F.lit("read block"), F.col("ord").cast("string"), render.read_block(F.struct("*"))),
+        whole.select(F.lit("read block"), F.col("ord").cast("string"), render.read_block(F.struct("*"))),
         W.write_gate(_pairs(s, d)).where("decision = 'block'").select(F.lit("write block"), F.col("doc_id").cast("string"), render.write_block(F.struct("*"))),
-        render.directory(RG.compress_directory(parsed, "."), RG.entry_points(parsed), RG.important_files(parsed), RG.relationships(parsed), ".").select(F.lit("directory"), F.lit("."), "text"),
+        render.directory(RG.compress_directory(meta, "."), RG.entry_points(meta), RG.important_files(meta), RG.relationships(meta), ".").select(F.lit("directory"), F.lit("."), "text"),
         render.status(*_status(s, d), "2024-02-01 00:00:00").select(F.lit("status"), F.lit("0"), "text"),
     ]
     out = made[0]

@@ -27,3 +27,9 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_reports_parse_files_once(spark, sf):
+    """Reports of files and of their directory read one parsed table; only the ranking makes files of its own."""
+    made = catalog.queries()["render_reports"](spark, sf)
+    assert made._jdf.queryExecution().executedPlan().toString().count("part.parquet") == 1
