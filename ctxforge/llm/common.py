@@ -40,9 +40,10 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: later stages do not depend on
     the executors that made it, and its partitioning is forgotten, so that joins on it can be
-    split by adaptive execution where a key is hot."""
+    split by adaptive execution where a key is hot. Its shuffle files go when it is written."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found._written = path
     return found

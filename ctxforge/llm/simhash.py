@@ -163,7 +163,9 @@ class Sets:
         wanted = materialize(keys.join(self.groups.select("key", "rep"), "key").select("key", F.col("rep.doc_id").alias("_i"), F.col("rep.mark").alias("_m")), "wanted")
         found = self.rows.join(sent_if_small(wanted, 64), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("mark") == F.col("_m")))
         # A row may be repeated.
-        return materialize(found.select("key", "text").mapInArrow(scan, "key long, shingles binary").dropDuplicates(["key"]), "shingles")
+        made = materialize(found.select("key", "text").mapInArrow(scan, "key long, shingles binary").dropDuplicates(["key"]), "shingles")
+        forget(wanted)
+        return made
 
 
 def verified(pairs: DataFrame, sets: Sets) -> DataFrame:
