@@ -10,7 +10,7 @@ from the same state; its score depends on the text and the training counts alone
 of all decisions is the text's score, and total bits per byte follow from it.
 
 Training counts are exact sums over all training texts for 31-bit hashes of context and decision. Tasks sort what
-they count and write it by ranges of hashes; partial counts are summed in two steps, groups of tasks first. The finished
+they count and deal it by ranges of hashes; partial counts of a large corpus are summed in two steps, groups of tasks first. The finished
 model is a table for each context length with twice as many slots as hashes were seen, up to 2 ** MOST_BITS, so its
 size has a proven bound (64 MB in all) and it is broadcast; a slot holds eight more bits of the hash, so that a context
 that training did not see reads as unseen, and goes to the most frequent of the hashes that want it.
@@ -55,8 +55,9 @@ END, PAD = 0xFF, b"\xff" * 8
 #: Bytes between two updates of the weights; learning rates of weights, and of scale and offset.
 BLOCK, RATE, SCALE_RATE = 96, 0.003, 0.001
 #: Bytes of text in a chunk of token requests, and counted at once by the bit model; distinct counts that
-#: wait in a task before they are summed, and that it holds at most; tasks merged at once; bytes of text for a bucket of requests.
-CHUNK, PIECE, WAITING, HELD, TASKS, BUCKET = 8 << 20, 2 << 17, 3 << 20, 2 << 20, 64, 64 << 20
+#: wait in a task before they are summed, and that it holds at most; groups of tasks merged at once; bytes of text for a bucket of
+#: requests, and of training text whose partial counts are merged at once.
+CHUNK, PIECE, WAITING, HELD, TASKS, BUCKET, GROUP = 8 << 20, 2 << 17, 3 << 20, 2 << 20, 64, 64 << 20, 4 << 30
 #: Texts that are scored side by side, and bytes of them that are read at once (so that arrays stay in a core's cache).
 TOGETHER, SLICE = 128, 1 << 16
 #: First weights: row g holds when the g-th hashed context is the longest seen in training.
@@ -259,20 +260,14 @@ def decision_keys(coder: SimpleNamespace, parts: list[tuple[bytes, bytes]]):
         yield keys
 
 
-def gather(docs: DataFrame, code, buckets: int) -> dict[str, DataFrame]:
-    """One pass over all texts: sparse partial counts of training decisions (kind 0), requests for token
-    counts (1) and the chunks that will use the replies (2)."""
+def partial_counts(docs: DataFrame, code) -> DataFrame:
+    """(part, chunk, p1, p2): sparse partial counts of training decisions, by ranges of hashes. Nothing is written: they go straight
+    into the shuffle that sums them."""
 
     def scan(batches):
         coder = code.value
         waiting: list[list] = [[] for _ in range(len(ORDERS))]
-        held: list = []
-        task, chunks, size = TaskContext.get().partitionId(), 0, 0
-
-        def record(**columns):
-            n = len(next(iter(columns.values())))
-            kinds = {"kind": pa.int32(), "part": pa.int32(), "chunk": pa.string(), "p1": pa.binary(), "p2": pa.binary(), "ids": pa.list_(pa.int64()), "keys": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64())}
-            return pa.record_batch({k: pa.array(columns.get(k, [None] * n), t) for k, t in kinds.items()})
+        task = TaskContext.get().partitionId()
 
         def partial(k):
             keys, n = summed(waiting[k])
@@ -281,7 +276,7 @@ def gather(docs: DataFrame, code, buckets: int) -> dict[str, DataFrame]:
             full = [p for p in range(1 << RANGE_BITS) if bounds[p] < bounds[p + 1]]
             rows = [packed(keys[bounds[p] : bounds[p + 1]] & np.uint32((1 << 32 - RANGE_BITS) - 1), n[bounds[p] : bounds[p + 1]]) for p in full]
             if rows:
-                yield record(kind=[0] * len(full), part=[k << RANGE_BITS | p for p in full], chunk=[str(task)] * len(full), p1=[r[0] for r in rows], p2=[r[1] for r in rows])
+                yield pa.record_batch({"part": pa.array([k << RANGE_BITS | p for p in full], pa.int32()), "chunk": pa.array([str(task)] * len(full)), "p1": pa.array([r[0] for r in rows], pa.binary()), "p2": pa.array([r[1] for r in rows], pa.binary())})
 
         def count(texts):
             parts = [p for t in texts for p in segments(t)]
@@ -294,6 +289,28 @@ def gather(docs: DataFrame, code, buckets: int) -> dict[str, DataFrame]:
                         if len(waiting[k][0][0]) > HELD:
                             yield from partial(k)
 
+        for batch in batches:
+            lowered = pc.ascii_lower(pc.fill_null(batch.column(0).cast(pa.string(), safe=False), ""))
+            yield from count(lowered.cast(pa.binary()).to_pylist())
+        for k in range(len(ORDERS)):
+            yield from partial(k)
+        give_back()
+
+    return docs.where("train").select("text").mapInArrow(scan, "part int, chunk string, p1 binary, p2 binary")
+
+
+def asked(docs: DataFrame, buckets: int) -> DataFrame:
+    """One pass over all texts: requests for token counts (kind 1) and the chunks that will use the replies (2)."""
+
+    def scan(batches):
+        held: list = []
+        task, chunks, size = TaskContext.get().partitionId(), 0, 0
+
+        def record(**columns):
+            n = len(next(iter(columns.values())))
+            kinds = {"kind": pa.int32(), "part": pa.int32(), "chunk": pa.string(), "p1": pa.binary(), "p2": pa.binary(), "ids": pa.list_(pa.int64()), "keys": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64())}
+            return pa.record_batch({k: pa.array(columns.get(k, [None] * n), t) for k, t in kinds.items()})
+
         def chunk():
             nonlocal chunks, size
             name, size = f"{task}-{chunks}", 0
@@ -322,7 +339,6 @@ def gather(docs: DataFrame, code, buckets: int) -> dict[str, DataFrame]:
             lowered = batch.column(3).cast(pa.string(), safe=False)
             lowered = pc.ascii_lower(pc.fill_null(lowered, ""))
             rows = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
-            yield from count(lowered.filter(pc.fill_null(batch.column(2), False)).cast(pa.binary()).to_pylist())
             lengths = pc.binary_length(lowered).to_numpy()
             # Whole texts until a chunk is full.
             first = 0
@@ -335,25 +351,34 @@ def gather(docs: DataFrame, code, buckets: int) -> dict[str, DataFrame]:
                         yield from chunk()
         if held:
             yield from chunk()
-        for k in range(len(ORDERS)):
-            yield from partial(k)
         give_back()
 
     schema = "kind int, part int, chunk string, p1 binary, p2 binary, ids array<long>, keys array<long>, sizes array<long>"
-    path = fresh_path(docs.sparkSession, "lm-scan")
-    docs.select("doc_id", "key", "train", "text").mapInArrow(scan, schema).write.partitionBy("kind").option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(path)
+    return docs.select("doc_id", "key", "train", "text").mapInArrow(scan, schema)
+
+
+def gather(docs: DataFrame, code, buckets: int) -> dict[str, DataFrame]:
+    """The partial counts (tables), and what is asked of token counts (asked); neither is computed yet, so that the files of
+    one are gone before those of the other are made."""
+    return {"tables": partial_counts(docs, code), "asked": asked(docs, buckets)}
+
+
+def by_kind(found: DataFrame) -> dict[str, DataFrame]:
+    """What is asked, written once as requests and chunks."""
+    path = fresh_path(found.sparkSession, "lm-scan")
+    found.write.partitionBy("kind").option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(path)
     rest = "part int, chunk string, p1 binary, p2 binary, ids array<long>, keys array<long>, sizes array<long>, kind int"
-    found = docs.sparkSession.read.schema(rest).parquet(path)
-    out = {name: found.where(F.col("kind") == k).drop("kind") for k, name in enumerate(("tables", "requests", "chunks"))}
-    for k, name in enumerate(out):
+    written = found.sparkSession.read.schema(rest).parquet(path)
+    out = {name: written.where(F.col("kind") == k).drop("kind") for k, name in ((1, "requests"), (2, "chunks"))}
+    for k, name in ((1, "requests"), (2, "chunks")):
         out[name]._written = f"{path}/kind={k}"
     return out
 
 
-def merged(tables: DataFrame, groups: int | None = None) -> DataFrame:
-    """(part, p1, p2, n): a row for each range of hashes, from the partial counts of all tasks. Groups of tasks are summed
-    first, so what a task reads does not grow with the corpus beyond the distinct hashes of its range. The partial counts are
-    deleted once their sums are written."""
+def merged(tables: DataFrame, groups: int = 1) -> DataFrame:
+    """(part, p1, p2, n): a row for each range of hashes, from the partial counts of all tasks. With more than one group, tasks are
+    summed by groups first, so what a task reads does not grow with the corpus beyond the distinct hashes of its range. Shuffle files
+    go, and sums of groups are deleted, once what follows from them is written."""
 
     def merge(table: pa.Table) -> pa.Table:
         some, held = [], 0
@@ -368,16 +393,16 @@ def merged(tables: DataFrame, groups: int | None = None) -> DataFrame:
         return pa.table({"part": table["part"][:1], "p1": pa.array([p1], pa.binary()), "p2": pa.array([p2], pa.binary()), "n": pa.array([len(keys)], pa.int64())})
 
     schema = "part int, p1 binary, p2 binary, n long"
-    groups = groups or max(1, -(-tables.count() // (TASKS * len(ORDERS) << RANGE_BITS)))
-    while groups > 1:
+    sums = None
+    while True:
         dealt = tables.select("part", "p1", "p2", F.pmod(F.xxhash64("p1"), F.lit(groups)).alias("g"))
-        sums = materialize(dealt.groupBy("part", "g").applyInArrow(merge, schema), "lm-sums")
-        forget(tables)
-        tables = sums
+        counts = materialize(dealt.groupBy("part", "g").applyInArrow(merge, schema), "lm-counts")
+        if sums is not None:
+            forget(sums)
+        if groups == 1:
+            return counts
+        sums = tables = counts
         groups = -(-groups // TASKS) if groups > TASKS else 1
-    counts = materialize(tables.select("part", "p1", "p2").groupBy("part").applyInArrow(merge, schema), "lm-counts")
-    forget(tables)
-    return counts
 
 
 def table_of(keys: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
@@ -399,13 +424,14 @@ def finished_tables(counts: DataFrame) -> list[np.ndarray]:
     sizes = {r["k"]: r["n"] for r in counts.groupBy(F.shiftright("part", RANGE_BITS).alias("k")).agg(F.sum("n").alias("n")).collect()}
     bits = [min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, 2 * sizes.get(k, 0)))))) for k in range(len(ORDERS))]
 
-    def build(table: pa.Table) -> pa.Table:
-        part = table["part"][0].as_py()
-        slots = table_of(*unpacked(table["p1"][0].as_py(), table["p2"][0].as_py()), bits[part >> RANGE_BITS])
-        return pa.table({"part": pa.array([part], pa.int32()), "slots": pa.array([slots.tobytes()], pa.binary())})
+    def build(batches):
+        for batch in batches:
+            for part, p1, p2 in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                slots = table_of(*unpacked(p1.as_py(), p2.as_py()), bits[part >> RANGE_BITS])
+                yield pa.record_batch({"part": pa.array([part], pa.int32()), "slots": pa.array([slots.tobytes()], pa.binary())})
 
     out = [np.zeros(1 << b, np.uint16) for b in bits]
-    for r in counts.select("part", "p1", "p2").groupBy("part").applyInArrow(build, "part int, slots binary").collect():  # two bytes for each slot
+    for r in counts.select("part", "p1", "p2").mapInArrow(build, "part int, slots binary").collect():  # a row is a range; two bytes for each slot
         k, p = r["part"] >> RANGE_BITS, r["part"] & (1 << RANGE_BITS) - 1
         step = len(out[k]) >> RANGE_BITS
         out[k][p * step : (p + 1) * step] = np.frombuffer(r["slots"], np.uint16)
@@ -549,9 +575,10 @@ def lm_scores(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col
     pairs = pair_counts(own)
     sent_code = spark.sparkContext.broadcast(byte_code(pairs))
     found = gather(own, sent_code, max(shuffle_partitions(spark), -(-int(pairs.sum()) // BUCKET)))
-    counts = merged(found["tables"])
+    counts = merged(found["tables"], max(1, -(-int(pairs.sum()) // GROUP)))
     tables = spark.sparkContext.broadcast(finished_tables(counts))
     forget(counts)
+    found = by_kind(found["asked"])
     base, n_train = base_scores(found, own.where("train").count())
 
     def scan(batches):

@@ -74,3 +74,21 @@ def test_words_are_those_of_split():
     assert sizes.tolist() == [len(w) for w in want] and [v.encode() for v in values.to_pylist()] == [x for w in want for x in w]
     raw = pa.array([b"a\xff b", b"\xfe"]).cast(pa.string(), safe=False)  # bytes that are no characters stay as they are
     assert lm_score.tokens(pc.ascii_lower(raw))[0].cast(pa.binary()).to_pylist() == [b"a\xff", b"b", b"\xfe"]
+
+
+def test_partial_counts_are_not_written_twice(spark):
+    """op5 was stopped beyond its disk: partial counts lay in a table and in the shuffle that read it. Now no files are made before they
+    are summed, and the summed ones are all that is left."""
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir")) / "ctxforge"
+    written = lambda: {f.name for f in shared.glob("lm-*") if any(f.rglob("*.parquet"))}
+    frame = spark.createDataFrame([(i, 0, True, bytearray(f"text {i}".encode())) for i in range(20)], "doc_id long, key long, train boolean, text binary")
+    code = spark.sparkContext.broadcast(byte_code(lm_score.pair_counts(frame)))
+    before = written()
+    found = lm_score.gather(frame, code, 3)
+    assert written() == before
+    for groups in (1, 3):
+        counts = lm_score.merged(found["tables"], groups)
+        assert len(written() - before) == 1 and all(n.startswith("lm-counts") for n in written() - before)
+        lm_score.forget(counts)
