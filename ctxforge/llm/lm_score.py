@@ -9,8 +9,8 @@ of bytes, by the gradient of its code length, so a block is predicted from earli
 from the same state; its score depends on the text and the training counts alone. The sum of log10 probabilities
 of all decisions is the text's score, and total bits per byte follow from it.
 
-Training counts are exact sums over all training texts for 31-bit hashes of context and decision. Tasks sort what
-they count and deal it by ranges of hashes; partial counts of a large corpus are summed in two steps, groups of tasks first. The finished
+Training counts are exact sums over all training texts for 31-bit hashes of context and decision. Tasks count each distinct
+byte with the six in front of it first, make decisions of what is left, sort them and deal them by ranges of hashes; partial counts of a large corpus are summed in two steps, groups of tasks first. The finished
 model is a table for each context length with twice as many slots as hashes were seen, up to 2 ** MOST_BITS, so its
 size has a proven bound (64 MB in all) and it is broadcast; a slot holds eight more bits of the hash, so that a context
 that training did not see reads as unseen, and goes to the most frequent of the hashes that want it.
@@ -54,8 +54,8 @@ HASH_BITS, LEAST_BITS, MOST_BITS, RANGE_BITS = 31, 16, 23, 8
 END, PAD = 0xFF, b"\xff" * 8
 #: Bytes between two updates of the weights; learning rates of weights, and of scale and offset.
 BLOCK, RATE, SCALE_RATE = 96, 0.003, 0.001
-#: Bytes of text in a chunk of token requests, and counted at once by the bit model; distinct counts that
-#: wait in a task before they are summed, and that it holds at most; groups of tasks merged at once; bytes of text for a bucket of
+#: Bytes of text in a chunk of token requests, and counted at once by the bit model; bytes with what is in front of them that
+#: wait in a task before equal ones are counted together, and distinct ones that it holds at most; groups of tasks merged at once; bytes of text for a bucket of
 #: requests, and of training text whose partial counts are merged at once.
 CHUNK, PIECE, WAITING, HELD, TASKS, BUCKET, GROUP = 8 << 20, 2 << 17, 3 << 20, 2 << 20, 64, 64 << 20, 4 << 30
 #: Texts that are scored side by side, and bytes of them that are read at once (so that arrays stay in a core's cache).
@@ -67,7 +67,7 @@ STEP, PRIOR = 16.0, 0.4
 #: Logit of each byte of a slot, and whether it is one; 0 is an empty slot, 256 another hash's. Signs of the bits' opposites.
 #: (Places are in range; numpy's take() is fastest where it need not raise.)
 LOGITS = np.array([0.0, *((x - 128) / STEP for x in range(1, 256)), 0.0], np.float32)
-GATES, SIGNS = np.array([0, *[1] * 255, 0], np.int32), np.array([1, -1], np.float32)
+GATES, SIGNS = np.array([0, *[1] * 255, 0], np.int8), np.array([1, -1], np.float32)
 
 
 def byte_code(counts: np.ndarray) -> SimpleNamespace:
@@ -129,7 +129,11 @@ def places_before(data: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def decisions(code: SimpleNamespace, data: np.ndarray, place: np.ndarray):
     """(row in the flat code for each decision, decisions of each byte) for the bytes at place."""
-    pair = code.which.take(places_before(data, place), mode="clip") << 8 | data.take(place, mode="clip")
+    return paths(code, code.which.take(places_before(data, place), mode="clip") << 8 | data.take(place, mode="clip"))
+
+
+def paths(code: SimpleNamespace, pair: np.ndarray):
+    """The same for pairs of a code and a byte."""
     length, start = code.length.take(pair, mode="clip"), code.start.take(pair, mode="clip")
     ends = np.cumsum(length)
     # Steps of one along a byte's path, and a jump where the next byte's path begins.
@@ -143,13 +147,18 @@ def contexts(data: np.ndarray, place: np.ndarray, length: np.ndarray):
     """For each context length, the hash of every decision's context."""
     # The eight bytes before each place as one number, the latest on top.
     window = np.ndarray((len(data) - 7,), np.uint64, data.tobytes(), strides=(1,))[place - 8]
+    byte = np.repeat(np.arange(len(place)), length)
     for order in ORDERS:
-        h = window >> np.uint64(64 - 8 * order)
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h >>= np.uint64(64 - HASH_BITS)
-        yield np.repeat(h.astype(np.int32), length)
+        yield hashed(window >> np.uint64(64 - 8 * order)).take(byte, mode="clip")
+
+
+def hashed(h: np.ndarray) -> np.ndarray:
+    """Hashes of contexts, bytes as one number each, which is overwritten."""
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h >>= np.uint64(64 - HASH_BITS)
+    return h.astype(np.int32)
 
 
 def in_pieces(sizes: list[int], most: int = PIECE):
@@ -178,7 +187,11 @@ def summed(some: list[tuple[np.ndarray, np.ndarray]]):
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     if len(some) == 1:
         return some[0]
-    keys, n = (np.concatenate(x) for x in zip(*some))
+    return totals(*(np.concatenate(x) for x in zip(*some)))
+
+
+def totals(keys: np.ndarray, n: np.ndarray):
+    """Distinct keys in order, with the sums of their counts."""
     if n.max(initial=0) < 1 << 32:  # a key and its count fit in one number, which sorts ten times as fast
         both = keys.astype(np.uint64)
         both <<= np.uint64(32)
@@ -191,11 +204,6 @@ def summed(some: list[tuple[np.ndarray, np.ndarray]]):
     return runs(keys, n)
 
 
-def narrow(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts in four bytes each, if they fit."""
-    return keys, n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n
-
-
 def packed(keys: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
     """Sorted keys of one range as differences, by place: the lowest bytes as they are, the two others compressed; and counts as
     one byte each, with those from 255 on behind."""
@@ -223,10 +231,9 @@ def pair_counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(contexts_of << 8, np.int64)
         for batch in batches:
             parts = [p for t in batch.column(0).to_pylist() for p in segments((t or b"").lower())]
-            for a, b in in_pieces([len(own) for _, own in parts]):
+            for a, b in in_pieces([len(own) for _, own in parts], 8 * PIECE):
                 data, place, _, _ = laid_out(parts[a:b])
-                at, n = runs(np.sort(places_before(data, place) << 8 | data[place]))
-                total[at] += n
+                total += np.bincount(places_before(data, place) << 8 | data.take(place, mode="clip"), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.record_batch({"at": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
 
@@ -251,13 +258,54 @@ def decision_keys(coder: SimpleNamespace, parts: list[tuple[bytes, bytes]]):
     """For each context length, a key for every decision: its hash with the context, and its bit."""
     data, place, _, _ = laid_out(parts)
     flat, length = decisions(coder, data, place)
-    salt, bit = coder.salt.take(flat, mode="clip"), coder.bit.take(flat, mode="clip")
     for context in contexts(data, place, length):
-        context ^= salt
-        keys = context.view(np.uint32)
-        keys <<= np.uint32(1)
-        keys |= bit
-        yield keys
+        yield keyed(coder, flat, context)
+
+
+def keyed(coder: SimpleNamespace, flat: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Keys of decisions from their rows in the flat code and the hashes of their contexts, which are overwritten."""
+    context ^= coder.salt.take(flat, mode="clip")
+    keys = context.view(np.uint32)
+    keys <<= np.uint32(1)
+    keys |= coder.bit.take(flat, mode="clip")
+    return keys
+
+
+def grams(parts: list[tuple[bytes, bytes]]) -> np.ndarray:
+    """Each byte to code and the six in front of it as one number, the latest on top; the lowest eight bits are a count, here 1."""
+    data, place, _, _ = laid_out(parts)
+    found = np.ndarray((len(data) - 7,), np.uint64, data.tobytes(), strides=(1,))[place - 7]
+    found &= np.uint64(0xFFFFFFFFFFFFFF00)
+    found |= np.uint64(1)
+    return found
+
+
+def tallied(some: list[np.ndarray], kind: str | None = None) -> np.ndarray:
+    """Several arrays of grams as one in order; equal ones are one, or as many as their counts of up to 255 take. The stable kind of
+    sort is fast where each array is in order."""
+    both = np.concatenate(some)
+    both.sort(kind=kind)
+    at = np.flatnonzero(np.append(True, (both[1:] ^ both[:-1]) > 255))
+    own, n = both[at] & np.uint64(0xFFFFFFFFFFFFFF00), np.add.reduceat(both & np.uint64(255), at).astype(np.int64)
+    more = (n - 1) // 255
+    if more.any():
+        last = np.cumsum(more + 1) - 1
+        own, rest = np.repeat(own, more + 1), n - 255 * more
+        n = np.full(len(own), 255)
+        n[last] = rest
+    return own | n.astype(np.uint64)
+
+
+def gram_counts(coder: SimpleNamespace, some: np.ndarray):
+    """For each context length, the distinct keys of decision_keys() in order and their counts, from tallied() grams: what a context
+    and a byte have in common with others is hashed once, however often they occur."""
+    n = (some & np.uint64(255)).astype(np.int64)
+    for order in ORDERS:
+        own, m = runs(some >> np.uint64(56 - 8 * order), n)
+        last, before, third = ((own >> np.uint64(8 * (order - i))).astype(np.uint8) for i in range(3))
+        flat, length = paths(coder, coder.which.take(CLASSES.take(third) << 8 | before) << 8 | last)
+        own &= np.uint64((1 << 8 * order) - 1)
+        yield totals(keyed(coder, flat, np.repeat(hashed(own), length)), np.repeat(m, length))
 
 
 def partial_counts(docs: DataFrame, code) -> DataFrame:
@@ -266,34 +314,39 @@ def partial_counts(docs: DataFrame, code) -> DataFrame:
 
     def scan(batches):
         coder = code.value
-        waiting: list[list] = [[] for _ in range(len(ORDERS))]
+        held, waiting = np.zeros(0, np.uint64), []
         task = TaskContext.get().partitionId()
 
-        def partial(k):
-            keys, n = summed(waiting[k])
-            waiting[k] = []
-            bounds = np.searchsorted(keys, np.arange(1 << RANGE_BITS, dtype=np.uint64) << np.uint64(32 - RANGE_BITS)).tolist() + [len(keys)]
-            full = [p for p in range(1 << RANGE_BITS) if bounds[p] < bounds[p + 1]]
-            rows = [packed(keys[bounds[p] : bounds[p + 1]] & np.uint32((1 << 32 - RANGE_BITS) - 1), n[bounds[p] : bounds[p + 1]]) for p in full]
-            if rows:
+        def tally():
+            fresh = tallied(waiting)
+            waiting.clear()
+            return tallied([held, fresh], "stable") if len(held) else fresh
+
+        def partial():
+            for k, (keys, n) in enumerate(gram_counts(coder, held)):
+                bounds = np.searchsorted(keys, np.arange(1 << RANGE_BITS, dtype=np.uint64) << np.uint64(32 - RANGE_BITS)).tolist() + [len(keys)]
+                full = [p for p in range(1 << RANGE_BITS) if bounds[p] < bounds[p + 1]]
+                rows = [packed(keys[bounds[p] : bounds[p + 1]] & np.uint32((1 << 32 - RANGE_BITS) - 1), n[bounds[p] : bounds[p + 1]]) for p in full]
                 yield pa.record_batch({"part": pa.array([k << RANGE_BITS | p for p in full], pa.int32()), "chunk": pa.array([str(task)] * len(full)), "p1": pa.array([r[0] for r in rows], pa.binary()), "p2": pa.array([r[1] for r in rows], pa.binary())})
 
         def count(texts):
+            nonlocal held
             parts = [p for t in texts for p in segments(t)]
             for a, b in in_pieces([len(own) for _, own in parts]):
-                for k, keys in enumerate(decision_keys(coder, parts[a:b])):
-                    keys.sort()
-                    waiting[k].append(narrow(*runs(keys)))
-                    if sum(len(u) for u, _ in waiting[k]) > WAITING:
-                        waiting[k] = [narrow(*summed(waiting[k]))]
-                        if len(waiting[k][0][0]) > HELD:
-                            yield from partial(k)
+                waiting.append(grams(parts[a:b]))
+                if sum(map(len, waiting)) > WAITING:
+                    held = tally()
+                    if len(held) > HELD:
+                        yield from partial()
+                        held = held[:0]
 
         for batch in batches:
             lowered = pc.ascii_lower(pc.fill_null(batch.column(0).cast(pa.string(), safe=False), ""))
             yield from count(lowered.cast(pa.binary()).to_pylist())
-        for k in range(len(ORDERS)):
-            yield from partial(k)
+        if waiting:
+            held = tally()
+        if len(held):
+            yield from partial()
         give_back()
 
     return docs.where("train").select("text").mapInArrow(scan, "part int, chunk string, p1 binary, p2 binary")
@@ -475,7 +528,7 @@ def _score_piece(parts: list[tuple[bytes, bytes]], code: SimpleNamespace, tables
     place = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
     flat, length = decisions(code, data, place)
     minus = SIGNS.take(code.bit.take(flat, mode="clip"), mode="clip")
-    inputs, gate = [code.logit.take(flat, mode="clip")], np.zeros(len(flat), np.int32)
+    inputs, gate = [code.logit.take(flat, mode="clip")], np.zeros(len(flat), np.int8)
     salt = code.salt.take(flat, mode="clip")
     for k, hashed in enumerate(contexts(data, place, length)):
         hashed ^= salt
@@ -488,7 +541,7 @@ def _score_piece(parts: list[tuple[bytes, bytes]], code: SimpleNamespace, tables
         entry ^= check
         np.minimum(entry, np.uint16(256), out=entry)
         inputs.append(LOGITS.take(entry, mode="clip"))
-        np.maximum(gate, GATES.take(entry, mode="clip") * np.int32(k + 1), out=gate)
+        np.maximum(gate, (GATES * np.int8(k + 1)).take(entry, mode="clip"), out=gate)
     # Decisions of a block are adjacent; those of all blocks of one number too.
     per_block = np.add.reduceat(length, np.cumsum(size) - size, dtype=np.int64)
     ends = np.cumsum(per_block)
@@ -520,8 +573,7 @@ def _score_piece(parts: list[tuple[bytes, bytes]], code: SimpleNamespace, tables
         odds *= minus[lo:hi]  # probability of the other bit, against the bit's sign
         scale[own] -= SCALE_RATE * np.add.reduceat(odds * mixed, at)
         offset[own] -= SCALE_RATE * np.add.reduceat(odds, at)
-        for k, value in enumerate(here):
-            weights[own, :, k] -= (RATE * np.add.reduceat(odds * value, at))[:, None]
+        weights[own] -= np.stack([RATE * np.add.reduceat(odds * value, at) for value in here], axis=1)[:, None]
     return total / np.log(10)
 
 
