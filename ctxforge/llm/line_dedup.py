@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxforge.llm.common import documents, materialize, quoted, sent_if_small
+from ctxforge.llm.common import documents, forget, materialize, quoted, sent_if_small
 
 
 def _identity(docs: DataFrame, id_col: str, text_col: str):
@@ -54,13 +54,15 @@ def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     repeated = materialize(repeated.where(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first"), "line-repeats")
     later = found.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("_id", "_key").agg(F.collect_set("pos").alias("_starts"))
+    starts = materialize(later.groupBy("_id", "_key").agg(F.collect_set("pos").alias("_starts")), "line-starts")
+    forget(found, repeated)
+    return starts
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", added: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """docs with the covered lines cut from the text, plus their numbers of lines and of removed lines (long) under
     the names added. Columns that have these names are replaced."""
-    starts = materialize(covered_lines(docs, id_col, text_col), "line-starts")
+    starts = covered_lines(docs, id_col, text_col)
     width = starts.agg(F.avg(F.size("_starts"))).first()[0] or 0
     # Ids, a list of places, and what a hash table adds.
     starts = sent_if_small(starts.withColumnsRenamed({"_id": "_sid", "_key": "_skey"}), int(64 + 8 * width))

@@ -95,3 +95,37 @@ def test_near_stage_equals_all_pairs(spark):
         first[find(i)] = min(doc, first.get(find(i), doc))
     kept = {r["doc_id"] for r in corpus_pipeline.dedup_near(spark, docs, "").select("doc_id").collect()}
     assert kept == set(first.values()) and len(kept) < len(rows)
+
+
+def _tables(spark):
+    from pathlib import Path
+
+    return {f.name: f for f in (Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")) / "ctxforge").glob("*") if any(f.rglob("*.parquet"))}
+
+
+def test_no_stage_leaves_the_texts_beside_its_output(spark, sf):
+    """The first stage kept a second copy of all documents on disk while the later ones ran, and none deleted what it had read."""
+    before = _tables(spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = materialize(corpus_pipeline.identify_language(spark, docs, sf), "test-stage")
+    materialize(corpus_pipeline.dedup_lines(spark, out, sf), "test-stage")
+    left = {k: v for k, v in _tables(spark).items() if k not in before and not k.startswith("test-stage")}
+    assert {"text", "_lines"}.isdisjoint(c for f in left.values() for c in spark.read.parquet(str(f)).columns)
+    assert not [k for k in left if k.startswith(("line-windows", "line-repeats", "judged-")) and not k.startswith("judged-odd")]
+    before = _tables(spark)
+    corpus_pipeline.run(spark, sf)
+    assert len([k for k in _tables(spark) if k not in before and k.startswith("stage-")]) == 1
+
+
+def test_missing_languages_are_named_where_nothing_is_sent(spark, sf, monkeypatch):
+    import ctxforge.llm.common as C
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 3 != 0, F.col("lang"))).union(docs.limit(0)).unionByName(docs.limit(20))
+    found = corpus_pipeline.language_id.profiles(docs)
+    want = corpus_pipeline.language_id.with_language(docs, found, added=("p", "s", "m")).where("p <> 'und' AND s >= 0.3")
+    want = sorted((r["doc_id"], r["l"]) for r in want.select("doc_id", F.coalesce("lang", "p").alias("l")).collect())
+    for most in (C.SENT_BYTES, -1):
+        monkeypatch.setattr(corpus_pipeline, "sent_if_small", lambda table, row_bytes: C.sent_if_small(table, row_bytes, most))
+        got = corpus_pipeline.identify_language(spark, docs, sf)
+        assert got.columns == docs.columns and sorted((r["doc_id"], r["lang"]) for r in got.select("doc_id", "lang").collect()) == want
