@@ -209,6 +209,25 @@ def test_pairs_of_blocks_equal_a_nested_loop(spark, monkeypatch):
     assert {r["ord"] for r in dedupe.similar_to(few, rest, 0.5).collect()} == {x for a, b in want for x, y in ((a, b), (b, a)) if x % 3 == 0 and y % 3}
 
 
+def test_a_round_deals_out_few_copies(spark, monkeypatch):
+    """Each prefix went to every block at once, so the shuffle grew with the number of blocks times the items."""
+    for name, value in (("BLOCK", 100), ("FEW", 10)):
+        monkeypatch.setattr(dedupe, name, value)
+    rows = spark.range(2000).select(F.col("id").alias("ord"), (10 + F.col("id") % 97 + F.when(F.col("id") % 3 == 0, 200).otherwise(0)).cast("long").alias("n")).union(spark.range(2000, 2350).select("id", F.lit(20).cast("long")))
+    own, ranges, rounds = dedupe._sized(rows, 0.6)
+    for pairs in rounds:
+        assert max(sum((i == x) + (j == x) - (i == j == x) for i, j in pairs) for x in range(len(ranges))) <= dedupe.COPIES
+    together = [p for pairs in rounds for p in pairs]
+    assert len(set(together)) == len(together) and len(together) < len(ranges) * (len(ranges) + 1) // 4
+    sizes = {}
+    for r in rows.select("n", own.alias("own")).collect():
+        sizes.setdefault(r["own"], []).append(r["n"])
+    assert len(sizes) == len(ranges) > 20 and max(map(len, sizes.values())) <= 150
+    for i, x in sizes.items():
+        assert (min(x), max(x)) == ranges[i]
+        assert all((min(i, j), max(i, j)) in together for j, y in sizes.items() if max(x) >= 0.6 * min(y) and max(y) >= 0.6 * min(x))
+
+
 def test_alike_items_do_not_meet_all_others(spark, monkeypatch):
     """3,000 items of one family, all similar to each other: the pairs that are compared are about as many as the items."""
     texts = [" ".join([f"w{k}" for k in range(40)] + [f"own{i}"]) for i in range(3000)] + ["something else", "one more thing"]
