@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ctxforge.llm.common import crc_mod, documents, quoted, small_batches
+from ctxforge.llm.common import crc_mod, documents, give_back, quoted, small_batches
 
 #: Places in a language's profile and in a document's.
 PROFILE, OWN = 400, 300
@@ -104,6 +104,8 @@ def gram_counts(train: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                 grams.reset()
                 counts = {}
         yield from rows()
+        grams.reset()
+        give_back()
 
     own = train.where(F.col(quoted(lang_col)).isNotNull()).select(F.col(quoted(lang_col)).cast("string").alias("lang"), F.col(quoted(text_col)).alias("text"))
     found = own.mapInArrow(scan, "lang string, gram string, n long")
@@ -164,6 +166,8 @@ def with_language(docs: DataFrame, found: dict[str, list[str]], text_col: str =
                 grams.reset()
             lang, score, lead = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(lead, pa.float64())], ["row", "lang", "score", "lead"])
+        grams.reset()
+        give_back()
 
     names_added = {a.lower() for a in added}
     others = [c for c in docs.columns if c.lower() not in names_added or c == text_col]

@@ -9,6 +9,8 @@ and text columns are read, whatever the others are called.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,8 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxforge.llm.common import all_columns, documents, forget, materialize, quoted, sent_if_small, small_batches
+from ctxforge.llm.common import all_columns, documents, forget, give_back, materialize, quoted, sent_if_small, small_batches
 from ctxforge.llm.vptree import Forest, components, links
+from ctxforge.operators.dedupe import met
 
 #: Odd multipliers that derive further 64-bit hashes of a shingle from the first.
 LANES = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -93,7 +96,16 @@ PART, BANDS, ROWS, HASHES, MARK_BITS, SKETCH_PLACES = (4, 5), 25, 5, 128, 28, 43
 PAIRS_PER_SET = 8
 #: Sets of a bucket that one task holds against as many others; the pairs of a larger bucket's blocks are tasks of their own.
 BLOCK_SETS = 2048
-_SKETCH = "doc_id long, mark long, key long, n int, low long, high long, sketch binary, bands array<long>"
+#: Texts, about, whose shingles are counted to tell frequent ones, and frequent shingles that are known at most. They order the words of
+#: a set and leave nothing out: any order finds the same pairs, rare shingles first finds them sooner.
+COUNTED, FREQUENT = 10_000, 1 << 19
+#: A set's rarest shingles by which it is found: as many as two sets that resemble each other share this part of the smaller one of.
+EXTRA = 12
+#: Parts of the shingles' hashes that are looked through in turn, so that one part at a time is shuffled.
+ROUNDS = 4
+#: Bits of a set's parities. Two sets that resemble each other differ in a ninth of their sizes' sum at most, and so do their parities.
+PARITY_BITS = 4096
+_SKETCH = "doc_id long, mark long, key long, n int, low long, high long, sketch binary, bands array<long>, rare array<long>"
 
 
 def least_hashes(shingles: np.ndarray) -> np.ndarray:
@@ -111,10 +123,39 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.cast("binary").alias("text"))
 
 
+def frequent(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, in order, that several of about COUNTED different texts hold, and how many hold them."""
+    small_batches(docs.sparkSession, 200)
+
+    def scan(batches):
+        for batch in batches:
+            yield pa.record_batch({"code": pa.array(np.concatenate([np.zeros(0, np.uint64), *(np.unique(shingle_hashes(t, 5)) for t in batch.column(0).to_pylist())]).view(np.int64))})
+
+    some = _rows(docs, id_col, text_col).where(F.pmod("mark", F.lit(max(1, docs.count() // COUNTED))) == 0).dropDuplicates(["mark"])
+    counted = some.select("text").mapInArrow(scan, "code long").groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = counted.orderBy(F.desc("n"), "code").limit(FREQUENT).toArrow()
+    codes = found["code"].to_numpy().view(np.uint64)
+    order = np.argsort(codes)
+    return codes[order], found["n"].to_numpy()[order]
+
+
+def rare_first(shingles: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest of a set's shingles: those not known as frequent in order of their hashes, then by how many texts hold them. Two sets that
+    resemble each other have a part of 4 / 5 in common, so of the first n // 5 + s of either, s are shared, s being that of the smaller set."""
+    codes, counts = often
+    keep = len(shingles) // PART[1] + max(1, len(shingles) // EXTRA)
+    if not len(codes) or not len(shingles):
+        return shingles[:keep]
+    at = np.minimum(np.searchsorted(codes, shingles), len(codes) - 1)
+    rank = np.where(codes[at] == shingles, counts[at], 0)
+    return shingles[np.argsort(rank, kind="stable")[:keep]]
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's mark (a hash of its text) and, of its set of five-word shingles, key (a digest), size n, lowest bits and
-    places of its least hashes, and band codes. The sets themselves are not kept."""
+    places of its least hashes, band codes and rarest shingles. The sets themselves are not kept."""
     small_batches(docs.sparkSession, 200)
+    often = docs.sparkSession.sparkContext.broadcast(frequent(docs, id_col, text_col))
 
     def scan(batches):
         for batch in batches:
@@ -130,7 +171,9 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.record_batch({
                 "doc_id": batch.column(0), "mark": batch.column(1), "key": pa.array(keys), "n": pa.array(np.array([len(s) for s in sets], np.int32)), "low": pa.array(bits[:, 0]), "high": pa.array(bits[:, 1]),
                 "sketch": pa.array([(x[0::2] << 4 | x[1::2]).tobytes() for x in nibbles], pa.binary()), "bands": pa.array(codes.view(np.int64).tolist(), pa.list_(pa.int64())),
+                "rare": pa.array([rare_first(s, often.value).view(np.int64) for s in sets], pa.list_(pa.int64())),
             })
+        give_back()
 
     return _rows(docs, id_col, text_col).mapInArrow(scan, _SKETCH)
 
@@ -148,6 +191,23 @@ def places_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return ((differ & 15) > 0).sum(-1) + (differ > 15).sum(-1)
 
 
+def near_sketches(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sketches that do not speak against a resemblance; they do for a few pairs that have one."""
+    return places_apart(x, y) <= SKETCH_PLACES
+
+
+def parities(shingles: np.ndarray) -> bytes:
+    """A bit for each remainder of hashes: whether an odd number of the set's have it."""
+    odd = np.bincount((shingles >> np.uint64(32)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def near_parities(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Parities that allow a resemblance, sizes being the sums of the sets' sizes. They differ in a bit only where the sets differ, so no
+    pair that has a resemblance of PART is ruled out."""
+    return (PART[0] + PART[1]) * np.bitwise_count(x ^ y).sum(-1, dtype=np.int64) <= (PART[1] - PART[0]) * sizes
+
+
 class Sets:
     """Shingle sets of keys, made from the text of one document of each."""
 
@@ -168,13 +228,16 @@ class Sets:
         return made
 
 
-def verified(pairs: DataFrame, sets: Sets) -> DataFrame:
-    """The pairs (a, b) of keys whose shingle sets resemble each other: by their sketches, then by the sets themselves."""
+def verified(pairs: DataFrame, sets: Sets, marked: DataFrame, near_by=near_sketches) -> DataFrame:
+    """The pairs (a, b) of keys whose shingle sets resemble each other: by their sketches (marked: key, n, sketch), then by the sets
+    themselves."""
 
     def alike(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES // 2) for i in (2, 3))
-            yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(places_apart(x, y) <= SKETCH_PLACES))
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+            yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(near_by(x, y, batch.column(4).to_numpy())))
 
     def check(batches):
         for batch in batches:
@@ -185,8 +248,9 @@ def verified(pairs: DataFrame, sets: Sets) -> DataFrame:
                 good.append(PART[1] * both >= PART[0] * (len(x) + len(y) - both))
             yield pa.record_batch({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(good, pa.bool_()))
 
-    left, right = (sets.groups.select(F.col("key").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab")
-    near = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long"), "alike")
+    left, right = (marked.select(F.col("key").alias(k), F.col("sketch").alias(f"s{k}"), F.col("n").cast("long").alias(f"n{k}")) for k in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("n"))
+    near = materialize(both.mapInArrow(alike, "a long, b long"), "alike")
     own = sets.of(near.select(F.col("a").alias("key")).union(near.select("b")).distinct())
     left, right = (own.select(F.col("key").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     joined = near.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
@@ -265,13 +329,55 @@ def _place():
     return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("mark"))
 
 
+def _left_out(prints: DataFrame, linked: DataFrame, sets: Sets) -> DataFrame:
+    """Links (a, b) between components of linked (v, label) that no band or no sketch led to, by what all pairs that resemble each other
+    have: shared shingles among the rarest of both (rare_first), and enough of them. A set with fewer in other components has no link."""
+    rows = prints.select("key", "n", "rare").join(sent_if_small(linked, 16), F.col("key") == F.col("v"), "left")
+    rows = rows.select("key", "n", F.coalesce("label", "key").alias("label"), "rare")
+    across = lambda p: p.groupBy("code").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("code")
+    found = []
+    for r in range(ROUNDS):
+        points = rows.select("key", "n", "label", F.explode(F.filter("rare", lambda x: F.pmod(x, F.lit(ROUNDS)) == r)).alias("code"))  # noqa: B023
+        shared = materialize(across(points), "shared")
+        found.append(materialize(points.join(sent_if_small(shared, 16), "code").dropDuplicates(["key", "code"]), "hits"))
+        forget(shared)
+    hits = materialize(reduce(DataFrame.union, found), "hits")
+    forget(*found)
+    # A partner has 4 / 5 of the set's size at least. Sets that go take shingles with them, and others then have too few.
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PART[0] / PART[1]) / EXTRA))
+    for _ in range(2):
+        able = hits.groupBy("key").agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n")).where(F.col("found") >= least).select("key")
+        able = materialize(hits.join(able, "key", "left_semi"), "able")
+        fewer = materialize(able.join(across(able), "code", "left_semi"), "hits")
+        forget(hits, able)
+        hits = fewer
+    rows = hits.groupBy(F.col("key").alias("ord")).agg(F.first("n").cast("long").alias("n"), F.collect_list("code").alias("prefix"), F.first("label").alias("best"))
+    rows = materialize(rows, "asked")
+    forget(hits)
+    pairs = met(rows, PART[0] / PART[1], lambda a, label_a, b, label_b: label_a != label_b, (1, EXTRA))
+
+    def scan(batches):
+        for batch in batches:
+            yield pa.record_batch({"key": batch.column(0), "sketch": pa.array([parities(np.frombuffer(x, np.uint64)) for x in batch.column(1).to_pylist()], pa.binary())})
+
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(rows.select(F.col("ord").alias("key"), "n"), "key")
+    own = sets.of(keys.select("key"))
+    marked = materialize(own.select("key", "shingles").mapInArrow(scan, "key long, sketch binary").join(keys, "key"), "parities")
+    forget(own)
+    found = verified(pairs, sets, marked, near_parities)
+    forget(rows, marked)
+    return found
+
+
 def classes_of(prints: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, component_id) for each set of sketches(docs); component_id is the place of the class's first document.
 
     Sets that share a band of least hashes are candidates, and each link is checked on the sets. First each set of a
     bucket is held against one of the bucket. Buckets that still hold more than one component then name their
     pairs of different components, and these are checked; one with too many gets its sets, and all its pairs of different
-    components are compared in the task, which gives a spanning forest. Large buckets are compared by pairs of blocks."""
+    components are compared in the task, which gives a spanning forest. Large buckets are compared by pairs of blocks.
+
+    Bands and sketches miss a few pairs; those between different components are found by the sets' rarest shingles, which all pairs share."""
     rest = F.first(F.struct("n", "low", "high", "sketch", "bands")).alias("s")
     groups = materialize(prints.groupBy("key").agg(F.min(_place()).alias("rep"), rest).select("key", "rep", "s.*"), "sketch-groups")
     sets = Sets(docs, groups, id_col, text_col)
@@ -280,7 +386,7 @@ def classes_of(prints: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_
     found = points.join(hubs, "code").where((F.col("p.key") != F.col("hub.key")) & _may_resemble("p", "hub"))
     ends = F.least("p.key", "hub.key").alias("a"), F.greatest("p.key", "hub.key").alias("b")
     tried = materialize(found.select(*ends).distinct(), "tried")
-    first = verified(tried, sets)
+    first = verified(tried, sets, groups)
 
     marked = groups.join(components(first).withColumnRenamed("v", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     marked = materialize(marked.select("key", "label", "n", "low", "high", "sketch", "bands"), "marked")
@@ -296,13 +402,16 @@ def classes_of(prints: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_
     large = own.join(marked.select("key", "n", "sketch"), "key").groupBy("code", "low", "high").applyInPandas(_named, "a long, b long, low int, high int")
     none = F.lit(None).cast("int")
     named = materialize(pairs.select(F.col("p.key").alias("a"), F.col("q.key").alias("b"), none.alias("low"), none.alias("high")).distinct().union(large), "named")
-    second = verified(named.where("b IS NOT NULL").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), sets)
+    second = verified(named.where("b IS NOT NULL").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), sets, groups)
     crowded = named.where("b IS NULL").select(F.col("a").alias("code"), "low", "high")
     dense = own.join(crowded, ["code", "low", "high"], "left_semi")
     with_sets = dense.join(sets.of(dense.select("key").distinct()), "key")
     more = materialize(with_sets.select("code", "low", "high", "block", "key", "label", "shingles").groupBy("code", "low", "high").applyInPandas(_linked, "a long, b long"), "more")
-    out = classes(groups.select("key", "rep"), first.union(second).union(more))
-    forget(groups, hubs, tried, first, marked, mixed, mixed_points, named, second, more)
+    forget(hubs, tried, marked, mixed, mixed_points, named)
+    edges = first.union(second).union(more)
+    edges = edges.union(_left_out(prints, components(edges), sets))
+    out = classes(groups.select("key", "rep"), edges)
+    forget(groups, first, second, more)
     return out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ctxforge.llm import simhash
 from ctxforge.llm.common import materialize
 from ctxforge.llm.simhash import BANDS, ROWS, _linked, least_hashes, resembling, shingle_hashes
+from ctxforge.operators import dedupe
 
 
 def shingles(text):
@@ -53,6 +54,54 @@ def test_chains_and_buckets_of_many(spark):
     assert [got[i] for i, _ in rows] == [0] * 20 + [20] * 200
 
 
+def missed_by_bands():
+    """Pairs of texts whose sets share 40 of 50 shingles, but none of the 25 bands."""
+    out = []
+    for seed in (15054, 103804, 163655, 168744, 185388):
+        rng = random.Random(seed)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(49)]
+        out.append((" ".join(words), " ".join([*words[:24], f"z{seed}", *words[25:]])))
+    return out
+
+
+def test_pairs_that_share_no_band_are_found(spark):
+    """Pairs at 0.8 that share no band stayed apart, and both documents were kept (one in 20,000)."""
+    pairs = missed_by_bands()
+    for x, y in pairs:
+        a, b = (least_hashes(np.unique(shingle_hashes(t.encode(), 5)))[: BANDS * ROWS].reshape(ROWS, BANDS) for t in (x, y))
+        assert len(shingles(x) & shingles(y)) == 40 and not (a == b).all(0).any()
+    rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == {2 * i for i in range(len(pairs))}
+
+
+def test_links_without_bands_are_those_of_the_sets(spark, monkeypatch):
+    """Marks that rule out every pair of a band: what is left is found by rare shingles alone, also where most shingles are frequent."""
+    monkeypatch.setattr(simhash, "MARK_BITS", -1)
+    monkeypatch.setattr(simhash, "FREQUENT", 50)
+    monkeypatch.setattr(dedupe, "BLOCK", 100)
+    rng = random.Random(9)
+    page = [f"p{rng.randrange(10**6)}" for _ in range(60)]
+    pairs = planted(200)
+    pages = [(" ".join(page + x[:n]), " ".join(page + y[:n])) for n in (5, 20, 60, 200) for x, y in (([f"q{rng.randrange(10**6)}" for _ in range(n)],) * 2 for _ in range(3)) for y in ([*x[: n // 2], "other", *x[n // 2 + 1 :]],)]
+    rows = list(enumerate([t for x, y, _ in pairs for t in (x, y)] + [t for p in pages for t in p]))
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    lists = {}
+    for i, s in enumerate(sets):
+        both = {}
+        for x in s:
+            for j in lists.setdefault(x, []):
+                both[j] = both.get(j, 0) + 1
+            lists[x].append(i)
+        for j, n in both.items():
+            if 5 * n >= 4 * (len(s) + len(sets[j]) - n):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    got = {r["doc_id"]: r["component_id"] for r in resembling(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in rows] == root and len(set(root)) < len(rows)
+
+
 @pytest.mark.parametrize("pairs_per_set", [8, 0])
 def test_large_buckets_are_compared_by_pairs_of_blocks(spark, monkeypatch, pairs_per_set):
     """Blocks of few sets, with pairs named or, where they would be too many, sets compared: the classes stay the same, and no group
